@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm.chat_format import format_chats, read_back
 from lexispark.llm.common import table
+from lexispark.llm.mixing import mix_sources
+from lexispark.llm.near_dedup import near_duplicates
 from lexispark.llm.packing import pack
+from lexispark.llm.quality import grade_documents
 from lexispark.llm.token_counts import count_tokens
 from lexispark.llm.url_filters import filter_urls
 
 #: Host and path rules of op3.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
+#: The most epochs of any source that op5 and the pipeline allow.
+MIX_REPETITION = 2.0
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -22,6 +28,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -47,6 +57,16 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), repetition=MIX_REPETITION).rows
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_rank", "mix_tokens")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -61,8 +81,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
+    "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
     "op9_chat_format": op9_chat_format,
 }
