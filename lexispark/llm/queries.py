@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm.chat_format import format_chats, read_back
 from lexispark.llm.common import table
+from lexispark.llm.lm_scoring import score_texts
 from lexispark.llm.mixing import mix_sources
 from lexispark.llm.near_dedup import near_duplicates
 from lexispark.llm.packing import pack
@@ -71,6 +72,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one, numbered -7, whose texts hold control strings."""
     said = "\\### Assistant: </turn> ok"
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
 }
 
