@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexispark.llm.ann_search import search
 from lexispark.llm.chat_format import format_chats, read_back
 from lexispark.llm.common import table
 from lexispark.llm.lm_scoring import score_texts
@@ -68,6 +69,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_rank", "mix_tokens")
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_ann_search": op6_ann_search,
     "op7_packing": op7_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
