@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexispark.llm.ann_search import search
 from lexispark.llm.chat_format import format_chats, read_back
 from lexispark.llm.common import table
+from lexispark.llm.fingerprints import fingerprint_edits
 from lexispark.llm.lm_scoring import score_texts
 from lexispark.llm.mixing import mix_sources
 from lexispark.llm.near_dedup import near_duplicates
@@ -91,6 +92,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL}
