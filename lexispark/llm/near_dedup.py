@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut
+from lexispark.llm.common import broadcast_if_small, cut
 
 WORDS = 5
 BANDS, MINS, MAXS = 28, 3, 3
@@ -191,7 +191,7 @@ def _block_links(members: DataFrame, percent: int, rows: int = 256, weight: int
     parts = lambda r, w: F.ceil(F.greatest(r / F.lit(rows), w / F.lit(weight), F.lit(1.0))).cast("int")
     # sizes of clusters with more than one label and more than the pair that the star has compared
     sizes = whole.where("rows > mr and rows > 2").select("cluster", "main", parts(F.col("mr"), F.col("mw")).alias("of_main"), parts(F.col("rows") - F.col("mr"), F.col("weight") - F.col("mw")).alias("of_rest"))
-    dealt = members.join(sizes, "cluster").withColumns({"in_main": F.col("label") == F.col("main"), "h": F.xxhash64("node", F.lit(5))})
+    dealt = members.join(broadcast_if_small(cut(sizes)), "cluster").withColumns({"in_main": F.col("label") == F.col("main"), "h": F.xxhash64("node", F.lit(5))})
     dealt = dealt.withColumn("block", F.pmod("h", F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
     rest = F.sequence(F.lit(0), F.col("of_rest") - 1)
     meets = F.when(F.col("in_main"), F.transform(rest, lambda k: F.struct(k.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(2).alias("side")))).otherwise(
@@ -211,24 +211,29 @@ def _block_links(members: DataFrame, percent: int, rows: int = 256, weight: int
     return cut(tasks.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b): label is the smallest node reachable.
 
     Alternates the large-star and small-star steps; each halves the depth or better and keeps no more edges than there
-    were. What stays is a star around each smallest node.
+    were. What stays is a star around each smallest node. The edges are few against the documents, so what a step
+    shuffles is gathered into as many parts as ``rows_a_part`` asks for.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    n = now.count()
+    parts = n // rows_a_part + 1
+    now = now.coalesce(parts)
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        nxt = cut(small)
-        if now.count() == nxt.count() and nxt.join(now, ["u", "v"], "left_anti").isEmpty():
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(parts).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        joined = large.join(low, "u").coalesce(parts)
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").coalesce(parts).distinct()
+        nxt = cut(small.coalesce(parts))
+        size = nxt.count()
+        if size == n and nxt.exceptAll(now).isEmpty():
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        now = nxt
+        now, n = nxt, size
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
