@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import formats, identifiers, labels, paths, text, vectors
 from lexispark.operators import catalog, chunks, reading, rerank, search, selection
 from lexispark.plans.planner import Facet, candidate_limit, plan_query, terms, token_budget
+from lexispark.streaming import sessions
 
 TOPIC = "the history of that and is"
 PHRASES = Facet("all", (("of", "the"),))
@@ -384,10 +386,10 @@ def catalog_merge(spark, sf_dir):
     return catalog.merge_candidates(hits, 50).select("library_id", "stars", "sources", "score", "rank")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 'rt1') OR contains(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g'), 'rt1') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g'), 'rt1')")
+@query("SELECT p_partkey FROM part WHERE contains(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 'dwidget') OR contains(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g'), 'dwidget') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g'), 'dwidget')")
 def name_match(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    return p.where(catalog.name_matches(p, F.lit("R t-1"), ["p_name", "p_brand", "p_type"])).select("p_partkey")
+    return p.where(catalog.name_matches(p, F.lit("D-Widget"), ["p_name", "p_brand", "p_type"])).select("p_partkey")
 
 
 @query(
@@ -625,3 +627,22 @@ def result_format(spark, sf_dir):
 def cosine_self(spark, sf_dir):
     e = F.col("embedding")
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.cosine(e, e), 6).alias("self"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def stream_seen(spark, sf_dir):
+    """Structured Streaming over the events, all that is there: fresh and repeated views of each user.
+
+    The result is read from the sink's files in the shared folder.
+    """
+    schema = read(spark, sf_dir, "events").schema
+    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lexispark-checkpoints'}/stream-{uuid.uuid4().hex}"
+    # A stream's source is a folder; the table may be a single file, so its path is given as a glob.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = events.select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("library"), (F.col("event_id") % 50).alias("id"), "ts")
+    run = sessions.stream_seen(rows).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{at}/rows").groupBy("session", "library").agg(F.count("*").alias("views"), F.count_if("fresh").alias("fresh"))
