@@ -232,7 +232,8 @@ def components(edges: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
         nxt = cut(small.coalesce(parts))
         size = nxt.count()
         if size == n and nxt.exceptAll(now).isEmpty():
-            return nxt.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label")))
+            return nxt.select(F.explode(ends).alias("e")).select("e.node", "e.label").distinct()
         now, n = nxt, size
 
 
