@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut
+from lexispark.llm.common import broadcast_if_small, cut
 
 BLOCKS = 4096
 
@@ -115,14 +115,14 @@ def mix_sources(
     room = F.col("left") - (F.col("until") - F.col("tokens"))
     placed = cut(placed.select("__source", "block", "epochs", F.when(room >= F.col("tokens"), F.lit(None).cast("double")).otherwise(F.greatest(room, F.lit(0.0))).alias("room")))
     # The blocks in which a budget ends: one for each source. Rows there, in the order of their hash, up to the budget.
-    ends = placed.where("room > 0").select("__source", "block", "room")
-    inside = keyed.withColumn("__fine", fine).join(plan.select("__source", "blocks"), "__source").withColumn("block", F.pmod("__fine", "blocks"))
+    ends = broadcast_if_small(placed.where("room > 0").select("__source", "block", "room"))
+    n_sources = broadcast_if_small(plan.select("__source", "blocks"))
+    inside = keyed.withColumn("__fine", fine).join(n_sources, "__source").withColumn("block", F.pmod("__fine", "blocks"))
     inside = inside.join(ends, ["__source", "block"]).select("__source", "block", "room", "__hash", _tokens(F.col(text_col)).alias("tokens"))
     run = Window.partitionBy("__source", "block").orderBy("__hash").rangeBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("sum", F.sum("tokens").over(run)).where("sum <= room").groupBy("__source", "block").agg(F.max("__hash").alias("last"))
     # What each block gives, in one small table: blocks of all sources, BLOCKS at most for each.
-    gives = cut(placed.join(last, ["__source", "block"], "left").select("__source", "block", "epochs", F.col("room").isNull().alias("whole"), "last"))
-    n_sources = plan.select("__source", "blocks")
+    gives = broadcast_if_small(cut(placed.join(last, ["__source", "block"], "left").select("__source", "block", "epochs", F.col("room").isNull().alias("whole"), "last")))
     out = keyed.withColumn("__fine", fine).join(n_sources, "__source", "left").withColumn("block", F.coalesce(F.pmod("__fine", "blocks"), F.lit(0)))
     out = out.join(gives, ["__source", "block"], "left").withColumn("mix_tokens", _tokens(F.col(text_col)))
     extra = F.coalesce(F.col("whole") | (F.col("__hash") <= F.col("last")), F.lit(False)).cast("int")
