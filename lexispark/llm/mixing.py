@@ -93,9 +93,11 @@ def mix_sources(
     new = ["mix_epoch", "mix_block", "mix_rank", "mix_tokens"]
     rows = docs.drop(*new)
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = rows.withColumns({"__source": F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))), "__hash": hashed})
+    source = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
+    # The row travels in one column, so that its names can't meet those used here.
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), source.alias("__source"), hashed.alias("__hash"), F.col(text_col).alias("__text"))
     fine = F.pmod("__hash", F.lit(BLOCKS)).cast("int")
-    counted = keyed.select("__source", "__hash", fine.alias("fine"), _tokens(F.col(text_col)).alias("tokens"))
+    counted = keyed.select("__source", "__hash", fine.alias("fine"), _tokens(F.col("__text")).alias("tokens"))
     cells = cut(counted.where("tokens > 0").groupBy("__source", "fine").agg(F.sum("tokens").alias("tokens")))
     sums = cut(cells.groupBy("__source").agg(F.sum("tokens").alias("tokens")))
     exponent, total = find_exponent(sums, entropy, repetition, budget)
@@ -118,15 +120,15 @@ def mix_sources(
     ends = broadcast_if_small(placed.where("room > 0").select("__source", "block", "room"))
     n_sources = broadcast_if_small(plan.select("__source", "blocks"))
     inside = keyed.withColumn("__fine", fine).join(n_sources, "__source").withColumn("block", F.pmod("__fine", "blocks"))
-    inside = inside.join(ends, ["__source", "block"]).select("__source", "block", "room", "__hash", _tokens(F.col(text_col)).alias("tokens"))
+    inside = inside.join(ends, ["__source", "block"]).select("__source", "block", "room", "__hash", _tokens(F.col("__text")).alias("tokens"))
     run = Window.partitionBy("__source", "block").orderBy("__hash").rangeBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("sum", F.sum("tokens").over(run)).where("sum <= room").groupBy("__source", "block").agg(F.max("__hash").alias("last"))
     # What each block gives, in one small table: blocks of all sources, BLOCKS at most for each.
     gives = broadcast_if_small(cut(placed.join(last, ["__source", "block"], "left").select("__source", "block", "epochs", F.col("room").isNull().alias("whole"), "last")))
     out = keyed.withColumn("__fine", fine).join(n_sources, "__source", "left").withColumn("block", F.coalesce(F.pmod("__fine", "blocks"), F.lit(0)))
-    out = out.join(gives, ["__source", "block"], "left").withColumn("mix_tokens", _tokens(F.col(text_col)))
+    out = out.join(gives, ["__source", "block"], "left").withColumn("mix_tokens", _tokens(F.col("__text")))
     extra = F.coalesce(F.col("whole") | (F.col("__hash") <= F.col("last")), F.lit(False)).cast("int")
     times = F.when(F.col("mix_tokens") == 0, 1).otherwise(F.coalesce("epochs", F.lit(0)) + extra)
     out = out.withColumn("__times", times).where("__times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     out = out.withColumns({"mix_rank": place(F.col("mix_epoch")), "mix_block": F.col("block")})
-    return Mix(exponent, total, out.select(*[F.col(c) for c in rows.columns], *new))
+    return Mix(exponent, total, out.select("__row.*", *new))
