@@ -115,7 +115,7 @@ def sql_boost(known: list[str]) -> str:
     title, body = "lower(doc_title || ' ' || section_title)", "lower(content)"
     hits = lambda where, of: " + ".join([f"contains({where}, '{t}')::INTEGER" for t in of]) or "0"
     names = [t for t in known if any(c in t for c in "._:$#/-")]
-    return f"(({hits(title, known)}) * 0.018 + ({hits(body, known)}) * 0.003 + ({hits(body, names)}) * 0.025)"
+    return f"(({hits(title, known)}) * 0.018 + ({hits(body, known)}) * 0.003 + ({hits(body, names)}) * 0.025)::DOUBLE"
 
 
 def sql_fused(topic: str, source: str, limit: int | None = None, seen: str | None = None) -> str:
@@ -154,12 +154,12 @@ BM25 = [Facet("any", (("the",), ("history",), ("that",), ("retionth",)))]
 BM25_ALL = [Facet("all", (("the",), ("of",), ("that",)))]
 
 
-@query(f"WITH {sql_facets(SQL_DOCS, BM25, 20)} SELECT id, rank, round(score, 6) AS score FROM ranked")
+@query(f"WITH {sql_facets(SQL_DOCS, BM25, 20)} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked")
 def bm25_or_topk(spark, sf_dir):
     return search.top_of_facets(search.score_facets(documents(spark, sf_dir), BM25), 20).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {sql_facets(SQL_DOCS, BM25_ALL, 20)} SELECT id, rank, round(score, 6) AS score FROM ranked")
+@query(f"WITH {sql_facets(SQL_DOCS, BM25_ALL, 20)} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked")
 def bm25_and_topk(spark, sf_dir):
     return search.top_of_facets(search.score_facets(documents(spark, sf_dir), BM25_ALL), 20).select("id", "rank", F.round("score", 6).alias("score"))
 
@@ -170,7 +170,7 @@ def phrase_match(spark, sf_dir):
     return search.score_facets(documents(spark, sf_dir), [PHRASES]).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {sql_facets(SQL_DOCS, BM25, 10, {'doc_title': 5.0, 'section_title': 10.0, 'content': 1.0})} SELECT id, rank, round(score, 6) AS score FROM ranked")
+@query(f"WITH {sql_facets(SQL_DOCS, BM25, 10, {'doc_title': 5.0, 'section_title': 10.0, 'content': 1.0})} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked")
 def legacy_bm25(spark, sf_dir):
     return search.legacy_top(documents(spark, sf_dir), "the history that retionth").select("id", "rank", F.round("score", 6).alias("score"))
 
@@ -372,7 +372,7 @@ def refresh_threshold(spark, sf_dir):
 @query(
     """WITH h AS (SELECT lower('/c' || o_custkey % 97 || '/Lib' || o_custkey % 97) AS key, o_custkey % 97 AS c, o_orderpriority AS source, floor(o_totalprice)::BIGINT AS stars, o_orderkey AS arrival FROM orders),
 m AS (SELECT key, c, max(stars) AS stars, max(100 - length(source)) AS weight, count(DISTINCT source) AS sources FROM h GROUP BY key, c)
-SELECT '/c' || c || '/Lib' || c AS library_id, stars, sources, score, row_number() OVER (ORDER BY score DESC, '/c' || c || '/Lib' || c) AS rank
+SELECT '/c' || c || '/Lib' || c AS library_id, stars, sources, score, (row_number() OVER (ORDER BY score DESC, '/c' || c || '/Lib' || c))::INTEGER AS rank
 FROM (SELECT *, round(log10(greatest(10.0, stars + 10.0)) * 1000000 + weight * 10000 + least(10, sources) * 100)::BIGINT AS score FROM m) ORDER BY rank LIMIT 50"""
 )
 def catalog_merge(spark, sf_dir):
@@ -410,7 +410,7 @@ def policy_filter(spark, sf_dir):
     return catalog.policy_filter(rated, F.col("quality") == 1, "doc_id", lab.where("toxic = 1"), d.where("source = 'src3'")).select("doc_id").distinct()
 
 
-@query("SELECT count(*) AS libraries, sum(sections) AS sections, sum(tokens)::BIGINT AS tokens, min(checked_at) AS oldest_check, count(*) FILTER (WHERE parser_version <> 'en') AS outdated FROM (SELECT source, count(*) AS sections, sum(ceil(length(text) / 4.0)::INTEGER) AS tokens, min(doc_id) AS checked_at, min(lang) AS parser_version FROM documents GROUP BY source)")
+@query("SELECT count(*) AS libraries, sum(sections)::BIGINT AS sections, sum(tokens)::BIGINT AS tokens, min(checked_at) AS oldest_check, count(*) FILTER (WHERE parser_version <> 'en') AS outdated FROM (SELECT source, count(*) AS sections, sum(ceil(length(text) / 4.0)::INTEGER) AS tokens, min(doc_id) AS checked_at, min(lang) AS parser_version FROM documents GROUP BY source)")
 def index_health(spark, sf_dir):
     m = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("sections"), F.sum(chunks.estimated_tokens(F.col("text"))).alias("tokens"), F.min("doc_id").alias("checked_at"), F.min("lang").alias("parser_version"))
     return catalog.index_health(m, "en")
@@ -469,7 +469,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 
 @query(
     f"""WITH {SQL_SESSIONS}, f AS (SELECT user_id, session_no, event_type, event_id, min(ts) AS t FROM s GROUP BY ALL)
-SELECT user_id, session_no::BIGINT AS session_no, event_type, event_id, age FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_no, event_type ORDER BY t DESC, event_id DESC) AS age FROM f) WHERE age <= 500"""
+SELECT user_id, session_no::BIGINT AS session_no, event_type, event_id, age::INTEGER AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_no, event_type ORDER BY t DESC, event_id DESC) AS age FROM f) WHERE age <= 500"""
 )
 def session_seen(spark, sf_dir):
     out = catalog.session_seen(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id", "ts")
