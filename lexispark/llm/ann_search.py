@@ -75,30 +75,42 @@ def scan(x: np.ndarray, q: np.ndarray, keep: int, step: int = 16, slack: float =
     """
     dims = x.shape[1]
     cuts = [*range(step, dims, step), dims]
-    first = cuts[0]
-    part = (q[:, :first] ** 2).sum(1)[:, None] + (x[:, :first] ** 2).sum(1)[None, :] - 2 * q[:, :first] @ x[:, :first].T
-    np.maximum(part, 0, out=part)
+    squares = [(x[:, lo:hi] ** 2).sum(1) for lo, hi in zip([0, *cuts], cuts, strict=False)]
     out = []
-    for k in range(len(q)):
-        d = part[k]
-        if len(d) <= keep:
-            out.append(np.arange(len(d)))
+    for at in range(0, len(q), 64):
+        own = q[at : at + 64]
+        if len(x) <= keep:
+            out += [np.arange(len(x))] * len(own)
             continue
-        probe = np.argpartition(d, keep - 1)[:keep]
-        bound = ((x[probe] - q[k]) ** 2).sum(1).max()
-        alive = np.flatnonzero(d * (dims / first) <= bound * (1 + slack / np.sqrt(first)) ** 2)
-        own = d[alive]
-        lo = first
-        for hi in cuts[1:]:
-            own = own + ((x[alive, lo:hi] - q[k, lo:hi]) ** 2).sum(1)
-            room = 1.0 if hi == dims else (1 + slack / np.sqrt(hi)) ** 2
-            stay = own * (dims / hi) <= bound * room * (1 + 1e-9)
-            alive, own, lo = alive[stay], own[stay], hi
-        out.append(np.union1d(alive, probe))
+
+        def whole(k: int, own: np.ndarray = own) -> np.ndarray:
+            """Distances over column block k, of all queries and candidates."""
+            lo, hi = cuts[k - 1] if k else 0, cuts[k]
+            return np.maximum((own[:, lo:hi] ** 2).sum(1)[:, None] + squares[k][None, :] - 2 * own[:, lo:hi] @ x[:, lo:hi].T, 0)
+
+        part = whole(0)
+        probe = np.argpartition(part, keep - 1, axis=1)[:, :keep]
+        bound = ((x[probe] - own[:, None, :]) ** 2).sum(2).max(1) * (1 + 1e-9)
+        room = lambda hi: bound * (1.0 if hi == dims else (1 + slack / np.sqrt(hi)) ** 2) * hi / dims  # noqa: B023, E731
+        alive = part <= room(cuts[0])[:, None]
+        k = 1
+        while k < len(cuts) and alive.mean() > 0.2:  # most are left: a product over all is cheaper than picking them
+            part += whole(k)
+            alive &= part <= room(cuts[k])[:, None]
+            k += 1
+        i, j = np.nonzero(alive)
+        d = part[i, j]
+        for k in range(k, len(cuts)):
+            lo, hi = cuts[k - 1], cuts[k]
+            d = d + ((x[j, lo:hi] - own[i, lo:hi]) ** 2).sum(1)
+            stay = d <= room(hi)[i]
+            i, j, d = i[stay], j[stay], d[stay]
+        ends = np.searchsorted(i, np.arange(len(own) + 1))
+        out += [np.union1d(j[ends[n] : ends[n + 1]], probe[n]) for n in range(len(own))]
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.75, sample_rows: int = 20_000, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.8, sample_rows: int = 20_000, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each row of ``queries``, its own id left out.
 
     Returns query_id, rank (from 1), vec_id and score (the inner product of the original vectors in double precision);
@@ -126,7 +138,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, longest = index.agg(F.count("*"), F.max(norm)).first()
     space = Space(dims, float(longest))
-    lists = max(1, min(4096, round(n**0.5)))
+    lists = max(1, min(4096, round(n**0.5 / 4)))
     picked = index.orderBy(F.xxhash64("v"), "v").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     centres = fit_centres(space.stored(picked.flatten().to_numpy().reshape(-1, dims)), lists)
     lists = len(centres)
