@@ -144,3 +144,35 @@ def exact_percentiles(rows: DataFrame, column: str, fractions: Sequence[float])
     run = placed.join(F.broadcast(before), "part").withColumn("until", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
     at = lambda f: min(n - 1, int(n * f))
     return run.agg(*[F.min(F.when(F.col("until") > at(f), F.col("v"))).alias(f"p{round(f * 100)}") for f in fractions])
+
+
+def migration_progress(events: DataFrame, failures: int = 100) -> DataFrame:
+    """Counts of a migration and its last failures (library, at), newest last.
+
+    Failures are cut before they are listed, so the list is bounded.
+    """
+    last = events.where("status = 'failed'").orderBy(F.desc("at"), "library").limit(failures)
+    listed = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "library"))), lambda x: x["library"]).alias("failures"))
+    counts = events.agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "succeeded").alias("migrated"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return counts.crossJoin(F.broadcast(listed))  # one row each
+
+
+def product_in_order(names: DataFrame, registries: list[str]) -> DataFrame:
+    """Each name (name, ordinal) with each registry, by name and then registry: a short list exploded, no join."""
+    return names.select("name", "ordinal", F.posexplode(F.array(*map(F.lit, registries))).alias("registry_no", "registry"))
+
+
+def union_keep_first(lists: list[DataFrame], key: str) -> DataFrame:
+    """Rows of several candidate lists (with an ordinal in each), the first of each key in any case, in list order."""
+    rows = None
+    for k, df in enumerate(lists):
+        one = df.withColumn("list_no", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    w = Window.partitionBy(F.lower(key)).orderBy("list_no", "ordinal")
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def agent_modes(agents: DataFrame) -> DataFrame:
+    """Which modes any of the agents has (cli, server), as flags and as a list."""
+    flags = agents.agg(F.bool_or("cli").alias("cli"), F.bool_or("server").alias("server"))
+    return flags.withColumn("modes", F.array_compact(F.array(F.when(F.col("cli"), "cli"), F.when(F.col("server"), "server"))))

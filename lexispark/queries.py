@@ -629,6 +629,78 @@ def cosine_self(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.cosine(e, e), 6).alias("self"))
 
 
+# --- batches and lists ---------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'skipped' END AS status, user_id::VARCHAR AS library, event_id AS t FROM events),
+f AS (SELECT library, t FROM e WHERE status = 'failed' ORDER BY t DESC, library LIMIT 100)
+SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'succeeded') AS migrated, count(*) FILTER (WHERE status = 'failed') AS failed, (SELECT string_agg(library, ',' ORDER BY t, library) FROM f) AS failures FROM e"""
+)
+def migration_progress(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("skipped")
+    e = read(spark, sf_dir, "events").select(status.alias("status"), F.col("user_id").cast("string").alias("library"), F.col("event_id").alias("at"))
+    return catalog.migration_progress(e).withColumn("failures", F.array_join("failures", ","))
+
+
+@query("SELECT n_name AS name, r.registry_no, r.registry FROM nation, (VALUES (0, 'npm'), (1, 'pypi'), (2, 'crates')) r(registry_no, registry)")
+def registry_lookups(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ordinal"))
+    return catalog.product_in_order(n, ["npm", "pypi", "crates"]).select("name", "registry_no", "registry")
+
+
+@query(
+    """WITH u AS (SELECT lower(source) AS name, doc_id AS ordinal, 0 AS list_no FROM documents WHERE lang = 'en' UNION ALL SELECT upper(source), doc_id, 1 FROM documents WHERE lang <> 'en')
+SELECT name, ordinal, list_no FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY list_no, ordinal) AS n FROM u) WHERE n = 1"""
+)
+def candidate_union(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    one, two = d.where("lang = 'en'").select(F.lower("source").alias("name"), F.col("doc_id").alias("ordinal")), d.where("lang <> 'en'").select(F.upper("source").alias("name"), F.col("doc_id").alias("ordinal"))
+    return catalog.union_keep_first([one, two], "name").select("name", "ordinal", "list_no")
+
+
+@query("SELECT bool_or(event_type = 'view' AND value > 0) AS cli, bool_or(event_type = 'nothing') AS server, 'cli' AS modes FROM events")
+def agent_modes(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(((F.col("event_type") == "view") & (F.col("value") > 0)).alias("cli"), (F.col("event_type") == "nothing").alias("server"))
+    return catalog.agent_modes(e).withColumn("modes", F.array_join("modes", ","))
+
+
+@query("SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS code, count(*) FILTER (WHERE role <> 'assistant') AS info, count(*) AS snippets FROM conversations GROUP BY conv_id")
+def snippet_totals(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    code, info = F.count_if(F.col("role") == "assistant"), F.count_if(F.col("role") != "assistant")
+    return c.groupBy("conv_id").agg(code.alias("code"), info.alias("info"), F.count("*").alias("snippets"))
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END, 0) DESC, s_suppkey)::INTEGER AS place FROM supplier QUALIFY place <= 30")
+def by_installs(spark, sf_dir):
+    """The most installed first; unknown counts as none."""
+    n = F.coalesce(F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal")), F.lit(0.0))
+    top = read(spark, sf_dir, "supplier").withColumn("n", n).orderBy(F.desc("n"), "s_suppkey").limit(30)
+    return top.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("n"), "s_suppkey")).alias("place"))
+
+
+@query("SELECT event_id, floor(epoch(ts)) - 60 <= epoch(TIMESTAMP '2024-01-15 00:00:00') AS expired, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS shown FROM events")
+def token_expiry(spark, sf_dir):
+    t = F.col("ts").cast("timestamp")
+    return read(spark, sf_dir, "events").select("event_id", labels.token_expired(t, F.lit("2024-01-15 00:00:00")).alias("expired"), formats.iso_time(t).alias("shown"))
+
+
+@query("SELECT item_id, CASE WHEN s = 429 THEN 'Rate limited or quota exceeded. ' || CASE WHEN item_id % 2 = 0 THEN 'Upgrade your plan for higher limits.' ELSE 'Create an API key for higher limits.' END WHEN s = 404 THEN 'The library you are trying to access does not exist.' WHEN s = 401 THEN 'Invalid API key.' ELSE 'Request failed with status ' || s || '.' END AS message FROM (SELECT item_id, [429, 404, 401, 500][item_id % 4 + 1] AS s FROM benchmark)")
+def status_messages(spark, sf_dir):
+    i = F.col("item_id")
+    s = F.element_at(F.array(*map(F.lit, [429, 404, 401, 500])), (i % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "benchmark").select("item_id", labels.status_message(s, i % 2 == 0).alias("message"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(p_name || ' documentation Source: https://x.y/z end', '(?i)Source:\s*https?://\S+', '', 'g') AS bare, trim(regexp_replace(p_name || ' Docs reference', '(?i)([ _-]+(docs|documentation|manual|reference|references))+$', '')) AS short FROM part")
+def snippet_names(spark, sf_dir):
+    name = F.col("p_name")
+    bare = text.without_source_lines(F.concat(name, F.lit(" documentation Source: https://x.y/z end")))
+    names = text.discovery_names(F.concat(name, F.lit(" Docs reference")))
+    return read(spark, sf_dir, "part").select("p_partkey", bare.alias("bare"), F.element_at(names, -1).alias("short"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
