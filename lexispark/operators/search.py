@@ -34,14 +34,17 @@ def _unit_columns(units: Sequence[tuple[str, ...]], fields: dict[str, float]) ->
     return {f"__u{i}": sum((phrase_count(F.col(f"__t_{f}"), list(u)) * F.lit(w) for f, w in fields.items()), F.lit(0.0)) for i, u in enumerate(units)}
 
 
-def score_facets(chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None) -> DataFrame:
-    """A row (facet, score and the chunk's columns) for each facet that a chunk matches."""
+def score_facets(chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
+    """A row (facet, score and the chunk's columns) for each facet that a chunk matches.
+
+    ``corpus`` is the number of chunks and their mean length where ``chunks`` are only those that can match.
+    """
     fields = fields or FIELDS
     units = list(dict.fromkeys(u for f in facets for u in f.units if u))
     own = list(chunks.columns)
     counted = analyzed(chunks, fields).withColumns(_unit_columns(units, fields))
     stats = counted.agg(F.count("*").alias("n"), F.avg("__len").alias("mean"), *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
+    n, mean = corpus or (stats["n"], stats["mean"] or 1.0)
 
     def score(u: tuple[str, ...]) -> Column:
         i = units.index(u)
@@ -115,7 +118,7 @@ def select_diverse(matches: DataFrame, budget: int, limit: int, per_document: in
     return matches.join(F.broadcast(chosen), "id")  # at most ``limit`` rows
 
 
-def search(chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
     """Search chunks for a topic; position gives the order of the answer.
 
     If all that matches was seen before, it is searched again with nothing left out.
@@ -123,7 +126,7 @@ def search(chunks: DataFrame, topic: str, limit: int | None = None, max_tokens:
     if not 1 <= len(topic) <= 2000:
         raise ValueError("a topic has 1 to 2000 characters")
     most = limit if limit is not None else 12
-    ranked = top_of_facets(score_facets(chunks, plan_query(topic)), candidate_limit(limit))
+    ranked = top_of_facets(score_facets(chunks, plan_query(topic), corpus=corpus), candidate_limit(limit))
     matches = fuse(ranked, terms(topic), seen)
     if seen is not None and matches.isEmpty():
         matches = fuse(ranked, terms(topic))
