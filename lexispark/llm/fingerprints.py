@@ -126,7 +126,7 @@ def likeness(pairs: DataFrame, levels: int = 24) -> DataFrame:
     return both.select("k", F.when(F.col("n") == 0, 1.0).otherwise((F.col("n") - F.col("n_differing")) / (F.col("n") + F.col("n_differing"))).alias("likeness"))
 
 
-def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 4_000_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 1_000_000) -> DataFrame:
     """Rows (id, text, ...) with ``next``, a struct of ``columns`` of the row that follows by descending id.
 
     After the last comes the first; null ids are last; rows of equal ids go by the hash of their text. Ids are dealt
@@ -146,12 +146,13 @@ def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 4_000_000
     else:
         bucket = F.lit(-1).cast("bigint")
     placed = docs.withColumn("bucket", bucket)
-    firsts = cut(placed.groupBy("bucket").agg(F.max("id").alias("first_id")))
-    order = Window.orderBy(F.desc("bucket"))
-    # A row for each range: a few hundred, or one for each ``bucket_chars`` characters of a large corpus.
-    before = firsts.withColumn("before", F.lag("bucket").over(order))
-    last = firsts.agg(F.min("bucket")).first()[0]
-    before = broadcast_if_small(cut(before.withColumn("before", F.coalesce("before", F.lit(last)))))
+    # A row for each range. Ranges follow each other within the 256 coarse parts, and these in a list on the driver.
+    firsts = cut(placed.groupBy("bucket").agg(F.max("id").alias("first_id")).withColumn("coarse", F.floor(F.col("bucket") / fine)))
+    parts = firsts.groupBy("coarse").agg(F.min("bucket").alias("lo")).orderBy(F.desc("coarse")).collect()
+    above = {r["coarse"]: parts[k - 1]["lo"] for k, r in enumerate(parts)}  # of the first part, the last
+    from_above = F.element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), F.col("coarse")) if above else F.lit(None).cast("bigint")
+    order = Window.partitionBy("coarse").orderBy(F.desc("bucket"))
+    before = broadcast_if_small(cut(firsts.withColumn("before", F.coalesce(F.lag("bucket").over(order), from_above)).drop("coarse")))
     also = placed.join(before, "bucket")
     is_first = F.col("id").eqNullSafe(F.col("first_id"))
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
