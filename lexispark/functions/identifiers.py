@@ -123,3 +123,13 @@ def front_matter(text: Column) -> Column:
     folded = F.regexp_extract(head, r"(?m)^description:[ \t]*[>|][+-]?[ \t]*((?:\r?\n[ \t]+[^\r\n]*)+)", 1)
     own = field("description")
     return F.struct(F.nullif(field("name"), F.lit("")).alias("name"), F.nullif(F.when(own.rlike(r"^[>|][+-]?$"), F.trim(F.regexp_replace(folded, r"\s+", " "))).otherwise(own), F.lit("")).alias("description"))
+
+
+# First parts of ids that are no repositories.
+OTHER_KINDS = ["websites", "packages", "npm", "docs", "libraries", "llmstxt"]
+
+
+def is_repository_id(ident: Column) -> Column:
+    """Whether an id of two parts names a repository and not another kind of source."""
+    parts = F.split(F.regexp_replace(ident, "^/", ""), "/")
+    return (F.size(parts) == 2) & ~F.lower(parts[0]).isin(OTHER_KINDS)

@@ -70,3 +70,15 @@ def paging(page: Column, total: Column, more: Column) -> Column:
     p, t = page.try_cast("int"), total.try_cast("int")
     m = F.when(F.lower(more) == "true", True).when(F.lower(more) == "false", False)
     return F.when(p.isNotNull() & t.isNotNull() & m.isNotNull(), F.struct(p.alias("page"), t.alias("total_pages"), m.alias("has_more")))
+
+
+def passes_quality(verified: Column, trust: Column, updated_days: Column, stars: Column, only_verified: bool = False, least_trust: float | None = None, most_days: int | None = None, least_stars: int | None = None) -> Column:
+    """A policy's quality filters; one that is not set lets all through, an unknown figure fails those that are."""
+    tests = [verified] if only_verified else []
+    tests += [trust >= least_trust] if least_trust is not None else []
+    tests += [updated_days <= most_days] if most_days is not None else []
+    tests += [stars >= least_stars] if least_stars is not None else []
+    out = F.lit(True)
+    for t in tests:
+        out &= F.coalesce(t, F.lit(False))
+    return out

@@ -97,3 +97,26 @@ def toml_section(text: Column, section: str) -> Column:
     body = F.regexp_extract(text, rf"(?s)(?:^|\n)\[{section}\][^\n]*\n(.*?)(?:\n\[|$)", 1)
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z0-9_-]+\s*="))
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*([A-Za-z0-9_-]+)", 1).alias("k"), F.trim(F.regexp_extract(x, "=(.*)$", 1)).alias("v"))))
+
+
+def installed_skills(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Skills (location, name) in folders of skills: a folder with a skill file, by the file listing alone."""
+    rows = None
+    for root in roots:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").load(root).select("path")
+        one = found.select(F.lit(root).alias("location"), F.regexp_extract("path", "([^/]+)/SKILL\\.md$", 1).alias("name"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.where("name != ''").distinct()
+
+
+def site_pages(pages: DataFrame, exclude: list[str], max_pages: int = 100, max_depth: int = 3) -> DataFrame:
+    """Pages (url, depth) of a site within limits: no excluded path, not too deep, the shallowest first; urls without fragment."""
+    from lexispark.functions.identifiers import canonical_url
+    from lexispark.functions.paths import in_folder
+
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
+    keep = F.col("depth") <= max_depth
+    for pattern in exclude:
+        keep &= ~in_folder(F.ltrim(path, F.lit("/")), pattern)
+    rows = pages.where(keep).withColumn("url", canonical_url(F.col("url")))
+    return rows.groupBy("url").agg(F.min("depth").alias("depth")).orderBy("depth", "url").limit(max_pages)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,3 +99,60 @@ def registry_repositories(packages: DataFrame) -> DataFrame:
         .when(F.col("registry") == "crates", of("$.crate.repository"))
     )
     return packages.select("registry", "name", ref.alias("ref")).where("ref IS NOT NULL").select("registry", "name", "ref.*")
+
+
+class BuildLock:
+    """One build of a library at a time over all processes of a machine: a file that is made only if it is not there.
+
+    A lock whose process is gone, that can't be read, or that is older than an hour is taken over.
+    """
+
+    def __init__(self, path: str, wait_s: float = 600.0, poll_s: float = 0.25, stale_s: float = 3600.0):
+        self.path, self.wait_s, self.poll_s, self.stale_s = path, wait_s, poll_s, stale_s
+
+    def _stale(self) -> bool:
+        try:
+            with open(self.path) as f:
+                pid, at = json.load(f)
+            os.kill(int(pid), 0)
+            return time.time() - float(at) > self.stale_s
+        except FileNotFoundError:
+            return False
+        except PermissionError:  # another user's process lives
+            return False
+        except (ValueError, TypeError, OSError):
+            return True
+
+    def __enter__(self) -> BuildLock:
+        end = time.monotonic() + self.wait_s
+        while True:
+            try:
+                with open(self.path, "x") as f:
+                    json.dump([os.getpid(), time.time()], f)
+                return self
+            except FileExistsError:
+                if self._stale():
+                    with contextlib.suppress(FileNotFoundError):
+                        os.remove(self.path)
+                elif time.monotonic() >= end:
+                    raise TimeoutError(f"{self.path} is locked") from None
+                else:
+                    time.sleep(self.poll_s)
+
+    def __exit__(self, *error: object) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(self.path)
+
+
+class TtlCache:
+    """Values that are good for a while."""
+
+    def __init__(self, ttl_s: float = 86_400.0, clock=time.monotonic):
+        self.ttl_s, self.clock, self.kept = ttl_s, clock, {}
+
+    def get(self, key: str, make):
+        at, value = self.kept.get(key, (None, None))
+        if at is None or self.clock() - at >= self.ttl_s:
+            at, value = self.clock(), make()
+            self.kept[key] = (at, value)
+        return value

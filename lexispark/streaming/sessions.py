@@ -62,3 +62,9 @@ def protocol_session(expires_ms: int | None, now_ms: int, ttl_ms: int = 7 * 86_4
 def parse_lines(lines: DataFrame, schema: str = "type string, content string, error string") -> DataFrame:
     """Events of JSON lines (value); malformed lines are left out."""
     return lines.select(F.from_json("value", schema).alias("e")).where("e.type IS NOT NULL").select("e.*")
+
+
+def single_flight(requests: DataFrame, key: str = "library", ts: str = "ts", within: str = "10 minutes") -> DataFrame:
+    """The first of several requests for a library in any case, within a stretch of event time."""
+    rows = requests.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("flight", F.lower(key))
+    return rows.withWatermark(ts, within).dropDuplicatesWithinWatermark(["flight"]).drop("flight")

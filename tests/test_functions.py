@@ -121,3 +121,12 @@ def test_freshness_and_policies(spark):
     rows = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "k int, ok int")
     key = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
     assert [r["k"] for r in catalog.policy_filter(rows, F.col("ok") == 1, "k", key(1), key(1, 3)).collect()] == [3]
+
+
+def test_defaults_and_kinds(one):
+    kept = lambda p: one(paths.wanted_by_default(F.lit(p)))
+    assert [kept(p) for p in ("docs/a.md", "docs/old/a.md", "my-archive-1/a.md", "i18n/de-AT/a.md", "docs/Changelog.md", "i18n/en/a.md")] == [True, False, False, False, False, True]
+    assert [one(ids.is_repository_id(F.lit(x))) for x in ("/a/b", "/websites/b", "a/b/c")] == [True, False, False]
+    null = F.lit(None).cast("double")
+    assert one(labels.passes_quality(F.lit(False), null, null, null)) and not one(labels.passes_quality(F.lit(True), null, null, null, least_trust=4))
+    assert one(labels.passes_quality(F.lit(True), F.lit(7.0), F.lit(20), F.lit(500), True, 7, 30, 100))

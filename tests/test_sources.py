@@ -87,3 +87,35 @@ def test_streams(spark, tmp_path):
     assert sessions.protocol_session(86_400_001, 2) == (2 + 7 * 86_400_000, True) and sessions.protocol_session(86_400_005, 2) == (86_400_005, True)
     lines = spark.createDataFrame([('{"type": "progress"}',), ("{",), ('{"type": "complete", "content": "x"}',)], "value string")
     assert [r["type"] for r in sessions.parse_lines(lines).collect()] == ["progress", "complete"]
+
+
+def test_locks_caches_and_lists(spark, tmp_path):
+    import os
+    import time
+
+    import pytest
+
+    lock = str(tmp_path / "lock")
+    with stores.BuildLock(lock), pytest.raises(TimeoutError), stores.BuildLock(lock, wait_s=0.05, poll_s=0.01):
+        pass
+    assert not os.path.exists(lock)
+    for stale in ("nonsense", json.dumps([2**22 + 1, time.time()]), json.dumps([os.getpid(), time.time() - 4000])):
+        (tmp_path / "lock").write_text(stale)
+        with stores.BuildLock(lock, wait_s=1):
+            pass
+    now = [0.0]
+    cache = stores.TtlCache(10, clock=lambda: now[0])
+    assert [cache.get("k", lambda: 1), cache.get("k", lambda: 2)] == [1, 1]
+    now[0] = 10
+    assert cache.get("k", lambda: 3) == 3
+    for name in ("s/one/SKILL.md", "s/two/SKILL.md", "s/three/README.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert {r["name"] for r in files.installed_skills(spark, [str(tmp_path / "s")]).collect()} == {"one", "two"}
+    site = spark.createDataFrame([("https://a/b#x", 1), ("https://a/b", 2), ("https://a/old/c", 1), ("https://a/d", 9), ("https://a/", 0)], "url string, depth int")
+    assert [r["url"] for r in files.site_pages(site, ["old"]).collect()] == ["https://a/", "https://a/b"]
+    rows = spark.createDataFrame([("L", "2024-01-01 00:00:00"), ("l", "2024-01-01 00:00:01"), ("m", "2024-01-01 00:00:02")], "library string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/requests")
+    stream = sessions.single_flight(spark.readStream.schema("library string, ts timestamp").parquet(f"{tmp_path}/requests"))
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/first").option("checkpointLocation", f"{tmp_path}/flight").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/first").count() == 2
