@@ -21,7 +21,9 @@ from lexispark.llm.common import cut
 
 
 def _valid(v: str) -> Column:
-    return F.expr(f"{v} IS NOT NULL AND size({v}) > 0 AND forall({v}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists({v}, x -> x <> 0)")
+    return F.expr(
+        f"{v} IS NOT NULL AND size({v}) > 0 AND forall({v}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists({v}, x -> x <> 0)"
+    )
 
 
 def fit_centres(x: np.ndarray, lists: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -86,12 +88,16 @@ def scan(x: np.ndarray, q: np.ndarray, keep: int, step: int = 16, slack: float =
         def whole(k: int, own: np.ndarray = own) -> np.ndarray:
             """Distances over column block k, of all queries and candidates."""
             lo, hi = cuts[k - 1] if k else 0, cuts[k]
-            return np.maximum((own[:, lo:hi] ** 2).sum(1)[:, None] + squares[k][None, :] - 2 * own[:, lo:hi] @ x[:, lo:hi].T, 0)
+            return np.maximum(
+                (own[:, lo:hi] ** 2).sum(1)[:, None] + squares[k][None, :] - 2 * own[:, lo:hi] @ x[:, lo:hi].T, 0
+            )
 
         part = whole(0)
         probe = np.argpartition(part, keep - 1, axis=1)[:, :keep]
         bound = ((x[probe] - own[:, None, :]) ** 2).sum(2).max(1) * (1 + 1e-9)
-        room = lambda hi: bound * (1.0 if hi == dims else (1 + slack / np.sqrt(hi)) ** 2) * hi / dims  # noqa: B023, E731
+        room = lambda hi: bound * (
+            1.0 if hi == dims else (1 + slack / np.sqrt(hi)) ** 2
+        ) * hi / dims  # noqa: B023, E731
         alive = part <= room(cuts[0])[:, None]
         k = 1
         while k < len(cuts) and alive.mean() > 0.2:  # most are left: a product over all is cheaper than picking them
@@ -110,7 +116,10 @@ def scan(x: np.ndarray, q: np.ndarray, keep: int, step: int = 16, slack: float =
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.8, sample_rows: int = 20_000, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.8, sample_rows: int = 20_000,
+    block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each row of ``queries``, its own id left out.
 
     Returns query_id, rank (from 1), vec_id and score (the inner product of the original vectors in double precision);
@@ -123,7 +132,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
     lists that a query reads, and as many more as it takes to meet enough candidates.
     """
     spark = vectors.sparkSession
-    of = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).where(F.col("id").isNotNull() & _valid("v"))
+    of = lambda df: df.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v")
+    ).where(F.col("id").isNotNull() & _valid("v"))
     rows, asked = of(vectors), of(queries)
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -153,7 +165,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
         sp, c = shared.value
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(sp.stored(matrix(b.column(0))), c, 1)[:, 0].astype(np.int32))], ["v", "ids", "list"])
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(nearest(sp.stored(matrix(b.column(0))), c, 1)[:, 0].astype(np.int32))],
+                    ["v", "ids", "list"]
+                )
 
     placed = cut(index.mapInArrow(assign, "v array<double>, ids array<bigint>, list int"))
     sizes = np.zeros(lists, np.int64)
@@ -174,20 +189,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
             near = nearest(sp.asked(matrix(b.column(1))), c, lists)
             met = np.cumsum(sizes[near], axis=1)
             n_probes = np.maximum(most, (met < need).sum(1) + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([row[:m].astype(np.int32) for row, m in zip(near, n_probes, strict=True)], pa.list_(pa.int32()))], ["q", "v", "lists"])
-
-    probing = distinct.mapInArrow(probe, "q bigint, v array<double>, lists array<int>").select("q", "v", F.explode("lists").alias("list"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns,
+                    pa.array(
+                        [row[:m].astype(np.int32) for row, m in zip(near, n_probes, strict=True)], pa.list_(pa.int32())
+                    )
+                ],
+                ["q", "v", "lists"]
+            )
+
+    probing = distinct.mapInArrow(
+        probe, "q bigint, v array<double>, lists array<int>"
+    ).select("q", "v", F.explode("lists").alias("list"))
     of_list = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
     # A list's queries are dealt into parts too, so no group has more than about ``block`` of either.
-    asks = cut(probing.groupBy("list").count().withColumn("asks", F.ceil(F.col("count") / block).cast("int")).select("list", "asks"))
-    left = placed.join(F.broadcast(asks), "list").withColumn("part", F.pmod(F.xxhash64("v"), of_list).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    right = probing.join(F.broadcast(asks), "list").withColumn("ask", F.pmod(F.hash("q"), F.col("asks"))).withColumn("part", F.explode(F.sequence(F.lit(0), of_list - 1)))
+    asks = cut(
+        probing.groupBy("list").count().withColumn(
+            "asks", F.ceil(F.col("count") / block).cast("int")
+        ).select("list", "asks")
+    )
+    left = placed.join(F.broadcast(asks), "list").withColumn(
+        "part", F.pmod(F.xxhash64("v"), of_list).cast("int")
+    ).withColumn(
+        "ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))
+    )
+    right = probing.join(F.broadcast(asks), "list").withColumn("ask", F.pmod(F.hash("q"), F.col("asks"))).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), of_list - 1))
+    )
 
     def find(key, x: pa.Table, y: pa.Table) -> pa.Table:
         sp, _ = shared.value
         names = ["q", "ids", "score"]
         if not x.num_rows or not y.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())], names)
+            return pa.table(
+                [pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())], names
+            )
         v, qv = matrix(x["v"]), matrix(y["v"])
         found = scan(sp.stored(v), sp.asked(qv), need)
         ids, q = x["ids"].combine_chunks(), y["q"].to_numpy()
@@ -199,14 +236,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
             who.append(np.full(len(best), q[i]))
             which.append(c[best])
             score.append(s[best])
-        return pa.table([pa.array(np.concatenate(who)), ids.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(score))], names)
-
-    hits = left.select("list", "part", "ask", "v", "ids").groupBy("list", "part", "ask").cogroup(right.select("list", "part", "ask", "q", "v").groupBy("list", "part", "ask")).applyInArrow(find, "q bigint, ids array<bigint>, score double")
+        return pa.table(
+            [pa.array(np.concatenate(who)), ids.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(score))],
+            names
+        )
+
+    hits = left.select("list", "part", "ask", "v", "ids").groupBy("list", "part", "ask").cogroup(
+        right.select("list", "part", "ask", "q", "v").groupBy("list", "part", "ask")
+    ).applyInArrow(find, "q bigint, ids array<bigint>, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     top = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= need)
     # The best of each query vector: at most need * need ids, cut to need.
-    pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))
+    pairs = F.flatten(
+        F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i"))))
+    )
     answers = top.groupBy("q").agg(F.slice(F.array_sort(pairs), 1, need).alias("found"))
     own = wanted.select("q", F.col("id").alias("query_id")).join(answers, "q")
     kept = F.slice(F.filter("found", lambda x: x["i"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(kept).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return own.select("query_id", F.posexplode(kept).alias("rank", "x")).select(
+        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"),
+        (-F.col("x.s")).alias("score")
+    )

@@ -107,7 +107,9 @@ def format_chats(turns: DataFrame, budget: int = 1024, history_turns: int = 2, h
     are empty strings. Rows with a null conv_id form one conversation. A turn above the budget has a window of its
     own, longer than the budget, after the system turn. No rows give no windows.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,16 +148,23 @@ def read_back(windows: DataFrame) -> DataFrame:
             return x["conv"], x["n"], x["turns"].hexdigest(), x["chars"], x["loss"].hexdigest(), x["all"]
 
         def frame(rows: list) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            return pd.DataFrame(
+                rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            ).astype({"conv_id": "Int64"})
 
         for batch in batches:
             out = []
             convs = batch["conv_id"].astype("Int64")
-            for conv, no, text, repeated, loss in zip(convs, batch["window_no"], batch["text"], batch["n_repeated"], batch["loss"], strict=True):
+            for conv, no, text, repeated, loss in zip(
+                convs, batch["window_no"], batch["text"], batch["n_repeated"], batch["loss"], strict=True
+            ):
                 if no == 0:
                     if now:
                         out.append(done(now))
-                    now = {"conv": None if conv is pd.NA else int(conv), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0}
+                    now = {
+                        "conv": None if conv is pd.NA else int(conv), "n": 0, "turns": hashlib.sha256(), "chars": 0,
+                        "loss": hashlib.sha256(), "all": 0
+                    }
                 for role, said in read_turns(text)[repeated:]:
                     now["turns"].update(f"{role}\n{said}\n".encode())
                     now["n"] += 1
@@ -168,4 +177,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if now:
             yield frame([done(now)])
 
-    return windows.mapInPandas(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return windows.mapInPandas(
+        run,
+        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    )

@@ -27,7 +27,9 @@ COARSE = 255
 
 def digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs; none for a text of line ends only."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
+    return F.array_distinct(
+        F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
+    )
 
 
 def _cell(digest: Column, part: Column, seed: Column, width: Column) -> Column:
@@ -46,7 +48,9 @@ def _small_cells(d: Column) -> tuple[Column, Column]:
         return F.filter(d, lambda x: F.pmod(F.xxhash64(x, F.lit(j), F.lit(0)), F.lit(SMALL)) == c)
 
     own = [of(j, c) for j in range(PARTS) for c in range(SMALL)]
-    return F.array(*[F.size(o) for o in own]), F.array(*[F.aggregate(o, one, lambda a, x: a.bitwiseXOR(x)) for o in own])
+    return F.array(*[F.size(o) for o in own]), F.array(
+        *[F.aggregate(o, one, lambda a, x: a.bitwiseXOR(x)) for o in own]
+    )
 
 
 def _as_text(counts: Column, xors: Column) -> Column:
@@ -55,13 +59,17 @@ def _as_text(counts: Column, xors: Column) -> Column:
 
 def _estimate(a: Column, b: Column, na: Column, nb: Column) -> Column:
     """How many digests differ, from the counts of two smallest tables."""
-    squares = F.aggregate(F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    squares = F.aggregate(
+        F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
     return (squares / PARTS - (na - nb) * (na - nb) / SMALL) * (SMALL / (SMALL - 1))
 
 
 def _sum_cells(rows: DataFrame) -> DataFrame:
     """Rows (k, w, kind, v, n, x, c) added up; cells that have become empty go, counters (kind 2) stay."""
-    out = rows.groupBy("k", "w", "kind", "v").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+    out = rows.groupBy("k", "w", "kind", "v").agg(
+        F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")
+    )
     return out.where("kind = 2 OR n != 0 OR x != 0 OR c != 0")
 
 
@@ -73,33 +81,66 @@ def peel(pairs: DataFrame, seed: int, rounds: int = 8) -> DataFrame:
     s = F.lit(seed)
     zero = F.lit(0).cast("bigint")
     dealt = pairs.repartition("k")
-    signed = F.concat(F.transform("a", lambda x: F.struct(F.lit(1).cast("bigint").alias("n"), x.alias("x"))), F.transform("b", lambda x: F.struct(F.lit(-1).cast("bigint").alias("n"), x.alias("x"))))
+    signed = F.concat(
+        F.transform("a", lambda x: F.struct(F.lit(1).cast("bigint").alias("n"), x.alias("x"))),
+        F.transform("b", lambda x: F.struct(F.lit(-1).cast("bigint").alias("n"), x.alias("x")))
+    )
     # A counter row for each pair (n is null), then its digests in the three parts.
-    items = dealt.select("k", "w", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("n"), zero.alias("x"))), signed)).alias("i"))
-    spread = items.select("k", "w", "i.n", "i.x", F.explode(F.when(F.col("i.n").isNull(), F.array(F.lit(0))).otherwise(F.array(*[F.lit(j) for j in range(PARTS)]))).alias("j"))
+    items = dealt.select(
+        "k", "w",
+        F.explode(
+            F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("n"), zero.alias("x"))), signed)
+        ).alias("i")
+    )
+    spread = items.select(
+        "k", "w", "i.n", "i.x",
+        F.explode(
+            F.when(F.col("i.n").isNull(), F.array(F.lit(0))).otherwise(F.array(*[F.lit(j) for j in range(PARTS)]))
+        ).alias("j")
+    )
     counter = F.col("n").isNull()
     rows = spread.select(
-        "k", "w", F.when(counter, 2).otherwise(0).alias("kind"), F.when(counter, zero).otherwise(_cell(F.col("x"), F.col("j"), s, F.col("w"))).alias("v"),
+        "k", "w", F.when(counter, 2).otherwise(0).alias("kind"), F.when(counter, zero).otherwise(
+            _cell(F.col("x"), F.col("j"), s, F.col("w"))
+        ).alias("v"),
         F.coalesce("n", zero).alias("n"), "x", F.when(counter, zero).otherwise(_check(F.col("x"))).alias("c"),
     )
     cells = _sum_cells(rows)
-    shape = lambda kind, v, n, x, c: F.struct(F.lit(kind).alias("kind"), v.alias("v"), n.alias("n"), x.alias("x"), c.alias("c"))
+    shape = lambda kind, v, n, x, c: F.struct(
+        F.lit(kind).alias("kind"), v.alias("v"), n.alias("n"), x.alias("x"), c.alias("c")
+    )
     for _ in range(rounds):
         pure = (F.col("kind") == 0) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x")))
         own = F.struct("kind", "v", "n", "x", "c")
         # kind 1: a digest that some cell names, with its sign; several cells may name it.
-        named = cells.select("k", "w", F.explode(F.when(pure, F.array(own, shape(1, F.col("x"), F.col("n"), F.col("x"), F.col("c")))).otherwise(F.array(own))).alias("r")).select("k", "w", "r.*")
-        once = named.groupBy("k", "w", "kind", "v").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+        named = cells.select(
+            "k", "w",
+            F.explode(
+                F.when(
+                    pure, F.array(own, shape(1, F.col("x"), F.col("n"), F.col("x"), F.col("c")))
+                ).otherwise(F.array(own))
+            ).alias("r")
+        ).select("k", "w", "r.*")
+        once = named.groupBy("k", "w", "kind", "v").agg(
+            F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")
+        )
         gone = F.col("v")
         sign = F.sign("n").cast("bigint")
         taken = F.array(
             *[shape(0, _cell(gone, F.lit(j), s, F.col("w")), -sign, gone, _check(gone)) for j in range(PARTS)],
             shape(2, zero, F.lit(1).cast("bigint"), zero, zero),
         )
-        after = once.select("k", "w", F.explode(F.when(F.col("kind") == 1, taken).otherwise(F.array(F.struct("kind", "v", "n", "x", "c")))).alias("r")).select("k", "w", "r.*")
+        after = once.select(
+            "k", "w",
+            F.explode(
+                F.when(F.col("kind") == 1, taken).otherwise(F.array(F.struct("kind", "v", "n", "x", "c")))
+            ).alias("r")
+        ).select("k", "w", "r.*")
         cells = _sum_cells(after)
     left = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))
-    return cells.groupBy("k").agg(F.when(left == 0, F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0))).alias("n_differing"))
+    return cells.groupBy("k").agg(
+        F.when(left == 0, F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0))).alias("n_differing")
+    )
 
 
 def likeness(pairs: DataFrame, levels: int = 24) -> DataFrame:
@@ -108,7 +149,10 @@ def likeness(pairs: DataFrame, levels: int = 24) -> DataFrame:
     The first table holds ``guess`` differing digests; it doubles as often as it takes, for the pairs that need it.
     Two texts without digests are alike.
     """
-    least = F.least(F.greatest(F.col("guess"), F.abs(F.size("a") - F.size("b")).cast("double"), F.lit(1.0)), (F.size("a") + F.size("b")).cast("double"))
+    least = F.least(
+        F.greatest(F.col("guess"), F.abs(F.size("a") - F.size("b")).cast("double"), F.lit(1.0)),
+        (F.size("a") + F.size("b")).cast("double")
+    )
     width = F.ceil(least * 1.6 / PARTS + 1).cast("bigint")
     found, open_ = None, pairs
     for level in range(levels):
@@ -123,7 +167,12 @@ def likeness(pairs: DataFrame, levels: int = 24) -> DataFrame:
         raise RuntimeError("a pair could not be recovered")
     n = F.size("a") + F.size("b")
     both = pairs.select("k", n.alias("n")).join(found, "k")
-    return both.select("k", F.when(F.col("n") == 0, 1.0).otherwise((F.col("n") - F.col("n_differing")) / (F.col("n") + F.col("n_differing"))).alias("likeness"))
+    return both.select(
+        "k",
+        F.when(F.col("n") == 0, 1.0).otherwise(
+            (F.col("n") - F.col("n_differing")) / (F.col("n") + F.col("n_differing"))
+        ).alias("likeness")
+    )
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 1_000_000) -> DataFrame:
@@ -134,7 +183,10 @@ def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 1_000_000
     so there is no order over all rows in one task.
     """
     marks = [(i + 1) / (COARSE + 1) for i in range(COARSE)]
-    got = docs.agg(F.sum(F.length("text")).alias("chars"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.percentile_approx("id", marks, 10_000).alias("edges")).first()
+    got = docs.agg(
+        F.sum(F.length("text")).alias("chars"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+        F.percentile_approx("id", marks, 10_000).alias("edges")
+    ).first()
     edges = sorted({int(e) for e in got["edges"] or []} | ({int(got["lo"])} if got["lo"] is not None else set()))
     fine = max(1, (got["chars"] or 0) // (bucket_chars * (COARSE + 1)) + 1)
     if edges:
@@ -147,17 +199,27 @@ def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 1_000_000
         bucket = F.lit(-1).cast("bigint")
     placed = docs.withColumn("bucket", bucket)
     # A row for each range. Ranges follow each other within the 256 coarse parts, and these in a list on the driver.
-    firsts = cut(placed.groupBy("bucket").agg(F.max("id").alias("first_id")).withColumn("coarse", F.floor(F.col("bucket") / fine)))
+    firsts = cut(
+        placed.groupBy("bucket").agg(F.max("id").alias("first_id")).withColumn(
+            "coarse", F.floor(F.col("bucket") / fine)
+        )
+    )
     parts = firsts.groupBy("coarse").agg(F.min("bucket").alias("lo")).orderBy(F.desc("coarse")).collect()
     above = {r["coarse"]: parts[k - 1]["lo"] for k, r in enumerate(parts)}  # of the first part, the last
-    from_above = F.element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), F.col("coarse")) if above else F.lit(None).cast("bigint")
+    from_above = F.element_at(
+        F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), F.col("coarse")
+    ) if above else F.lit(None).cast("bigint")
     order = Window.partitionBy("coarse").orderBy(F.desc("bucket"))
-    before = broadcast_if_small(cut(firsts.withColumn("before", F.coalesce(F.lag("bucket").over(order), from_above)).drop("coarse")))
+    before = broadcast_if_small(
+        cut(firsts.withColumn("before", F.coalesce(F.lag("bucket").over(order), from_above)).drop("coarse"))
+    )
     also = placed.join(before, "bucket")
     is_first = F.col("id").eqNullSafe(F.col("first_id"))
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     there = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
-    both = also.withColumn("at", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here)))).drop("bucket", "first_id", "before").select("*", "at.bucket", "at.guest").drop("at")
+    both = also.withColumn(
+        "at", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here)))
+    ).drop("bucket", "first_id", "before").select("*", "at.bucket", "at.guest").drop("at")
     w = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.xxhash64("text"))
     return both.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("NOT guest").drop("bucket", "guest")
 
@@ -179,25 +241,38 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     k = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring(F.col("next.text"), F.lit(1), k))
     rows = rows.select("id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "a", F.col("next.a").alias("f"))
-    rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "f")
+    rows = rows.select(
+        "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a",
+        digests(F.col("edited")).alias("e"), "f"
+    )
     for c in ("a", "e"):
         counts, xors = _small_cells(F.col(c))
         rows = rows.withColumns({f"n_{c}": counts, f"x_{c}": xors})
     rows = rows.withColumn("n_f", _small_cells(F.col("f"))[0])
     size = lambda c: F.size(c).cast("double")
     kept = rows.select(
-        F.monotonically_increasing_id().alias("key"), "id", "n_chars", "edited_sha256", _as_text(F.col("n_a"), F.col("x_a")).alias("fingerprint"), _as_text(F.col("n_e"), F.col("x_e")).alias("edited_fingerprint"),
-        "a", "e", "f", _estimate(F.col("n_a"), F.col("n_e"), size("a"), size("e")).alias("g_e"), _estimate(F.col("n_a"), F.col("n_f"), size("a"), size("f")).alias("g_f"),
+        F.monotonically_increasing_id().alias("key"), "id", "n_chars", "edited_sha256", _as_text(
+            F.col("n_a"), F.col("x_a")
+        ).alias("fingerprint"), _as_text(F.col("n_e"), F.col("x_e")).alias("edited_fingerprint"),
+        "a", "e", "f", _estimate(
+            F.col("n_a"), F.col("n_e"), size("a"), size("e")
+        ).alias("g_e"), _estimate(F.col("n_a"), F.col("n_f"), size("a"), size("f")).alias("g_f"),
     )
     at = f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex}"
     kept.write.option("compression", "zstd").parquet(at)
     kept = spark.read.parquet(at)
     guess = lambda g: F.col(g) * 1.3 + 4
-    pair = lambda no, b, g: F.struct((F.col("key") * 2 + no).alias("k"), guess(g).alias("guess"), F.col("a"), F.col(b).alias("b"))
+    pair = lambda no, b, g: F.struct(
+        (F.col("key") * 2 + no).alias("k"), guess(g).alias("guess"), F.col("a"), F.col(b).alias("b")
+    )
     pairs = kept.select(F.explode(F.array(pair(0, "e", "g_e"), pair(1, "f", "g_f"))).alias("p")).select("p.*")
     near = likeness(pairs)
     by_row = near.groupBy(F.expr("k DIV 2").alias("key")).agg(
-        F.max(F.when(F.col("k") % 2 == 0, F.col("likeness"))).alias("near_edited"), F.max(F.when(F.col("k") % 2 == 1, F.col("likeness"))).alias("near_next")
+        F.max(
+            F.when(F.col("k") % 2 == 0, F.col("likeness"))
+        ).alias("near_edited"), F.max(F.when(F.col("k") % 2 == 1, F.col("likeness"))).alias("near_next")
     )
-    out = kept.select("key", F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint").join(by_row, "key")
+    out = kept.select(
+        "key", F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"
+    ).join(by_row, "key")
     return out.drop("key")

@@ -34,7 +34,10 @@ def _tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
-def find_exponent(sums: DataFrame, entropy: float | None, repetition: float | None, budget: float | None, steps: int = 31, passes: int = 7) -> tuple[float, float]:
+def find_exponent(
+    sums: DataFrame, entropy: float | None, repetition: float | None, budget: float | None, steps: int = 31,
+    passes: int = 7
+) -> tuple[float, float]:
     """The exponent and the budget for a table of source sums (column ``tokens``, all above 0).
 
     Entropy and repetition fall as the exponent rises, so each pass keeps the one of ``steps`` + 1 intervals in which
@@ -50,7 +53,10 @@ def find_exponent(sums: DataFrame, entropy: float | None, repetition: float | No
         aggs = []
         for k, a in enumerate(exponents):
             p = F.pow(ratio, F.lit(a))
-            aggs += [F.sum(p).alias(f"z{k}"), F.sum(p * F.log(p)).alias(f"e{k}"), F.max(p / ratio).alias(f"hi{k}"), F.min(p / ratio).alias(f"lo{k}")]
+            aggs += [
+                F.sum(p).alias(f"z{k}"), F.sum(p * F.log(p)).alias(f"e{k}"), F.max(p / ratio).alias(f"hi{k}"),
+                F.min(p / ratio).alias(f"lo{k}")
+            ]
         r = sums.agg(*aggs).first()
         out = []
         for k in range(len(exponents)):
@@ -95,7 +101,10 @@ def mix_sources(
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     source = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     # The row travels in one column, so that its names can't meet those used here.
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), source.alias("__source"), hashed.alias("__hash"), F.col(text_col).alias("__text"))
+    keyed = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), source.alias("__source"),
+        hashed.alias("__hash"), F.col(text_col).alias("__text")
+    )
     fine = F.pmod("__hash", F.lit(BLOCKS)).cast("int")
     counted = keyed.select("__source", "__hash", fine.alias("fine"), _tokens(F.col("__text")).alias("tokens"))
     cells = cut(counted.where("tokens > 0").groupBy("__source", "fine").agg(F.sum("tokens").alias("tokens")))
@@ -105,30 +114,61 @@ def mix_sources(
     weighed = sums.withColumn("p", F.pow(F.col("tokens") / F.lit(float(top)), F.lit(exponent)))
     z = weighed.agg(F.sum("p")).first()[0] or 1.0
     # Blocks: a power of two for each source, so that a fine cell lies in one block.
-    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCKS)), F.col("tokens") / block_tokens))))).cast("int")
-    plan = weighed.select("__source", F.col("tokens").alias("own"), (F.col("p") / F.lit(z) * F.lit(total)).alias("quota"), blocks.alias("blocks"))
+    blocks = F.pow(
+        F.lit(2.0),
+        F.ceil(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCKS)), F.col("tokens") / block_tokens))))
+    ).cast("int")
+    plan = weighed.select(
+        "__source", F.col("tokens").alias("own"), (F.col("p") / F.lit(z) * F.lit(total)).alias("quota"),
+        blocks.alias("blocks")
+    )
     plan = plan.withColumn("epochs", F.floor(F.col("quota") / F.col("own") + F.lit(1e-9)).cast("int"))
     plan = cut(plan.withColumn("left", F.greatest(F.lit(0.0), F.col("quota") - F.col("epochs") * F.col("own"))))
-    by_block = cells.join(plan, "__source").withColumn("block", F.pmod("fine", "blocks")).groupBy("__source", "block", "blocks", "epochs", "left").agg(F.sum("tokens").alias("tokens"))
+    by_block = cells.join(plan, "__source").withColumn("block", F.pmod("fine", "blocks")).groupBy(
+        "__source", "block", "blocks", "epochs", "left"
+    ).agg(F.sum("tokens").alias("tokens"))
     place = lambda epoch: F.xxhash64(F.lit(seed + 1), epoch, F.col("__source"), F.col("block"))
     # At most BLOCKS rows for a source.
     w = Window.partitionBy("__source").orderBy(place(F.col("epochs") + 1), "block")
     placed = by_block.withColumn("until", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     room = F.col("left") - (F.col("until") - F.col("tokens"))
-    placed = cut(placed.select("__source", "block", "epochs", F.when(room >= F.col("tokens"), F.lit(None).cast("double")).otherwise(F.greatest(room, F.lit(0.0))).alias("room")))
+    placed = cut(
+        placed.select(
+            "__source", "block", "epochs",
+            F.when(
+                room >= F.col("tokens"), F.lit(None).cast("double")
+            ).otherwise(F.greatest(room, F.lit(0.0))).alias("room")
+        )
+    )
     # The blocks in which a budget ends: one for each source. Rows there, in the order of their hash, up to the budget.
     ends = broadcast_if_small(placed.where("room > 0").select("__source", "block", "room"))
     n_sources = broadcast_if_small(plan.select("__source", "blocks"))
-    inside = keyed.withColumn("__fine", fine).join(n_sources, "__source").withColumn("block", F.pmod("__fine", "blocks"))
-    inside = inside.join(ends, ["__source", "block"]).select("__source", "block", "room", "__hash", _tokens(F.col("__text")).alias("tokens"))
+    inside = keyed.withColumn("__fine", fine).join(n_sources, "__source").withColumn(
+        "block", F.pmod("__fine", "blocks")
+    )
+    inside = inside.join(ends, ["__source", "block"]).select(
+        "__source", "block", "room", "__hash", _tokens(F.col("__text")).alias("tokens")
+    )
     run = Window.partitionBy("__source", "block").orderBy("__hash").rangeBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("sum", F.sum("tokens").over(run)).where("sum <= room").groupBy("__source", "block").agg(F.max("__hash").alias("last"))
+    last = inside.withColumn(
+        "sum", F.sum("tokens").over(run)
+    ).where("sum <= room").groupBy("__source", "block").agg(F.max("__hash").alias("last"))
     # What each block gives, in one small table: blocks of all sources, BLOCKS at most for each.
-    gives = broadcast_if_small(cut(placed.join(last, ["__source", "block"], "left").select("__source", "block", "epochs", F.col("room").isNull().alias("whole"), "last")))
-    out = keyed.withColumn("__fine", fine).join(n_sources, "__source", "left").withColumn("block", F.coalesce(F.pmod("__fine", "blocks"), F.lit(0)))
+    gives = broadcast_if_small(
+        cut(
+            placed.join(last, ["__source", "block"], "left").select(
+                "__source", "block", "epochs", F.col("room").isNull().alias("whole"), "last"
+            )
+        )
+    )
+    out = keyed.withColumn("__fine", fine).join(n_sources, "__source", "left").withColumn(
+        "block", F.coalesce(F.pmod("__fine", "blocks"), F.lit(0))
+    )
     out = out.join(gives, ["__source", "block"], "left").withColumn("mix_tokens", _tokens(F.col("__text")))
     extra = F.coalesce(F.col("whole") | (F.col("__hash") <= F.col("last")), F.lit(False)).cast("int")
     times = F.when(F.col("mix_tokens") == 0, 1).otherwise(F.coalesce("epochs", F.lit(0)) + extra)
-    out = out.withColumn("__times", times).where("__times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    out = out.withColumn("__times", times).where("__times > 0").withColumn(
+        "mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))
+    )
     out = out.withColumns({"mix_rank": place(F.col("mix_epoch")), "mix_block": F.col("block")})
     return Mix(exponent, total, out.select("__row.*", *new))

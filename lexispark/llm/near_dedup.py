@@ -107,8 +107,12 @@ def features(docs: DataFrame) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 node = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
                 sig = signatures(sets).view(np.int64)
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), sig.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(node), bands], ["id", "n_shingles", "node", "bands"])
+                bands = pa.FixedSizeListArray.from_arrays(
+                    pa.array(sig.ravel()), sig.shape[1]
+                ).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n), pa.array(node), bands], ["id", "n_shingles", "node", "bands"]
+                )
 
     return docs.mapInArrow(run, _FEATURES.format(kind=docs.schema["id"].dataType.simpleString()))
 
@@ -126,19 +130,29 @@ def _sets(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 128):
                 sets = [shingle(t) for t in b.slice(at, 128).column(1).to_pylist()]
                 node = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "set"]
+                )
 
     return docs.mapInArrow(run, "node bigint, set array<bigint>")
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, na, b, nb) whose full sets are similar enough, as (a, b)."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    both = pairs.join(
+        sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a"
+    ).join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    return cut(both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
+    return cut(
+        both.withColumn("common", common).where(
+            100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+        ).select("a", "b")
+    )
 
 
-def linked(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray, percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+def linked(
+    sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray, percent: int, columns: int = 8192
+) -> list[tuple[int, int]]:
     """Links that join different labels, between rows whose sides differ or are both 0; enough of them to join all that are linked.
 
     The intersections come from products of 0/1 matrices over the shingles that at least two rows share, a block of
@@ -185,28 +199,58 @@ def _block_links(members: DataFrame, percent: int, rows: int = 256, weight: int
     light = members.select("cluster", "node", "n", "label")
     by_label = light.groupBy("cluster", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     whole = by_label.groupBy("cluster").agg(
-        F.max_by("label", F.struct("rows", "label")).alias("main"), F.max_by("rows", F.struct("rows", "label")).alias("mr"), F.max_by("weight", F.struct("rows", "label")).alias("mw"),
+        F.max_by(
+            "label", F.struct("rows", "label")
+        ).alias("main"), F.max_by("rows", F.struct("rows", "label")).alias("mr"), F.max_by(
+            "weight", F.struct("rows", "label")
+        ).alias("mw"),
         F.sum("rows").alias("rows"), F.sum("weight").alias("weight"),
     )
     parts = lambda r, w: F.ceil(F.greatest(r / F.lit(rows), w / F.lit(weight), F.lit(1.0))).cast("int")
     # sizes of clusters with more than one label and more than the pair that the star has compared
-    sizes = whole.where("rows > mr and rows > 2").select("cluster", "main", parts(F.col("mr"), F.col("mw")).alias("of_main"), parts(F.col("rows") - F.col("mr"), F.col("weight") - F.col("mw")).alias("of_rest"))
-    dealt = members.join(broadcast_if_small(cut(sizes)), "cluster").withColumns({"in_main": F.col("label") == F.col("main"), "h": F.xxhash64("node", F.lit(5))})
-    dealt = dealt.withColumn("block", F.pmod("h", F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
+    sizes = whole.where("rows > mr and rows > 2").select(
+        "cluster", "main", parts(F.col("mr"), F.col("mw")).alias("of_main"),
+        parts(F.col("rows") - F.col("mr"), F.col("weight") - F.col("mw")).alias("of_rest")
+    )
+    dealt = members.join(broadcast_if_small(cut(sizes)), "cluster").withColumns(
+        {"in_main": F.col("label") == F.col("main"), "h": F.xxhash64("node", F.lit(5))}
+    )
+    dealt = dealt.withColumn(
+        "block", F.pmod("h", F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest"))).cast("int")
+    )
     rest = F.sequence(F.lit(0), F.col("of_rest") - 1)
-    meets = F.when(F.col("in_main"), F.transform(rest, lambda k: F.struct(k.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(2).alias("side")))).otherwise(
+    meets = F.when(
+        F.col("in_main"),
+        F.transform(rest, lambda k: F.struct(k.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(2).alias("side")))
+    ).otherwise(
         F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("of_main") - 1), lambda k: F.struct(F.col("block").alias("i"), (-1 - k).alias("j"), F.lit(1).alias("side"))),
-            F.transform(rest, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"), F.when(k == F.col("block"), 0).when(k < F.col("block"), 2).otherwise(1).alias("side"))),
+            F.transform(
+                F.sequence(F.lit(0), F.col("of_main") - 1),
+                lambda k: F.struct(F.col("block").alias("i"), (-1 - k).alias("j"), F.lit(1).alias("side"))
+            ),
+            F.transform(
+                rest,
+                lambda k: F.struct(
+                    F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"),
+                    F.when(k == F.col("block"), 0).when(k < F.col("block"), 2).otherwise(1).alias("side")
+                )
+            ),
         )
     )
-    tasks = dealt.select("cluster", "node", "label", "set", F.explode(meets).alias("m")).select("cluster", "m.i", "m.j", "m.side", "node", "label", "set")
+    tasks = dealt.select(
+        "cluster", "node", "label", "set", F.explode(meets).alias("m")
+    ).select("cluster", "m.i", "m.j", "m.side", "node", "label", "set")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         node = t["node"].to_numpy()
         found = linked([s.values.to_numpy() for s in t["set"]], t["label"].to_numpy(), t["side"].to_numpy(), percent)
-        return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
+        return pa.table(
+            {
+                "a": pa.array([int(node[i]) for i, _ in found], pa.int64()),
+                "b": pa.array([int(node[j]) for _, j in found], pa.int64())
+            }
+        )
 
     return cut(tasks.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
@@ -223,16 +267,25 @@ def components(edges: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
     parts = n // rows_a_part + 1
     now = now.coalesce(parts)
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        both = now.select("u", "v").unionByName(
+            now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        ).coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(parts).distinct().coalesce(parts)
+        large = both.where("v > u").join(least, "u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).where("u != v").coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         joined = large.join(low, "u").coalesce(parts)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").coalesce(parts).distinct()
+        small = joined.select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").coalesce(parts).distinct()
         nxt = cut(small.coalesce(parts))
         size = nxt.count()
         if size == n and nxt.exceptAll(now).isEmpty():
-            ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label")))
+            ends = F.array(
+                F.struct(F.col("u").alias("node"), F.col("v").alias("label")),
+                F.struct(F.col("v").alias("node"), F.col("v").alias("label"))
+            )
             return nxt.select(F.explode(ends).alias("e")).select("e.node", "e.label").distinct()
         now, n = nxt, size
 
@@ -251,7 +304,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = cut(features(own))
     full = rows.where("n_shingles > 0")
-    nodes = cut(full.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    nodes = cut(
+        full.groupBy("node").agg(
+            F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        )
+    )
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
     # The bucket's members, once: 16 bytes and the centre for each band in which a node is not alone.
@@ -265,22 +322,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
     clusters = cut(components(star.select("a", "b"))).withColumnRenamed("label", "cluster")
     texts = own.join(clusters.join(nodes, "node").select("id").distinct(), "id", "left_semi")
-    sets = cut(_sets(texts).join(clusters, "node").groupBy("node").agg(F.first("set").alias("set"), F.first("cluster").alias("cluster")))
+    sets = cut(
+        _sets(texts).join(clusters, "node").groupBy("node").agg(
+            F.first("set").alias("set"), F.first("cluster").alias("cluster")
+        )
+    )
     links = _star_links(star.where(size_ok(F.col("na"), F.col("nb"))), sets, percent)
     labels = cut(components(links))
     # Clusters of candidates that these links leave in several components: the other pairs between components.
-    labelled = sets.join(labels, "node", "left").select("cluster", "node", F.size("set").alias("n"), F.coalesce("label", "node").alias("label"), "set")
+    labelled = sets.join(labels, "node", "left").select(
+        "cluster", "node", F.size("set").alias("n"), F.coalesce("label", "node").alias("label"), "set"
+    )
     more = _block_links(labelled, percent)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))
     placed = full.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = labels.join(least, "label", "right").select(F.coalesce("node", "label").alias("node"), "component_id")
-    out = rows.select("id", "n_shingles", "node").join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("id", "n_shingles", "node").join(by_node, "node", "left").withColumn(
+        "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    )
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
 
 
 def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those whose near-duplicate class keeps another id; all columns stay."""
-    gone = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    gone = near_duplicates(
+        docs, percent, id_col, text_col
+    ).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")

@@ -37,7 +37,9 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # The byte-level alphabet in the order of bytes: printable bytes stand for themselves, the others follow from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        byte_of = {chr(b): b for b in shown} | {
+            chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)
+        }
         if set(byte_of) != set(ByteLevel.alphabet()):
             raise ValueError("another byte alphabet")
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -59,7 +61,10 @@ def pieces(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if (n % most) >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """Cut every document into sequences of power-of-two lengths up to ``most`` (itself a power of two).
 
     A row per piece: the id, start (the document's ids before it), length, ids_crc32 (of the ids as little-endian
@@ -95,8 +100,12 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, wit
                 n = len(doc)
                 lengths = np.array(length, np.int64)
                 cols = [
-                    part.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.array(total, np.int64)[doc]),
-                    pa.array(np.arange(seq, seq + n, dtype=np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.log2(lengths).astype(np.int32)),
+                    part.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(
+                        np.array(total, np.int64)[doc]
+                    ),
+                    pa.array(
+                        np.arange(seq, seq + n, dtype=np.int64)
+                    ), pa.array(np.zeros(n, np.int64)), pa.array(np.log2(lengths).astype(np.int32)),
                 ]
                 seq += n
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
@@ -105,6 +114,8 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, wit
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int" + (", ids array<int>" if with_ids else "")
+    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int" + (
+        ", ids array<int>" if with_ids else ""
+    )
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

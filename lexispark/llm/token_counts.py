@@ -52,7 +52,10 @@ class Pieces:
         parts = list(text)
         while len(parts) > 1:
             best = max(
-                ((self.score.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score),
+                (
+                    (self.score.get(a + b, float("-inf")), -i) for i,
+                    (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score
+                ),
                 default=None,
             )
             if best is None:
@@ -267,7 +270,9 @@ def compiled(path: str) -> Transducer:
     return _compiled[path]
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+) -> DataFrame:
     """Bytes and tokens of every whole text under a sentencepiece BPE model, without added tokens.
 
     One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit); other columns are left out.
@@ -281,10 +286,15 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
             texts = b.column(1).to_pylist()
             n = [counter.count(t, chunk) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [
+                    b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()),
+                    pa.array([x > limit for x in n], pa.bool_())
+                ],
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
+    ).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

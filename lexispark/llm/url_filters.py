@@ -72,7 +72,10 @@ class Cascade:
         return F.coalesce(hit, F.lit(False))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_bits: int = 1 << 26, max_levels: int = 32) -> Cascade:
+def build_cascade(
+    listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_bits: int = 1 << 26,
+    max_levels: int = 32
+) -> Cascade:
     """The cascade of the listed keys over the universe; both have a column ``key``.
 
     Duplicates and nulls in either are ignored. An empty list gives a cascade that contains nothing. The universe is
@@ -113,11 +116,15 @@ def rule_keys(host: Column, path: Column, rules: list[str]) -> Column:
     shapes = {(h.count(".") + 1, len(r) - len(h)) for r in rules for h in [r.split("/")[0]]}
     labels = F.size(F.split(host, r"\."))
     made = [
-        F.when((labels >= n) & (F.length(path) >= k), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, k)))
+        F.when(
+            (labels >= n) & (F.length(path) >= k), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, k))
+        )
         for n, k in sorted(shapes)
     ]
     keys = F.array_distinct(F.array_compact(F.array(*made)))
-    by = lambda a, b: F.when(F.length(a) != F.length(b), F.sign(F.length(b) - F.length(a))).when(a < b, -1).when(a > b, 1).otherwise(0).cast("int")
+    by = lambda a, b: F.when(
+        F.length(a) != F.length(b), F.sign(F.length(b) - F.length(a))
+    ).when(a < b, -1).when(a > b, 1).otherwise(0).cast("int")
     return F.array_sort(keys, by)
 
 
@@ -145,11 +152,16 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow",
     }
     judged = F.transform(
         keys,
-        lambda k: F.struct(k.alias("rule"), F.coalesce(*[F.when(c.contains(k), F.lit(v)) for v, c in cascades.items()]).alias("verdict")),
+        lambda k: F.struct(
+            k.alias("rule"),
+            F.coalesce(*[F.when(c.contains(k), F.lit(v)) for v, c in cascades.items()]).alias("verdict")
+        ),
     )
     best = F.get(F.filter(judged, lambda x: x["verdict"].isNotNull()), F.lit(0))
     return (
         parts.withColumn("__best", best)
-        .withColumns({"rule": F.col("__best")["rule"], "verdict": F.coalesce(F.col("__best")["verdict"], F.lit(default))})
+        .withColumns(
+            {"rule": F.col("__best")["rule"], "verdict": F.coalesce(F.col("__best")["verdict"], F.lit(default))}
+        )
         .drop("__best")
     )

@@ -21,7 +21,12 @@ def odd(spark):
     schema = "doc_id bigint, text string, lang string, source string"
     from pyspark.sql import functions as F
 
-    extra = {c: F.lit(7) for c in ("id", "node", "bands", "label", "key", "block", "tokens", "epochs", "mix_epoch", "keep", "a", "ids", "n_tokens", "bucket", "next", "held", "kept")}
+    extra = {
+        c: F.lit(7) for c in (
+            "id", "node", "bands", "label", "key", "block", "tokens", "epochs", "mix_epoch", "keep", "a", "ids",
+            "n_tokens", "bucket", "next", "held", "kept"
+        )
+    }
     return spark.createDataFrame(rows, schema).withColumns(extra)
 
 

@@ -40,8 +40,13 @@ def test_scan_keeps_the_nearest():
 def test_ties_copies_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(200, 260)] + [(i, [0.5, i / 100, 0.0]) for i in range(1, 30)]
-    odd = [(900, None), (901, []), (902, [0.0, 0.0, 0.0]), (903, [nan, 1.0, 0.0]), (904, [inf, 1.0, 0.0]), (905, [None, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (906, [1.0, 2.0])]
-    v = spark.createDataFrame(rows + odd + rows[:3], "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS id", "2 AS q", "3 AS v", "4 AS list")
+    odd = [
+        (900, None), (901, []), (902, [0.0, 0.0, 0.0]), (903, [nan, 1.0, 0.0]), (904, [inf, 1.0, 0.0]),
+        (905, [None, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (906, [1.0, 2.0])
+    ]
+    v = spark.createDataFrame(
+        rows + odd + rows[:3], "vec_id bigint, embedding array<float>"
+    ).selectExpr("*", "1 AS id", "2 AS q", "3 AS v", "4 AS list")
     got = {}
     for r in search(v, v, k=20, probes=1.0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))

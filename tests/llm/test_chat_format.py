@@ -31,12 +31,16 @@ def test_whole_table(spark, data):
     check(c, [r for r in got if r["conv_id"] != -7])
     said = "\\### Assistant: </turn> ok"
     [extra] = [r for r in got if r["conv_id"] == -7]
-    assert (extra["n_turns"], extra["turns_sha256"], extra["loss_chars"], extra["loss_sha256"]) == digests([("user", said), ("assistant", said)])
+    assert (
+        extra["n_turns"], extra["turns_sha256"], extra["loss_chars"], extra["loss_sha256"]
+    ) == digests([("user", said), ("assistant", said)])
 
 
 def test_windows(spark):
     rng = random.Random(3)
-    rows = [(1, 0, "system", "be brief")] + [(1, t, "user" if t % 2 else "assistant", " ".join(["w"] * rng.randint(1, 60))) for t in range(1, 80)] + [(2, 1, "assistant", "x " * 500)]
+    rows = [(1, 0, "system", "be brief")] + [
+        (1, t, "user" if t % 2 else "assistant", " ".join(["w"] * rng.randint(1, 60))) for t in range(1, 80)
+    ] + [(2, 1, "assistant", "x " * 500)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     windows = format_chats(df, budget=120, history_turns=2, history_tokens=60).collect()
     check(df, read_back(format_chats(df, budget=120, history_turns=2, history_tokens=60)).collect())
@@ -45,12 +49,20 @@ def test_windows(spark):
         assert len(turns) == w["n_turns"] and (w["n_tokens"] <= 120 or w["n_turns"] - w["n_repeated"] == 1)
         if w["conv_id"] == 1 and w["window_no"]:
             assert turns[0] == ("system", "be brief") and 1 <= w["n_repeated"] <= 3
-        assert [unescape(w["text"][a:b]) for a, b in w["loss"]] == [t for r, t in turns[w["n_repeated"] :] if r == "assistant"]
+        assert [unescape(w["text"][a:b]) for a, b in w["loss"]] == [
+            t for r, t in turns[w["n_repeated"] :] if r == "assistant"
+        ]
 
 
 def test_odd_rows(spark):
-    rows = [(1, 1, None, None), (1, 1, "a:b# ### x", "### user: \\ </turn>\n"), (1, None, "assistant", ""), (1, 1, "assistant", "t"), (1, 1, "assistant", "t"), (None, 2, "assistant", "😀" * 9), (None, None, None, None), (3, 1, "user", "y " * 50_000)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 AS window_no", "2 AS loss")
+    rows = [
+        (1, 1, None, None), (1, 1, "a:b# ### x", "### user: \\ </turn>\n"), (1, None, "assistant", ""),
+        (1, 1, "assistant", "t"), (1, 1, "assistant", "t"), (None, 2, "assistant", "😀" * 9), (None, None, None, None),
+        (3, 1, "user", "y " * 50_000)
+    ]
+    df = spark.createDataFrame(
+        rows, "conv_id bigint, turn bigint, role string, text string"
+    ).selectExpr("*", "1 AS window_no", "2 AS loss")
     check(df, read_back(format_chats(df)).collect())
     assert read_back(format_chats(df.where("false"))).count() == 0
 

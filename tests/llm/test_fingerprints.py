@@ -20,7 +20,9 @@ def test_whole_table_against_sets(docs):
         edited = text[: n - n // 3] + nxt[: n // 3]
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
         assert abs(r["near_edited"] - share(text, edited)) < 1e-9 and abs(r["near_next"] - share(text, nxt)) < 1e-9
-        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"] and prints.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
+        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"] and prints.setdefault(
+            edited, r["edited_fingerprint"]
+        ) == r["edited_fingerprint"]
     assert len(got) == len(rows)
 
 
@@ -32,7 +34,10 @@ def test_next_over_many_ranges(spark):
 
 def test_retries_until_all_is_recovered(spark):
     a, b = list(range(1, 400)), list(range(300, 900))
-    pairs = spark.createDataFrame([(1, 1.0, a, b), (2, 5.0, a, a), (3, 0.0, [], []), (4, 0.0, [], b), (5, 900.0, a, b)], "k bigint, guess double, a array<bigint>, b array<bigint>")
+    pairs = spark.createDataFrame(
+        [(1, 1.0, a, b), (2, 5.0, a, a), (3, 0.0, [], []), (4, 0.0, [], b), (5, 900.0, a, b)],
+        "k bigint, guess double, a array<bigint>, b array<bigint>"
+    )
     got = {r["k"]: r["likeness"] for r in likeness(pairs).collect()}
     assert got == {1: 100 / 899, 2: 1.0, 3: 1.0, 4: 0.0, 5: 100 / 899}
 

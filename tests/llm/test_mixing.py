@@ -12,7 +12,11 @@ def skewed(spark):
 
 
 def totals(df):
-    return {r["source"]: r["t"] for r in df.groupBy("source").agg({"mix_tokens": "sum"}).withColumnRenamed("sum(mix_tokens)", "t").collect()}
+    return {
+        r["source"]: r["t"] for r in df.groupBy("source").agg({"mix_tokens": "sum"}).withColumnRenamed(
+            "sum(mix_tokens)", "t"
+        ).collect()
+    }
 
 
 def sizes(df):

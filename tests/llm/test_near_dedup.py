@@ -64,7 +64,9 @@ def test_odd_rows(odd, none):
     got = near_duplicates(odd).collect()
     assert len(got) == 10
     by = {r["doc_id"]: r for r in got}
-    assert [(by[i]["component_id"], by[i]["kept"]) for i in (1, 2, 3, 4, 6)] == [(1, True), (1, False), (3, True), (4, True), (6, True)]
+    assert [
+        (by[i]["component_id"], by[i]["kept"]) for i in (1, 2, 3, 4, 6)
+    ] == [(1, True), (1, False), (3, True), (4, True), (6, True)]
     assert by[3]["n_shingles"] == by[4]["n_shingles"] == by[6]["n_shingles"] == 0
     assert by[5]["component_id"] == 5 and by[5]["n_shingles"] == 1 and not by[None]["kept"]
     assert near_duplicates(none).count() == 0

@@ -20,7 +20,9 @@ def check(df, got):
     seen = {}
     for r in got:
         assert r["offset"] == 0 and r["length"] == 1 << r["bucket"] and r["length"] <= 1024
-        seen.setdefault((r["doc_id"], r["doc_tokens"], r["ids_crc32"], r["start"], r["length"]), []).append(r["sequence_id"])
+        seen.setdefault(
+            (r["doc_id"], r["doc_tokens"], r["ids_crc32"], r["start"], r["length"]), []
+        ).append(r["sequence_id"])
     want = {}
     for doc, lists in left.items():
         for ids in lists:

@@ -4,7 +4,9 @@ from lexispark.llm.near_dedup import near_duplicates
 
 def test_stages_against_their_inputs(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "mixing_sources", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "quality_classifier", "minhash_near_dedup", "mixing_sources", "packing"
+    ]
     rated = corpus_pipeline.quality_classifier(spark, docs, data)
     assert rated.columns == docs.columns and 0 < rated.count() <= docs.count()
     kept = corpus_pipeline.minhash_near_dedup(spark, rated, data)

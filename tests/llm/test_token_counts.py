@@ -33,7 +33,9 @@ def test_pieces_and_spaces(seed):
     rng = random.Random(seed)
     pieces = list(compiled(PATH).pieces.score)
     for _ in range(1000):
-        text = "".join(rng.choice(pieces) if rng.random() < 0.7 else " " * rng.randint(1, 20) for _ in range(rng.randint(1, 8)))
+        text = "".join(
+            rng.choice(pieces) if rng.random() < 0.7 else " " * rng.randint(1, 20) for _ in range(rng.randint(1, 8))
+        )
         assert compiled(PATH).count(text, rng.choice([3, 1000])) == len(LIB.encode(text)), repr(text)
 
 

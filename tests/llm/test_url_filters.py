@@ -13,7 +13,9 @@ def plain(url):
     best = None
     for rule in URL_RULES:
         h = rule.split("/")[0]
-        if (host == h or host.endswith("." + h)) and path.startswith(rule[len(h) :]) and (best is None or len(rule) > len(best)):
+        if (host == h or host.endswith("." + h)) and path.startswith(rule[len(h) :]) and (
+            best is None or len(rule) > len(best)
+        ):
             best = rule
     return host, path, best, URL_RULES.get(best, "allow")
 
@@ -25,7 +27,9 @@ URLS = [
 
 
 def test_odd_rows(spark):
-    pages = spark.createDataFrame([(i, u, "h", 3) for i, u in enumerate(URLS * 2)], "page_id int, url string, rule string, key int")
+    pages = spark.createDataFrame(
+        [(i, u, "h", 3) for i, u in enumerate(URLS * 2)], "page_id int, url string, rule string, key int"
+    )
     got = filter_urls(pages, URL_RULES).collect()
     assert len(got) == 2 * len(URLS)
     for r in got:
