@@ -11,10 +11,15 @@ BREAK = "\n\n---\n\n"
 
 def truncate(text: Column, most: int = 16_000) -> Column:
     """A text cut to size, with a notice."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n\n[Result truncated]"))).otherwise(text)
+    return F.when(
+        F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n\n[Result truncated]"))
+    ).otherwise(text)
 
 
-def library_block(title: Column, ident: Column, description: Column, snippets: Column, reputation: Column, versions: Column | None = None) -> Column:
+def library_block(
+    title: Column, ident: Column, description: Column, snippets: Column, reputation: Column,
+    versions: Column | None = None
+) -> Column:
     """A library as lines; counts below 0 and lists without versions are left out."""
     lines = [
         F.concat(F.lit("- Title: "), title),
@@ -30,17 +35,28 @@ def library_block(title: Column, ident: Column, description: Column, snippets: C
 
 def code_snippet(title: Column, description: Column, codes: Column) -> Column:
     """A code snippet: heading, description, fenced codes (structs of language and code)."""
-    fenced = F.transform(codes, lambda c: F.concat(F.lit("```"), F.coalesce(c["language"], F.lit("")), F.lit("\n"), c["code"], F.lit("\n```")))
-    return F.concat_ws("\n\n", F.concat(F.lit("### "), title), F.when(F.coalesce(description, F.lit("")) != "", description), F.array_join(fenced, "\n\n"))
+    fenced = F.transform(
+        codes,
+        lambda c: F.concat(F.lit("```"), F.coalesce(c["language"], F.lit("")), F.lit("\n"), c["code"], F.lit("\n```"))
+    )
+    return F.concat_ws(
+        "\n\n", F.concat(F.lit("### "), title), F.when(F.coalesce(description, F.lit("")) != "", description),
+        F.array_join(fenced, "\n\n")
+    )
 
 
 def info_snippet(breadcrumb: Column, content: Column) -> Column:
-    return F.concat_ws("\n\n", F.concat(F.lit("### "), F.coalesce(F.nullif(breadcrumb, F.lit("")), F.lit("Documentation"))), content)
+    return F.concat_ws(
+        "\n\n", F.concat(F.lit("### "), F.coalesce(F.nullif(breadcrumb, F.lit("")), F.lit("Documentation"))), content
+    )
 
 
 def provenance(ident: Column, commit: Column, n_rules: Column) -> Column:
     """What an answer rests on; a project's rules are counted, never shown."""
-    return F.concat_ws("\n", F.concat(F.lit("Library: "), ident), F.concat(F.lit("Commit: "), commit), F.when(n_rules > 0, F.concat(F.lit("Project rules omitted: "), n_rules.cast("string"))))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("Library: "), ident), F.concat(F.lit("Commit: "), commit),
+        F.when(n_rules > 0, F.concat(F.lit("Project rules omitted: "), n_rules.cast("string")))
+    )
 
 
 def fixed4(value: Column) -> Column:

@@ -27,9 +27,18 @@ def parse_library_id(value: Column) -> Column:
         name = F.concat(owner, F.lit("/"), repo)
         ident = F.concat(F.lit("/"), name, F.coalesce(F.concat(F.lit("/"), version), F.lit("")))
         url = F.concat(F.lit("https://github.com/"), name, F.lit(".git"))
-        return F.when(good, F.struct(ident.alias("id"), owner.alias("owner"), repo.alias("repo"), version.alias("version"), url.alias("repository_url")))
-
-    split = lambda b: F.struct(F.split_part(b, F.lit("/"), F.lit(1)).alias("owner"), F.split_part(b, F.lit("/"), F.lit(2)).alias("repo"), F.regexp_extract(b, "^[^/]*/[^/]*/(.*)$", 1).alias("rest"))
+        return F.when(
+            good,
+            F.struct(
+                ident.alias("id"), owner.alias("owner"), repo.alias("repo"), version.alias("version"),
+                url.alias("repository_url")
+            )
+        )
+
+    split = lambda b: F.struct(
+        F.split_part(b, F.lit("/"), F.lit(1)).alias("owner"), F.split_part(b, F.lit("/"), F.lit(2)).alias("repo"),
+        F.regexp_extract(b, "^[^/]*/[^/]*/(.*)$", 1).alias("rest")
+    )
     return bind(bind(F.regexp_replace(F.trim(value), "^/+|/+$", ""), split), made)
 
 
@@ -41,11 +50,16 @@ def parse_repository(value: Column) -> Column:
         url = F.regexp_replace(text, "^git[+]", "")
         for old in (r"(?i)^git@github\.com:", r"(?i)^ssh://git@github\.com/", r"(?i)^git://github\.com/"):
             url = F.regexp_replace(url, old, "https://github.com/")
-        return F.when(text.rlike(rf"^/?{PART}/{PART}$"), F.regexp_replace(text, r"(?i)\.git$", "")).otherwise(bind(url, at_host))
+        return F.when(
+            text.rlike(rf"^/?{PART}/{PART}$"), F.regexp_replace(text, r"(?i)\.git$", "")
+        ).otherwise(bind(url, at_host))
 
     def at_host(url: Column) -> Column:
         path = F.regexp_replace(F.regexp_extract(url, rf"{host}(/[^?#]*)?", 1), "^/+|/+$", "")
-        return F.when(url.rlike(rf"{host}([/?#]|$)"), bind(F.regexp_replace(path, r"(?i)\.git$", ""), lambda p: F.when(p.rlike("^[^/]+/[^/]+$"), p)))
+        return F.when(
+            url.rlike(rf"{host}([/?#]|$)"),
+            bind(F.regexp_replace(path, r"(?i)\.git$", ""), lambda p: F.when(p.rlike("^[^/]+/[^/]+$"), p))
+        )
 
     return parse_library_id(bind(F.trim(value), name))
 
@@ -65,7 +79,9 @@ def encode_component(part: Column) -> Column:
 def source_url(repository_url: Column, commit: Column, path: Column) -> Column:
     """The address of a file at a commit."""
     base = F.regexp_replace(repository_url, r"\.git$", "")
-    return F.concat(base, F.lit("/blob/"), commit, F.lit("/"), F.array_join(F.transform(F.split(path, "/"), encode_component), "/"))
+    return F.concat(
+        base, F.lit("/blob/"), commit, F.lit("/"), F.array_join(F.transform(F.split(path, "/"), encode_component), "/")
+    )
 
 
 def result_key(commit: Column, chunk_id: Column) -> Column:
@@ -77,18 +93,29 @@ def parse_result_key(key: Column, commit: Column) -> Column:
     pattern = r"^(?i)([0-9a-f]{40}):([1-9][0-9]*)$"
     sha, number = F.regexp_extract(key, pattern, 1), F.regexp_extract(key, pattern, 2)
     plain = key.rlike("^[1-9][0-9]*$")
-    state = F.when(plain | ((sha != "") & (F.lower(sha) == F.lower(commit))), "ok").when(sha != "", "stale").otherwise("invalid")
-    return F.struct(F.when(state == "ok", F.when(plain, key).otherwise(number).try_cast("bigint")).alias("chunk_id"), state.alias("state"))
+    state = F.when(
+        plain | ((sha != "") & (F.lower(sha) == F.lower(commit))), "ok"
+    ).when(sha != "", "stale").otherwise("invalid")
+    return F.struct(
+        F.when(state == "ok", F.when(plain, key).otherwise(number).try_cast("bigint")).alias("chunk_id"),
+        state.alias("state")
+    )
 
 
 def version_numbers(version: Column) -> Column:
     """The dotted numbers of a version without what follows a hyphen; what is no number is 0."""
-    return F.transform(F.split(F.split_part(version, F.lit("-"), F.lit(1)), r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+    return F.transform(
+        F.split(F.split_part(version, F.lit("-"), F.lit(1)), r"\."),
+        lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0))
+    )
 
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1; a missing number is 0."""
-    pairs = F.zip_with(version_numbers(a), version_numbers(b), lambda x, y: F.sign(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int"))
+    pairs = F.zip_with(
+        version_numbers(a), version_numbers(b), lambda x,
+        y: F.sign(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int")
+    )
     return F.coalesce(F.get(F.filter(pairs, lambda s: s != 0), F.lit(0)), F.lit(0))
 
 
@@ -108,7 +135,9 @@ def tree_address(url: Column) -> Column:
     """Owner, repo, branch and path of a github.com tree or blob address; null for others."""
     pattern = rf"^https://github\.com/({PART})/({PART})/(?:tree|blob)/([^/?#]+)(?:/([^?#]*))?$"
     names = ("owner", "repo", "branch", "path")
-    return F.when(url.rlike(pattern), F.struct(*[F.regexp_extract(url, pattern, i + 1).alias(n) for i, n in enumerate(names)]))
+    return F.when(
+        url.rlike(pattern), F.struct(*[F.regexp_extract(url, pattern, i + 1).alias(n) for i, n in enumerate(names)])
+    )
 
 
 def safe_skill_name(name: Column) -> Column:
@@ -119,10 +148,17 @@ def safe_skill_name(name: Column) -> Column:
 def front_matter(text: Column) -> Column:
     """Name and description of a front matter; a folded description is joined with spaces."""
     head = F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1)
-    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*([^\r\n]*)", 1), "^[\"']|[\"']$", ""))
+    field = lambda name: F.trim(
+        F.regexp_replace(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*([^\r\n]*)", 1), "^[\"']|[\"']$", "")
+    )
     folded = F.regexp_extract(head, r"(?m)^description:[ \t]*[>|][+-]?[ \t]*((?:\r?\n[ \t]+[^\r\n]*)+)", 1)
     own = field("description")
-    return F.struct(F.nullif(field("name"), F.lit("")).alias("name"), F.nullif(F.when(own.rlike(r"^[>|][+-]?$"), F.trim(F.regexp_replace(folded, r"\s+", " "))).otherwise(own), F.lit("")).alias("description"))
+    return F.struct(
+        F.nullif(field("name"), F.lit("")).alias("name"),
+        F.nullif(
+            F.when(own.rlike(r"^[>|][+-]?$"), F.trim(F.regexp_replace(folded, r"\s+", " "))).otherwise(own), F.lit("")
+        ).alias("description")
+    )
 
 
 # First parts of ids that are no repositories.

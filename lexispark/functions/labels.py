@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def reputation(score: Column) -> Column:
-    return F.when(score.isNull() | (score < 0), "Unknown").when(score >= 7, "High").when(score >= 4, "Medium").otherwise("Low")
+    return F.when(
+        score.isNull() | (score < 0), "Unknown"
+    ).when(score >= 7, "High").when(score >= 4, "Medium").otherwise("Low")
 
 
 def popularity_range(installs: Column) -> Column:
@@ -19,7 +21,11 @@ def popularity_range(installs: Column) -> Column:
 
 def popularity_score(stars: Column, weight: Column, sources: Column) -> Column:
     """Stars on a logarithmic scale, then the best source's weight, then how many sources know the library."""
-    return F.round(F.log10(F.greatest(F.lit(10.0), stars + F.lit(10.0))) * 1_000_000 + weight * 10_000 + F.least(F.lit(10), sources) * 100).cast("bigint")
+    return F.round(
+        F.log10(
+            F.greatest(F.lit(10.0), stars + F.lit(10.0))
+        ) * 1_000_000 + weight * 10_000 + F.least(F.lit(10), sources) * 100
+    ).cast("bigint")
 
 
 def refresh_days(rank: Column) -> Column:
@@ -69,10 +75,16 @@ def paging(page: Column, total: Column, more: Column) -> Column:
     """Typed paging headers; null unless all can be read."""
     p, t = page.try_cast("int"), total.try_cast("int")
     m = F.when(F.lower(more) == "true", True).when(F.lower(more) == "false", False)
-    return F.when(p.isNotNull() & t.isNotNull() & m.isNotNull(), F.struct(p.alias("page"), t.alias("total_pages"), m.alias("has_more")))
+    return F.when(
+        p.isNotNull() & t.isNotNull() & m.isNotNull(),
+        F.struct(p.alias("page"), t.alias("total_pages"), m.alias("has_more"))
+    )
 
 
-def passes_quality(verified: Column, trust: Column, updated_days: Column, stars: Column, only_verified: bool = False, least_trust: float | None = None, most_days: int | None = None, least_stars: int | None = None) -> Column:
+def passes_quality(
+    verified: Column, trust: Column, updated_days: Column, stars: Column, only_verified: bool = False,
+    least_trust: float | None = None, most_days: int | None = None, least_stars: int | None = None
+) -> Column:
     """A policy's quality filters; one that is not set lets all through, an unknown figure fails those that are."""
     tests = [verified] if only_verified else []
     tests += [trust >= least_trust] if least_trust is not None else []

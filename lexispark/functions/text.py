@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a query, in alphabetical order.
-STOP_WORDS = ["a", "an", "and", "are", "can", "for", "from", "how", "in", "is", "it", "of", "on", "the", "to", "use", "using", "what", "when", "with"]
+STOP_WORDS = [
+    "a", "an", "and", "are", "can", "for", "from", "how", "in", "is", "it", "of", "on", "the", "to", "use", "using",
+    "what", "when", "with"
+]
 #: White space by name, as Java's and RE2's \s differ.
 SPACES = r"[\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 CONTROLS = r"[\x{0}-\x{1F}\x{7F}]+"
@@ -25,14 +28,18 @@ def terms(text: Column) -> Column:
 
 def token_string(text: Column) -> Column:
     """The text's tokens, each between two spaces, so that a phrase is a substring; empty without tokens."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), "^ +| +$", "")
+    bare = F.regexp_replace(
+        F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), "^ +| +$", ""
+    )
     return F.when(bare == "", "").otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
 
 
 def phrase_count(tokens: Column, phrase: list[str]) -> Column:
     """How often a phrase of tokens occurs in a token string, without overlaps."""
     needle = " " + "  ".join(phrase) + " "
-    return ((F.length(tokens) - F.length(F.replace(tokens, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("bigint")
+    return (
+        (F.length(tokens) - F.length(F.replace(tokens, F.lit(needle), F.lit("")))) / F.lit(len(needle))
+    ).cast("bigint")
 
 
 def token_count(tokens: Column) -> Column:
@@ -86,7 +93,9 @@ def official_docs_repository(name: Column) -> Column:
 def wrap(text: Column, width: int = 84, most: int = 400) -> Column:
     """The text on one line, cut and broken between words into lines of at most ``width`` characters."""
     words = F.split(F.substring(F.trim(collapse(text)), 1, most), " ")
-    step = lambda s, w: F.when(s == "", w).when(F.length(F.substring_index(s, "\n", -1)) + 1 + F.length(w) <= width, F.concat(s, F.lit(" "), w)).otherwise(F.concat(s, F.lit("\n"), w))
+    step = lambda s, w: F.when(s == "", w).when(
+        F.length(F.substring_index(s, "\n", -1)) + 1 + F.length(w) <= width, F.concat(s, F.lit(" "), w)
+    ).otherwise(F.concat(s, F.lit("\n"), w))
     return F.aggregate(words, F.lit(""), step)
 
 
@@ -99,7 +108,9 @@ def visible_text(html: Column) -> Column:
     """The text of a page: no scripts, styles, comments and tags; the usual entities decoded; one line."""
     bare = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
     bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in (
+        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")
+    ):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return F.trim(collapse(bare))
 

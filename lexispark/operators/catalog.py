@@ -12,7 +12,9 @@ from lexispark.functions.text import search_name
 
 # Repositories that are no libraries, by name and by topic.
 EXCLUDED_NAME = r"(^|[-_.])(awesome|interview|roadmap|cheatsheet|dotfiles|books?)([-_.]|$)"
-EXCLUDED_TOPICS = ["awesome-list", "books", "cheatsheet", "interview", "interview-questions", "learning-resources", "roadmap"]
+EXCLUDED_TOPICS = [
+    "awesome-list", "books", "cheatsheet", "interview", "interview-questions", "learning-resources", "roadmap"
+]
 CURATED = 2_000_000_000
 
 
@@ -23,8 +25,12 @@ def usable_repository(archived: Column, disabled: Column, size: Column) -> Colum
 
 def is_candidate(name: Column, topics: Column, archived: Column, fork: Column) -> Column:
     return (
-        ~F.coalesce(archived, F.lit(False)) & ~F.coalesce(fork, F.lit(False)) & ~F.coalesce(name, F.lit("")).rlike(f"(?i){EXCLUDED_NAME}")
-        & ~F.coalesce(F.arrays_overlap(F.transform(topics, F.lower), F.array(*map(F.lit, EXCLUDED_TOPICS))), F.lit(False))
+        ~F.coalesce(
+            archived, F.lit(False)
+        ) & ~F.coalesce(fork, F.lit(False)) & ~F.coalesce(name, F.lit("")).rlike(f"(?i){EXCLUDED_NAME}")
+        & ~F.coalesce(
+            F.arrays_overlap(F.transform(topics, F.lower), F.array(*map(F.lit, EXCLUDED_TOPICS))), F.lit(False)
+        )
     )
 
 
@@ -38,16 +44,29 @@ def merge_candidates(hits: DataFrame, limit: int, curated: DataFrame | None = No
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival")))
     rows = hits
     if curated is not None:
-        listed = curated.select("library_id", F.split_part("library_id", F.lit("/"), F.lit(3)).alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("bigint").alias("stars"), F.lit("curated").alias("source"), F.lit(100).alias("weight"), (F.col("position") - F.lit(1 << 40)).alias("arrival"))
+        listed = curated.select(
+            "library_id", F.split_part("library_id", F.lit("/"), F.lit(3)).alias("title"),
+            F.lit(None).cast("string").alias("description"), F.lit(None).cast("bigint").alias("stars"),
+            F.lit("curated").alias("source"), F.lit(100).alias("weight"),
+            (F.col("position") - F.lit(1 << 40)).alias("arrival")
+        )
         rows = hits.select(*listed.columns).unionByName(listed)
     merged = rows.groupBy(key.alias("key")).agg(
-        first("library_id").alias("library_id"), first("title").alias("title"), first("description").alias("description"), F.max(F.coalesce("stars", F.lit(0))).alias("stars"),
-        F.max("weight").alias("weight"), F.count_distinct("source").alias("sources"), F.min(F.when(F.col("source") == "curated", F.col("arrival") + F.lit(1 << 40))).alias("position"),
+        first("library_id").alias("library_id"), first("title").alias("title"), first("description").alias("description"), F.max(
+            F.coalesce("stars", F.lit(0))
+        ).alias("stars"),
+        F.max("weight").alias("weight"), F.count_distinct("source").alias("sources"), F.min(
+            F.when(F.col("source") == "curated", F.col("arrival") + F.lit(1 << 40))
+        ).alias("position"),
     )
-    score = F.when(F.col("position").isNotNull(), F.lit(CURATED) - F.col("position")).otherwise(popularity_score(F.col("stars"), F.col("weight"), F.col("sources")))
+    score = F.when(F.col("position").isNotNull(), F.lit(CURATED) - F.col("position")).otherwise(
+        popularity_score(F.col("stars"), F.col("weight"), F.col("sources"))
+    )
     top = merged.withColumn("score", score.cast("bigint")).orderBy(F.desc("score"), "library_id").limit(limit)
     # The catalog has at most ``limit`` rows, so its ranks come from one partition.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "library_id"))).drop("key", "weight", "position")
+    return top.withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("score"), "library_id"))
+    ).drop("key", "weight", "position")
 
 
 def name_matches(rows: DataFrame, name: Column, columns: Sequence[str]) -> Column:
@@ -56,11 +75,16 @@ def name_matches(rows: DataFrame, name: Column, columns: Sequence[str]) -> Colum
     return F.exists(F.array(*[search_name(F.col(c)) for c in columns]), lambda c: F.contains(c, needle))
 
 
-def freshness_state(stored: Column, parser_ok: Column, checked_at: Column, now: Column, commit: Column, remote: Column, remote_failed: Column, force: Column | None = None) -> Column:
+def freshness_state(
+    stored: Column, parser_ok: Column, checked_at: Column, now: Column, commit: Column, remote: Column,
+    remote_failed: Column, force: Column | None = None
+) -> Column:
     """What becomes of an index that is asked for: indexed, refreshed, cached or stale-fallback."""
     forced = force if force is not None else F.lit(False)
     return (
-        F.when(~stored, "indexed").when(~parser_ok, "refreshed").when(forced, "refreshed").when(is_fresh(checked_at, now), "cached")
+        F.when(~stored, "indexed").when(~parser_ok, "refreshed").when(forced, "refreshed").when(
+            is_fresh(checked_at, now), "cached"
+        )
         .when(remote_failed, "stale-fallback").when(remote == commit, "cached").otherwise("refreshed")
     )
 
@@ -68,23 +92,34 @@ def freshness_state(stored: Column, parser_ok: Column, checked_at: Column, now:
 def index_health(manifests: DataFrame, parser: str) -> DataFrame:
     """Figures over all manifests (library, sections, tokens, checked_at, parser_version)."""
     return manifests.agg(
-        F.count("*").alias("libraries"), F.coalesce(F.sum("sections"), F.lit(0)).alias("sections"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.min("checked_at").alias("oldest_check"),
+        F.count("*").alias("libraries"), F.coalesce(
+            F.sum("sections"), F.lit(0)
+        ).alias("sections"), F.coalesce(
+            F.sum("tokens"), F.lit(0)
+        ).alias("tokens"), F.min("checked_at").alias("oldest_check"),
         F.count_if(F.col("parser_version") != parser).alias("outdated"),
     )
 
 
 def latest_events(events: DataFrame, key: Column, line: str) -> DataFrame:
     """The last event of each key by its place in the log."""
-    return events.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(line)))).where("__n = 1").drop("__n")
+    return events.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(line)))
+    ).where("__n = 1").drop("__n")
 
 
 def progress(events: DataFrame, target: int) -> DataFrame:
     """Counts by status of the last events, and how many are still to be done."""
     of = lambda s: F.count_if(F.col("status") == s)
-    return events.agg(F.count("*").alias("processed"), of("succeeded").alias("succeeded"), of("failed").alias("failed"), of("skipped").alias("skipped"), F.greatest(F.lit(0), F.lit(target) - of("succeeded")).alias("remaining"))
+    return events.agg(
+        F.count("*").alias("processed"), of("succeeded").alias("succeeded"), of("failed").alias("failed"),
+        of("skipped").alias("skipped"), F.greatest(F.lit(0), F.lit(target) - of("succeeded")).alias("remaining")
+    )
 
 
-def policy_filter(rows: DataFrame, condition: Column, key: str, blocked: DataFrame | None = None, excepted: DataFrame | None = None) -> DataFrame:
+def policy_filter(
+    rows: DataFrame, condition: Column, key: str, blocked: DataFrame | None = None, excepted: DataFrame | None = None
+) -> DataFrame:
     """Rows that a policy lets through: blocked keys never, excepted keys always, others by the condition."""
     out = rows.join(blocked.select(key).distinct(), key, "left_anti") if blocked is not None else rows
     if excepted is None:
@@ -96,11 +131,15 @@ def policy_filter(rows: DataFrame, condition: Column, key: str, blocked: DataFra
 def reconcile(desired: DataFrame, actual: DataFrame, key: str, version: str) -> DataFrame:
     """What brings actual rows to the desired ones: created, updated, unchanged or pruned for each key."""
     d, a = desired.select(key, F.col(version).alias("want")), actual.select(key, F.col(version).alias("have"))
-    action = F.when(F.col("have").isNull(), "created").when(F.col("want").isNull(), "pruned").when(F.col("want") == F.col("have"), "unchanged").otherwise("updated")
+    action = F.when(F.col("have").isNull(), "created").when(F.col("want").isNull(), "pruned").when(
+        F.col("want") == F.col("have"), "unchanged"
+    ).otherwise("updated")
     return d.join(a, key, "full_outer").select(key, "want", "have", action.alias("action"))
 
 
-def session_seen(events: DataFrame, session: str, library: str, item: str, ts: str, gap: str = "1 hour", most: int = 500) -> DataFrame:
+def session_seen(
+    events: DataFrame, session: str, library: str, item: str, ts: str, gap: str = "1 hour", most: int = 500
+) -> DataFrame:
     """What each session has seen of each library, a session ending when it is idle for ``gap``; the newest ``most``.
 
     Items count from when they were first seen in the session; seeing one again doesn't renew it.
@@ -108,7 +147,10 @@ def session_seen(events: DataFrame, session: str, library: str, item: str, ts: s
     t = F.col(ts).cast("timestamp")
     idle = F.lag(t).over(Window.partitionBy(session).orderBy(t, item))
     begins = F.when(idle.isNull() | (t - F.expr(f"INTERVAL {gap}") > idle), 1).otherwise(0)
-    marked = events.withColumn("__b", begins).withColumn("session_no", F.sum("__b").over(Window.partitionBy(session).orderBy(t, item).rowsBetween(Window.unboundedPreceding, 0)))
+    marked = events.withColumn("__b", begins).withColumn(
+        "session_no",
+        F.sum("__b").over(Window.partitionBy(session).orderBy(t, item).rowsBetween(Window.unboundedPreceding, 0))
+    )
     first = marked.groupBy(session, "session_no", library, item).agg(F.min(t).alias("first_seen"))
     w = Window.partitionBy(session, "session_no", library).orderBy(F.desc("first_seen"), F.desc(item))
     return first.withColumn("age", F.row_number().over(w)).where(F.col("age") <= most)
@@ -117,7 +159,10 @@ def session_seen(events: DataFrame, session: str, library: str, item: str, ts: s
 def retrieval_metrics(ranks: DataFrame, column: str, k: int = 5) -> DataFrame:
     """Mean reciprocal rank and recall at k of ranks from 1; 0 is a miss."""
     r = F.col(column)
-    return ranks.agg(F.count("*").alias("scenarios"), F.avg(F.when(r > 0, F.lit(1.0) / r).otherwise(0.0)).alias("mrr"), F.avg(F.when((r > 0) & (r <= k), 1.0).otherwise(0.0)).alias("recall"))
+    return ranks.agg(
+        F.count("*").alias("scenarios"), F.avg(F.when(r > 0, F.lit(1.0) / r).otherwise(0.0)).alias("mrr"),
+        F.avg(F.when((r > 0) & (r <= k), 1.0).otherwise(0.0)).alias("recall")
+    )
 
 
 def percentile(column: str, fractions: Sequence[float]) -> list[Column]:
@@ -126,7 +171,11 @@ def percentile(column: str, fractions: Sequence[float]) -> list[Column]:
     The exact distribution of the values is kept by count, not as a list of rows.
     """
     values = F.array_sort(F.collect_list(column))
-    return [F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(f)).cast("int"))).alias(f"p{round(f * 100)}") for f in fractions]
+    return [
+        F.get(
+            values, F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(f)).cast("int"))
+        ).alias(f"p{round(f * 100)}") for f in fractions
+    ]
 
 
 def exact_percentiles(rows: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
@@ -138,10 +187,14 @@ def exact_percentiles(rows: DataFrame, column: str, fractions: Sequence[float])
     n = counts.agg(F.sum("n")).first()[0] or 0
     lo, hi = counts.agg(F.min("v"), F.max("v")).first()
     width = (hi - lo) / 1024 if n and hi > lo else 1.0
-    placed = counts.withColumn("part", F.least(F.lit(1023), F.floor((F.col("v") - F.lit(lo or 0.0)) / F.lit(width))).cast("int"))
+    placed = counts.withColumn(
+        "part", F.least(F.lit(1023), F.floor((F.col("v") - F.lit(lo or 0.0)) / F.lit(width))).cast("int")
+    )
     parts = placed.groupBy("part").agg(F.sum("n").alias("m"))
     before = parts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
-    run = placed.join(F.broadcast(before), "part").withColumn("until", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    run = placed.join(F.broadcast(before), "part").withColumn(
+        "until", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    )
     at = lambda f: min(n - 1, int(n * f))
     return run.agg(*[F.min(F.when(F.col("until") > at(f), F.col("v"))).alias(f"p{round(f * 100)}") for f in fractions])
 
@@ -152,14 +205,21 @@ def migration_progress(events: DataFrame, failures: int = 100) -> DataFrame:
     Failures are cut before they are listed, so the list is bounded.
     """
     last = events.where("status = 'failed'").orderBy(F.desc("at"), "library").limit(failures)
-    listed = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "library"))), lambda x: x["library"]).alias("failures"))
-    counts = events.agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "succeeded").alias("migrated"), F.count_if(F.col("status") == "failed").alias("failed"))
+    listed = last.agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "library"))), lambda x: x["library"]).alias("failures")
+    )
+    counts = events.agg(
+        F.count("*").alias("processed"), F.count_if(F.col("status") == "succeeded").alias("migrated"),
+        F.count_if(F.col("status") == "failed").alias("failed")
+    )
     return counts.crossJoin(F.broadcast(listed))  # one row each
 
 
 def product_in_order(names: DataFrame, registries: list[str]) -> DataFrame:
     """Each name (name, ordinal) with each registry, by name and then registry: a short list exploded, no join."""
-    return names.select("name", "ordinal", F.posexplode(F.array(*map(F.lit, registries))).alias("registry_no", "registry"))
+    return names.select(
+        "name", "ordinal", F.posexplode(F.array(*map(F.lit, registries))).alias("registry_no", "registry")
+    )
 
 
 def union_keep_first(lists: list[DataFrame], key: str) -> DataFrame:
@@ -175,4 +235,6 @@ def union_keep_first(lists: list[DataFrame], key: str) -> DataFrame:
 def agent_modes(agents: DataFrame) -> DataFrame:
     """Which modes any of the agents has (cli, server), as flags and as a list."""
     flags = agents.agg(F.bool_or("cli").alias("cli"), F.bool_or("server").alias("server"))
-    return flags.withColumn("modes", F.array_compact(F.array(F.when(F.col("cli"), "cli"), F.when(F.col("server"), "server"))))
+    return flags.withColumn(
+        "modes", F.array_compact(F.array(F.when(F.col("cli"), "cli"), F.when(F.col("server"), "server")))
+    )

@@ -22,20 +22,33 @@ def chunk_markdown(files: DataFrame) -> DataFrame:
     """
     text = F.concat(F.lit("\n"), F.coalesce("content", F.lit("")))
     marked = F.regexp_replace(text, r"\n(#{1,6}[ \t])", "\n\u0000$1")
-    parts = files.select(F.col("path").alias("doc_path"), F.posexplode(F.split(marked, "\u0000")).alias("pos", "part"), F.trim(F.regexp_extract(text, r"\n#[ \t]+([^\n]*)", 1)).alias("h1"))
+    parts = files.select(
+        F.col("path").alias("doc_path"), F.posexplode(F.split(marked, "\u0000")).alias("pos", "part"),
+        F.trim(F.regexp_extract(text, r"\n#[ \t]+([^\n]*)", 1)).alias("h1")
+    )
     heading = F.trim(F.regexp_extract("part", r"^#{1,6}[ \t]+([^\n]*)", 1))
     body = F.trim(F.regexp_replace("part", r"^#{1,6}[ \t][^\n]*", ""))
     title = F.when(F.col("h1") != "", F.col("h1")).otherwise(basename(F.col("doc_path")))
-    rows = parts.select("doc_path", "pos", title.alias("doc_title"), F.when(heading != "", heading).otherwise(title).alias("section_title"), F.trim(body, F.lit("\n ")).alias("content"))
-    return number_chunks(rows.where("content != ''")).withColumns({"tokens": estimated_tokens(F.col("content")), "has_code": F.contains("content", F.lit("```"))})
+    rows = parts.select(
+        "doc_path", "pos", title.alias("doc_title"),
+        F.when(heading != "", heading).otherwise(title).alias("section_title"),
+        F.trim(body, F.lit("\n ")).alias("content")
+    )
+    return number_chunks(rows.where("content != ''")).withColumns(
+        {"tokens": estimated_tokens(F.col("content")), "has_code": F.contains("content", F.lit("```"))}
+    )
 
 
 def number_chunks(rows: DataFrame) -> DataFrame:
     """Add id: 1, 2, ... by (doc_path, pos). Only a row for each path is ordered as a whole."""
     sizes = rows.groupBy("doc_path").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("doc_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("n").over(Window.orderBy("doc_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
     numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_path").orderBy("pos")))
-    return numbered.join(sizes.select("doc_path", before.alias("base")), "doc_path").withColumn("id", (F.col("base") + F.col("at")).cast("bigint")).drop("base", "at", "pos")
+    return numbered.join(
+        sizes.select("doc_path", before.alias("base")), "doc_path"
+    ).withColumn("id", (F.col("base") + F.col("at")).cast("bigint")).drop("base", "at", "pos")
 
 
 def document_chunks(docs: DataFrame) -> DataFrame:
@@ -50,5 +63,9 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     """One chunk for each web page: title, first heading, visible text."""
     text = visible_text(F.col("html"))
     return pages.select(
-        F.col("page_id").alias("id"), F.regexp_replace("url", r"[?#].*$", "").alias("doc_path"), html_element(F.col("html"), "title").alias("doc_title"), html_element(F.col("html"), "h1").alias("section_title"), text.alias("content"),
-    ).withColumns({"tokens": estimated_tokens(F.col("content")), "has_code": F.col("content").rlike("(?i)<(pre|code)")})
+        F.col("page_id").alias("id"), F.regexp_replace("url", r"[?#].*$", "").alias("doc_path"), html_element(
+            F.col("html"), "title"
+        ).alias("doc_title"), html_element(F.col("html"), "h1").alias("section_title"), text.alias("content"),
+    ).withColumns(
+        {"tokens": estimated_tokens(F.col("content")), "has_code": F.col("content").rlike("(?i)<(pre|code)")}
+    )

@@ -27,17 +27,30 @@ def write_index(chunks: DataFrame, root: str, buckets: int = BUCKETS) -> None:
     terms = build_postings(chunks).select("term", "id").distinct().withColumn("bucket", _bucket(F.col("term"), buckets))
     # A term that most chunks have is spread over tasks by its ids; each folder then has a few sorted files.
     spread = F.pmod(F.xxhash64("id"), F.lit(4))
-    terms.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/postings")
-    analyzed(chunks).agg(F.count("*").alias("n"), F.avg("__len").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{root}/figures")
-
-
-def search_index(spark: SparkSession, root: str, topic: str, limit: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None) -> DataFrame:
+    terms.repartition("bucket", spread).sortWithinPartitions(
+        "bucket", "term", "id"
+    ).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/postings")
+    analyzed(chunks).agg(
+        F.count("*").alias("n"), F.avg("__len").alias("mean"), F.lit(buckets).alias("buckets")
+    ).write.mode("overwrite").parquet(f"{root}/figures")
+
+
+def search_index(
+    spark: SparkSession, root: str, topic: str, limit: int | None = None, max_tokens: int | None = None,
+    seen: DataFrame | None = None
+) -> DataFrame:
     """``search`` over an index."""
     figures = spark.read.parquet(f"{root}/figures").first()
     tokens = sorted({t for f in plan_query(topic) for u in f.units for t in u})
-    wanted = spark.createDataFrame([(t,) for t in tokens] or [("",)], "term string").select(_bucket(F.col("term"), figures["buckets"]).alias("b")).distinct()
+    wanted = spark.createDataFrame([(t,) for t in tokens] or [("",)], "term string").select(
+        _bucket(F.col("term"), figures["buckets"]).alias("b")
+    ).distinct()
     folders = [r["b"] for r in wanted.collect()]  # a few, for the few terms of a topic
-    ids = spark.read.parquet(f"{root}/postings").where(F.col("bucket").isin(folders) & F.col("term").isin(tokens)).select("id").distinct()
+    ids = spark.read.parquet(f"{root}/postings").where(
+        F.col("bucket").isin(folders) & F.col("term").isin(tokens)
+    ).select("id").distinct()
     chunks = spark.read.parquet(f"{root}/chunks")
-    matching = chunks.join(ids.withColumn("bucket", _bucket(F.col("id"), figures["buckets"])), ["bucket", "id"], "left_semi").drop("bucket")
+    matching = chunks.join(
+        ids.withColumn("bucket", _bucket(F.col("id"), figures["buckets"])), ["bucket", "id"], "left_semi"
+    ).drop("bucket")
     return search(matching, topic, limit, max_tokens, seen, corpus=(figures["n"], figures["mean"] or 1.0))

@@ -8,22 +8,36 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import collapse
 
 
-def neighbours(chunks: DataFrame, anchors: DataFrame, max_tokens: int | None = None, before: int = 2, after: int = 3) -> DataFrame:
+def neighbours(
+    chunks: DataFrame, anchors: DataFrame, max_tokens: int | None = None, before: int = 2, after: int = 3
+) -> DataFrame:
     """The chunks around each anchor (column anchor_id) in its document, within a budget, nearest first.
 
     An equi-join on the document with a band on the id; at most before + after + 1 chunks for an anchor.
     """
     budget = max(500, min(max_tokens if max_tokens is not None else 5000, 10_000))
-    a = chunks.select(F.col("id").alias("anchor_id"), "doc_path").join(anchors.select("anchor_id").distinct(), "anchor_id")
-    near = chunks.join(a, "doc_path").where((F.col("id") >= F.greatest(F.lit(1), F.col("anchor_id") - before)) & (F.col("id") <= F.col("anchor_id") + after) | (F.col("id") == F.col("anchor_id")))
+    a = chunks.select(F.col("id").alias("anchor_id"), "doc_path").join(
+        anchors.select("anchor_id").distinct(), "anchor_id"
+    )
+    near = chunks.join(a, "doc_path").where(
+        (
+            F.col("id") >= F.greatest(F.lit(1), F.col("anchor_id") - before)
+        ) & (F.col("id") <= F.col("anchor_id") + after) | (F.col("id") == F.col("anchor_id"))
+    )
     visits = F.array_sort(F.collect_list(F.struct(F.abs(F.col("id") - F.col("anchor_id")).alias("d"), "id", "tokens")))
     start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("sum"))
 
     def step(s: Column, r: Column) -> Column:
         skip = (F.size(s["ids"]) > 0) & (s["sum"] + r["tokens"] > budget)
-        return F.when(skip, s).otherwise(F.struct(F.array_append(s["ids"], r["id"]).alias("ids"), (s["sum"] + r["tokens"]).cast("bigint").alias("sum")))
-
-    chosen = near.groupBy("anchor_id").agg(F.aggregate(visits, start, step)["ids"].alias("ids")).select("anchor_id", F.explode("ids").alias("id"))
+        return F.when(skip, s).otherwise(
+            F.struct(
+                F.array_append(s["ids"], r["id"]).alias("ids"), (s["sum"] + r["tokens"]).cast("bigint").alias("sum")
+            )
+        )
+
+    chosen = near.groupBy("anchor_id").agg(
+        F.aggregate(visits, start, step)["ids"].alias("ids")
+    ).select("anchor_id", F.explode("ids").alias("id"))
     return near.join(chosen, ["anchor_id", "id"]).withColumn("is_anchor", F.col("id") == F.col("anchor_id"))
 
 

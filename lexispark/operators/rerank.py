@@ -24,9 +24,18 @@ def rerank(matches: DataFrame, vectors: DataFrame, query: list[float], candidate
     """
     top = matches.orderBy(F.desc("score"), "id").limit(max(2, candidates))
     q = F.array(*[F.lit(float(x)) for x in query])
-    own = top.join(vectors.select(F.col("id"), F.col("embedding")), "id", "left").withColumn("similarity", F.coalesce(cosine(F.col("embedding"), q), F.lit(-1.0)))
-    own = own.withColumns({"lexical": normalized("score"), "semantic": normalized("similarity"), "few": F.count("*").over(Window.partitionBy()) < 2})
-    blended = F.when(F.col("few"), F.col("score")).otherwise(F.round(F.col("lexical") * LEXICAL + F.col("semantic") * SEMANTIC, 9))
+    own = top.join(vectors.select(F.col("id"), F.col("embedding")), "id", "left").withColumn(
+        "similarity", F.coalesce(cosine(F.col("embedding"), q), F.lit(-1.0))
+    )
+    own = own.withColumns(
+        {
+            "lexical": normalized("score"), "semantic": normalized("similarity"),
+            "few": F.count("*").over(Window.partitionBy()) < 2
+        }
+    )
+    blended = F.when(F.col("few"), F.col("score")).otherwise(
+        F.round(F.col("lexical") * LEXICAL + F.col("semantic") * SEMANTIC, 9)
+    )
     return own.withColumn("score", blended).drop("embedding", "lexical", "semantic", "few")
 
 
@@ -43,4 +52,6 @@ def upsert(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame
 def cosine_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k vectors nearest to one query by cosine; a scan with a top-k, no shuffle of vectors."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("similarity", F.round(cosine(F.col("embedding"), q), 6)).orderBy(F.desc("similarity"), "id").limit(k)
+    return vectors.withColumn(
+        "similarity", F.round(cosine(F.col("embedding"), q), 6)
+    ).orderBy(F.desc("similarity"), "id").limit(k)

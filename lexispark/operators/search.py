@@ -31,10 +31,18 @@ def analyzed(chunks: DataFrame, fields: dict[str, float] | None = None) -> DataF
 
 
 def _unit_columns(units: Sequence[tuple[str, ...]], fields: dict[str, float]) -> dict[str, Column]:
-    return {f"__u{i}": sum((phrase_count(F.col(f"__t_{f}"), list(u)) * F.lit(w) for f, w in fields.items()), F.lit(0.0)) for i, u in enumerate(units)}
-
-
-def score_facets(chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
+    return {
+        f"__u{i}": sum(
+            (phrase_count(F.col(f"__t_{f}"), list(u)) * F.lit(w) for f, w in fields.items()), F.lit(0.0)
+        ) for i,
+        u in enumerate(units)
+    }
+
+
+def score_facets(
+    chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None,
+    corpus: tuple[int, float] | None = None
+) -> DataFrame:
     """A row (facet, score and the chunk's columns) for each facet that a chunk matches.
 
     ``corpus`` is the number of chunks and their mean length where ``chunks`` are only those that can match.
@@ -43,14 +51,20 @@ def score_facets(chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, f
     units = list(dict.fromkeys(u for f in facets for u in f.units if u))
     own = list(chunks.columns)
     counted = analyzed(chunks, fields).withColumns(_unit_columns(units, fields))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("__len").alias("mean"), *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]).first()
+    stats = counted.agg(
+        F.count("*").alias("n"), F.avg("__len").alias("mean"),
+        *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]
+    ).first()
     n, mean = corpus or (stats["n"], stats["mean"] or 1.0)
 
     def score(u: tuple[str, ...]) -> Column:
         i = units.index(u)
         tf, df = F.col(f"__u{i}"), stats[f"d{i}"] or 0
         idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
-        return F.when(tf > 0, idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.lit(mean)))).otherwise(0.0)
+        return F.when(
+            tf > 0,
+            idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.lit(mean)))
+        ).otherwise(0.0)
 
     scored = []
     for k, f in enumerate(facets):
@@ -60,10 +74,20 @@ def score_facets(chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, f
         match = hits[0]
         for h in hits[1:]:
             match = (match | h) if f.mode == "any" else (match & h)
-        scored.append(F.when(match, F.struct(F.lit(k).alias("facet"), F.round(sum((score(u) for u in f.units), F.lit(0.0)), DIGITS).alias("score"))))
+        scored.append(
+            F.when(
+                match,
+                F.struct(
+                    F.lit(k).alias("facet"),
+                    F.round(sum((score(u) for u in f.units), F.lit(0.0)), DIGITS).alias("score")
+                )
+            )
+        )
     if not scored:
         return chunks.where("false").select(F.lit(0).alias("facet"), F.lit(0.0).alias("score"), *own)
-    return counted.select(*own, F.explode(F.array_compact(F.array(*scored))).alias("__s")).select("__s.facet", "__s.score", *own)
+    return counted.select(
+        *own, F.explode(F.array_compact(F.array(*scored))).alias("__s")
+    ).select("__s.facet", "__s.score", *own)
 
 
 def top_of_facets(scored: DataFrame, limit: int) -> DataFrame:
@@ -89,11 +113,15 @@ def fuse(ranked: DataFrame, query_terms: Sequence[str], seen: DataFrame | None =
         ranked = ranked.join(seen.select("id").distinct(), "id", "left_anti")
     own = [c for c in ranked.columns if c not in ("facet", "score", "rank", "id")]
     merged = ranked.groupBy("id").agg(
-        F.sum(F.lit(1.0) / (F.col("rank") + (RRF_K + 1))).alias("rrf"), F.count("*").alias("matched_queries"), F.min("facet").alias("first_facet"), F.first(F.struct(*own)).alias("chunk")
+        F.sum(
+            F.lit(1.0) / (F.col("rank") + (RRF_K + 1))
+        ).alias("rrf"), F.count("*").alias("matched_queries"), F.min("facet").alias("first_facet"), F.first(F.struct(*own)).alias("chunk")
     )
     rows = merged.select("id", "chunk.*", "rrf", "matched_queries", "first_facet")
     late = F.when(F.col("first_facet") > 1, LATE_FACET).otherwise(0.0)
-    return rows.withColumn("score", F.round(F.col("rrf") + lexical_boost(query_terms) + late, DIGITS)).drop("rrf", "first_facet")
+    return rows.withColumn(
+        "score", F.round(F.col("rrf") + lexical_boost(query_terms) + late, DIGITS)
+    ).drop("rrf", "first_facet")
 
 
 def select_diverse(matches: DataFrame, budget: int, limit: int, per_document: int = 3) -> DataFrame:
@@ -102,23 +130,42 @@ def select_diverse(matches: DataFrame, budget: int, limit: int, per_document: in
     The first always fits. What is left out changes nothing. The matches of one search are a bounded list (facets
     times their limit), so the fold runs in one row.
     """
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("matched_queries")).alias("m"), "id", "doc_path", "tokens", fingerprint(F.col("content")).alias("print"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("prints"), F.lit(0).cast("bigint").alias("tokens"))
+    order = F.array_sort(
+        F.collect_list(
+            F.struct(
+                (-F.col("score")).alias("s"), (-F.col("matched_queries")).alias("m"), "id", "doc_path", "tokens",
+                fingerprint(F.col("content")).alias("print")
+            )
+        )
+    )
+    start = F.struct(
+        F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("paths"),
+        F.array().cast("array<string>").alias("prints"), F.lit(0).cast("bigint").alias("tokens")
+    )
 
     def step(s: Column, r: Column) -> Column:
         full = F.size(F.filter(s["paths"], lambda p: p == r["doc_path"])) >= per_document
         over = (F.size(s["ids"]) > 0) & (s["tokens"] + r["tokens"] > budget)
         skip = full | F.array_contains(s["prints"], r["print"]) | over | (F.size(s["ids"]) >= limit)
         taken = F.struct(
-            F.array_append(s["ids"], r["id"]).alias("ids"), F.array_append(s["paths"], r["doc_path"]).alias("paths"), F.array_append(s["prints"], r["print"]).alias("prints"), (s["tokens"] + r["tokens"]).cast("bigint").alias("tokens")
+            F.array_append(s["ids"], r["id"]).alias("ids"), F.array_append(
+                s["paths"], r["doc_path"]
+            ).alias("paths"), F.array_append(s["prints"], r["print"]).alias("prints"), (
+                s["tokens"] + r["tokens"]
+            ).cast("bigint").alias("tokens")
         )
         return F.when(skip, s).otherwise(taken)
 
-    chosen = matches.agg(F.aggregate(order, start, step)["ids"].alias("ids")).select(F.posexplode("ids").alias("position", "id"))
+    chosen = matches.agg(
+        F.aggregate(order, start, step)["ids"].alias("ids")
+    ).select(F.posexplode("ids").alias("position", "id"))
     return matches.join(F.broadcast(chosen), "id")  # at most ``limit`` rows
 
 
-def search(chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
+def search(
+    chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None,
+    seen: DataFrame | None = None, corpus: tuple[int, float] | None = None
+) -> DataFrame:
     """Search chunks for a topic; position gives the order of the answer.
 
     If all that matches was seen before, it is searched again with nothing left out.
@@ -136,7 +183,9 @@ def search(chunks: DataFrame, topic: str, limit: int | None = None, max_tokens:
 def legacy_top(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The baseline that searches are compared with: any of the first 16 words, weights 5, 10 and 1."""
     words = [w for w in dict.fromkeys(re.findall(r"\w+", query.lower())) if len(w) > 1][:16]
-    scored = score_facets(chunks, [Facet("any", tuple((w,) for w in words))], {"doc_title": 5.0, "section_title": 10.0, "content": 1.0})
+    scored = score_facets(
+        chunks, [Facet("any", tuple((w,) for w in words))], {"doc_title": 5.0, "section_title": 10.0, "content": 1.0}
+    )
     return top_of_facets(scored, k)
 
 
@@ -145,6 +194,8 @@ def build_postings(chunks: DataFrame, fields: dict[str, float] | None = None) ->
     fields = fields or FIELDS
     pairs = None
     for f in fields:
-        one = chunks.select("id", F.lit(f).alias("field"), F.explode(F.split(F.trim(token_string(F.col(f))), " +")).alias("term")).where("term != ''")
+        one = chunks.select(
+            "id", F.lit(f).alias("field"), F.explode(F.split(F.trim(token_string(F.col(f))), " +")).alias("term")
+        ).where("term != ''")
         pairs = one if pairs is None else pairs.unionByName(one)
     return pairs.groupBy("term", "id", "field").agg(F.count("*").alias("tf"))

@@ -10,7 +10,9 @@ from lexispark.functions.paths import is_noise, priority
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
     """One row for each key, the first in the order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+    return rows.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    ).where("__n = 1").drop("__n")
 
 
 def exact_duplicates(rows: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -21,37 +23,59 @@ def exact_duplicates(rows: DataFrame, text: str, id_col: str) -> DataFrame:
     return keyed.join(first, "digest").withColumn("is_first", F.col(id_col) == F.col("first_id"))
 
 
-def budget_fold(rows: DataFrame, group: list[str], order: list[str], size: str, most_rows: int, most_size: int) -> DataFrame:
+def budget_fold(
+    rows: DataFrame, group: list[str], order: list[str], size: str, most_rows: int, most_size: int
+) -> DataFrame:
     """Take rows of each group in order while budgets last; a row that is too large is passed over, not the end.
 
     Rows: the group's columns, the order's columns, size, taken. This is a running choice, not a running sum, so a
     group (a library, bounded by the walk before it) is folded in one row.
     """
     listed = F.array_sort(F.collect_list(F.struct(*order, size)))
-    start = F.struct(F.array().cast("array<boolean>").alias("taken"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sum"))
+    start = F.struct(
+        F.array().cast("array<boolean>").alias("taken"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sum")
+    )
 
     def step(s: Column, r: Column) -> Column:
         ok = (s["n"] < most_rows) & (s["sum"] + r[size] <= most_size)
-        return F.struct(F.array_append(s["taken"], ok).alias("taken"), (s["n"] + ok.cast("int")).alias("n"), F.when(ok, s["sum"] + r[size]).otherwise(s["sum"]).cast("bigint").alias("sum"))
+        return F.struct(
+            F.array_append(s["taken"], ok).alias("taken"), (s["n"] + ok.cast("int")).alias("n"),
+            F.when(ok, s["sum"] + r[size]).otherwise(s["sum"]).cast("bigint").alias("sum")
+        )
 
     folded = rows.groupBy(*group).agg(listed.alias("l")).withColumn("t", F.aggregate("l", start, step)["taken"])
-    return folded.select(*group, F.explode(F.arrays_zip("l", "t")).alias("x")).select(*group, "x.l.*", F.col("x.t").alias("taken"))
+    return folded.select(
+        *group, F.explode(F.arrays_zip("l", "t")).alias("x")
+    ).select(*group, "x.l.*", F.col("x.t").alias("taken"))
 
 
-def select_files(files: DataFrame, max_files: int = 5000, max_file_bytes: int = 2_097_152, max_index_bytes: int = 209_715_200, folders_given: bool = False) -> DataFrame:
+def select_files(
+    files: DataFrame, max_files: int = 5000, max_file_bytes: int = 2_097_152, max_index_bytes: int = 209_715_200,
+    folders_given: bool = False
+) -> DataFrame:
     """The disposition of each file (path, content): noise, oversized, duplicate, budget or selected.
 
     Files go by priority, then path. Too large files and such with NUL are oversized; a file with the content of a
     selected one is a duplicate; what is passed over for its size is not remembered.
     """
     size = F.octet_length("content").cast("bigint")
-    rows = files.withColumns({"bytes": size, "digest": F.sha2(F.col("content").cast("binary"), 256), "priority": priority(F.col("path"), size)})
+    rows = files.withColumns(
+        {
+            "bytes": size, "digest": F.sha2(F.col("content").cast("binary"), 256),
+            "priority": priority(F.col("path"), size)
+        }
+    )
     noise = F.lit(False) if folders_given else is_noise(F.col("path"))
     large = (F.col("bytes") > max_file_bytes) | F.contains("content", F.lit("\u0000"))
     rows = rows.withColumns({"noise": noise, "large": large})
-    usable = rows.where("not noise and not large").select(F.lit(1).alias("g"), (-F.col("priority")).alias("p"), "path", "digest", "bytes")
+    usable = rows.where("not noise and not large").select(
+        F.lit(1).alias("g"), (-F.col("priority")).alias("p"), "path", "digest", "bytes"
+    )
     listed = F.array_sort(F.collect_list(F.struct("p", "path", "digest", "bytes")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"), F.lit(0).cast("bigint").alias("sum"))
+    start = F.struct(
+        F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"),
+        F.lit(0).cast("bigint").alias("sum")
+    )
 
     def step(s: Column, r: Column) -> Column:
         duplicate = F.array_contains(s["seen"], r["digest"])
@@ -59,19 +83,30 @@ def select_files(files: DataFrame, max_files: int = 5000, max_file_bytes: int =
         mark = F.when(duplicate, "duplicate").when(over, "budget").otherwise("selected")
         chosen = ~duplicate & ~over
         return F.struct(
-            F.array_append(s["out"], mark).alias("out"), F.when(chosen, F.array_append(s["seen"], r["digest"])).otherwise(s["seen"]).alias("seen"), F.when(chosen, s["sum"] + r["bytes"]).otherwise(s["sum"]).cast("bigint").alias("sum")
+            F.array_append(s["out"], mark).alias("out"), F.when(
+                chosen, F.array_append(s["seen"], r["digest"])
+            ).otherwise(s["seen"]).alias("seen"), F.when(
+                chosen, s["sum"] + r["bytes"]
+            ).otherwise(s["sum"]).cast("bigint").alias("sum")
         )
 
     folded = usable.groupBy("g").agg(listed.alias("l")).withColumn("m", F.aggregate("l", start, step)["out"])
-    marks = folded.select(F.posexplode(F.arrays_zip("l", "m")).alias("position", "x")).select("position", F.col("x.l.path").alias("path"), F.col("x.m").alias("mark"))
+    marks = folded.select(F.posexplode(F.arrays_zip("l", "m")).alias("position", "x")).select(
+        "position", F.col("x.l.path").alias("path"), F.col("x.m").alias("mark")
+    )
     out = rows.join(marks, "path", "left")
-    return out.select("path", "content", "bytes", "priority", "position", F.when(F.col("noise"), "noise").when(F.col("large"), "oversized").otherwise(F.col("mark")).alias("disposition"))
+    return out.select(
+        "path", "content", "bytes", "priority", "position",
+        F.when(F.col("noise"), "noise").when(F.col("large"), "oversized").otherwise(F.col("mark")).alias("disposition")
+    )
 
 
 def selection_counts(selected: DataFrame) -> DataFrame:
     """How many files came, and what became of them."""
     of = lambda d: F.count_if(F.col("disposition") == d)
     return selected.agg(
-        F.count("*").alias("candidate_files"), of("selected").alias("selected_files"), of("noise").alias("noise_files"), of("duplicate").alias("duplicate_files"), of("oversized").alias("oversized_files"), of("budget").alias("budget_skipped_files"),
+        F.count("*").alias("candidate_files"), of("selected").alias("selected_files"), of("noise").alias("noise_files"), of("duplicate").alias("duplicate_files"), of("oversized").alias("oversized_files"), of("budget").alias(
+            "budget_skipped_files"
+        ),
         F.coalesce(F.sum(F.when(F.col("disposition") == "selected", F.col("bytes"))), F.lit(0)).alias("total_bytes"),
     )

@@ -95,8 +95,12 @@ def sql_facets(source: str, facets: list[Facet], limit: int, fields: dict[str, f
     out = [
         f"base AS ({source})",
         "analyzed AS (SELECT *, " + ", ".join(f"{sql_tokens(f)} AS t_{f}" for f in fields) + " FROM base)",
-        "counted AS (SELECT id, " + ", ".join([*(f"{tf[u]} AS u{i}" for i, u in enumerate(units)), f"{length} AS len"]) + " FROM analyzed)",
-        "stats AS (SELECT count(*) AS n, avg(len) AS mean, " + ", ".join(f"count(*) FILTER (WHERE u{i} > 0) AS d{i}" for i in range(len(units))) + " FROM counted)",
+        "counted AS (SELECT id, " + ", ".join(
+            [*(f"{tf[u]} AS u{i}" for i, u in enumerate(units)), f"{length} AS len"]
+        ) + " FROM analyzed)",
+        "stats AS (SELECT count(*) AS n, avg(len) AS mean, " + ", ".join(
+            f"count(*) FILTER (WHERE u{i} > 0) AS d{i}" for i in range(len(units))
+        ) + " FROM counted)",
     ]
     score = lambda i: f"CASE WHEN u{i} > 0 THEN greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * u{i} * 2.2 / (u{i} + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0 END"
     parts = []
@@ -105,9 +109,13 @@ def sql_facets(source: str, facets: list[Facet], limit: int, fields: dict[str, f
             continue
         own = [units.index(u) for u in f.units]
         test = (" OR " if f.mode == "any" else " AND ").join(f"u{i} > 0" for i in own)
-        parts.append(f"SELECT {k} AS facet, id, round({' + '.join(score(i) for i in own)}, 9) AS score FROM counted, stats WHERE {test}")
+        parts.append(
+            f"SELECT {k} AS facet, id, round({' + '.join(score(i) for i in own)}, 9) AS score FROM counted, stats WHERE {test}"
+        )
     out.append("scored AS (" + " UNION ALL ".join(parts) + ")")
-    out.append(f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY score DESC, id) - 1 AS rank FROM scored) WHERE rank < {limit})")
+    out.append(
+        f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY score DESC, id) - 1 AS rank FROM scored) WHERE rank < {limit})"
+    )
     return ",\n".join(out)
 
 
@@ -145,7 +153,9 @@ def facet_plan(spark, sf_dir):
     first = F.slice("ts", 1, 18)
     names = F.slice(F.filter(first, lambda x: x.rlike(text.IDENTIFIER)), 1, 6)
     return t.select(
-        "item_id", F.array_join(first, " OR ").alias("any_facet"), F.array_join(F.slice("ts", 1, 8), " AND ").alias("all_facet"), F.array_join(names, " | ").alias("identifiers"),
+        "item_id", F.array_join(first, " OR ").alias("any_facet"), F.array_join(
+            F.slice("ts", 1, 8), " AND "
+        ).alias("all_facet"), F.array_join(names, " | ").alias("identifiers"),
         F.least(F.lit(5000), 1600 + 180 * F.size("ts")).cast("int").alias("token_budget"),
     )
 
@@ -156,12 +166,18 @@ BM25_ALL = [Facet("all", (("the",), ("of",), ("that",)))]
 
 @query(f"WITH {sql_facets(SQL_DOCS, BM25, 20)} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked")
 def bm25_or_topk(spark, sf_dir):
-    return search.top_of_facets(search.score_facets(documents(spark, sf_dir), BM25), 20).select("id", "rank", F.round("score", 6).alias("score"))
+    return search.top_of_facets(
+        search.score_facets(documents(spark, sf_dir), BM25), 20
+    ).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {sql_facets(SQL_DOCS, BM25_ALL, 20)} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked")
+@query(
+    f"WITH {sql_facets(SQL_DOCS, BM25_ALL, 20)} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked"
+)
 def bm25_and_topk(spark, sf_dir):
-    return search.top_of_facets(search.score_facets(documents(spark, sf_dir), BM25_ALL), 20).select("id", "rank", F.round("score", 6).alias("score"))
+    return search.top_of_facets(
+        search.score_facets(documents(spark, sf_dir), BM25_ALL), 20
+    ).select("id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {sql_facets(SQL_DOCS, [PHRASES], 1000000)} SELECT id, round(score, 6) AS score FROM ranked")
@@ -170,12 +186,18 @@ def phrase_match(spark, sf_dir):
     return search.score_facets(documents(spark, sf_dir), [PHRASES]).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {sql_facets(SQL_DOCS, BM25, 10, {'doc_title': 5.0, 'section_title': 10.0, 'content': 1.0})} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked")
+@query(
+    f"WITH {sql_facets(SQL_DOCS, BM25, 10, {'doc_title': 5.0, 'section_title': 10.0, 'content': 1.0})} SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked"
+)
 def legacy_bm25(spark, sf_dir):
-    return search.legacy_top(documents(spark, sf_dir), "the history that retionth").select("id", "rank", F.round("score", 6).alias("score"))
+    return search.legacy_top(
+        documents(spark, sf_dir), "the history that retionth"
+    ).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH t AS (SELECT doc_id AS id, unnest(string_split_regex(trim({sql_tokens('text')}), ' +')) AS term FROM documents) SELECT id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL")
+@query(
+    f"WITH t AS (SELECT doc_id AS id, unnest(string_split_regex(trim({sql_tokens('text')}), ' +')) AS term FROM documents) SELECT id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL"
+)
 def inverted_index(spark, sf_dir):
     return search.build_postings(documents(spark, sf_dir), {"content": 1.0}).select("id", "term", "tf")
 
@@ -186,29 +208,45 @@ def inverted_index(spark, sf_dir):
 @query(f"WITH {sql_fused(TOPIC, SQL_PAGES)} SELECT id, doc_path, matched_queries, round(score, 6) AS score FROM fused")
 def rrf_fusion(spark, sf_dir):
     """The flagship: plan a topic, search all facets over pages, fuse the ranked lists."""
-    ranked = search.top_of_facets(search.score_facets(chunks.page_chunks(read(spark, sf_dir, "pages")), plan_query(TOPIC)), candidate_limit(None))
-    return search.fuse(ranked, terms(TOPIC)).select("id", "doc_path", "matched_queries", F.round("score", 6).alias("score"))
+    ranked = search.top_of_facets(
+        search.score_facets(chunks.page_chunks(read(spark, sf_dir, "pages")), plan_query(TOPIC)), candidate_limit(None)
+    )
+    return search.fuse(ranked, terms(TOPIC)).select(
+        "id", "doc_path", "matched_queries", F.round("score", 6).alias("score")
+    )
 
 
 @query(f"WITH {sql_fused(TOPIC, SQL_DOCS)} SELECT id, doc_path, matched_queries, round(score, 6) AS score FROM fused")
 def rrf_documents(spark, sf_dir):
-    ranked = search.top_of_facets(search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(None))
-    return search.fuse(ranked, terms(TOPIC)).select("id", "doc_path", "matched_queries", F.round("score", 6).alias("score"))
+    ranked = search.top_of_facets(
+        search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(None)
+    )
+    return search.fuse(ranked, terms(TOPIC)).select(
+        "id", "doc_path", "matched_queries", F.round("score", 6).alias("score")
+    )
 
 
 @query(f"SELECT id, round({sql_boost(terms(TOPIC))}, 6) AS boost FROM ({SQL_PAGES})")
 def lexical_boost(spark, sf_dir):
-    return chunks.page_chunks(read(spark, sf_dir, "pages")).select("id", F.round(search.lexical_boost(terms(TOPIC)), 6).alias("boost"))
+    return chunks.page_chunks(read(spark, sf_dir, "pages")).select(
+        "id", F.round(search.lexical_boost(terms(TOPIC)), 6).alias("boost")
+    )
 
 
 SEEN_SQL = "SELECT event_id FROM events WHERE user_id % 3 = 0 AND event_type = 'view'"
 
 
-@query(f"WITH {sql_fused(TOPIC, SQL_DOCS, seen=SEEN_SQL)} SELECT id, matched_queries, round(score, 6) AS score FROM fused")
+@query(
+    f"WITH {sql_fused(TOPIC, SQL_DOCS, seen=SEEN_SQL)} SELECT id, matched_queries, round(score, 6) AS score FROM fused"
+)
 def seen_exclusion(spark, sf_dir):
     """What was shown before is left out, after the ranks are given."""
-    seen = read(spark, sf_dir, "events").where("user_id % 3 = 0 AND event_type = 'view'").select(F.col("event_id").alias("id"))
-    ranked = search.top_of_facets(search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(None))
+    seen = read(spark, sf_dir, "events").where(
+        "user_id % 3 = 0 AND event_type = 'view'"
+    ).select(F.col("event_id").alias("id"))
+    ranked = search.top_of_facets(
+        search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(None)
+    )
     return search.fuse(ranked, terms(TOPIC), seen).select("id", "matched_queries", F.round("score", 6).alias("score"))
 
 
@@ -246,13 +284,19 @@ SELECT source, doc_id, bytes, taken FROM walk"""
 )
 def budget_select(spark, sf_dir):
     """Files of each library in order while its budgets last."""
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
+    d = read(spark, sf_dir, "documents").select(
+        "source", "doc_id", F.octet_length("text").cast("bigint").alias("bytes")
+    )
     return selection.budget_fold(d, ["source"], ["doc_id"], "bytes", BUDGET_ROWS, BUDGET_BYTES)
 
 
-@query("SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies, doc_id = min(doc_id) OVER w AS is_first FROM documents WINDOW w AS (PARTITION BY text)")
+@query(
+    "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies, doc_id = min(doc_id) OVER w AS is_first FROM documents WINDOW w AS (PARTITION BY text)"
+)
 def exact_dedup(spark, sf_dir):
-    return selection.exact_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "digest", "first_id", "copies", "is_first")
+    return selection.exact_duplicates(
+        read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id"
+    ).select("doc_id", "digest", "first_id", "copies", "is_first")
 
 
 # --- paths and urls ------------------------------------------------------------------------------------------------
@@ -261,14 +305,21 @@ SQL_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$
 
 
 def page_paths(spark, sf_dir):
-    return read(spark, sf_dir, "pages").withColumn("path", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", ""))
+    return read(spark, sf_dir, "pages").withColumn(
+        "path", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", "")
+    )
 
 
 def sql_priority(p: str, n: str) -> str:
-    return "50 + " + " + ".join(f"CASE WHEN regexp_matches({p if part == 'p' else n}, '{rule}') THEN {worth} ELSE 0 END" for part, rule, worth in paths.PRIORITIES)
+    return "50 + " + " + ".join(
+        f"CASE WHEN regexp_matches({p if part == 'p' else n}, '{rule}') THEN {worth} ELSE 0 END" for part, rule,
+        worth in paths.PRIORITIES
+    )
 
 
-@query(f"SELECT page_id, path, ({sql_priority('lower(path)', 'lower(name)')})::INTEGER AS priority FROM (SELECT page_id, {SQL_PATH} AS path, regexp_extract({SQL_PATH}, '[^/]*$') AS name FROM pages)")
+@query(
+    f"SELECT page_id, path, ({sql_priority('lower(path)', 'lower(name)')})::INTEGER AS priority FROM (SELECT page_id, {SQL_PATH} AS path, regexp_extract({SQL_PATH}, '[^/]*$') AS name FROM pages)"
+)
 def path_priority(spark, sf_dir):
     return page_paths(spark, sf_dir).select("page_id", "path", paths.priority(F.col("path")).alias("priority"))
 
@@ -280,18 +331,27 @@ def path_priority(spark, sf_dir):
 )
 def path_filter(spark, sf_dir):
     p = F.col("path")
-    return page_paths(spark, sf_dir).select("page_id", "path", paths.wanted(p, ["e?", "de"], ["en/1*"], ["25930"]).alias("kept"), paths.is_documentation(p).alias("is_doc"))
+    return page_paths(spark, sf_dir).select(
+        "page_id", "path", paths.wanted(p, ["e?", "de"], ["en/1*"], ["25930"]).alias("kept"),
+        paths.is_documentation(p).alias("is_doc")
+    )
 
 
-@query("SELECT url, min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?][^#]*', '') AS url FROM pages) GROUP BY url")
+@query(
+    "SELECT url, min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?][^#]*', '') AS url FROM pages) GROUP BY url"
+)
 def canonical_url_dedup(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", identifiers.canonical_url(F.col("url"), keep_query=False).alias("url"))
+    p = read(spark, sf_dir, "pages").select(
+        "page_id", identifiers.canonical_url(F.col("url"), keep_query=False).alias("url")
+    )
     return p.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
 @query(f"SELECT id, doc_path, doc_title, section_title, content, tokens FROM ({SQL_PAGES})")
 def html_section_extract(spark, sf_dir):
-    return chunks.page_chunks(read(spark, sf_dir, "pages")).select("id", "doc_path", "doc_title", "section_title", "content", "tokens")
+    return chunks.page_chunks(read(spark, sf_dir, "pages")).select(
+        "id", "doc_path", "doc_title", "section_title", "content", "tokens"
+    )
 
 
 SQL_ID = r"regexp_extract(url, '://([^/?#]*)', 1) || '/' || regexp_replace(url, '^[a-z]+://[^/]*/', '')"
@@ -306,9 +366,13 @@ FROM (SELECT *, regexp_full_match(owner, '[A-Za-z0-9_.-]+') AND regexp_full_matc
   AND (rest = '' OR (regexp_full_match(rest, '[A-Za-z0-9_.+/-]+') AND NOT contains(rest, '..'))) AS ok FROM p)"""
 )
 def parse_library_id(spark, sf_dir):
-    v = F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.regexp_replace("url", "^[a-z]+://[^/]*/", ""))
+    v = F.concat(
+        F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.regexp_replace("url", "^[a-z]+://[^/]*/", "")
+    )
     ref = identifiers.parse_library_id(v)
-    return read(spark, sf_dir, "pages").select("page_id", ref["id"].alias("id"), ref["version"].alias("version"), ref["repository_url"].alias("repository_url"))
+    return read(spark, sf_dir, "pages").select(
+        "page_id", ref["id"].alias("id"), ref["version"].alias("version"), ref["repository_url"].alias("repository_url")
+    )
 
 
 @query(
@@ -320,8 +384,12 @@ def parse_repo_url(spark, sf_dir):
     o, r = F.regexp_extract("url", "://([^/?#]*)", 1), F.concat(F.lit("r"), F.col("page_id").cast("string"))
     k = F.col("page_id") % 4
     address = (
-        F.when(k == 0, F.concat(F.lit("git+https://github.com/"), o, F.lit("/"), r, F.lit(".git"))).when(k == 1, F.concat(F.lit("git@github.com:"), o, F.lit("/"), r, F.lit(".git")))
-        .when(k == 2, F.concat(o, F.lit("/"), r, F.lit(".git"))).otherwise(F.concat(F.lit("https://example.com/"), o, F.lit("/"), r))
+        F.when(
+            k == 0, F.concat(F.lit("git+https://github.com/"), o, F.lit("/"), r, F.lit(".git"))
+        ).when(k == 1, F.concat(F.lit("git@github.com:"), o, F.lit("/"), r, F.lit(".git")))
+        .when(k == 2, F.concat(o, F.lit("/"), r, F.lit(".git"))).otherwise(
+            F.concat(F.lit("https://example.com/"), o, F.lit("/"), r)
+        )
     )
     return read(spark, sf_dir, "pages").select("page_id", identifiers.parse_repository(address)["id"].alias("id"))
 
@@ -334,7 +402,9 @@ def parse_repo_url(spark, sf_dir):
 def source_keys(spark, sf_dir):
     url = F.col("url")
     return page_paths(spark, sf_dir).select(
-        "page_id", identifiers.storage_key(url).alias("storage_key"), text.search_name(url).alias("search_name"), identifiers.source_url(F.lit("https://github.com/a/b.git"), F.lit("main"), F.col("path")).alias("source_url"),
+        "page_id", identifiers.storage_key(url).alias("storage_key"), text.search_name(url).alias("search_name"), identifiers.source_url(
+            F.lit("https://github.com/a/b.git"), F.lit("main"), F.col("path")
+        ).alias("source_url"),
         identifiers.result_key(F.lit("main"), F.col("page_id")).alias("result_key"),
     )
 
@@ -347,23 +417,37 @@ def source_keys(spark, sf_dir):
  CASE WHEN length(trim({sql_collapse('text')})) > 360 THEN substr(trim({sql_collapse('text')}), 1, 360) || '…' ELSE trim({sql_collapse('text')}) END AS preview FROM documents"""
 )
 def safe_preview(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.safe_label(F.col("text")).alias("label"), text.preview(F.col("text")).alias("preview"))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", text.safe_label(F.col("text")).alias("label"), text.preview(F.col("text")).alias("preview")
+    )
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal IS NULL OR s_acctbal < 0 THEN 'Unknown' WHEN s_acctbal / 1000 >= 7 THEN 'High' WHEN s_acctbal / 1000 >= 4 THEN 'Medium' ELSE 'Low' END AS reputation FROM supplier")
+@query(
+    "SELECT s_suppkey, CASE WHEN s_acctbal IS NULL OR s_acctbal < 0 THEN 'Unknown' WHEN s_acctbal / 1000 >= 7 THEN 'High' WHEN s_acctbal / 1000 >= 4 THEN 'Medium' ELSE 'Low' END AS reputation FROM supplier"
+)
 def reputation_label(spark, sf_dir):
     bal = F.col("s_acctbal")
-    return read(spark, sf_dir, "supplier").select("s_suppkey", labels.reputation(F.when(bal < 0, bal).otherwise(bal / 1000)).alias("reputation"))
+    return read(spark, sf_dir, "supplier").select(
+        "s_suppkey", labels.reputation(F.when(bal < 0, bal).otherwise(bal / 1000)).alias("reputation")
+    )
 
 
-@query("SELECT p_partkey, CASE WHEN n <= 0 THEN '0' WHEN n < 100 THEN '<100' WHEN n < 500 THEN '<500' WHEN n < 1000 THEN '<1000' ELSE '1000+' END AS installs FROM (SELECT p_partkey, p_partkey - 1 AS n FROM part)")
+@query(
+    "SELECT p_partkey, CASE WHEN n <= 0 THEN '0' WHEN n < 100 THEN '<100' WHEN n < 500 THEN '<500' WHEN n < 1000 THEN '<1000' ELSE '1000+' END AS installs FROM (SELECT p_partkey, p_partkey - 1 AS n FROM part)"
+)
 def popularity_bucket(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", labels.popularity_range(F.col("p_partkey") - 1).alias("installs"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", labels.popularity_range(F.col("p_partkey") - 1).alias("installs")
+    )
 
 
-@query("SELECT p_partkey, n AS rank, CASE WHEN n <= 100 THEN 1 WHEN n <= 1000 THEN 15 WHEN n <= 5000 THEN 30 ELSE 45 END AS days FROM (SELECT p_partkey, p_partkey AS n FROM part)")
+@query(
+    "SELECT p_partkey, n AS rank, CASE WHEN n <= 100 THEN 1 WHEN n <= 1000 THEN 15 WHEN n <= 5000 THEN 30 ELSE 45 END AS days FROM (SELECT p_partkey, p_partkey AS n FROM part)"
+)
 def refresh_threshold(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("rank"), labels.refresh_days(F.col("p_partkey")).alias("days"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_partkey").alias("rank"), labels.refresh_days(F.col("p_partkey")).alias("days")
+    )
 
 
 # --- catalog -------------------------------------------------------------------------------------------------------
@@ -381,12 +465,16 @@ def catalog_merge(spark, sf_dir):
     ident = F.concat(F.lit("/c"), c, F.lit("/Lib"), c)
     hits = read(spark, sf_dir, "orders").select(
         ident.alias("library_id"), c.alias("title"), F.lit(None).cast("string").alias("description"), F.floor("o_totalprice").cast("bigint").alias("stars"),
-        F.col("o_orderpriority").alias("source"), (100 - F.length("o_orderpriority")).alias("weight"), F.col("o_orderkey").alias("arrival"),
+        F.col("o_orderpriority").alias("source"), (
+            100 - F.length("o_orderpriority")
+        ).alias("weight"), F.col("o_orderkey").alias("arrival"),
     )
     return catalog.merge_candidates(hits, 50).select("library_id", "stars", "sources", "score", "rank")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 'dwidget') OR contains(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g'), 'dwidget') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g'), 'dwidget')")
+@query(
+    "SELECT p_partkey FROM part WHERE contains(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 'dwidget') OR contains(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g'), 'dwidget') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g'), 'dwidget')"
+)
 def name_match(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     return p.where(catalog.name_matches(p, F.lit("D-Widget"), ["p_name", "p_brand", "p_type"])).select("p_partkey")
@@ -398,27 +486,42 @@ SELECT event_id, CASE WHEN event_type = 'error' THEN 'indexed' WHEN user_id % 7
 )
 def freshness_state(spark, sf_dir):
     u, e = F.col("user_id"), F.col("event_id")
-    state = catalog.freshness_state(F.col("event_type") != "error", u % 7 != 0, F.col("ts"), F.lit(NOW).cast("timestamp"), u % 2, e % 2, u % 5 == 0)
+    state = catalog.freshness_state(
+        F.col("event_type") != "error", u % 7 != 0, F.col("ts"), F.lit(NOW).cast("timestamp"), u % 2, e % 2, u % 5 == 0
+    )
     return read(spark, sf_dir, "events").select("event_id", state.alias("state"))
 
 
-@query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND (l.quality = 1 OR d.source = 'src3') GROUP BY d.doc_id")
+@query(
+    "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND (l.quality = 1 OR d.source = 'src3') GROUP BY d.doc_id"
+)
 def policy_filter(spark, sf_dir):
     """Blocked documents never, excepted ones always, others by a condition."""
     d, lab = read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "labels")
     rated = d.join(lab.select("doc_id", "quality"), "doc_id")
-    return catalog.policy_filter(rated, F.col("quality") == 1, "doc_id", lab.where("toxic = 1"), d.where("source = 'src3'")).select("doc_id").distinct()
+    return catalog.policy_filter(
+        rated, F.col("quality") == 1, "doc_id", lab.where("toxic = 1"), d.where("source = 'src3'")
+    ).select("doc_id").distinct()
 
 
-@query("SELECT count(*) AS libraries, sum(sections)::BIGINT AS sections, sum(tokens)::BIGINT AS tokens, min(checked_at) AS oldest_check, count(*) FILTER (WHERE parser_version <> 'en') AS outdated FROM (SELECT source, count(*) AS sections, sum(ceil(length(text) / 4.0)::INTEGER) AS tokens, min(doc_id) AS checked_at, min(lang) AS parser_version FROM documents GROUP BY source)")
+@query(
+    "SELECT count(*) AS libraries, sum(sections)::BIGINT AS sections, sum(tokens)::BIGINT AS tokens, min(checked_at) AS oldest_check, count(*) FILTER (WHERE parser_version <> 'en') AS outdated FROM (SELECT source, count(*) AS sections, sum(ceil(length(text) / 4.0)::INTEGER) AS tokens, min(doc_id) AS checked_at, min(lang) AS parser_version FROM documents GROUP BY source)"
+)
 def index_health(spark, sf_dir):
-    m = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("sections"), F.sum(chunks.estimated_tokens(F.col("text"))).alias("tokens"), F.min("doc_id").alias("checked_at"), F.min("lang").alias("parser_version"))
+    m = read(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("sections"), F.sum(chunks.estimated_tokens(F.col("text"))).alias("tokens"),
+        F.min("doc_id").alias("checked_at"), F.min("lang").alias("parser_version")
+    )
     return catalog.index_health(m, "en")
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+@query(
+    "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1"
+)
 def event_log_latest(spark, sf_dir):
-    return catalog.latest_events(read(spark, sf_dir, "events"), F.col("user_id"), "event_id").select("user_id", "event_id", "event_type")
+    return catalog.latest_events(
+        read(spark, sf_dir, "events"), F.col("user_id"), "event_id"
+    ).select("user_id", "event_id", "event_type")
 
 
 @query(
@@ -427,7 +530,15 @@ SELECT count(*) AS processed, count(*) FILTER (WHERE s = 'succeeded') AS succeed
 )
 def progress_counts(spark, sf_dir):
     last = catalog.latest_events(read(spark, sf_dir, "events"), F.col("user_id"), "event_id")
-    return catalog.progress(last.withColumn("status", F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("skipped")), 100)
+    return catalog.progress(
+        last.withColumn(
+            "status",
+            F.when(
+                F.col("event_type") == "purchase", "succeeded"
+            ).when(F.col("event_type") == "error", "failed").otherwise("skipped")
+        ),
+        100
+    )
 
 
 @query(
@@ -436,13 +547,21 @@ SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM a WHE
 )
 def resumable_work(spark, sf_dir):
     """What a batch still has to do: neither done nor failed before."""
-    last = catalog.latest_events(read(spark, sf_dir, "events"), F.col("user_id"), "event_id").where("event_type IN ('purchase', 'error')")
-    return read(spark, sf_dir, "customer").join(last.select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    last = catalog.latest_events(
+        read(spark, sf_dir, "events"), F.col("user_id"), "event_id"
+    ).where("event_type IN ('purchase', 'error')")
+    return read(spark, sf_dir, "customer").join(
+        last.select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti"
+    ).select("c_custkey")
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL"
+)
 def usage_metrics(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(
+        F.count("*").alias("n"), F.count_distinct("user_id").alias("users")
+    )
 
 
 @query(
@@ -451,7 +570,9 @@ SELECT coalesce(d.source, a.source) AS source, d.v AS want, a.v AS have, CASE WH
 )
 def manifest_reconcile(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    want, have = d.where("lang <> 'es'").groupBy("source").agg(F.count("*").alias("v")), d.where("lang <> 'de' AND source <> 'src4'").groupBy("source").agg(F.count("*").alias("v"))
+    want, have = d.where("lang <> 'es'").groupBy("source").agg(F.count("*").alias("v")), d.where(
+        "lang <> 'de' AND source <> 'src4'"
+    ).groupBy("source").agg(F.count("*").alias("v"))
     return catalog.reconcile(want, have, "source", "v")
 
 
@@ -476,14 +597,19 @@ def session_seen(spark, sf_dir):
     return out.select("user_id", "session_no", "event_type", "event_id", "age")
 
 
-@query(f"WITH {SQL_SESSIONS} SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 1 HOUR AS ends, count(*) AS events FROM s GROUP BY user_id, session_no")
+@query(
+    f"WITH {SQL_SESSIONS} SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 1 HOUR AS ends, count(*) AS events FROM s GROUP BY user_id, session_no"
+)
 def session_ttl(spark, sf_dir):
     """Sessions with a sliding time to live, by Spark's session window."""
     e = read(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     # A window of one hour and a microsecond: an event exactly an hour later still belongs to the session.
     w = e.groupBy("user_id", F.session_window("t", "1 hour 1 microsecond").alias("w")).agg(F.count("*").alias("events"))
     end = F.col("w.end") - F.expr("INTERVAL 1 MICROSECOND")
-    return w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("starts"), end.cast("timestamp_ntz").alias("ends"), "events")
+    return w.select(
+        "user_id", F.col("w.start").cast("timestamp_ntz").alias("starts"), end.cast("timestamp_ntz").alias("ends"),
+        "events"
+    )
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
@@ -493,7 +619,10 @@ SQL_TURNS = "SELECT conv_id * 100 + turn AS id, conv_id::VARCHAR AS doc_path, ce
 
 def turn_chunks(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("doc_path"), chunks.estimated_tokens(F.col("text")).alias("tokens"), F.col("text").alias("content"))
+    return c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("doc_path"),
+        chunks.estimated_tokens(F.col("text")).alias("tokens"), F.col("text").alias("content")
+    )
 
 
 @query(
@@ -506,7 +635,9 @@ SELECT anchor_id, id, anchor_id = id AS is_anchor FROM walk WHERE taken"""
 def neighbor_expand(spark, sf_dir):
     """Every turn's surroundings in its conversation, within 500 tokens."""
     c = turn_chunks(spark, sf_dir)
-    return reading.neighbours(c, c.where("content IS NOT NULL").select(F.col("id").alias("anchor_id")), 500).select("anchor_id", "id", "is_anchor")
+    return reading.neighbours(
+        c, c.where("content IS NOT NULL").select(F.col("id").alias("anchor_id")), 500
+    ).select("anchor_id", "id", "is_anchor")
 
 
 @query(
@@ -524,7 +655,9 @@ SQL_VECTOR = f"{QUERY_VECTOR}::DOUBLE[]"
 SQL_COSINE = f"list_cosine_similarity(embedding::DOUBLE[], {SQL_VECTOR})"
 
 
-@query(f"SELECT vec_id AS id, round({SQL_COSINE}, 6) AS similarity FROM embeddings ORDER BY similarity DESC, id LIMIT 25")
+@query(
+    f"SELECT vec_id AS id, round({SQL_COSINE}, 6) AS similarity FROM embeddings ORDER BY similarity DESC, id LIMIT 25"
+)
 def cosine_topk(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return rerank.cosine_top(v, QUERY_VECTOR, 25).select("id", "similarity")
@@ -549,7 +682,9 @@ def vector_cache_missing(spark, sf_dir):
     return rerank.missing_vectors(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), v)
 
 
-@query("SELECT id, label FROM (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0)")
+@query(
+    "SELECT id, label FROM (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0)"
+)
 def vector_upsert(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return rerank.upsert(v, v.where("id % 3 = 0").withColumn("label", F.col("label") + 100), ["id"])
@@ -569,15 +704,27 @@ def eval_mrr_recall(spark, sf_dir):
 
     A scenario's list are the documents of its shard, shortest first; relevant are those that hold its passage.
     """
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), (F.col("doc_id") % 40).alias("shard"))
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), (F.col("item_id") % 40).alias("shard"))
-    lists = d.join(b, "shard").withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.length("body"), "doc_id")))
-    ranks = lists.groupBy("item_id").agg(F.coalesce(F.min(F.when(F.contains("body", F.col("passage")) & (F.col("n") <= 10), F.col("n"))), F.lit(0)).alias("rank"))
+    d = read(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("body"), (F.col("doc_id") % 40).alias("shard")
+    )
+    b = read(spark, sf_dir, "benchmark").select(
+        "item_id", F.col("text").alias("passage"), (F.col("item_id") % 40).alias("shard")
+    )
+    lists = d.join(b, "shard").withColumn(
+        "n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.length("body"), "doc_id"))
+    )
+    ranks = lists.groupBy("item_id").agg(
+        F.coalesce(
+            F.min(F.when(F.contains("body", F.col("passage")) & (F.col("n") <= 10), F.col("n"))), F.lit(0)
+        ).alias("rank")
+    )
     m = catalog.retrieval_metrics(ranks, "rank")
     return m.select("scenarios", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
 
 
-@query("WITH s AS (SELECT list_sort(list(value)) AS v, count(value) AS n FROM events) SELECT v[least(n - 1, floor(n * 0.5))::INTEGER + 1] AS p50, v[least(n - 1, floor(n * 0.95))::INTEGER + 1] AS p95 FROM s")
+@query(
+    "WITH s AS (SELECT list_sort(list(value)) AS v, count(value) AS n FROM events) SELECT v[least(n - 1, floor(n * 0.5))::INTEGER + 1] AS p50, v[least(n - 1, floor(n * 0.95))::INTEGER + 1] AS p95 FROM s"
+)
 def latency_percentile(spark, sf_dir):
     return catalog.exact_percentiles(read(spark, sf_dir, "events"), "value", [0.5, 0.95])
 
@@ -589,8 +736,13 @@ SELECT p_partkey, version, CASE WHEN a > [1, 5, 25]::BIGINT[] THEN 1 WHEN a < [1
 )
 def version_compare(spark, sf_dir):
     k = F.col("p_partkey")
-    version = F.concat_ws(".", (k % 3).cast("string"), (k % 11).cast("string"), F.concat(F.col("p_size").cast("string"), F.when(k % 2 == 0, "-beta").otherwise("")))
-    return read(spark, sf_dir, "part").select("p_partkey", version.alias("version"), identifiers.compare_versions(version, F.lit("1.5.25")).alias("compared"))
+    version = F.concat_ws(
+        ".", (k % 3).cast("string"), (k % 11).cast("string"),
+        F.concat(F.col("p_size").cast("string"), F.when(k % 2 == 0, "-beta").otherwise(""))
+    )
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", version.alias("version"), identifiers.compare_versions(version, F.lit("1.5.25")).alias("compared")
+    )
 
 
 # --- formats -------------------------------------------------------------------------------------------------------
@@ -603,10 +755,15 @@ def version_compare(spark, sf_dir):
 def snippet_format(spark, sf_dir):
     """A conversation as snippets: the assistant's turns as code, others as information."""
     c = read(spark, sf_dir, "conversations")
-    code = formats.code_snippet(F.col("role"), F.lit(None).cast("string"), F.array(F.struct(F.lit("").alias("language"), F.col("text").alias("code"))))
+    code = formats.code_snippet(
+        F.col("role"), F.lit(None).cast("string"),
+        F.array(F.struct(F.lit("").alias("language"), F.col("text").alias("code")))
+    )
     shown = F.when(F.col("role") == "assistant", code).otherwise(formats.info_snippet(F.col("role"), F.col("text")))
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text", shown.alias("shown"))))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(listed, lambda x: x["shown"]), formats.RULE).alias("shown"))
+    return c.groupBy("conv_id").agg(
+        F.array_join(F.transform(listed, lambda x: x["shown"]), formats.RULE).alias("shown")
+    )
 
 
 @query(
@@ -617,13 +774,19 @@ def snippet_format(spark, sf_dir):
 def result_format(spark, sf_dir):
     k = F.col("s_suppkey")
     block = formats.library_block(
-        F.col("s_name"), F.concat(F.lit("/s/"), k.cast("string")), F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))),
+        F.col("s_name"), F.concat(F.lit("/s/"), k.cast("string")), F.when(
+            F.col("s_nationkey") % 2 == 0, F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+        ),
         F.when(k % 3 > 0, k).otherwise(-1), labels.reputation(F.col("s_acctbal")),
     )
-    return read(spark, sf_dir, "supplier").select("s_suppkey", block.alias("block"), formats.fixed4(F.col("s_acctbal") / 7).alias("score"))
+    return read(spark, sf_dir, "supplier").select(
+        "s_suppkey", block.alias("block"), formats.fixed4(F.col("s_acctbal") / 7).alias("score")
+    )
 
 
-@query("SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[])::DECIMAL(9, 6)::DOUBLE AS self FROM embeddings")
+@query(
+    "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[])::DECIMAL(9, 6)::DOUBLE AS self FROM embeddings"
+)
 def cosine_self(spark, sf_dir):
     e = F.col("embedding")
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.cosine(e, e), 6).alias("self"))
@@ -638,12 +801,18 @@ f AS (SELECT library, t FROM e WHERE status = 'failed' ORDER BY t DESC, library
 SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'succeeded') AS migrated, count(*) FILTER (WHERE status = 'failed') AS failed, (SELECT string_agg(library, ',' ORDER BY t, library) FROM f) AS failures FROM e"""
 )
 def migration_progress(spark, sf_dir):
-    status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("skipped")
-    e = read(spark, sf_dir, "events").select(status.alias("status"), F.col("user_id").cast("string").alias("library"), F.col("event_id").alias("at"))
+    status = F.when(
+        F.col("event_type") == "purchase", "succeeded"
+    ).when(F.col("event_type") == "error", "failed").otherwise("skipped")
+    e = read(spark, sf_dir, "events").select(
+        status.alias("status"), F.col("user_id").cast("string").alias("library"), F.col("event_id").alias("at")
+    )
     return catalog.migration_progress(e).withColumn("failures", F.array_join("failures", ","))
 
 
-@query("SELECT n_name AS name, r.registry_no, r.registry FROM nation, (VALUES (0, 'npm'), (1, 'pypi'), (2, 'crates')) r(registry_no, registry)")
+@query(
+    "SELECT n_name AS name, r.registry_no, r.registry FROM nation, (VALUES (0, 'npm'), (1, 'pypi'), (2, 'crates')) r(registry_no, registry)"
+)
 def registry_lookups(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ordinal"))
     return catalog.product_in_order(n, ["npm", "pypi", "crates"]).select("name", "registry_no", "registry")
@@ -655,24 +824,35 @@ SELECT name, ordinal, list_no FROM (SELECT *, row_number() OVER (PARTITION BY lo
 )
 def candidate_union(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    one, two = d.where("lang = 'en'").select(F.lower("source").alias("name"), F.col("doc_id").alias("ordinal")), d.where("lang <> 'en'").select(F.upper("source").alias("name"), F.col("doc_id").alias("ordinal"))
+    one, two = d.where("lang = 'en'").select(
+        F.lower("source").alias("name"), F.col("doc_id").alias("ordinal")
+    ), d.where("lang <> 'en'").select(F.upper("source").alias("name"), F.col("doc_id").alias("ordinal"))
     return catalog.union_keep_first([one, two], "name").select("name", "ordinal", "list_no")
 
 
-@query("SELECT bool_or(event_type = 'view' AND value > 0) AS cli, bool_or(event_type = 'nothing') AS server, 'cli' AS modes FROM events")
+@query(
+    "SELECT bool_or(event_type = 'view' AND value > 0) AS cli, bool_or(event_type = 'nothing') AS server, 'cli' AS modes FROM events"
+)
 def agent_modes(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(((F.col("event_type") == "view") & (F.col("value") > 0)).alias("cli"), (F.col("event_type") == "nothing").alias("server"))
+    e = read(spark, sf_dir, "events").select(
+        ((F.col("event_type") == "view") & (F.col("value") > 0)).alias("cli"),
+        (F.col("event_type") == "nothing").alias("server")
+    )
     return catalog.agent_modes(e).withColumn("modes", F.array_join("modes", ","))
 
 
-@query("SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS code, count(*) FILTER (WHERE role <> 'assistant') AS info, count(*) AS snippets FROM conversations GROUP BY conv_id")
+@query(
+    "SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS code, count(*) FILTER (WHERE role <> 'assistant') AS info, count(*) AS snippets FROM conversations GROUP BY conv_id"
+)
 def snippet_totals(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     code, info = F.count_if(F.col("role") == "assistant"), F.count_if(F.col("role") != "assistant")
     return c.groupBy("conv_id").agg(code.alias("code"), info.alias("info"), F.count("*").alias("snippets"))
 
 
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END, 0) DESC, s_suppkey)::INTEGER AS place FROM supplier QUALIFY place <= 30")
+@query(
+    "SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END, 0) DESC, s_suppkey)::INTEGER AS place FROM supplier QUALIFY place <= 30"
+)
 def by_installs(spark, sf_dir):
     """The most installed first; unknown counts as none."""
     n = F.coalesce(F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal")), F.lit(0.0))
@@ -680,20 +860,29 @@ def by_installs(spark, sf_dir):
     return top.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("n"), "s_suppkey")).alias("place"))
 
 
-@query("SELECT event_id, floor(epoch(ts)) - 60 <= epoch(TIMESTAMP '2024-01-15 00:00:00') AS expired, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS shown FROM events")
+@query(
+    "SELECT event_id, floor(epoch(ts)) - 60 <= epoch(TIMESTAMP '2024-01-15 00:00:00') AS expired, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS shown FROM events"
+)
 def token_expiry(spark, sf_dir):
     t = F.col("ts").cast("timestamp")
-    return read(spark, sf_dir, "events").select("event_id", labels.token_expired(t, F.lit("2024-01-15 00:00:00")).alias("expired"), formats.iso_time(t).alias("shown"))
+    return read(spark, sf_dir, "events").select(
+        "event_id", labels.token_expired(t, F.lit("2024-01-15 00:00:00")).alias("expired"),
+        formats.iso_time(t).alias("shown")
+    )
 
 
-@query("SELECT item_id, CASE WHEN s = 429 THEN 'Rate limited or quota exceeded. ' || CASE WHEN item_id % 2 = 0 THEN 'Upgrade your plan for higher limits.' ELSE 'Create an API key for higher limits.' END WHEN s = 404 THEN 'The library you are trying to access does not exist.' WHEN s = 401 THEN 'Invalid API key.' ELSE 'Request failed with status ' || s || '.' END AS message FROM (SELECT item_id, [429, 404, 401, 500][item_id % 4 + 1] AS s FROM benchmark)")
+@query(
+    "SELECT item_id, CASE WHEN s = 429 THEN 'Rate limited or quota exceeded. ' || CASE WHEN item_id % 2 = 0 THEN 'Upgrade your plan for higher limits.' ELSE 'Create an API key for higher limits.' END WHEN s = 404 THEN 'The library you are trying to access does not exist.' WHEN s = 401 THEN 'Invalid API key.' ELSE 'Request failed with status ' || s || '.' END AS message FROM (SELECT item_id, [429, 404, 401, 500][item_id % 4 + 1] AS s FROM benchmark)"
+)
 def status_messages(spark, sf_dir):
     i = F.col("item_id")
     s = F.element_at(F.array(*map(F.lit, [429, 404, 401, 500])), (i % 4 + 1).cast("int"))
     return read(spark, sf_dir, "benchmark").select("item_id", labels.status_message(s, i % 2 == 0).alias("message"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(p_name || ' documentation Source: https://x.y/z end', '(?i)Source:\s*https?://\S+', '', 'g') AS bare, trim(regexp_replace(p_name || ' Docs reference', '(?i)([ _-]+(docs|documentation|manual|reference|references))+$', '')) AS short FROM part")
+@query(
+    r"SELECT p_partkey, regexp_replace(p_name || ' documentation Source: https://x.y/z end', '(?i)Source:\s*https?://\S+', '', 'g') AS bare, trim(regexp_replace(p_name || ' Docs reference', '(?i)([ _-]+(docs|documentation|manual|reference|references))+$', '')) AS short FROM part"
+)
 def snippet_names(spark, sf_dir):
     name = F.col("p_name")
     bare = text.without_source_lines(F.concat(name, F.lit(" documentation Source: https://x.y/z end")))
@@ -714,7 +903,14 @@ def stream_seen(spark, sf_dir):
     at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lexispark-checkpoints'}/stream-{uuid.uuid4().hex}"
     # A stream's source is a folder; the table may be a single file, so its path is given as a glob.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = events.select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("library"), (F.col("event_id") % 50).alias("id"), "ts")
-    run = sessions.stream_seen(rows).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    rows = events.select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("library"),
+        (F.col("event_id") % 50).alias("id"), "ts"
+    )
+    run = sessions.stream_seen(rows).writeStream.format("parquet").option("path", f"{at}/rows").option(
+        "checkpointLocation", f"{at}/state"
+    ).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{at}/rows").groupBy("session", "library").agg(F.count("*").alias("views"), F.count_if("fresh").alias("fresh"))
+    return spark.read.parquet(f"{at}/rows").groupBy("session", "library").agg(
+        F.count("*").alias("views"), F.count_if("fresh").alias("fresh")
+    )

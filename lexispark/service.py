@@ -58,7 +58,9 @@ def with_retries(call: Callable[[], object], attempts: int = 5, sleep: Callable[
     raise AssertionError
 
 
-def embed(texts: DataFrame, call: Callable[[list[str]], list[list[float]]], batch: int = 16, most_dims: int = 4096) -> DataFrame:
+def embed(
+    texts: DataFrame, call: Callable[[list[str]], list[list[float]]], batch: int = 16, most_dims: int = 4096
+) -> DataFrame:
     """Vectors of (id, text) by an embedding service's call, in batches on the executors.
 
     A batch whose vectors differ in number or length, or aren't finite, fails.
@@ -73,7 +75,9 @@ def embed(texts: DataFrame, call: Callable[[list[str]], list[list[float]]], batc
                 part = df.iloc[at : at + batch]
                 got = call(part["text"].tolist())
                 dims = {len(v) for v in got}
-                if len(got) != len(part) or len(dims) != 1 or not 0 < max(dims) <= most_dims or not all(math.isfinite(x) for v in got for x in v):
+                if len(got) != len(part) or len(dims) != 1 or not 0 < max(dims) <= most_dims or not all(
+                    math.isfinite(x) for v in got for x in v
+                ):
                     raise ValueError("the embedding service gave other vectors than asked for")
                 yield pd.DataFrame({"id": part["id"], "embedding": got})
 
@@ -99,7 +103,9 @@ class Service:
     seen: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     query_vector: Callable[[str], list[float]] | None = None
 
-    def index(self, ident: str, files: DataFrame, commit: str, repository_url: str, n_rules: int = 0, **limits: int) -> DataFrame:
+    def index(
+        self, ident: str, files: DataFrame, commit: str, repository_url: str, n_rules: int = 0, **limits: int
+    ) -> DataFrame:
         """Select files, cut them into chunks, and make the library searchable; returns the selection's counts."""
         selected = selection.select_files(files, **limits)
         made = chunks.chunk_markdown(selected.where("disposition = 'selected'").select("path", "content"))
@@ -114,19 +120,31 @@ class Service:
 
     def resolve(self, name: str, limit: int = 10) -> DataFrame:
         """Indexed libraries whose id fits a name, as text blocks."""
-        rows = self.spark.createDataFrame([(x.id, x.id.split("/")[-1], x.commit) for x in self.libraries.values()], "id string, title string, commit string")
+        rows = self.spark.createDataFrame(
+            [(x.id, x.id.split("/")[-1], x.commit) for x in self.libraries.values()],
+            "id string, title string, commit string"
+        )
         source = F.concat(F.lit("index at commit "), F.col("commit"))
         block = formats.library_block(F.col("title"), F.col("id"), source, F.lit(-1), reputation(F.lit(8)))
-        return rows.where(catalog.name_matches(rows, F.lit(name), ["id", "title"])).orderBy("id").limit(limit).select("id", "title", block.alias("block"))
-
-    def search_docs(self, ident: str, query: str, limit: int = 12, max_tokens: int | None = None, session: str | None = None, include_seen: bool = False) -> DataFrame:
+        return rows.where(
+            catalog.name_matches(rows, F.lit(name), ["id", "title"])
+        ).orderBy("id").limit(limit).select("id", "title", block.alias("block"))
+
+    def search_docs(
+        self, ident: str, query: str, limit: int = 12, max_tokens: int | None = None, session: str | None = None,
+        include_seen: bool = False
+    ) -> DataFrame:
         """Previews of the best chunks, without those that the session has seen."""
         lib, key = self.library(ident), (session or "", ident.lower())
         seen = None if include_seen or session is None else self.seen.get(key)
         found = search.search(lib.chunks, query, min(max(limit, 1), 30), max_tokens, seen)
         rows = found.select(
-            "position", "id", "doc_path", "section_title", "score", "matched_queries", identifiers.result_key(F.lit(lib.commit), F.col("id")).alias("key"),
-            identifiers.source_url(F.lit(lib.repository_url), F.lit(lib.commit), F.col("doc_path")).alias("url"), preview(F.col("content")).alias("preview"),
+            "position", "id", "doc_path", "section_title", "score", "matched_queries", identifiers.result_key(
+                F.lit(lib.commit), F.col("id")
+            ).alias("key"),
+            identifiers.source_url(
+                F.lit(lib.repository_url), F.lit(lib.commit), F.col("doc_path")
+            ).alias("url"), preview(F.col("content")).alias("preview"),
         ).cache()
         if session is not None:
             new = rows.select("id")
@@ -138,7 +156,9 @@ class Service:
         lib = self.library(ident)
         found = search.search(lib.chunks, query, 24, 4_000)
         if ident.lower() in self.vectors and plan_query(query):
-            found = rerank.rerank(found, self.vectors[ident.lower()], self._query_vector(query)).drop("position").withColumn("position", -F.col("score"))
+            found = rerank.rerank(
+                found, self.vectors[ident.lower()], self._query_vector(query)
+            ).drop("position").withColumn("position", -F.col("score"))
         url = identifiers.source_url(F.lit(lib.repository_url), F.lit(lib.commit), F.col("doc_path"))
         part = F.concat(F.lit("## "), F.col("section_title"), F.lit("\nSource: "), url, F.lit("\n\n"), F.col("content"))
         return self._text(lib, found.withColumn("part", part), "position", "part")
@@ -151,24 +171,34 @@ class Service:
     def read_docs(self, ident: str, key: str, max_tokens: int | None = None) -> str:
         """A result with its neighbours; a key of another commit is stale."""
         lib = self.library(ident)
-        found = self.spark.range(1).select(identifiers.parse_result_key(F.lit(key), F.lit(lib.commit)).alias("k")).first()["k"]
+        found = self.spark.range(1).select(
+            identifiers.parse_result_key(F.lit(key), F.lit(lib.commit)).alias("k")
+        ).first()["k"]
         if found["state"] != "ok":
             return f"The result key is {found['state']}."
-        near = reading.neighbours(lib.chunks, self.spark.createDataFrame([(found["chunk_id"],)], "anchor_id bigint"), max_tokens)
+        near = reading.neighbours(
+            lib.chunks, self.spark.createDataFrame([(found["chunk_id"],)], "anchor_id bigint"), max_tokens
+        )
         part = F.concat(F.lit("## "), F.col("section_title"), F.lit("\n\n"), F.col("content"))
         return self._text(lib, near.withColumn("part", part), "id", "part")
 
     def grep_docs(self, ident: str, pattern: str, limit: int | None = None) -> DataFrame:
-        return reading.grep(self.library(ident).chunks, pattern, limit).select("id", "doc_path", "section_title", "snippet")
+        return reading.grep(self.library(ident).chunks, pattern, limit).select(
+            "id", "doc_path", "section_title", "snippet"
+        )
 
     def status(self) -> DataFrame:
         """Health of all indexes: libraries, sections, tokens, outdated ones."""
         rows = None
         for lib in self.libraries.values():
-            one = lib.chunks.agg(F.count("*").alias("sections"), F.sum("tokens").alias("tokens")).select("*", F.lit(lib.commit).alias("checked_at"), F.lit(PARSER).alias("parser_version"))
+            one = lib.chunks.agg(F.count("*").alias("sections"), F.sum("tokens").alias("tokens")).select(
+                "*", F.lit(lib.commit).alias("checked_at"), F.lit(PARSER).alias("parser_version")
+            )
             rows = one if rows is None else rows.unionByName(one)
         if rows is None:
-            rows = self.spark.createDataFrame([], "sections bigint, tokens bigint, checked_at string, parser_version string")
+            rows = self.spark.createDataFrame(
+                [], "sections bigint, tokens bigint, checked_at string, parser_version string"
+            )
         return catalog.index_health(rows, PARSER)
 
     def evaluate(self, ident: str, qrels: list[tuple[str, str]]) -> DataFrame:
@@ -176,15 +206,33 @@ class Service:
         lib, out = self.library(ident), []
         for query, path in qrels:
             want = path.replace("\\", "/").lower()
-            first: Callable[[DataFrame, Column], int] = lambda df, order: next((k + 1 for k, r in enumerate(df.orderBy(order).select("doc_path").collect()) if want in r["doc_path"].replace("\\", "/").lower()), 0)  # noqa: B023, E731
+            first: Callable[[DataFrame, Column], int] = lambda df, order: next(
+                (
+                    k + 1 for k,
+                    r in enumerate(
+                        df.orderBy(order).select("doc_path").collect()
+                    ) if want in r["doc_path"].replace("\\", "/").lower()
+                ),
+                0
+            )  # noqa: B023, E731
             t0 = time.perf_counter()
             legacy = first(search.legacy_top(lib.chunks, query), F.col("rank")) if terms(query) else 0
             t1 = time.perf_counter()
             fused = first(search.search(lib.chunks, query, 10, 5_000), F.col("position"))
             out.append((query, path, legacy, fused, (t1 - t0) * 1000, (time.perf_counter() - t1) * 1000))
-        return self.spark.createDataFrame(out, "query string, path string, legacy_rank int, fused_rank int, legacy_ms double, fused_ms double")
+        return self.spark.createDataFrame(
+            out, "query string, path string, legacy_rank int, fused_rank int, legacy_ms double, fused_ms double"
+        )
 
     def _text(self, lib: Library, rows: DataFrame, order: str, part: str) -> str:
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("id"), F.col(part).alias("p")))), lambda x: x["p"]), formats.BREAK)
+        listed = F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("id"), F.col(part).alias("p")))),
+                lambda x: x["p"]
+            ),
+            formats.BREAK
+        )
         head = formats.provenance(F.lit(lib.id), F.lit(lib.commit), F.lit(lib.n_rules))
-        return rows.agg(formats.truncate(F.concat(head, F.lit("\n\n"), listed), MOST_RESULT_CHARS).alias("t")).first()["t"]
+        return rows.agg(
+            formats.truncate(F.concat(head, F.lit("\n\n"), listed), MOST_RESULT_CHARS).alias("t")
+        ).first()["t"]

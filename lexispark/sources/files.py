@@ -15,18 +15,27 @@ def walk(spark: SparkSession, root: str, max_file_bytes: int = 2_097_152) -> Dat
     base = root.rstrip("/").removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{base.lstrip('/')}/", "")
     rows = files.select(path.alias("path"), F.col("path").alias("location"), F.col("length").alias("bytes"))
-    return rows.where(is_documentation(F.col("path")) & ~in_excluded_folder(F.col("path")) & (F.col("bytes") <= max_file_bytes))
+    return rows.where(
+        is_documentation(F.col("path")) & ~in_excluded_folder(F.col("path")) & (F.col("bytes") <= max_file_bytes)
+    )
 
 
-def read_bounded(spark: SparkSession, root: str, max_files: int = 5000, max_file_bytes: int = 2_097_152, max_index_bytes: int = 209_715_200) -> DataFrame:
+def read_bounded(
+    spark: SparkSession, root: str, max_files: int = 5000, max_file_bytes: int = 2_097_152,
+    max_index_bytes: int = 209_715_200
+) -> DataFrame:
     """(path, content) of the files worth reading first, within twice the file limit and a byte budget.
 
     The budget is folded over names and sizes; only chosen files are read.
     """
     found = walk(spark, root, max_file_bytes).withColumn("p", -priority(F.col("path"))).withColumn("g", F.lit(1))
     budget = max_index_bytes + min(max_index_bytes, 64 * max_file_bytes)
-    chosen = budget_fold(found.select("g", "p", "path", "bytes"), ["g"], ["p", "path"], "bytes", 2 * max_files, budget).where("taken").select("path")
-    locations = [r["location"] for r in found.join(chosen, "path").select("location").collect()]  # at most 2 * max_files names
+    chosen = budget_fold(
+        found.select("g", "p", "path", "bytes"), ["g"], ["p", "path"], "bytes", 2 * max_files, budget
+    ).where("taken").select("path")
+    locations = [
+        r["location"] for r in found.join(chosen, "path").select("location").collect()
+    ]  # at most 2 * max_files names
     if not locations:
         return spark.createDataFrame([], "path string, content string")
     base = root.rstrip("/").removeprefix("file:").lstrip("/")
@@ -47,7 +56,10 @@ def project_config(text: Column, most_bytes: int = 1 << 20) -> Column:
 def versions(config: Column) -> Column:
     """Tags, then branches, as they are listed."""
     none = F.array().cast("array<string>")
-    return F.concat(F.coalesce(F.transform(config["previousVersions"], lambda v: v["tag"]), none), F.coalesce(F.transform(config["branchVersions"], lambda v: v["branch"]), none))
+    return F.concat(
+        F.coalesce(F.transform(config["previousVersions"], lambda v: v["tag"]), none),
+        F.coalesce(F.transform(config["branchVersions"], lambda v: v["branch"]), none)
+    )
 
 
 def json_string(text: Column, path: str) -> Column:
@@ -59,14 +71,19 @@ def json_string(text: Column, path: str) -> Column:
 def json_number(text: Column, path: str) -> Column:
     """A finite number field; null for another type."""
     value = F.variant_get(F.try_parse_json(text), path, "variant")
-    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), F.get_json_object(text, path).try_cast("double"))
+    return F.when(
+        F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"),
+        F.get_json_object(text, path).try_cast("double")
+    )
 
 
 def dependencies(manifests: DataFrame) -> DataFrame:
     """Distinct names that package.json, requirements.txt and pyproject.toml files (path, content) depend on."""
     c = F.col("content")
     kinds = "map<string,string>"
-    keys = lambda p: F.coalesce(F.map_keys(F.from_json(F.get_json_object(c, p), kinds)), F.array().cast("array<string>"))
+    keys = lambda p: F.coalesce(
+        F.map_keys(F.from_json(F.get_json_object(c, p), kinds)), F.array().cast("array<string>")
+    )
     npm = F.filter(F.concat(keys("$.dependencies"), keys("$.devDependencies")), lambda n: ~n.startswith("@types/"))
     lines = F.transform(F.split(c, r"\r?\n"), lambda x: F.trim(x))
     name = lambda x: F.regexp_extract(x, r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
@@ -74,14 +91,20 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     listed = F.regexp_extract(c, r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\]\s*(?:\n|$)", 1)
     project = F.transform(F.regexp_extract_all(listed, F.lit("[\"']([^\"']+)[\"']"), F.lit(1)), name)
     table = F.regexp_extract(c, r"(?s)\[tool\.poetry\.dependencies\](.*?)(?:\n\[|$)", 1)
-    poetry = F.filter(F.regexp_extract_all(table, F.lit(r"(?m)^([A-Za-z0-9._-]+)\s*="), F.lit(1)), lambda n: n != "python")
-    of = F.when(F.col("path").endswith("package.json"), npm).when(F.col("path").endswith("requirements.txt"), pip).when(F.col("path").endswith("pyproject.toml"), F.concat(project, poetry))
+    poetry = F.filter(
+        F.regexp_extract_all(table, F.lit(r"(?m)^([A-Za-z0-9._-]+)\s*="), F.lit(1)), lambda n: n != "python"
+    )
+    of = F.when(F.col("path").endswith("package.json"), npm).when(F.col("path").endswith("requirements.txt"), pip).when(
+        F.col("path").endswith("pyproject.toml"), F.concat(project, poetry)
+    )
     return manifests.select(F.explode(of).alias("name")).where("name != ''").distinct()
 
 
 def skill_files(tree: DataFrame, prefix: str = "") -> DataFrame:
     """Skill files of a repository tree (path, type) below a prefix."""
-    return tree.where((F.col("type") == "blob") & F.lower("path").endswith("skill.md") & F.startswith(F.col("path"), F.lit(prefix)))
+    return tree.where(
+        (F.col("type") == "blob") & F.lower("path").endswith("skill.md") & F.startswith(F.col("path"), F.lit(prefix))
+    )
 
 
 def preferred_commit(refs: DataFrame, ref: str) -> DataFrame:
@@ -96,15 +119,27 @@ def toml_section(text: Column, section: str) -> Column:
     """The keys of a TOML section with their values as JSON texts."""
     body = F.regexp_extract(text, rf"(?s)(?:^|\n)\[{section}\][^\n]*\n(.*?)(?:\n\[|$)", 1)
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z0-9_-]+\s*="))
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*([A-Za-z0-9_-]+)", 1).alias("k"), F.trim(F.regexp_extract(x, "=(.*)$", 1)).alias("v"))))
+    return F.map_from_entries(
+        F.transform(
+            lines,
+            lambda x: F.struct(
+                F.regexp_extract(x, r"^\s*([A-Za-z0-9_-]+)", 1).alias("k"),
+                F.trim(F.regexp_extract(x, "=(.*)$", 1)).alias("v")
+            )
+        )
+    )
 
 
 def installed_skills(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Skills (location, name) in folders of skills: a folder with a skill file, by the file listing alone."""
     rows = None
     for root in roots:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").load(root).select("path")
-        one = found.select(F.lit(root).alias("location"), F.regexp_extract("path", "([^/]+)/SKILL\\.md$", 1).alias("name"))
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "SKILL.md"
+        ).load(root).select("path")
+        one = found.select(
+            F.lit(root).alias("location"), F.regexp_extract("path", "([^/]+)/SKILL\\.md$", 1).alias("name")
+        )
         rows = one if rows is None else rows.unionByName(one)
     return rows.where("name != ''").distinct()
 

@@ -26,7 +26,9 @@ EVENT = "libraryId string, status string, error string, elapsedMs bigint, finish
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """All valid manifests of a folder, one JSON object in a file, with their storage key."""
     rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
-    return rows.where("schemaVersion = 1 AND id IS NOT NULL AND commitSha IS NOT NULL").withColumn("key", storage_key(F.col("id")))
+    return rows.where(
+        "schemaVersion = 1 AND id IS NOT NULL AND commitSha IS NOT NULL"
+    ).withColumn("key", storage_key(F.col("id")))
 
 
 def find_manifest(manifests: DataFrame, ident: str) -> DataFrame:
@@ -36,8 +38,12 @@ def find_manifest(manifests: DataFrame, ident: str) -> DataFrame:
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """The last event of each library in a log of JSON lines; blank and partial lines are left out."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    parsed = lines.select("file", "line", F.from_json("value", EVENT).alias("e")).where("e.libraryId IS NOT NULL AND e.status IS NOT NULL").select("line", "e.*")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")
+    )
+    parsed = lines.select(
+        "file", "line", F.from_json("value", EVENT).alias("e")
+    ).where("e.libraryId IS NOT NULL AND e.status IS NOT NULL").select("line", "e.*")
     return latest_events(parsed, F.lower("libraryId"), "line").drop("line")
 
 
@@ -47,7 +53,9 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The libraries of a catalog file; none if it is of another version."""
-    rows = spark.read.option("multiLine", True).schema("schemaVersion int, libraries array<struct<libraryId string, title string, description string, stars bigint, sources array<string>, score bigint, rank int>>").json(path)
+    rows = spark.read.option("multiLine", True).schema(
+        "schemaVersion int, libraries array<struct<libraryId string, title string, description string, stars bigint, sources array<string>, score bigint, rank int>>"
+    ).json(path)
     return rows.where("schemaVersion = 1").select(F.explode("libraries").alias("l")).select("l.*")
 
 
@@ -64,13 +72,17 @@ def publish(spark: SparkSession, table: DataFrame, root: str, name: str) -> str:
     """
     at = f"{root}/{name}/versions/{uuid.uuid4().hex}"
     table.write.parquet(at)
-    spark.createDataFrame([(name, at)], "name string, at string").withColumn("published", F.current_timestamp()).write.mode("append").json(f"{root}/{name}/pointer")
+    spark.createDataFrame(
+        [(name, at)], "name string, at string"
+    ).withColumn("published", F.current_timestamp()).write.mode("append").json(f"{root}/{name}/pointer")
     return at
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The version of a table that was published last."""
-    at = spark.read.schema("name string, at string, published timestamp").json(f"{root}/{name}/pointer").orderBy(F.desc("published"), "at").first()["at"]
+    at = spark.read.schema(
+        "name string, at string, published timestamp"
+    ).json(f"{root}/{name}/pointer").orderBy(F.desc("published"), "at").first()["at"]
     return spark.read.parquet(at)
 
 
@@ -81,7 +93,9 @@ def upsert_published(spark: SparkSession, rows: DataFrame, root: str, name: str,
 
 def import_libraries(current: DataFrame, bundle: DataFrame, key: str = "id", force: bool = False) -> DataFrame:
     """Libraries after an import: existing ones stay unless the import is forced."""
-    return upsert(current, bundle, [key]) if force else current.unionByName(bundle.join(current.select(key), key, "left_anti"))
+    return upsert(current, bundle, [key]) if force else current.unionByName(
+        bundle.join(current.select(key), key, "left_anti")
+    )
 
 
 def valid_vectors(cache: DataFrame, commit: str, model: str) -> DataFrame:
@@ -95,10 +109,18 @@ def registry_repositories(packages: DataFrame) -> DataFrame:
     of = lambda *paths: F.coalesce(*[parse_repository(F.get_json_object(j, p)) for p in paths])
     ref = (
         F.when(F.col("registry") == "npm", of("$.repository.url", "$.repository"))
-        .when(F.col("registry") == "pypi", of("$.info.project_urls.Source", "$.info.project_urls.Repository", "$.info.project_urls.Code", "$.info.home_page"))
+        .when(
+            F.col("registry") == "pypi",
+            of(
+                "$.info.project_urls.Source", "$.info.project_urls.Repository", "$.info.project_urls.Code",
+                "$.info.home_page"
+            )
+        )
         .when(F.col("registry") == "crates", of("$.crate.repository"))
     )
-    return packages.select("registry", "name", ref.alias("ref")).where("ref IS NOT NULL").select("registry", "name", "ref.*")
+    return packages.select(
+        "registry", "name", ref.alias("ref")
+    ).where("ref IS NOT NULL").select("registry", "name", "ref.*")
 
 
 class BuildLock:

@@ -18,7 +18,9 @@ def stream_seen(events: DataFrame, ttl_ms: int = 3_600_000, most: int = 500) ->
     The state of a session and library is the ids it has seen, oldest first, at most ``most``; seeing an id again
     doesn't renew it. It ends when the session is idle for ``ttl_ms`` of event time. Libraries count in any case.
     """
-    rows = events.select("session", F.lower("library").alias("library"), "id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", f"{ttl_ms} milliseconds")
+    rows = events.select(
+        "session", F.lower("library").alias("library"), "id", F.col("ts").cast("timestamp").alias("ts")
+    ).withWatermark("ts", f"{ttl_ms} milliseconds")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,7 +44,9 @@ def stream_seen(events: DataFrame, ttl_ms: int = 3_600_000, most: int = 500) ->
         state.setTimeoutTimestamp(max(touched + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "library", "id", "fresh", "seen_count"])
 
-    return rows.groupBy("session", "library").applyInPandasWithState(step, SEEN, "touched long, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("session", "library").applyInPandasWithState(
+        step, SEEN, "touched long, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def session_counts(events: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -52,7 +56,9 @@ def session_counts(events: DataFrame, gap: str = "1 hour", late: str = "1 hour")
     return w.select("session", F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), "events")
 
 
-def protocol_session(expires_ms: int | None, now_ms: int, ttl_ms: int = 7 * 86_400_000, renew_below_ms: int = 86_400_000) -> tuple[int | None, bool]:
+def protocol_session(
+    expires_ms: int | None, now_ms: int, ttl_ms: int = 7 * 86_400_000, renew_below_ms: int = 86_400_000
+) -> tuple[int | None, bool]:
     """A protocol session's expiry after a request, and whether it was alive: renewed only when little is left."""
     if expires_ms is None or expires_ms <= now_ms:
         return None, False

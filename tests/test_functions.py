@@ -17,7 +17,10 @@ def one(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("/vercel/next.js/v16.0.0", "/vercel/next.js/v16.0.0"), (" a/b/ ", "/a/b"), ("/owner/repo;whoami", None), ("/owner/repo/../../main", None), ("a", None), ("/a/..", None), ("", None), (None, None)],
+    [
+        ("/vercel/next.js/v16.0.0", "/vercel/next.js/v16.0.0"), (" a/b/ ", "/a/b"), ("/owner/repo;whoami", None),
+        ("/owner/repo/../../main", None), ("a", None), ("/a/..", None), ("", None), (None, None)
+    ],
 )
 def test_library_ids(one, text, want):
     got = one(ids.parse_library_id(F.lit(text).cast("string")))
@@ -27,8 +30,16 @@ def test_library_ids(one, text, want):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("git+https://github.com/fastify/fastify.git", "/fastify/fastify"), ("git@github.com:a/b-c.git", "/a/b-c"), ("ssh://git@github.com/a/b", "/a/b"), ("git://GitHub.com/a/b.git", "/a/b"), ("a/b.git", "/a/b"),
-        ("https://example.com/owner/repo", None), ("https://github.com/a/b/c", None), ("https://github.com/a/b?x=1", "/a/b"), ("http://github.com/a/b", None), ("", None),
+        (
+            "git+https://github.com/fastify/fastify.git", "/fastify/fastify"
+        ), (
+            "git@github.com:a/b-c.git", "/a/b-c"
+        ), ("ssh://git@github.com/a/b", "/a/b"), ("git://GitHub.com/a/b.git", "/a/b"), ("a/b.git", "/a/b"),
+        (
+            "https://example.com/owner/repo", None
+        ), ("https://github.com/a/b/c", None), (
+            "https://github.com/a/b?x=1", "/a/b"
+        ), ("http://github.com/a/b", None), ("", None),
     ],
 )
 def test_repositories(one, text, want):
@@ -37,7 +48,10 @@ def test_repositories(one, text, want):
 
 
 def test_versions(one):
-    for a, b, want in (("0.3.14", "0.3.13", 1), ("0.3.13", "0.3.13", 0), ("0.3.13-beta", "0.3.14", -1), ("1.x", "1.0.0", 0), ("2", "1.9", 1)):
+    for a, b, want in (
+        ("0.3.14", "0.3.13", 1), ("0.3.13", "0.3.13", 0), ("0.3.13-beta", "0.3.14", -1), ("1.x", "1.0.0", 0),
+        ("2", "1.9", 1)
+    ):
         assert one(ids.compare_versions(F.lit(a), F.lit(b))) == want
 
 
@@ -47,7 +61,9 @@ def test_keys_and_urls(one):
     assert tuple(one(ids.parse_result_key(F.lit("7"), F.lit(sha)))) == (7, "ok")
     assert tuple(one(ids.parse_result_key(F.lit("f" * 40 + ":7"), F.lit(sha)))) == (None, "stale")
     assert tuple(one(ids.parse_result_key(F.lit("x:7"), F.lit(sha)))) == (None, "invalid")
-    assert one(ids.source_url(F.lit("https://github.com/a/b.git"), F.lit("c"), F.lit("d e/(f)'!~*.md"))) == "https://github.com/a/b/blob/c/d%20e/(f)'!~*.md"
+    assert one(
+        ids.source_url(F.lit("https://github.com/a/b.git"), F.lit("c"), F.lit("d e/(f)'!~*.md"))
+    ) == "https://github.com/a/b/blob/c/d%20e/(f)'!~*.md"
     assert one(ids.canonical_url(F.lit("https://a/b?c=1#d"))) == "https://a/b?c=1"
     assert one(ids.recover_library_id(F.lit("C:/Program Files/Git/a/b"))) == "/a/b"
     assert one(ids.tree_address(F.lit("https://github.com/a/b/tree/main/x/y")))["path"] == "x/y"
@@ -59,18 +75,26 @@ def test_paths(one):
     assert one(paths.priority(F.lit("docs/api.md"))) == 310 - 0 and one(paths.priority(F.lit("README.md"))) == 250
     assert one(paths.priority(F.lit("z.md"), F.lit(262_144 * 3))) == 47
     for path, pattern, want in (
-        ("a/temp/x.md", "temp", True), ("temp", "**/temp", False), ("a/temp/x", "**/temp", True), ("docs/internal/x", "docs/**/internal", False), ("x/docs/a.md", "./docs", False), ("docs/a.md", "./docs", True),
+        ("a/temp/x.md", "temp", True), ("temp", "**/temp", False), ("a/temp/x", "**/temp", True), (
+            "docs/internal/x", "docs/**/internal", False
+        ), ("x/docs/a.md", "./docs", False), ("docs/a.md", "./docs", True),
         ("a/b/c.md", "a/b", True), ("a/v1.x/c.md", "v1.?", True), ("a/V1/c.md", "v?", True),
     ):
         assert one(paths.in_folder(F.lit(path), pattern)) is want, (path, pattern)
     kept = lambda p: one(paths.wanted(F.lit(p), ["docs"], ["docs/old"], ["LICENSE.md"]))
-    assert [kept(p) for p in ("README.md", "docs/a.md", "docs/old/a.md", "src/a.md", "docs/license.md")] == [True, True, False, False, False]
+    assert [
+        kept(p) for p in ("README.md", "docs/a.md", "docs/old/a.md", "src/a.md", "docs/license.md")
+    ] == [True, True, False, False, False]
     assert one(paths.is_documentation(F.lit("A.MDX"))) and not one(paths.is_documentation(F.lit("a.txt")))
-    assert one(paths.in_excluded_folder(F.lit("a/Node_Modules/b.md"))) and one(paths.in_excluded_folder(F.lit(".x/b.md")))
+    assert one(
+        paths.in_excluded_folder(F.lit("a/Node_Modules/b.md"))
+    ) and one(paths.in_excluded_folder(F.lit(".x/b.md")))
 
 
 def test_labels(one):
-    assert [one(labels.reputation(F.lit(x).cast("double"))) for x in (None, -1, 0, 4, 7)] == ["Unknown", "Unknown", "Low", "Medium", "High"]
+    assert [
+        one(labels.reputation(F.lit(x).cast("double"))) for x in (None, -1, 0, 4, 7)
+    ] == ["Unknown", "Unknown", "Low", "Medium", "High"]
     assert one(labels.popularity_score(F.lit(50_000), F.lit(100), F.lit(1))) == 5_699_157
     assert [one(labels.refresh_days(F.lit(x))) for x in (100, 101, 1001, 5001)] == [1, 15, 30, 45]
     assert one(labels.first_alias(F.create_map(F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3")), "a", ["b", "c"])) == "2"
@@ -80,28 +104,48 @@ def test_labels(one):
     assert one(labels.hint(F.lit("x"), {"a": "b"}, "c")) == "c"
     assert "API key" in one(labels.status_message(F.lit(429), F.lit(False)))
     now = F.lit("2024-01-02 00:00:00")
-    assert one(labels.is_fresh(F.lit("2024-01-01 00:00:01"), now)) and not one(labels.is_fresh(F.lit("2024-01-01 00:00:00"), now)) and not one(labels.is_fresh(F.lit(None), now))
+    assert one(
+        labels.is_fresh(F.lit("2024-01-01 00:00:01"), now)
+    ) and not one(labels.is_fresh(F.lit("2024-01-01 00:00:00"), now)) and not one(labels.is_fresh(F.lit(None), now))
     assert one(labels.token_expired(F.lit("2024-01-02 00:00:59"), now))
 
 
 def test_formats(one):
-    assert one(formats.truncate(F.lit("abc"), 3)) == "abc" and one(formats.truncate(F.lit("abcd"), 3)).startswith("abc\n")
+    assert one(formats.truncate(F.lit("abc"), 3)) == "abc" and one(
+        formats.truncate(F.lit("abcd"), 3)
+    ).startswith("abc\n")
     codes = F.array(F.struct(F.lit("js").alias("language"), F.lit("x()").alias("code")))
     assert one(formats.code_snippet(F.lit("T"), F.lit("d"), codes)) == "### T\n\nd\n\n```js\nx()\n```"
     assert one(formats.info_snippet(F.lit(""), F.lit("c"))) == "### Documentation\n\nc"
     assert one(formats.provenance(F.lit("/a/b"), F.lit("c"), F.lit(2))).endswith("omitted: 2")
-    assert one(formats.library_block(F.lit("t"), F.lit("/a/b"), F.lit(""), F.lit(-1), F.lit("High"), F.array(F.lit("v1")))) == "- Title: t\n- Library ID: /a/b\n- Source Reputation: High\n- Versions: v1"
+    assert one(
+        formats.library_block(F.lit("t"), F.lit("/a/b"), F.lit(""), F.lit(-1), F.lit("High"), F.array(F.lit("v1")))
+    ) == "- Title: t\n- Library ID: /a/b\n- Source Reputation: High\n- Versions: v1"
 
 
 def test_catalog(spark):
-    hits = [("/Facebook/React", "React", 250_000, "x", 100, 1), ("/example/new-library", "new", 50_000, "x", 100, 2), ("/EXAMPLE/new-library", "again", 40_000, "y", 90, 3)]
-    df = spark.createDataFrame([(a, b, None, c, d, e, f) for a, b, c, d, e, f in hits], "library_id string, title string, description string, stars bigint, source string, weight int, arrival bigint")
+    hits = [
+        ("/Facebook/React", "React", 250_000, "x", 100, 1), ("/example/new-library", "new", 50_000, "x", 100, 2),
+        ("/EXAMPLE/new-library", "again", 40_000, "y", 90, 3)
+    ]
+    df = spark.createDataFrame(
+        [(a, b, None, c, d, e, f) for a, b, c, d, e, f in hits],
+        "library_id string, title string, description string, stars bigint, source string, weight int, arrival bigint"
+    )
     curated = spark.createDataFrame([("/facebook/react", 0)], "library_id string, position bigint")
     got = catalog.merge_candidates(df, 10, curated).orderBy("rank").collect()
-    assert [(r["library_id"], r["score"], r["rank"]) for r in got] == [("/facebook/react", 2_000_000_000, 1), ("/example/new-library", 5_699_257, 2)]
+    assert [(r["library_id"], r["score"], r["rank"]) for r in got] == [
+        ("/facebook/react", 2_000_000_000, 1), ("/example/new-library", 5_699_257, 2)
+    ]
     topics = F.array(F.lit("Awesome-List"))
     none = F.lit(None).cast("boolean")
-    row = spark.range(1).select(catalog.is_candidate(F.lit("x"), topics, none, none).alias("a"), catalog.is_candidate(F.lit("my-Awesome-x"), F.array(F.lit("q")), none, none).alias("b"), catalog.is_candidate(F.lit("awesomeness"), F.array(F.lit("q")), none, none).alias("c"), catalog.usable_repository(none, none, F.lit(0)).alias("d"), catalog.usable_repository(none, none, F.lit(None).cast("int")).alias("e")).first()
+    row = spark.range(1).select(
+        catalog.is_candidate(F.lit("x"), topics, none, none).alias("a"),
+        catalog.is_candidate(F.lit("my-Awesome-x"), F.array(F.lit("q")), none, none).alias("b"),
+        catalog.is_candidate(F.lit("awesomeness"), F.array(F.lit("q")), none, none).alias("c"),
+        catalog.usable_repository(none, none, F.lit(0)).alias("d"),
+        catalog.usable_repository(none, none, F.lit(None).cast("int")).alias("e")
+    ).first()
     assert tuple(row) == (False, False, True, False, True)
 
 
@@ -115,9 +159,22 @@ def test_percentiles_and_metrics(spark):
 
 
 def test_freshness_and_policies(spark):
-    state = lambda **k: spark.range(1).select(catalog.freshness_state(*[F.lit(k.get(n, d)) for n, d in (("stored", True), ("parser_ok", True), ("checked_at", "2024-01-01 00:00:00"), ("now", "2024-02-01 00:00:00"), ("commit", "a"), ("remote", "a"), ("failed", False))], F.lit(k.get("force", False)))).first()[0]
+    state = lambda **k: spark.range(1).select(
+        catalog.freshness_state(
+            *[
+                F.lit(k.get(n, d)) for n,
+                d in (
+                    ("stored", True), ("parser_ok", True), ("checked_at", "2024-01-01 00:00:00"),
+                    ("now", "2024-02-01 00:00:00"), ("commit", "a"), ("remote", "a"), ("failed", False)
+                )
+            ],
+            F.lit(k.get("force", False))
+        )
+    ).first()[0]
     assert state() == "cached" and state(stored=False) == "indexed" and state(parser_ok=False) == "refreshed" and state(failed=True) == "stale-fallback"
-    assert state(remote="b") == "refreshed" and state(remote="b", now="2024-01-01 12:00:00") == "cached" and state(force=True) == "refreshed"
+    assert state(remote="b") == "refreshed" and state(
+        remote="b", now="2024-01-01 12:00:00"
+    ) == "cached" and state(force=True) == "refreshed"
     rows = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "k int, ok int")
     key = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
     assert [r["k"] for r in catalog.policy_filter(rows, F.col("ok") == 1, "k", key(1), key(1, 3)).collect()] == [3]
@@ -125,8 +182,14 @@ def test_freshness_and_policies(spark):
 
 def test_defaults_and_kinds(one):
     kept = lambda p: one(paths.wanted_by_default(F.lit(p)))
-    assert [kept(p) for p in ("docs/a.md", "docs/old/a.md", "my-archive-1/a.md", "i18n/de-AT/a.md", "docs/Changelog.md", "i18n/en/a.md")] == [True, False, False, False, False, True]
+    assert [
+        kept(p) for p in (
+            "docs/a.md", "docs/old/a.md", "my-archive-1/a.md", "i18n/de-AT/a.md", "docs/Changelog.md", "i18n/en/a.md"
+        )
+    ] == [True, False, False, False, False, True]
     assert [one(ids.is_repository_id(F.lit(x))) for x in ("/a/b", "/websites/b", "a/b/c")] == [True, False, False]
     null = F.lit(None).cast("double")
-    assert one(labels.passes_quality(F.lit(False), null, null, null)) and not one(labels.passes_quality(F.lit(True), null, null, null, least_trust=4))
+    assert one(labels.passes_quality(F.lit(False), null, null, null)) and not one(
+        labels.passes_quality(F.lit(True), null, null, null, least_trust=4)
+    )
     assert one(labels.passes_quality(F.lit(True), F.lit(7.0), F.lit(20), F.lit(500), True, 7, 30, 100))

@@ -56,4 +56,6 @@ def test_entry_imports_without_the_training_data_parts(tmp_path, spark, data):
     shutil.copytree(f"{root}/lexispark", tmp_path / "lexispark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries()) and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}
+    )

@@ -12,14 +12,19 @@ SHA = "0123456789abcdef0123456789abcdef01234567"
 @pytest.fixture(scope="module")
 def engine(spark):
     s = service.Service(spark)
-    counts = s.index("/example/router", spark.createDataFrame(FILES, "path string, content string"), SHA, "https://github.com/example/router.git", n_rules=2).first()
+    counts = s.index(
+        "/example/router", spark.createDataFrame(FILES, "path string, content string"), SHA,
+        "https://github.com/example/router.git", n_rules=2
+    ).first()
     assert counts["selected_files"] == 3
     return s
 
 
 def test_search_and_sessions(engine):
     first = engine.search_docs("/Example/Router", "navigation", session="a").orderBy("position").collect()
-    assert len(first) == 2 and first[0]["key"].startswith(SHA) and first[0]["url"].startswith(f"https://github.com/example/router/blob/{SHA}/")
+    assert len(first) == 2 and first[0]["key"].startswith(SHA) and first[0]["url"].startswith(
+        f"https://github.com/example/router/blob/{SHA}/"
+    )
     again = engine.search_docs("/example/router", "router", session="a").collect()
     assert {r["id"] for r in again}.isdisjoint({r["id"] for r in first}) or len(again) > 0
     assert len(engine.search_docs("/example/router", "navigation", session="b").collect()) == 2
@@ -33,23 +38,34 @@ def test_answers(engine, spark):
     key = engine.search_docs("/example/router", "abort navigation", limit=1).first()["key"]
     read = engine.read_docs("/example/router", key)
     assert "Authentication middleware" in read and "Abort navigation" in read and "Secure cookies" not in read
-    assert "stale" in engine.read_docs("/example/router", "f" * 40 + ":1") and "invalid" in engine.read_docs("/example/router", "x")
-    assert [r["section_title"] for r in engine.grep_docs("/example/router", "validateSession()").collect()] == ["Async guard"]
-    engine.vectors["/example/router"] = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(1, 5)], "id bigint, embedding array<float>")
+    assert "stale" in engine.read_docs(
+        "/example/router", "f" * 40 + ":1"
+    ) and "invalid" in engine.read_docs("/example/router", "x")
+    assert [
+        r["section_title"] for r in engine.grep_docs("/example/router", "validateSession()").collect()
+    ] == ["Async guard"]
+    engine.vectors["/example/router"] = spark.createDataFrame(
+        [(i, [1.0, i / 10]) for i in range(1, 5)], "id bigint, embedding array<float>"
+    )
     engine.query_vector = lambda q: [0.0, 1.0]
     assert "navigation" in engine.query_docs("/example/router", "navigation")
     engine.vectors.clear()
 
 
 def test_libraries_and_health(engine, spark):
-    assert [r["id"] for r in engine.resolve("Rou-ter").collect()] == ["/example/router"] and engine.resolve("zzz").count() == 0
+    assert [
+        r["id"] for r in engine.resolve("Rou-ter").collect()
+    ] == ["/example/router"] and engine.resolve("zzz").count() == 0
     h = engine.status().first()
     assert (h["libraries"], h["sections"], h["outdated"]) == (1, 4, 0)
     assert service.Service(spark).status().first()["libraries"] == 0
 
 
 def test_evaluation(engine):
-    rows = engine.evaluate("/example/router", [(TASK, "docs\\Middleware.md"), ("secure cookies", "docs/sessions.md"), ("guard", "nowhere.md")]).collect()
+    rows = engine.evaluate(
+        "/example/router",
+        [(TASK, "docs\\Middleware.md"), ("secure cookies", "docs/sessions.md"), ("guard", "nowhere.md")]
+    ).collect()
     assert [(r["fused_rank"], r["legacy_rank"]) for r in rows] == [(1, 1), (1, 1), (0, 0)]
 
 
