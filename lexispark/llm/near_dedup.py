@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
     )
     clusters = cut(components(star.select("a", "b"))).withColumnRenamed("label", "cluster")
-    texts = own.join(clusters.join(nodes, "node").select("id").distinct(), "id", "left_semi")
+    wanted = clusters.join(nodes, "node").select(F.col("id").alias("wanted")).distinct()
+    texts = own.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = cut(
         _sets(texts).join(clusters, "node").groupBy("node").agg(
             F.first("set").alias("set"), F.first("cluster").alias("cluster")
@@ -349,8 +350,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose near-duplicate class keeps another id; all columns stay."""
-    gone = near_duplicates(
-        docs, percent, id_col, text_col
-    ).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The documents without those whose near-duplicate class keeps another id; all columns stay.
+
+    Rows that share an id share its fate: they go if none of them is kept. Rows without an id can't be told apart and
+    stay.
+    """
+    found = near_duplicates(docs, percent, id_col, text_col).where(F.col(id_col).isNotNull())
+    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.bool_or("kept").alias("__kept")).where("not __kept")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

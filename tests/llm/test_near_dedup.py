@@ -71,7 +71,16 @@ def test_odd_rows(odd, none):
     assert by[5]["component_id"] == 5 and by[5]["n_shingles"] == 1 and not by[None]["kept"]
     assert near_duplicates(none).count() == 0
     kept = keep_one(odd)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, 6, 7, 8}
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {None, 1, 3, 4, 5, 6, 7, 8}
+
+
+def test_a_near_copy_without_an_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(None, " ".join(words)), (3, " ".join(words[:-1] + ["x"])), (3, "some other text of more than five words")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_duplicates(df).collect()
+    assert sorted((r["component_id"], r["kept"]) for r in got) == [(3, False), (3, True), (3, True)]
+    assert keep_one(df).count() == 3
 
 
 def test_components(spark):
