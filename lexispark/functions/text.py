@@ -27,24 +27,19 @@ def terms(text: Column) -> Column:
 
 
 def token_string(text: Column) -> Column:
-    """The text's tokens, each between two spaces, so that a phrase is a substring; empty without tokens."""
-    bare = F.regexp_replace(
-        F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), "^ +| +$", ""
-    )
-    return F.when(bare == "", "").otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+    """The text's tokens with two spaces before, between and after them, so that a phrase is a substring."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")
 
 
 def phrase_count(tokens: Column, phrase: list[str]) -> Column:
     """How often a phrase of tokens occurs in a token string, without overlaps."""
     needle = " " + "  ".join(phrase) + " "
-    return (
-        (F.length(tokens) - F.length(F.replace(tokens, F.lit(needle), F.lit("")))) / F.lit(len(needle))
-    ).cast("bigint")
+    return ((F.length(tokens) - F.length(F.replace(tokens, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("bigint")
 
 
 def token_count(tokens: Column) -> Column:
-    """How many tokens a token string has: each stands between two spaces."""
-    return ((F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit("")))) / 2).cast("bigint")
+    """How many tokens a token string has."""
+    return ((F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit("")))) / 2 - 1).cast("bigint")
 
 
 def collapse(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Search: weighted BM25 for each facet, rank fusion, selection.
 
-A search is one scan: each chunk's fields become token strings, phrases are counted by native string functions, and
-only chunks that match are scored. Corpus figures (count, mean length, document frequencies) come from one aggregate,
-pre-aggregated in each task. The candidates of each facet are cut to their limit before the shuffle.
+A search analyses each chunk once: its fields become token strings, in which native string functions count phrases,
+and what stays is a few numbers a chunk, persisted on the executors. Corpus figures (count, mean length, document
+frequencies) come from one aggregate over them, pre-aggregated in each task. The candidates of each facet are cut to
+their limit before the shuffle, and only theirs are the texts that are read again.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,14 @@ def score_facets(
     chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None,
     corpus: tuple[int, float] | None = None
 ) -> DataFrame:
-    """A row (facet, score and the chunk's columns) for each facet that a chunk matches.
+    """A row (facet, score, id) for each facet that a chunk matches.
 
     ``corpus`` is the number of chunks and their mean length where ``chunks`` are only those that can match.
     """
     fields = fields or FIELDS
     units = list(dict.fromkeys(u for f in facets for u in f.units if u))
-    own = list(chunks.columns)
     counted = analyzed(chunks, fields).withColumns(_unit_columns(units, fields))
+    counted = counted.select("id", "__len", *[f"__u{i}" for i in range(len(units))]).persist(StorageLevel.MEMORY_AND_DISK)
     stats = counted.agg(
         F.count("*").alias("n"), F.avg("__len").alias("mean"),
         *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]
@@ -84,10 +86,8 @@ def score_facets(
             )
         )
     if not scored:
-        return chunks.where("false").select(F.lit(0).alias("facet"), F.lit(0.0).alias("score"), *own)
-    return counted.select(
-        *own, F.explode(F.array_compact(F.array(*scored))).alias("__s")
-    ).select("__s.facet", "__s.score", *own)
+        return chunks.where("false").select(F.lit(0).alias("facet"), F.lit(0.0).alias("score"), "id")
+    return counted.select("id", F.explode(F.array_compact(F.array(*scored))).alias("__s")).select("__s.*", "id")
 
 
 def top_of_facets(scored: DataFrame, limit: int) -> DataFrame:
@@ -96,6 +96,17 @@ def top_of_facets(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
 
 
+def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked candidates with their chunks' columns; they are at most as many as facets times their limit."""
+    return chunks.join(F.broadcast(ranked), "id")
+
+
+def candidates(chunks: DataFrame, topic: str, limit: int | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
+    """The ranked chunks of each of a topic's facets."""
+    scored = score_facets(chunks, plan_query(topic), corpus=corpus)
+    return with_chunks(top_of_facets(scored, candidate_limit(limit)), chunks)
+
+
 def lexical_boost(query_terms: Sequence[str]) -> Column:
     """What a chunk gains for terms in its titles and in its text, more for identifiers."""
     title, body = F.lower(F.concat_ws(" ", "doc_title", "section_title")), F.lower("content")
@@ -173,7 +184,7 @@ def search(
     if not 1 <= len(topic) <= 2000:
         raise ValueError("a topic has 1 to 2000 characters")
     most = limit if limit is not None else 12
-    ranked = top_of_facets(score_facets(chunks, plan_query(topic), corpus=corpus), candidate_limit(limit))
+    ranked = candidates(chunks, topic, limit, corpus)
     matches = fuse(ranked, terms(topic), seen)
     if seen is not None and matches.isEmpty():
         matches = fuse(ranked, terms(topic))
@@ -186,7 +197,7 @@ def legacy_top(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     scored = score_facets(
         chunks, [Facet("any", tuple((w,) for w in words))], {"doc_title": 5.0, "section_title": 10.0, "content": 1.0}
     )
-    return top_of_facets(scored, k)
+    return with_chunks(top_of_facets(scored, k), chunks)
 
 
 def build_postings(chunks: DataFrame, fields: dict[str, float] | None = None) -> DataFrame:

@@ -32,8 +32,15 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables whose texts are worth dealing out before they are analysed, by their key.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A table of texts that comes in fewer parts than there are cores (a small file) is dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, TEXTS[name]) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +57,7 @@ def sql_collapse(x: str) -> str:
 
 
 def sql_tokens(x: str) -> str:
-    bare = rf"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+', '  ', 'g'), '^ +| +$', '', 'g')"
-    return f"CASE WHEN {bare} = '' THEN '' ELSE ' ' || {bare} || ' ' END"
+    return rf"regexp_replace(' ' || lower(coalesce({x}, '')) || ' ', '[^\p{{L}}\p{{N}}]+', '  ', 'g')"
 
 
 def sql_count(tokens: str, unit: tuple[str, ...]) -> str:
@@ -91,7 +97,7 @@ def sql_facets(source: str, facets: list[Facet], limit: int, fields: dict[str, f
     fields = fields or search.FIELDS
     units = list(dict.fromkeys(u for f in facets for u in f.units if u))
     tf = {u: " + ".join(f"{w} * {sql_count(f't_{f}', u)}" for f, w in fields.items()) for u in units}
-    length = " + ".join(f"(length(t_{f}) - length(replace(t_{f}, ' ', ''))) // 2" for f in fields)
+    length = " + ".join(f"(length(t_{f}) - length(replace(t_{f}, ' ', ''))) // 2 - 1" for f in fields)
     out = [
         f"base AS ({source})",
         "analyzed AS (SELECT *, " + ", ".join(f"{sql_tokens(f)} AS t_{f}" for f in fields) + " FROM base)",
@@ -208,9 +214,7 @@ def inverted_index(spark, sf_dir):
 @query(f"WITH {sql_fused(TOPIC, SQL_PAGES)} SELECT id, doc_path, matched_queries, round(score, 6) AS score FROM fused")
 def rrf_fusion(spark, sf_dir):
     """The flagship: plan a topic, search all facets over pages, fuse the ranked lists."""
-    ranked = search.top_of_facets(
-        search.score_facets(chunks.page_chunks(read(spark, sf_dir, "pages")), plan_query(TOPIC)), candidate_limit(None)
-    )
+    ranked = search.candidates(chunks.page_chunks(read(spark, sf_dir, "pages")), TOPIC)
     return search.fuse(ranked, terms(TOPIC)).select(
         "id", "doc_path", "matched_queries", F.round("score", 6).alias("score")
     )
@@ -218,9 +222,7 @@ def rrf_fusion(spark, sf_dir):
 
 @query(f"WITH {sql_fused(TOPIC, SQL_DOCS)} SELECT id, doc_path, matched_queries, round(score, 6) AS score FROM fused")
 def rrf_documents(spark, sf_dir):
-    ranked = search.top_of_facets(
-        search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(None)
-    )
+    ranked = search.candidates(documents(spark, sf_dir), TOPIC)
     return search.fuse(ranked, terms(TOPIC)).select(
         "id", "doc_path", "matched_queries", F.round("score", 6).alias("score")
     )
@@ -244,9 +246,7 @@ def seen_exclusion(spark, sf_dir):
     seen = read(spark, sf_dir, "events").where(
         "user_id % 3 = 0 AND event_type = 'view'"
     ).select(F.col("event_id").alias("id"))
-    ranked = search.top_of_facets(
-        search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(None)
-    )
+    ranked = search.candidates(documents(spark, sf_dir), TOPIC)
     return search.fuse(ranked, terms(TOPIC), seen).select("id", "matched_queries", F.round("score", 6).alias("score"))
 
 
@@ -670,7 +670,7 @@ SELECT id, round(0.65 * CASE WHEN max(score) OVER () = min(score) OVER () THEN 1
  + 0.35 * CASE WHEN max(sim) OVER () = min(sim) OVER () THEN 1 ELSE (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) END, 6) AS score FROM v"""
 )
 def hybrid_rerank(spark, sf_dir):
-    ranked = search.top_of_facets(search.score_facets(documents(spark, sf_dir), plan_query(TOPIC)), candidate_limit(24))
+    ranked = search.candidates(documents(spark, sf_dir), TOPIC, 24)
     matches = search.fuse(ranked, terms(TOPIC))
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return rerank.rerank(matches, v, QUERY_VECTOR).select("id", F.round("score", 6).alias("score"))
