@@ -33,12 +33,12 @@ def analyzed(chunks: DataFrame, fields: dict[str, float] | None = None) -> DataF
 
 
 def _unit_columns(units: Sequence[tuple[str, ...]], fields: dict[str, float]) -> dict[str, Column]:
-    return {
-        f"__u{i}": sum(
-            (phrase_count(F.col(f"__t_{f}"), list(u)) * F.lit(w) for f, w in fields.items()), F.lit(0.0)
-        ) for i,
-        u in enumerate(units)
-    }
+    """For each unit its weighted count over the fields."""
+
+    def count(unit: tuple[str, ...]) -> Column:
+        return sum((phrase_count(F.col(f"__t_{f}"), list(unit)) * F.lit(w) for f, w in fields.items()), F.lit(0.0))
+
+    return {f"__u{i}": count(u) for i, u in enumerate(units)}
 
 
 def score_facets(
