@@ -51,17 +51,12 @@ class Pieces:
         """Plain BPE: join the neighbours of highest score, leftmost first, until none can be joined."""
         parts = list(text)
         while len(parts) > 1:
-            best = max(
-                (
-                    (self.score.get(a + b, float("-inf")), -i) for i,
-                    (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score
-                ),
-                default=None,
-            )
+            joined = [a + b for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(((self.score[t], -i) for i, t in enumerate(joined) if t in self.score), default=None)
             if best is None:
                 break
             i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i : i + 2] = [joined[i]]
         return parts
 
 
