@@ -204,21 +204,18 @@ class Service:
     def evaluate(self, ident: str, qrels: list[tuple[str, str]]) -> DataFrame:
         """Rank of the relevant path for each (query, path): fused search and the baseline, in one table."""
         lib, out = self.library(ident), []
+        unix = lambda p: p.replace("\\", "/").lower()
+
+        def first(found: DataFrame, order: Column, path: str) -> int:
+            """The place, from 1, of the first result whose path contains the wanted one; 0 if there is none."""
+            rows = found.orderBy(order).select("doc_path").collect()  # at most ten
+            return next((k for k, r in enumerate(rows, 1) if unix(path) in unix(r["doc_path"])), 0)
+
         for query, path in qrels:
-            want = path.replace("\\", "/").lower()
-            first: Callable[[DataFrame, Column], int] = lambda df, order: next(
-                (
-                    k + 1 for k,
-                    r in enumerate(
-                        df.orderBy(order).select("doc_path").collect()
-                    ) if want in r["doc_path"].replace("\\", "/").lower()
-                ),
-                0
-            )  # noqa: B023, E731
             t0 = time.perf_counter()
-            legacy = first(search.legacy_top(lib.chunks, query), F.col("rank")) if terms(query) else 0
+            legacy = first(search.legacy_top(lib.chunks, query), F.col("rank"), path) if terms(query) else 0
             t1 = time.perf_counter()
-            fused = first(search.search(lib.chunks, query, 10, 5_000), F.col("position"))
+            fused = first(search.search(lib.chunks, query, 10, 5_000), F.col("position"), path)
             out.append((query, path, legacy, fused, (t1 - t0) * 1000, (time.perf_counter() - t1) * 1000))
         return self.spark.createDataFrame(
             out, "query string, path string, legacy_rank int, fused_rank int, legacy_ms double, fused_ms double"

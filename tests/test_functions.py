@@ -159,18 +159,15 @@ def test_percentiles_and_metrics(spark):
 
 
 def test_freshness_and_policies(spark):
-    state = lambda **k: spark.range(1).select(
-        catalog.freshness_state(
-            *[
-                F.lit(k.get(n, d)) for n,
-                d in (
-                    ("stored", True), ("parser_ok", True), ("checked_at", "2024-01-01 00:00:00"),
-                    ("now", "2024-02-01 00:00:00"), ("commit", "a"), ("remote", "a"), ("failed", False)
-                )
-            ],
-            F.lit(k.get("force", False))
-        )
-    ).first()[0]
+    usual = {
+        "stored": True, "parser_ok": True, "checked_at": "2024-01-01 00:00:00", "now": "2024-02-01 00:00:00",
+        "commit": "a", "remote": "a", "failed": False, "force": False,
+    }
+
+    def state(**changed):
+        values = [F.lit(v) for v in (usual | changed).values()]
+        return spark.range(1).select(catalog.freshness_state(*values)).first()[0]
+
     assert state() == "cached" and state(stored=False) == "indexed" and state(parser_ok=False) == "refreshed" and state(failed=True) == "stale-fallback"
     assert state(remote="b") == "refreshed" and state(
         remote="b", now="2024-01-01 12:00:00"
