@@ -200,6 +200,40 @@ def legacy_top(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     return with_chunks(top_of_facets(scored, k), chunks)
 
 
+def rank_topics(chunks: DataFrame, topics: DataFrame, limit: int = 10, fields: dict[str, float] | None = None) -> DataFrame:
+    """The best chunks (topic, id, score, rank from 1) of each of many topics (topic, text), from all chunks.
+
+    Scores are those of ``score_facets`` for any of the topic's distinct tokens, ties by id. The topics' tokens meet the
+    chunks' counts in joins, so there may be any number of topics and one pass over the chunks serves all of them.
+    """
+    fields = fields or FIELDS
+    asked = topics.select(
+        "topic", F.explode(F.array_distinct(F.split(F.trim(token_string(F.col("text"))), " +"))).alias("term")
+    ).where("term != ''")
+    lengths = analyzed(chunks, fields).select("id", "__len")
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("__len").alias("mean")).first()
+    n, mean = corpus["n"], corpus["mean"] or 1.0
+    weight = F.lit(0.0)
+    for f, w in fields.items():
+        weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
+    counts = build_postings(chunks, fields).join(asked.select("term").distinct(), "term", "left_semi").groupBy(
+        "term", "id"
+    ).agg(F.sum(F.col("tf") * weight).alias("tf"))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    df = F.col("df")
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6)).alias("idf")
+    )
+    tf = F.col("tf")
+    part = F.col("idf") * tf * F.lit(K1 + 1) / (
+        tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.lit(mean))
+    )
+    scored = counts.join(idf, "term").join(lengths, "id").select("term", "id", part.alias("part"))
+    scored = scored.join(asked, "term").groupBy("topic", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    w = Window.partitionBy("topic").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def build_postings(chunks: DataFrame, fields: dict[str, float] | None = None) -> DataFrame:
     """The inverted index: (term, id, field, tf). Written clustered by term, it answers a query without a text scan."""
     fields = fields or FIELDS

@@ -722,6 +722,24 @@ def eval_mrr_recall(spark, sf_dir):
     return m.select("scenarios", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
 
 
+@query()
+def eval_mrr_recall_whole(spark, sf_dir):
+    """The metrics of ``eval_mrr_recall`` where each scenario's list is searched in all documents, with no shard.
+
+    A scenario's list are the ten best documents for any of its passage's tokens; relevant are those that hold the
+    passage.
+    """
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), "text")
+    found = search.rank_topics(d, b, 10, {"content": 1.0}).select("topic", "id", "rank")
+    hits = found.join(d, "id").join(b, "topic").where(F.contains("content", "text"))
+    ranks = b.select("topic").join(hits.groupBy("topic").agg(F.min("rank").alias("rank")), "topic", "left").select(
+        "topic", F.coalesce("rank", F.lit(0)).alias("rank")
+    )
+    m = catalog.retrieval_metrics(ranks, "rank")
+    return m.select("scenarios", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
+
+
 @query(
     "WITH s AS (SELECT list_sort(list(value)) AS v, count(value) AS n FROM events) SELECT v[least(n - 1, floor(n * 0.5))::INTEGER + 1] AS p50, v[least(n - 1, floor(n * 0.95))::INTEGER + 1] AS p95 FROM s"
 )
