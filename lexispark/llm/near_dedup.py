@@ -12,6 +12,7 @@ link between components is lost and no pairs are sent around.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,7 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, mins: int = MINS, max
 _FEATURES = "id {kind}, n_shingles bigint, node bigint, bands array<bigint>"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """Set size, node (a 64-bit digest of the shingle set) and band hashes of each (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def features(docs: DataFrame) -> DataFrame:
                 sets = [shingle(t) for t in part.column(1).to_pylist()]
                 n = np.array([len(s) for s in sets], np.int64)
                 node = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
-                sig = signatures(sets).view(np.int64)
+                sig = signatures(sets, n_bands).view(np.int64)
                 bands = pa.FixedSizeListArray.from_arrays(
                     pa.array(sig.ravel()), sig.shape[1]
                 ).cast(pa.list_(pa.int64()))
@@ -290,6 +291,12 @@ def components(edges: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
         now, n = nxt, size
 
 
+def bands_for(percent: int) -> int:
+    """Enough bands to miss a pair at the threshold with a probability of about 2e-6: 28 at 85, 44 at 80."""
+    agree = min(percent / 100, 0.999) ** (MINS + MAXS)
+    return max(BANDS, math.ceil(math.log(2e-6) / math.log(1 - agree)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose sets of 5-word shingles are linked by a Jaccard similarity of ``percent`` or more.
 
@@ -298,11 +305,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     is one shingle. Null texts and texts without words have no shingles, stand alone and are kept. Rows with equal ids
     and texts share one fate; a null id is kept only if all ids of its component are null. Other columns are left out.
 
-    Candidates come from bands, so a pair at the threshold itself is missed with a probability of about 2e-6 and more
+    Candidates come from bands, more of them for a lower ``percent``, so a pair at the threshold itself is missed with a probability of about 2e-6 and more
     similar ones with less; what is linked is confirmed on full sets. Nodes are 64-bit digests of sets.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = cut(features(own))
+    rows = cut(features(own, bands_for(percent)))
     full = rows.where("n_shingles > 0")
     nodes = cut(
         full.groupBy("node").agg(
