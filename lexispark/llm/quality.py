@@ -49,6 +49,7 @@ def features(text: str) -> tuple[list[int], list[float]]:
     upper = sum(n for w, n in counts.items() if len(w) > 1 and w.isupper())
     top = max(counts.values(), default=0)
     long = sum(len(w) * n for w, n in counts.items()) / total
+    letters = sum((len(w) if w.isalpha() else sum(map(str.isalpha, w))) * n for w, n in counts.items())
     lines = text.split("\n")
     shape = [
         f"# words {min(12, int(math.log2(total)))}",
@@ -58,7 +59,7 @@ def features(text: str) -> tuple[list[int], list[float]]:
         f"# distinct {min(12, int(math.log2(total)))} {_step(len(counts) / total)}",
         f"# length {min(20, int(long))}",
         f"# lines {_step(len(set(lines)) / len(lines))}",
-        f"# letters {_step(sum(map(str.isalpha, text[:: max(1, len(text) // 4096)])) / max(1, len(text[:: max(1, len(text) // 4096)])))}",
+        f"# letters {_step(letters / max(1, len(text)))}",
     ]
     names = [w for w in seen if w]
     return [*map(_bucket, names), *map(_bucket, shape)], [
