@@ -7,7 +7,7 @@ shape, each with a place for words never seen. Training goes over every training
 takes gradient steps on its rows from the shared weights, and the tasks' steps are averaged bucket by bucket, as half-precision numbers, in a tree.
 Scoring works on batches of feature rows in numpy.
 
-Texts are read once and stored as word numbers in the shared folder. Counts of words outside the bounded vocabulary
+Texts are read twice, for the vocabulary and to be stored as word numbers in the shared folder. Counts of words outside the bounded vocabulary
 never leave the executors; they are dealt by word.
 """
 
@@ -138,61 +138,86 @@ def _train_batches(
     return met
 
 
-def _frequent(sample: DataFrame, most: int) -> list[bytes]:
-    """The sample's most frequent words."""
+def _frequent(texts: DataFrame, least: int, held: int = 200_000) -> list[bytes]:
+    """The most frequent words of all texts: ``least`` of them, or four times the root of the texts' words if more.
+
+    A task gives its counts away whenever it holds about ``held`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"]
+            )
+
         for b in batches:
-            c: Counter = Counter()
             for t in b.column(0).to_pylist():
                 c.update(split_words(t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"]
-            )
+                if len(c) > held:
+                    yield given()
+                    c.clear()
+        yield given()
 
-    counts = sample.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(
+        texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    )
+    most = max(least, int(4 * (counts.agg(F.sum("n")).first()[0] or 0) ** 0.5))
     return [bytes(r["word"]) for r in counts.where("n > 2").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def _classes(sample: DataFrame, vocab: Vocabulary, classes: int, company: int = 192, seed: int = 3) -> np.ndarray:
-    """A class for each word number, by k-means over the frequent words that stand beside it in the sample.
+def _classes(train: DataFrame, size: int, classes: int, company: int = 192, seed: int = 3) -> np.ndarray:
+    """A class for each of ``size`` word numbers, by k-means over the frequent words beside it in all texts' ``ids``.
 
     END has class 0; 1 to ``classes`` are clusters.
     """
-    top = company
+    top, width = company, 2 * company
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for t in b.column(0).to_pylist():
-                ids, _ = vocab.read(t)
-                a, c = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
-                keys += [a[k] * 2 * top + c[k] for k in [(a >= 2) & (c >= 0) & (c < top)]] + [
-                    c[k] * 2 * top + top + a[k] for k in [(c >= 2) & (a >= 0) & (a < top)]
-                ]
-            u, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+            ids = b.column(0).flatten().to_numpy().astype(np.int64)
+            a, c = ids[:-1], ids[1:]  # a text's last number is END, which stands before nothing
+            keys = [a[k] * width + c[k] for k in [(a >= 2) & (c >= 0) & (c < top)]] + [
+                c[k] * width + top + a[k] for k in [(c >= 2) & (a >= 2) & (a < top)]
+            ]
+            u, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    got = sample.select("text").mapInArrow(
+    got = train.select("ids").mapInArrow(
         run, "key bigint, n bigint"
-    ).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    x = np.zeros((vocab.size, 2 * top), np.float32)
-    key = got["key"].to_numpy()
-    x[key // (2 * top), key % (2 * top)] = np.sqrt(got["n"].to_numpy())
-    x /= np.sqrt(np.maximum(x.sum(0, keepdims=True), 1))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-    out = np.zeros(vocab.size, np.int32)
-    rng = np.random.default_rng(seed)
-    if vocab.size <= 2:
+    ).groupBy("key").agg(F.sqrt(F.sum("n")).cast("float").alias("x")).select(F.col("key").cast("int"), "x").toArrow()
+    out = np.zeros(size, np.int32)
+    if size <= 2:
         return out
-    centre = x[2 + rng.permutation(vocab.size - 2)[:classes]]
+    key, x = got["key"].to_numpy(), got["x"].to_numpy().copy()
+    row, column = key // width, key % width
+    x /= np.sqrt(np.maximum(np.bincount(column, x, width), 1))[column]
+    x /= np.maximum(np.sqrt(np.bincount(row, x**2, size)), 1e-6)[row]
+    order = np.argsort(row, kind="stable")
+    row, column, x = row[order], column[order], x[order]
+
+    def dense(lo: int, hi: int) -> np.ndarray:
+        i, j = np.searchsorted(row, [lo, hi])
+        block = np.zeros((hi - lo, width), np.float32)
+        block[row[i:j] - lo, column[i:j]] = x[i:j]
+        return block
+
+    first = 2 + np.random.default_rng(seed).permutation(size - 2)[:classes]
+    centre = np.concatenate([dense(k, k + 1) for k in first])
+    step = 1 << 14
     for _ in range(12):
-        near = (x[2:] @ centre.T).argmax(1)
-        for k in range(len(centre)):
-            if (near == k).any():
-                centre[k] = x[2:][near == k].mean(0)
+        total, many = np.zeros(centre.shape, np.float64), np.zeros(len(centre), np.int64)
+        for lo in range(2, size, step):
+            block = dense(lo, min(lo + step, size))
+            near = (block @ centre.T).argmax(1)
+            out[lo : lo + len(near)] = near + 1
+            for k in np.unique(near):
+                total[k] += block[near == k].sum(0)
+            many += np.bincount(near, minlength=len(centre))
+        some = many > 0
+        centre[some] = total[some] / many[some, None]
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-6)
-    out[2:] = near + 1
     return out
 
 
@@ -204,7 +229,7 @@ def _shared(df: DataFrame, name: str) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, rounds: int = 4, classes: int = 47, vocabulary: int = 65_536, sample_docs: int = 8_000, rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, rounds: int = 4, classes: int = 47, vocabulary: int = 65_536, rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Score every whole text with a model learned from the texts that are not held out.
 
@@ -214,17 +239,15 @@ def score_texts(
     is trained on; rows with equal ids are texts of their own. If nothing is left to train on, counts are 0 and all
     classes are equally likely. Other columns are left out.
 
-    The vocabulary of at most ``vocabulary`` words and its classes come from at most ``sample_docs`` training texts;
-    counts, training and scoring cover every text.
+    The vocabulary, its classes, counts and training cover every training text. It has the words that occur more than
+    twice, the most frequent ``vocabulary`` of them or four times the root of the number of training words if that is
+    more.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
-    chosen = rows.where("not held and id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    sample = rows.join(F.broadcast(chosen.distinct()), "id", "left_semi")  # sample_docs ids at most
-    vocab = Vocabulary(_frequent(sample, vocabulary))
-    class_of = _classes(sample, vocab, classes)
+    vocab = Vocabulary(_frequent(rows.where("not held"), vocabulary))
     n_classes = 1 + classes + SHAPES
     shared_vocab = spark.sparkContext.broadcast(vocab)
 
@@ -259,6 +282,7 @@ def score_texts(
 
     vocab_size = vocab.size
     train = coded.where("not held")
+    class_of = _classes(train, vocab.size, classes)
     got = train.select("ids").mapInArrow(
         count, "number bigint, n bigint"
     ).groupBy("number").agg(F.sum("n").alias("n")).collect()  # one row per word number
