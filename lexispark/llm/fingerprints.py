@@ -1,6 +1,6 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text's paragraphs (lines, long ones cut at the ends of sentences) are hashed. A sketch is a table of cells; each
+A text's paragraphs (lines, long ones cut at the ends of sentences, long sentences at word ends) are hashed. A sketch is a table of cells; each
 digest goes to one cell in each of three parts, and a cell keeps how many digests it has, their xor and the xor of
 their checks. Sketches of two versions subtract cell by cell, so what they share vanishes. Peeling recovers the rest:
 a cell with one digest names it, and taking the digest out of its other cells opens more. Where a table is too small
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import broadcast_if_small, cut, shared_folder
 
 PARTS, SMALL = 3, 4
-PARAGRAPH = r"[^\n]{1,60}[^\n.!?]*[.!?]*"
+#: After 60 characters up to a sentence end or the line's; where that is over 180 more away, up to a space after one of
+#: four letters (a place that the words choose, so it is found again after an edit), or else 180 more.
+PARAGRAPH = r"[^\n]{1,60}(?:[^\n.!?]{0,180}(?:[.!?]+|(?![^\n]))|[^\n.!?]{0,180}?[aest] |[^\n.!?]{0,180})"
 COARSE = 255
 
 
