@@ -24,7 +24,7 @@ from lexispark.llm.common import broadcast_if_small, cut
 
 WORDS = 5
 BANDS, MINS, MAXS = 28, 3, 3
-_MOST_WORDS = 400_000
+_MOST_WORDS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,11 +93,11 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, mins: int = MINS, max
     return out
 
 
-_FEATURES = "id {kind}, n_shingles bigint, node bigint, bands array<bigint>"
+_FEATURES = "id {kind}, mark bigint, n_shingles bigint, node bigint, bands array<bigint>"
 
 
 def features(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
-    """Set size, node (a 64-bit digest of the shingle set) and band hashes of each (id, text)."""
+    """Set size, node (a 64-bit digest of the shingle set) and band hashes of each (id, text, mark)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -112,7 +112,8 @@ def features(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
                     pa.array(sig.ravel()), sig.shape[1]
                 ).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(node), bands], ["id", "n_shingles", "node", "bands"]
+                    [part.column(0), part.column(2), pa.array(n), pa.array(node), bands],
+                    ["id", "mark", "n_shingles", "node", "bands"]
                 )
 
     return docs.mapInArrow(run, _FEATURES.format(kind=docs.schema["id"].dataType.simpleString()))
@@ -138,16 +139,57 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, set array<bigint>")
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, na, b, nb) whose full sets are similar enough, as (a, b)."""
-    both = pairs.join(
-        sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a"
-    ).join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows (a, block, whole, node, set) that come sorted: each (a, block) begins with the set of a itself."""
+    at, centre = None, np.zeros(0, np.uint64)
+    for b in batches:
+        keys = np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+        lists, nodes = b.column(4), b.column(3).to_numpy()
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values = lists.flatten().to_numpy().view(np.uint64)
+        starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+        found_a, found_b = [], []
+        for i, j in zip([0, *starts], [*starts, len(keys)], strict=True):
+            key = (int(keys[i, 0]), int(keys[i, 1]))
+            if key != at:
+                at, centre, i = key, values[ends[i] : ends[i + 1]], i + 1
+            if i == j:
+                continue
+            own = values[ends[i] : ends[j]]
+            hit = centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own
+            common = np.add.reduceat(hit, ends[i:j] - ends[i], dtype=np.int64)
+            n = np.diff(ends[i : j + 1])
+            ok = 100 * common >= percent * (len(centre) + n - common)
+            found_b.append(nodes[i:j][ok])
+            found_a.append(np.full(int(ok.sum()), key[0]))
+        centre = centre.copy()  # the batch may go
+        if found_a:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"]
+            )
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, rows: int = 2048) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) whose full sets are similar enough, as (a, b).
+
+    A centre's partners are dealt into blocks of about ``rows``. Its set goes to each block once, a partner's set to
+    its place in each of its centres' blocks, and a task reads them as a stream that holds one centre's set.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    partners = pairs.select("a", "b").join(blocks, "a").select(
+        "a", F.pmod(F.xxhash64("b", F.lit(6)), "blocks").cast("int").alias("block"), F.lit(0).alias("whole"),
+        F.col("b").alias("node")
+    )
+    centres = blocks.select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("whole"),
+        F.col("a").alias("node")
+    )
+    dealt = partners.unionByName(centres).join(sets.select("node", "set"), "node")
+    placed = dealt.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("whole"))
     return cut(
-        both.withColumn("common", common).where(
-            100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
-        ).select("a", "b")
+        placed.select("a", "block", "whole", "node", "set").mapInArrow(
+            lambda batches: _alike(batches, percent), "a bigint, b bigint"
+        )
     )
 
 
@@ -297,22 +339,20 @@ def bands_for(percent: int) -> int:
     return max(BANDS, math.ceil(math.log(2e-6) / math.log(1 - agree)))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Classes of documents whose sets of 5-word shingles are linked by a Jaccard similarity of ``percent`` or more.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, mark): mark is a digest of the text, which tells rows of one id apart."""
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
-    A row per input row: id, n_shingles, component_id (the smallest id reachable over links, its own included), kept
-    (id = component_id). Words are ASCII-lower-cased runs without ASCII white space; a text of fewer than five words
-    is one shingle. Null texts and texts without words have no shingles, stand alone and are kept. Rows with equal ids
-    and texts share one fate; a null id is kept only if all ids of its component are null. Other columns are left out.
 
-    Candidates come from bands, more of them for a lower ``percent``, so a pair at the threshold itself is missed with a probability of about 2e-6 and more
-    similar ones with less; what is linked is confirmed on full sets. Nodes are 64-bit digests of sets.
+def classify(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, mark, n_shingles, node) of documents (id, text, mark), and (node, label) of linked nodes.
+
+    Nodes without a label are linked with no other node.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = cut(features(own, bands_for(percent)))
-    full = rows.where("n_shingles > 0")
     nodes = cut(
-        full.groupBy("node").agg(
+        rows.where("n_shingles > 0").groupBy("node").agg(
             F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
         )
     )
@@ -328,8 +368,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
     )
     clusters = cut(components(star.select("a", "b"))).withColumnRenamed("label", "cluster")
-    wanted = clusters.join(nodes, "node").select(F.col("id").alias("wanted")).distinct()
-    texts = own.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    wanted = cut(clusters.join(nodes, "node").select(F.col("id").alias("wanted")).distinct())
+    texts = own.join(broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = cut(
         _sets(texts).join(clusters, "node").groupBy("node").agg(
             F.first("set").alias("set"), F.first("cluster").alias("cluster")
@@ -344,7 +384,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     more = _block_links(labelled, percent)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))
-    placed = full.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, labels
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Classes of documents whose sets of 5-word shingles are linked by a Jaccard similarity of ``percent`` or more.
+
+    A row per input row: id, n_shingles, component_id (the smallest id reachable over links, its own included), kept
+    (id = component_id). Words are ASCII-lower-cased runs without ASCII white space; a text of fewer than five words
+    is one shingle. Null texts and texts without words have no shingles, stand alone and are kept. Rows with equal ids
+    and texts share one fate; a null id is kept only if all ids of its component are null. Texts of any length are
+    read whole; a text's set has to fit in a worker's memory. No rows give no rows. Other columns are left out.
+
+    Candidates come from bands, more of them for a lower ``percent``, so a pair at the threshold itself is missed with
+    a probability of about 2e-6 and more similar ones with less; what is linked is confirmed on full sets. Nodes are
+    64-bit digests of sets.
+    """
+    rows, labels = classify(_marked(docs, id_col, text_col), percent)
+    placed = rows.where("n_shingles > 0").select("node", "id").join(labels, "node", "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
     least = placed.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = labels.join(least, "label", "right").select(F.coalesce("node", "label").alias("node"), "component_id")
     out = rows.select("id", "n_shingles", "node").join(by_node, "node", "left").withColumn(
@@ -357,11 +416,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose near-duplicate class keeps another id; all columns stay.
+    """One row of each near-duplicate class, with all its columns.
 
-    Rows that share an id share its fate: they go if none of them is kept. Rows without an id can't be told apart and
-    stay.
+    It is the row with the smallest id, null ids last, then the smallest digest of the text; of rows that have both in
+    common any one stays. Rows without words stand alone and all stay.
     """
-    found = near_duplicates(docs, percent, id_col, text_col).where(F.col(id_col).isNotNull())
-    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.bool_or("kept").alias("__kept")).where("not __kept")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    rows, labels = classify(_marked(docs, id_col, text_col), percent)
+    keyed = rows.where("n_shingles > 0").groupBy("id", "mark", "node").agg(F.count("*").alias("copies"))
+    placed = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark"))
+    winners = placed.groupBy("label").agg(first.alias("w"), F.count("*").alias("rivals"), F.sum("copies").alias("all"))
+    several = winners.where("all > 1")
+    lost = cut(
+        placed.join(several.where("rivals > 1"), "label").where(
+            ~(F.col("id").eqNullSafe(F.col("w.id")) & (F.col("mark") == F.col("w.mark")))
+        ).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    )
+    repeated = cut(
+        placed.where("copies > 1").join(several, "label").where(
+            F.col("id").eqNullSafe(F.col("w.id")) & (F.col("mark") == F.col("w.mark"))
+        ).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    )
+    # The row travels in one column, so that its names can't meet those used here.
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__own"),
+        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__hash")
+    )
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__mark"))
+    left = whole.join(broadcast_if_small(lost), same, "left_anti")
+    if repeated.isEmpty():
+        return left.select("__row.*")
+    twice = broadcast_if_small(repeated)
+    one = left.join(twice, same, "left_semi").groupBy("__own", "__hash").agg(F.first("__row").alias("__row"))
+    return left.join(twice, same, "left_anti").select("__row").unionByName(one.select("__row")).select("__row.*")

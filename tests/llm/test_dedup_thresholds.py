@@ -21,5 +21,5 @@ def test_a_lower_threshold_gets_more_bands_and_all_links(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["doc_id"] for r in keep_one(df, percent=80).collect()} == want
     assert bands_for(85) == 28 and (1 - 0.8**6) ** bands_for(80) < 2.1e-6
-    ids = df.withColumnRenamed("doc_id", "id").limit(1)
+    ids = df.selectExpr("doc_id AS id", "text", "xxhash64(text) AS mark").limit(1)
     assert len(features(ids, bands_for(80)).first()["bands"]) == 44
