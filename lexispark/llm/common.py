@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexispark-checkpoints"
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a folder of its own, which goes by in that setting from then on;
+    on a cluster that is an error, as executors see no folder of another machine.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="lexispark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Send texts to Python in batches of ``rows`` where the session leaves Spark's default of 10,000.
+
+    A batch is held as a whole by the JVM and by the worker, so with long texts its rows are what memory depends on.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """Marked for a broadcast if it has at most ``most`` rows, which are counted; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
