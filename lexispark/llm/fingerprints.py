@@ -1,180 +1,205 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text's paragraphs (lines, long ones cut at the ends of sentences, long sentences at word ends) are hashed. A sketch is a table of cells; each
-digest goes to one cell in each of three parts, and a cell keeps how many digests it has, their xor and the xor of
-their checks. Sketches of two versions subtract cell by cell, so what they share vanishes. Peeling recovers the rest:
-a cell with one digest names it, and taking the digest out of its other cells opens more. Where a table is too small
-to be peeled empty, a larger one with other hash functions is tried, until each pair is recovered in full.
-
-A document's fingerprint is its smallest table, as text. The cell counts of two fingerprints estimate how large the
-first table has to be. Only DataFrame and SQL functions run here; peeling is grouping by pair and cell, in rounds, and
-needs one exchange by pair.
+A text's paragraphs (lines, long ones cut at the ends of sentences, long sentences at word ends) are hashed. A sketch is
+a table of cells; each digest goes to one cell in each of three parts, and a cell keeps how many digests it has and their
+xor. A digest carries a check of itself, so a cell with one digest is told from one with several. Tables of the same
+width subtract cell by cell, so what two versions share vanishes. Peeling recovers the rest: a cell with one digest names
+it, and taking the digest out of its other cells opens more.
+
+Widths are powers of two, and the cells of a table are those of any wider one with the same digests, added up; so a
+fingerprint holds one wide table, cells without digests left out, and narrower ones fold out of it. Two fingerprints are
+compared in a narrow table first; where that can't be peeled empty, in the widest that both have.
+
+Everything here is DataFrame and SQL functions on arrays within a row: no shuffle but the one that brings each text its
+successor.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import broadcast_if_small, cut, shared_folder
+from lexispark.llm.common import broadcast_if_small, cut
 
-PARTS, SMALL = 3, 4
+PARTS = 3
+LEAST, STEP = 1024, 16  # widths are LEAST times a power of STEP, and at least ROOM times the digests
+ROOM = 32
+ROUNDS = 24
 #: After 60 characters up to a sentence end or the line's; where that is over 180 more away, up to a space after one of
 #: four letters (a place that the words choose, so it is found again after an edit), or else 180 more.
 PARAGRAPH = r"[^\n]{1,60}(?:[^\n.!?]{0,180}(?:[.!?]+|(?![^\n]))|[^\n.!?]{0,180}?[aest] |[^\n.!?]{0,180})"
 COARSE = 255
+CELLS = "array<struct<c:bigint,n:bigint,x:bigint>>"
 
 
-def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs; none for a text of line ends only."""
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
-    )
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-def _cell(digest: Column, part: Column, seed: Column, width: Column) -> Column:
-    return part * width + F.pmod(F.xxhash64(digest, part, seed), width)
 
+def _marked(high: Column) -> Column:
+    """A digest: 48 bits, and 16 bits that check them."""
+    return high.bitwiseOR(F.xxhash64(high, F.lit(7)).bitwiseAND(F.lit(0xFFFF)))
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(-99))
 
+def _valid(x: Column) -> Column:
+    return _marked(x.bitwiseAND(_long(~0xFFFF))) == x
 
-def _small_cells(d: Column) -> tuple[Column, Column]:
-    """Counts and xors of the smallest table."""
-    one = F.lit(0).cast("bigint")
 
-    def of(j: int, c: int) -> Column:
-        return F.filter(d, lambda x: F.pmod(F.xxhash64(x, F.lit(j), F.lit(0)), F.lit(SMALL)) == c)
+def digests(text: Column) -> Column:
+    """The distinct digests of a text's paragraphs; none for a text of line ends only."""
+    high = F.transform(
+        F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)),
+        lambda p: F.xxhash64(p).bitwiseAND(_long(~0xFFFF))
+    )
+    return F.array_distinct(F.transform(high, _marked))
 
-    own = [of(j, c) for j in range(PARTS) for c in range(SMALL)]
-    return F.array(*[F.size(o) for o in own]), F.array(
-        *[F.aggregate(o, one, lambda a, x: a.bitwiseXOR(x)) for o in own]
+
+def width_for(n: Column) -> Column:
+    """The width of the table for n digests."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(12)), _long(LEAST), lambda w, _: F.when(w < n * ROOM, w * STEP).otherwise(w)
     )
 
 
-def _as_text(counts: Column, xors: Column) -> Column:
-    return F.array_join(F.zip_with(counts, xors, lambda c, x: F.concat(F.hex(c), F.lit(":"), F.hex(x))), ".")
+def _cell(x: Column, part: int, w: Column) -> Column:
+    return w * part + F.xxhash64(x, F.lit(part)).bitwiseAND(w - 1)
+
 
+def _spread(xs: Column, w: Column, n: int) -> Column:
+    """Entries of digests for all parts, each with the count n."""
+    one = lambda x, j: F.struct(_cell(x, j, w).alias("c"), _long(n).alias("n"), x.alias("x"))
+    return F.flatten(F.transform(xs, lambda x: F.array(*[one(x, j) for j in range(PARTS)])))
 
-def _estimate(a: Column, b: Column, na: Column, nb: Column) -> Column:
-    """How many digests differ, from the counts of two smallest tables."""
-    squares = F.aggregate(
-        F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double")), F.lit(0.0), lambda s, x: s + x
+
+def _added(entries: Column) -> Column:
+    """Entries of the same cell added up; cells that have become empty go. Sorted by cell."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["c"] != F.get(s, i - 1)["c"])
+        )
+
+        def cell(begin: Column, end: Column) -> Column:
+            first = F.get(s, begin)
+            more = F.aggregate(
+                F.sequence(begin + 1, end - 1), first,
+                lambda a, i: F.struct(
+                    a["c"].alias("c"), (a["n"] + F.get(s, i)["n"]).alias("n"),
+                    a["x"].bitwiseXOR(F.get(s, i)["x"]).alias("x")
+                )
+            )
+            return F.when(end == begin + 1, first).otherwise(more)
+
+        made = _bound(starts, lambda st: F.transform(st, lambda b, k: cell(b, F.coalesce(F.get(st, k + 1), F.size(s)))))
+        return F.filter(made, lambda t: (t["n"] != 0) | (t["x"] != 0))
+
+    none = F.array().cast(CELLS)
+    return _bound(F.sort_array(entries), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
+
+
+def table(xs: Column) -> Column:
+    """The sketch of an array of digests: how many they are, the width, and the cells that aren't empty."""
+    return _bound(
+        xs,
+        lambda d: _bound(
+            width_for(F.size(d)),
+            lambda w: F.struct(F.size(d).cast("bigint").alias("n"), w.alias("w"), _added(_spread(d, w, 1)).alias("cells"))
+        )
     )
-    return (squares / PARTS - (na - nb) * (na - nb) / SMALL) * (SMALL / (SMALL - 1))
 
 
-def _sum_cells(rows: DataFrame) -> DataFrame:
-    """Rows (k, w, kind, v, n, x, c) added up; cells that have become empty go, counters (kind 2) stay."""
-    out = rows.groupBy("k", "w", "kind", "v").agg(
-        F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")
+def as_text(sketch: Column) -> Column:
+    """A sketch as text: digests:width:cells, all in hex, a cell as place,count,xor."""
+    cells = F.transform(sketch["cells"], lambda t: F.concat_ws(",", F.hex(t["c"]), F.hex(t["n"]), F.hex(t["x"])))
+    return F.concat_ws(":", F.hex(sketch["n"]), F.hex(sketch["w"]), F.array_join(cells, "."))
+
+
+def _folded(sketch: Column, w: Column, sign: int) -> Column:
+    """Entries of a sketch in a narrower table, each cell's count times the sign."""
+    own = sketch["w"]
+    part = lambda c: F.floor(c / own).cast("bigint")
+    return F.transform(
+        sketch["cells"],
+        lambda t: F.struct(
+            (part(t["c"]) * w + t["c"].bitwiseAND(w - 1)).alias("c"), (t["n"] * sign).alias("n"), t["x"].alias("x")
+        )
     )
-    return out.where("kind = 2 OR n != 0 OR x != 0 OR c != 0")
 
 
-def peel(pairs: DataFrame, seed: int, rounds: int = 8) -> DataFrame:
-    """Subtract and peel the sketches of pairs (k, w, a, b): a and b are arrays of digests, w the width of a part.
+def _peeled(cells: Column, w: Column) -> Column:
+    """What is left of a subtracted table after peeling (``cells``), and how many digests came off (``found``).
 
-    Returns (k, n_differing), null where this table could not be peeled empty.
+    Steps take turns: one names the digests of cells that have a single one, the next takes them out.
     """
-    s = F.lit(seed)
-    zero = F.lit(0).cast("bigint")
-    dealt = pairs.repartition("k")
-    signed = F.concat(
-        F.transform("a", lambda x: F.struct(F.lit(1).cast("bigint").alias("n"), x.alias("x"))),
-        F.transform("b", lambda x: F.struct(F.lit(-1).cast("bigint").alias("n"), x.alias("x")))
-    )
-    # A counter row for each pair (n is null), then its digests in the three parts.
-    items = dealt.select(
-        "k", "w",
-        F.explode(
-            F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("n"), zero.alias("x"))), signed)
-        ).alias("i")
-    )
-    spread = items.select(
-        "k", "w", "i.n", "i.x",
-        F.explode(
-            F.when(F.col("i.n").isNull(), F.array(F.lit(0))).otherwise(F.array(*[F.lit(j) for j in range(PARTS)]))
-        ).alias("j")
-    )
-    counter = F.col("n").isNull()
-    rows = spread.select(
-        "k", "w", F.when(counter, 2).otherwise(0).alias("kind"), F.when(counter, zero).otherwise(
-            _cell(F.col("x"), F.col("j"), s, F.col("w"))
-        ).alias("v"),
-        F.coalesce("n", zero).alias("n"), "x", F.when(counter, zero).otherwise(_check(F.col("x"))).alias("c"),
-    )
-    cells = _sum_cells(rows)
-    shape = lambda kind, v, n, x, c: F.struct(
-        F.lit(kind).alias("kind"), v.alias("v"), n.alias("n"), x.alias("x"), c.alias("c")
-    )
-    for _ in range(rounds):
-        pure = (F.col("kind") == 0) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x")))
-        own = F.struct("kind", "v", "n", "x", "c")
-        # kind 1: a digest that some cell names, with its sign; several cells may name it.
-        named = cells.select(
-            "k", "w",
-            F.explode(
-                F.when(
-                    pure, F.array(own, shape(1, F.col("x"), F.col("n"), F.col("x"), F.col("c")))
-                ).otherwise(F.array(own))
-            ).alias("r")
-        ).select("k", "w", "r.*")
-        once = named.groupBy("k", "w", "kind", "v").agg(
-            F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")
+    none = F.array().cast("array<bigint>")
+    start = F.struct(cells.alias("cells"), _long(0).alias("found"), none.alias("plus"), none.alias("minus"))
+
+    def of(s: Column, sign: int) -> Column:
+        own = lambda t: F.array(*[_cell(t["x"], j, w) for j in range(PARTS)])
+        pure = F.filter(
+            s["cells"], lambda t: (t["n"] == sign) & _valid(t["x"]) & F.array_contains(own(t), t["c"])
         )
-        gone = F.col("v")
-        sign = F.sign("n").cast("bigint")
-        taken = F.array(
-            *[shape(0, _cell(gone, F.lit(j), s, F.col("w")), -sign, gone, _check(gone)) for j in range(PARTS)],
-            shape(2, zero, F.lit(1).cast("bigint"), zero, zero),
+        return F.array_distinct(F.transform(pure, lambda t: t["x"]))
+
+    def step(s: Column) -> Column:
+        named = F.size(s["plus"]) + F.size(s["minus"])
+        name = F.struct(
+            s["cells"].alias("cells"), s["found"].alias("found"), of(s, 1).alias("plus"), of(s, -1).alias("minus")
+        )
+        take = F.struct(
+            _added(F.concat(s["cells"], _spread(s["plus"], w, -1), _spread(s["minus"], w, 1))).alias("cells"),
+            (s["found"] + named).cast("bigint").alias("found"), none.alias("plus"), none.alias("minus")
         )
-        after = once.select(
-            "k", "w",
-            F.explode(
-                F.when(F.col("kind") == 1, taken).otherwise(F.array(F.struct("kind", "v", "n", "x", "c")))
-            ).alias("r")
-        ).select("k", "w", "r.*")
-        cells = _sum_cells(after)
-    left = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))
-    return cells.groupBy("k").agg(
-        F.when(left == 0, F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0))).alias("n_differing")
+        return F.when(named == 0, name).otherwise(take)
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start,
+        lambda s, _: F.when(F.size(s["cells"]) == 0, s).otherwise(step(s))
     )
 
 
-def likeness(pairs: DataFrame, levels: int = 24) -> DataFrame:
-    """(k, likeness) of pairs (k, guess, a, b): shared over all digests, from the differing ones that peeling recovers.
+def _left(cells: Column, w: Column) -> Column:
+    """The least number of digests that a table which can't be peeled still holds: the fullest part's counts, two for
+    a cell in which they cancel out."""
+    held = lambda t: F.when(t["n"] == 0, _long(2)).otherwise(F.abs(t["n"]))
+    of = lambda j: F.aggregate(
+        F.filter(cells, lambda t: F.floor(t["c"] / w) == j), _long(0), lambda a, t: a + held(t)
+    )
+    return F.greatest(*[of(j) for j in range(PARTS)])
 
-    The first table holds ``guess`` differing digests; it doubles as often as it takes, for the pairs that need it.
-    Two texts without digests are alike.
+
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Rows with ``name``: the digests that two sketches share over all that they have, 1 if neither has any.
+
+    It takes the sketches alone. They are subtracted and peeled in a table of a sixteenth of the smaller width, then, if
+    that fails, in one of the smaller width. The latter holds 32 times the digests of the smaller sketch at least, so it
+    can fail only where the other has some 70 times as many; then the least number of differing digests that the rest
+    can hold counts, which is off by less than the smaller sketch's.
     """
-    least = F.least(
-        F.greatest(F.col("guess"), F.abs(F.size("a") - F.size("b")).cast("double"), F.lit(1.0)),
-        (F.size("a") + F.size("b")).cast("double")
-    )
-    width = F.ceil(least * 1.6 / PARTS + 1).cast("bigint")
-    found, open_ = None, pairs
-    for level in range(levels):
-        got = cut(peel(open_.select("k", (width * (1 << level)).alias("w"), "a", "b"), seed=level + 1))
-        done = got.where("n_differing IS NOT NULL")
-        found = done if found is None else found.unionByName(done)
-        failed = got.where("n_differing IS NULL").select("k")
-        if failed.isEmpty():
-            break
-        open_ = open_.join(failed, "k", "left_semi")
-    else:
-        raise RuntimeError("a pair could not be recovered")
-    n = F.size("a") + F.size("b")
-    both = pairs.select("k", n.alias("n")).join(found, "k")
-    return both.select(
-        "k",
-        F.when(F.col("n") == 0, 1.0).otherwise(
-            (F.col("n") - F.col("n_differing")) / (F.col("n") + F.col("n_differing"))
-        ).alias("likeness")
-    )
+    x, y, kept = F.col(a), F.col(b), rows.columns
+    widest = F.least(x["w"], y["w"])
+    w, cells, peeled, left = (F.col(f"__{c}") for c in ("w", "cells", "peeled", "left"))
+    out = rows.withColumns({"__n": x["n"] + y["n"], "__d": _long(0), "__left": _long(1)})
+    for width in ((widest / STEP).cast("bigint"), widest):
+        out = out.withColumn("__w", width)
+        out = out.withColumn(
+            "__cells",
+            F.when(left > 0, _added(F.concat(_folded(x, w, 1), _folded(y, w, -1)))).otherwise(F.array().cast(CELLS))
+        )
+        out = out.withColumn("__peeled", F.when(left > 0, _peeled(cells, w)))
+        out = out.withColumns(
+            {
+                "__d": F.when(left > 0, peeled["found"]).otherwise(F.col("__d")),
+                "__left": F.when(left > 0, _left(peeled["cells"], w)).otherwise(left)
+            }
+        )
+    n, d = F.col("__n"), F.col("__d") + left
+    return out.withColumn(name, F.when(n == 0, 1.0).otherwise((n - d) / (n + d))).select(*kept, name)
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_chars: int = 1_000_000) -> DataFrame:
@@ -232,11 +257,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has the last third of its code points (rounded down) replaced by as many first ones of the next
     document, or all if it has fewer; next is by descending id, and the first follows the last. Returns for each row:
     id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next: the share of paragraph
-    digests that two texts have in common. Null texts are empty; two texts without paragraphs have likeness 1, one
-    with and one without 0. Null ids come last; of rows that share an id, the smaller hash of the text comes first,
-    and repeated rows are documents of their own. No rows give no rows. Other columns are left out.
+    digests that two texts have in common, found from the two fingerprints alone. Null texts are empty; two texts
+    without paragraphs have likeness 1, one with and one without 0. Repeated paragraphs count once. Null ids come last;
+    of rows that share an id, the smaller hash of the text comes first, and repeated rows are documents of their own. No
+    rows give no rows. Other columns are left out. A text is handled within its row: one of n paragraphs takes memory
+    for some ten cells each.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("a", digests(F.col("text"))), ["text", "a"])
     n = F.length("text")
@@ -244,37 +270,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring(F.col("next.text"), F.lit(1), k))
     rows = rows.select("id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "a", F.col("next.a").alias("f"))
     rows = rows.select(
-        "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a",
-        digests(F.col("edited")).alias("e"), "f"
+        "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), table(F.col("a")).alias("a"),
+        table(digests(F.col("edited"))).alias("e"), table(F.col("f")).alias("f")
     )
-    for c in ("a", "e"):
-        counts, xors = _small_cells(F.col(c))
-        rows = rows.withColumns({f"n_{c}": counts, f"x_{c}": xors})
-    rows = rows.withColumn("n_f", _small_cells(F.col("f"))[0])
-    size = lambda c: F.size(c).cast("double")
-    kept = rows.select(
-        F.monotonically_increasing_id().alias("key"), "id", "n_chars", "edited_sha256", _as_text(
-            F.col("n_a"), F.col("x_a")
-        ).alias("fingerprint"), _as_text(F.col("n_e"), F.col("x_e")).alias("edited_fingerprint"),
-        "a", "e", "f", _estimate(
-            F.col("n_a"), F.col("n_e"), size("a"), size("e")
-        ).alias("g_e"), _estimate(F.col("n_a"), F.col("n_f"), size("a"), size("f")).alias("g_f"),
-    )
-    at = f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex}"
-    kept.write.option("compression", "zstd").parquet(at)
-    kept = spark.read.parquet(at)
-    guess = lambda g: F.col(g) * 1.3 + 4
-    pair = lambda no, b, g: F.struct(
-        (F.col("key") * 2 + no).alias("k"), guess(g).alias("guess"), F.col("a"), F.col(b).alias("b")
-    )
-    pairs = kept.select(F.explode(F.array(pair(0, "e", "g_e"), pair(1, "f", "g_f"))).alias("p")).select("p.*")
-    near = likeness(pairs)
-    by_row = near.groupBy(F.expr("k DIV 2").alias("key")).agg(
-        F.max(
-            F.when(F.col("k") % 2 == 0, F.col("likeness"))
-        ).alias("near_edited"), F.max(F.when(F.col("k") % 2 == 1, F.col("likeness"))).alias("near_next")
+    rows = with_likeness(with_likeness(rows, "a", "e", "near_edited"), "a", "f", "near_next")
+    return rows.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"),
+        as_text(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next"
     )
-    out = kept.select(
-        "key", F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"
-    ).join(by_row, "key")
-    return out.drop("key")
