@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product with an adaptive dimension scan.
 
 Vectors get one more component that makes all norms equal, so the largest inner product is the smallest distance. They
-are rotated at random and dealt to lists around centres fitted to a bounded sample; every vector is indexed. A query
-probes its nearest lists. In a list the rotated dimensions are read in column blocks: after each block the partial
-distance, scaled to all dimensions, is held against the distance of the best found so far, and candidates that a
+are rotated at random and dealt to lists around centres fitted to a bounded sample; every vector is indexed. Lists lie
+in groups of bounded size, neighbours together. A query probes its nearest lists, those of its nearest group first; the
+distance of the best found there is carried to the others. In a group the rotated dimensions are read in column blocks:
+after each block the partial distance, scaled to all dimensions, is held against the bound, and candidates that a
 hypothesis test rejects are abandoned. What is left is scored exactly, in double precision, on the original vectors.
 
 Equal vectors are indexed once, with as many of their smallest ids as a result can need, so a vector that a third of
-the rows share costs as much as any other. Lists are searched in blocks of bounded size.
+the rows share costs as much as any other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut
+from lexispark.llm.common import broadcast_if_small, cut, small_batches
 
 
 def _valid(v: str) -> Column:
@@ -67,58 +68,101 @@ class Space:
         return np.column_stack([q, np.zeros(len(q))]) @ self.turn
 
 
-def scan(x: np.ndarray, q: np.ndarray, keep: int, step: int = 16, slack: float = 2.1) -> list[np.ndarray]:
-    """For each query, the candidates that the adaptive scan doesn't abandon; the ``keep`` nearest are among them but
-    for the test's error.
+def scan(
+    x: np.ndarray, q: np.ndarray, keep: int, bound: np.ndarray | None = None, allowed: np.ndarray | None = None,
+    step: int = 16, slack: float = 2.6
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that the adaptive scan doesn't abandon, sorted; the ``keep`` nearest of each query are
+    among them but for the test's error.
 
-    The bound is the ``keep``-th smallest distance in a first group of candidates, those that the first column block
-    holds nearest. ``slack`` is the test's: a candidate goes when its scaled partial distance exceeds the bound by more
-    than (1 + slack / sqrt(dimensions read)) squared.
+    ``bound`` is a squared distance within which ``keep`` candidates are known to be, infinite where none is; there the
+    ``keep``-th smallest distance of a first group of candidates is taken, those that the first column block holds
+    nearest. ``allowed`` marks which candidates a query asks for.
+
+    The test: of a vector at the bound, the share of the squared distance in k of d rotated dimensions scatters about
+    k / d with a relative deviation of sqrt(2 / k - 2 / d). A candidate goes when its scaled partial distance exceeds
+    the bound by more than ``slack`` such deviations; after all dimensions, when it exceeds the bound.
     """
-    dims = x.shape[1]
+    dims, n = x.shape[1], len(x)
     cuts = [*range(step, dims, step), dims]
-    squares = [(x[:, lo:hi] ** 2).sum(1) for lo, hi in zip([0, *cuts], cuts, strict=False)]
-    out = []
-    for at in range(0, len(q), 64):
-        own = q[at : at + 64]
-        if len(x) <= keep:
-            out += [np.arange(len(x))] * len(own)
-            continue
+    blocks = list(zip([0, *cuts], cuts, strict=False))
+    squares = [(x[:, lo:hi] ** 2).sum(1) for lo, hi in blocks]
+    room = [hi / dims * (1 + slack * np.sqrt(max(0.0, 2 / hi - 2 / dims))) * (1 + 1e-5) for hi in cuts]
+    rows, columns = [], []
+    tile = max(1, (1 << 19) // max(1, n))
+    for at in range(0, len(q), tile):
+        own = q[at : at + tile]
 
         def whole(k: int, own: np.ndarray = own) -> np.ndarray:
             """Distances over column block k, of all queries and candidates."""
-            lo, hi = cuts[k - 1] if k else 0, cuts[k]
-            return np.maximum(
-                (own[:, lo:hi] ** 2).sum(1)[:, None] + squares[k][None, :] - 2 * own[:, lo:hi] @ x[:, lo:hi].T, 0
-            )
+            lo, hi = blocks[k]
+            d = own[:, lo:hi] @ x[:, lo:hi].T
+            d *= -2
+            d += squares[k]
+            d += (own[:, lo:hi] ** 2).sum(1)[:, None]
+            return d
 
         part = whole(0)
-        probe = np.argpartition(part, keep - 1, axis=1)[:, :keep]
-        bound = ((x[probe] - own[:, None, :]) ** 2).sum(2).max(1) * (1 + 1e-9)
-        room = lambda hi: bound * (
-            1.0 if hi == dims else (1 + slack / np.sqrt(hi)) ** 2
-        ) * hi / dims  # noqa: B023, E731
-        alive = part <= room(cuts[0])[:, None]
+        if allowed is not None:
+            part[~allowed[at : at + tile]] = np.inf
+        limit = np.full(len(own), np.inf) if bound is None else bound[at : at + tile].astype(float)
+        open_ = np.flatnonzero(np.isinf(limit))
+        if len(open_) and n > keep:
+            first = np.argpartition(part[open_], keep - 1, axis=1)[:, :keep]
+            d = ((x[first] - own[open_][:, None, :]) ** 2).sum(2, dtype=np.float64)
+            d[np.isinf(np.take_along_axis(part[open_], first, 1))] = np.inf
+            limit[open_] = d.max(1)
+        alive = part <= (limit * room[0])[:, None]
         k = 1
-        while k < len(cuts) and alive.mean() > 0.2:  # most are left: a product over all is cheaper than picking them
+        while k < len(blocks) and alive.mean() > 0.15:  # many are left: a product over all is cheaper than picking them
             part += whole(k)
-            alive &= part <= room(cuts[k])[:, None]
+            alive &= part <= (limit * room[k])[:, None]
             k += 1
+        if allowed is not None:
+            alive &= allowed[at : at + tile]
         i, j = np.nonzero(alive)
         d = part[i, j]
-        for k in range(k, len(cuts)):
-            lo, hi = cuts[k - 1], cuts[k]
+        for k in range(k, len(blocks)):
+            lo, hi = blocks[k]
             d = d + ((x[j, lo:hi] - own[i, lo:hi]) ** 2).sum(1)
-            stay = d <= room(hi)[i]
+            stay = d <= (limit * room[k])[i]
             i, j, d = i[stay], j[stay], d[stay]
-        ends = np.searchsorted(i, np.arange(len(own) + 1))
-        out += [np.union1d(j[ends[n] : ends[n + 1]], probe[n]) for n in range(len(own))]
-    return out
+        rows.append(i + at)
+        columns.append(j)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def group_lists(centres: np.ndarray, sizes: np.ndarray, block: int) -> list[list[int]]:
+    """The groups of each list. Small lists share a group of about ``block`` vectors with their neighbours; a list above
+    ``block`` is dealt over groups of its own."""
+    groups: list[list[int]] = [[] for _ in sizes]
+    left, n = set(range(len(sizes))), 0
+    for k in np.flatnonzero(sizes > block):
+        left.discard(int(k))
+        parts = -(-int(sizes[k]) // block)
+        groups[k] = list(range(n, n + parts))
+        n += parts
+    rest = sorted(left)
+    while rest:
+        seed = max(rest, key=lambda k: ((centres[k] - centres[rest].mean(0)) ** 2).sum())
+        near = sorted(rest, key=lambda k: ((centres[k] - centres[seed]) ** 2).sum())
+        total, taken = 0, []
+        for k in near:
+            if taken and total + sizes[k] > block:
+                break
+            taken.append(k)
+            total += int(sizes[k])
+        for k in taken:
+            groups[k] = [n]
+        n += 1
+        gone = set(taken)
+        rest = [k for k in rest if k not in gone]
+    return groups
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.8, sample_rows: int = 20_000,
-    block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
+    block: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each row of ``queries``, its own id left out.
 
@@ -132,6 +176,7 @@ def search(
     lists that a query reads, and as many more as it takes to meet enough candidates.
     """
     spark = vectors.sparkSession
+    small_batches(spark, 4096)
     of = lambda df: df.select(
         F.col(id_col).cast("bigint").alias("id"),
         F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v")
@@ -174,10 +219,10 @@ def search(
     sizes = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # at most 4096 rows
         sizes[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-sizes // block))
     most = max(1, int(np.ceil(lists * probes)))
+    groups = group_lists(centres, sizes, block)
 
-    # Equal query vectors are asked once.
+    # Equal query vectors are asked once. A query goes once to each group in which it probes lists, nearest group first.
     wanted = cut(asked.where(F.size("v") == dims).distinct().withColumn("q", F.xxhash64("v")))
     distinct = wanted.groupBy("q").agg(F.first("v").alias("v"))
 
@@ -189,34 +234,35 @@ def search(
             near = nearest(sp.asked(matrix(b.column(1))), c, lists)
             met = np.cumsum(sizes[near], axis=1)
             n_probes = np.maximum(most, (met < need).sum(1) + 1)
+            who, which, first, own = [], [], [], []
+            for i, (row, m) in enumerate(zip(near.tolist(), n_probes.tolist(), strict=True)):
+                met_groups: dict[int, list[int]] = {}
+                for x in row[:m]:
+                    for g in groups[x]:
+                        met_groups.setdefault(g, []).append(x)
+                for no, (g, xs) in enumerate(met_groups.items()):
+                    who.append(i)
+                    which.append(g)
+                    first.append(no == 0)
+                    own.append(xs)
+            taken = pa.array(np.array(who, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *b.columns,
-                    pa.array(
-                        [row[:m].astype(np.int32) for row, m in zip(near, n_probes, strict=True)], pa.list_(pa.int32())
-                    )
+                    b.column(0).take(taken), b.column(1).take(taken), pa.array(which, pa.int32()), pa.array(first),
+                    pa.array(own, pa.list_(pa.int32()))
                 ],
-                ["q", "v", "lists"]
+                ["q", "v", "group", "first", "lists"]
             )
 
-    probing = distinct.mapInArrow(
-        probe, "q bigint, v array<double>, lists array<int>"
-    ).select("q", "v", F.explode("lists").alias("list"))
-    of_list = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
-    # A list's queries are dealt into parts too, so no group has more than about ``block`` of either.
-    asks = cut(
-        probing.groupBy("list").count().withColumn(
-            "asks", F.ceil(F.col("count") / block).cast("int")
-        ).select("list", "asks")
-    )
-    left = placed.join(F.broadcast(asks), "list").withColumn(
-        "part", F.pmod(F.xxhash64("v"), of_list).cast("int")
-    ).withColumn(
-        "ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))
+    probing = cut(
+        distinct.mapInArrow(probe, "q bigint, v array<double>, group int, first boolean, lists array<int>").withColumn(
+            "bound", F.lit(None).cast("double")
+        )
     )
-    right = probing.join(F.broadcast(asks), "list").withColumn("ask", F.pmod(F.hash("q"), F.col("asks"))).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), of_list - 1))
+    of_list = F.element_at(
+        F.array(*[F.array(*[F.lit(g) for g in own]) for own in groups]), F.col("list") + 1
     )
+    stored = placed.withColumn("group", F.get(of_list, F.pmod(F.xxhash64("v"), F.size(of_list)).cast("int")))
 
     def find(key, x: pa.Table, y: pa.Table) -> pa.Table:
         sp, _ = shared.value
@@ -226,24 +272,53 @@ def search(
                 [pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())], names
             )
         v, qv = matrix(x["v"]), matrix(y["v"])
-        found = scan(sp.stored(v), sp.asked(qv), need)
-        ids, q = x["ids"].combine_chunks(), y["q"].to_numpy()
+        of, of_group = np.unique(x["list"].to_numpy(), return_inverse=True)
+        asks = np.zeros((len(qv), len(of)), bool)
+        probed = y["lists"].combine_chunks()
+        who = np.repeat(np.arange(len(qv)), np.diff(probed.offsets.to_numpy()))
+        at = np.searchsorted(of, probed.flatten().to_numpy())
+        there = (at < len(of)) & (of[np.minimum(at, len(of) - 1)] == probed.flatten().to_numpy())
+        asks[who[there], at[there]] = True
+        norms = np.linalg.norm(qv, axis=1)
+        known = np.array([np.nan if s is None else s for s in y["bound"].to_pylist()], float)
+        bound = 2 * sp.longest**2 - 2 * sp.longest / norms * known
+        bound = np.where(np.isnan(bound), np.inf, bound + 1e-9 * sp.longest**2)
+        i, j = scan(
+            sp.stored(v).astype(np.float32), sp.asked(qv).astype(np.float32), need, bound,
+            None if asks.all() else asks[:, of_group]
+        )
+        ids = x["ids"].combine_chunks()
         smallest = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
-        who, which, score = [], [], []
-        for i, c in enumerate(found):
-            s = (v[c] * qv[i]).sum(1)
-            best = np.lexsort((smallest[c], -s))[:need]
-            who.append(np.full(len(best), q[i]))
-            which.append(c[best])
-            score.append(s[best])
+        score = np.concatenate(
+            [(v[j[a : a + 100_000]] * qv[i[a : a + 100_000]]).sum(1) for a in range(0, len(i), 100_000)] or [np.zeros(0)]
+        )
+        order = np.lexsort((smallest[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        begin = np.searchsorted(i, i)  # the first place of each query
+        best = np.arange(len(i)) - begin < need
         return pa.table(
-            [pa.array(np.concatenate(who)), ids.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(score))],
-            names
+            [pa.array(y["q"].to_numpy()[i[best]]), ids.take(pa.array(j[best])), pa.array(score[best])], names
         )
 
-    hits = left.select("list", "part", "ask", "v", "ids").groupBy("list", "part", "ask").cogroup(
-        right.select("list", "part", "ask", "q", "v").groupBy("list", "part", "ask")
-    ).applyInArrow(find, "q bigint, ids array<bigint>, score double")
+    def searched(asks: DataFrame) -> DataFrame:
+        """The best of each query in each of its groups. A group's queries are dealt into parts, so no task has more than
+        about ``block`` vectors or queries."""
+        parts = cut(
+            asks.groupBy("group").count().select("group", F.ceil(F.col("count") / block).cast("int").alias("asks"))
+        )
+        small = broadcast_if_small(parts)
+        left = stored.join(small, "group").withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+        right = asks.join(small, "group").withColumn("ask", F.pmod(F.hash("q"), F.col("asks")))
+        return left.select("group", "ask", "v", "ids", "list").groupBy("group", "ask").cogroup(
+            right.select("group", "ask", "q", "v", "lists", "bound").groupBy("group", "ask")
+        ).applyInArrow(find, "q bigint, ids array<bigint>, score double")
+
+    first = cut(searched(probing.where("first")))
+    bounds = first.groupBy("q").agg(F.min("score").alias("own"), F.count("*").alias("n")).where(F.col("n") >= need)
+    others = probing.where("NOT first").drop("bound").join(
+        bounds.select("q", F.col("own").alias("bound")), "q", "left"
+    )
+    hits = first.unionByName(searched(others))
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     top = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= need)
     # The best of each query vector: at most need * need ids, cut to need.

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lexispark.llm.ann_search import scan, search
+from lexispark.llm.ann_search import group_lists, scan, search
 
 
 def brute(rows, queries, k):
@@ -32,9 +32,31 @@ def test_recall_on_a_whole_table(spark, data):
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(3000, 65)), rng.normal(size=(10, 65))
-    for k, alive in enumerate(scan(x, q, 21)):
-        best = ((x - q[k]) ** 2).sum(1).argsort()[:21]
+    i, j = scan(x, q, 21)
+    for k in range(10):
+        d = ((x - q[k]) ** 2).sum(1)
+        best, alive = d.argsort()[:21], j[i == k]
         assert len(alive) < 3000 and len(set(best) & set(alive.tolist())) >= 20
+    # with a bound that is carried, and for some of the candidates only
+    d = np.sort(((x[None] - q[:, None]) ** 2).sum(2), axis=1)[:, 20]
+    asked = rng.random((10, 3000)) < 0.5
+    i, j = scan(x, q, 21, d * 1.0001, asked)
+    assert asked[i, j].all() and len(i) <= 210
+    want = {(a, b) for a in range(10) for b in np.flatnonzero(asked[a]) if ((x[b] - q[a]) ** 2).sum() <= d[a]}
+    assert len(want - set(zip(i.tolist(), j.tolist(), strict=True))) <= 3
+
+
+def test_groups_hold_all_lists_in_bounded_blocks():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(0, 900, 40)
+    sizes[7] = 5000
+    groups = group_lists(rng.normal(size=(40, 8)), sizes, 1000)
+    assert len(groups[7]) == 5 and all(len(g) == 1 for k, g in enumerate(groups) if k != 7)
+    held = {}
+    for k, g in enumerate(groups):
+        if k != 7:
+            held[g[0]] = held.get(g[0], 0) + sizes[k]
+    assert max(held.values()) <= 1000 and set(held).isdisjoint(groups[7])
 
 
 def test_ties_copies_and_odd_vectors(spark):
