@@ -7,26 +7,32 @@ character adds (it may be negative, when pieces merge). This rests on a property
 encoding of its text exactly if every two neighbours are the encoding of their joined text, so each prefix has one
 last token and a bounded look back finds it. States are made when first reached and kept in a bounded table.
 
-Spaces separate texts into segments that no piece crosses, and so do characters outside the vocabulary's alphabet. The
-summary of a chunk of text (open head, tokens inside, open tail) therefore composes associatively; a long text is cut
-anywhere into chunks, and a prefix scan over the chunks' summaries gives its count.
+Spaces separate texts into segments that no piece crosses, and so do characters outside the vocabulary's alphabet. A
+chunk of a text is therefore a map from the state in which it is entered to the state in which it is left: what stands
+before its first boundary (its head) depends on the entry, all that follows is the same for every entry. Maps compose
+by reading the second's head in the first's last state; of a head without boundaries only the beginning is read again,
+as the states soon agree with those of an entry at a boundary. Long texts are cut into chunks that are rows of their own:
+the maps are made in parallel, blocks of maps are composed in parallel, and the blocks' maps in turn, level by level.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import cut, small_batches
+
 SPACE = "\u2581"
 CHUNK = 1 << 20
 MOST_STATES = 250_000
 MOST_WORDS = 300_000
 LONG_SEGMENT = 64
+AGREE = 512  # characters within which the states after two entries are expected to agree
 
 _compiled: dict[str, Transducer] = {}
 
@@ -60,6 +66,28 @@ class Pieces:
         return parts
 
 
+class State(NamedTuple):
+    """Where reading stands: spaces that precede the open word, its places (of ``Transducer.open``), tokens so far in it."""
+
+    blank: int
+    places: tuple
+    n: int
+
+
+class Map(NamedTuple):
+    """What a chunk does to the state in which it is entered.
+
+    head: what stands before the first boundary; at_once: the state after the head if the chunk is entered at a boundary,
+    where the head is long; closed: tokens from the first boundary on up to the open word, None without a boundary; last:
+    the state at the end, None without a boundary.
+    """
+
+    head: str
+    at_once: State | None
+    closed: int | None
+    last: State | None
+
+
 class Transducer:
     """Counts tokens of segments: ``▁`` and what follows it up to the next one, without characters of other alphabets."""
 
@@ -83,6 +111,7 @@ class Transducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.real: dict[int, bool] = {}
         self.runs: dict[int, int] = {0: 0}
+        self.period = self._period()
         self._clear()
 
     def _insert(self, piece: str) -> None:
@@ -157,21 +186,34 @@ class Transducer:
             self._clear()
         return n, lone
 
+    def _piled(self, parts: Iterable[int]) -> list[int]:
+        """Runs of spaces joined as BPE does: all have one score, so the leftmost pair that is a piece joins first."""
+        pile: list[int] = []
+        for p in parts:
+            pile.append(p)
+            while len(pile) > 1 and SPACE * (pile[-2] + pile[-1]) in self.pieces.score:
+                pile[-2:] = [pile[-2] + pile[-1]]
+        return pile
+
     def run(self, k: int) -> int:
-        """Tokens of k spaces that no word takes part of; all runs have one score, so the leftmost pair joins first."""
+        """Tokens of k spaces that no word takes part of.
+
+        Once the spaces read so far are one piece that no longer one begins with, what follows is a run of its own.
+        """
         if k not in self.runs:
-            parts, score, i = [1] * k, self.pieces.score, 0
-            while i < len(parts) - 1:
-                if SPACE * (parts[i] + parts[i + 1]) in score:
-                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                    i = max(0, i - 1)
-                else:
-                    i += 1
+            if self.period and k > self.period:
+                return k // self.period + self.run(k % self.period)
             if len(self.runs) > 10_000:
                 self.runs.clear()
-            self.runs[k] = len(parts)
+                self.runs[0] = 0
+            self.runs[k] = len(self._piled([1] * k))
         return self.runs[k]
 
+    def _period(self) -> int:
+        """The longest piece of spaces, if as many spaces join to it and to nothing longer; else 0."""
+        longest = max((len(p) for p in self.pieces.score if set(p) == {SPACE}), default=0)
+        return longest if longest and self._piled([1] * longest) == [longest] else 0
+
     def line(self, text: str, spaced: bool) -> int:
         """Tokens of a text within the alphabet; spaced: a ``▁`` stands before it."""
         plain, after = self.words
@@ -202,34 +244,142 @@ class Transducer:
             at, spaced = m.end(), False
         return n + self.line(text[at:], spaced)
 
-    def chunk(self, text: str) -> tuple[str, int | None, str]:
-        """The summary of a chunk: what stands before its first boundary, the tokens up to the last one, what stands after.
+    # --- chunks of long texts -----------------------------------------------------------------------------------------
+
+    def opened(self, spaced: bool) -> State:
+        """The state at a text's start, or after a character outside the alphabet."""
+        return State(1 if spaced else 0, self.open[self.start] if not spaced else (), 0)
 
-        A boundary is a place before a run of spaces; the run itself opens the next segment. A chunk without one has
-        None as its count and is all head.
+    def _closed(self, s: State) -> int:
+        """Tokens of the open word with the spaces before it."""
+        if not s.places:
+            return self.run(s.blank)
+        if s.blank <= 1:
+            return s.n
+        return s.n - 1 + self.run(s.blank) if s.places[-1][3] else s.n + self.run(s.blank - 1)
+
+    def _word(self, s: State, text: str) -> State:
+        """Characters of a word read in a state."""
+        if not text:
+            return s
+        n, state = s.n, self._state(s.places or self.open[self.start])
+        if not s.places:
+            text = SPACE + text  # the last of the spaces belongs to the word
+        for c in text:
+            hit = self.next[state].get(c)
+            state, gained = hit or self.step(state, c)
+            n += gained
+        out = State(s.blank, self.open[state], n)
+        if len(self.open) > MOST_STATES:
+            self._clear()
+        return out
+
+    def feed(self, s: State, text: str) -> tuple[int, State]:
+        """Read a text in a state: the tokens that are closed by it, and the state at its end."""
+        closed = at = 0
+        for m in self.outside.finditer(text):
+            n, s = self._feed(s, text[at : m.start()])
+            closed += n + self._closed(s) + len(m[0].encode())
+            at, s = m.end(), self.opened(False)
+        n, s = self._feed(s, text[at:])
+        return closed + n, s
+
+    def _feed(self, s: State, text: str) -> tuple[int, State]:
+        """The same for a text within the alphabet."""
+        first = text.find(SPACE)
+        if first < 0:
+            return 0, self._word(s, text)
+        last = text.rfind(SPACE)
+        s = self._word(s, text[:first])
+        closed = 0
+        if s.places and s.places != self.open[self.start]:
+            closed, s = self._closed(s), State(0, (), 0)
+        elif s.places:  # nothing read since the start of an unspaced text
+            s = State(0, (), 0)
+        if last > first and text[first + 1 : last].strip(SPACE):  # words in between, closed by a space
+            lead = len(text[first:last]) - len(text[first:last].lstrip(SPACE))
+            inner = text[first + lead : last].rstrip(SPACE)
+            gap = last - first - lead - len(inner)
+            word, _, rest = inner.partition(SPACE)
+            opened = self._word(State(s.blank + lead, (), 0), word)
+            closed += self._closed(opened)
+            if rest or inner.endswith(SPACE):
+                closed += self.line(SPACE + rest, False)
+            s = State(gap + 1, (), 0)
+        else:
+            s = State(s.blank + last - first + 1, (), 0)
+        return closed, self._word(s, text[last + 1 :])
+
+    def map_of(self, text: str) -> Map:
+        """The map of a chunk.
+
+        A boundary is a character outside the alphabet, or a space after another character; the chunk's own first
+        character is none, as what stands before it isn't known.
         """
-        first = last = -1
         at = re.search(f"(?<=[^{SPACE}]){SPACE}", text)
-        if at:
-            first = at.start()
-            last = text.rindex(SPACE)
-            while last > first and text[last - 1] == SPACE:
-                last -= 1
-        if first < 0:
-            return text, None, ""
-        return text[:first], self.inside(text[first:last], False) if last > first else 0, text[last:]
-
-    def join(self, a: tuple, b: tuple) -> tuple:
-        """The summary of two chunks, one after the other; associative."""
-        if a[1] is None and b[1] is None:
-            return self.chunk(a[0] + b[0])
-        if a[1] is None:
-            head, n, tail = self.chunk(a[0] + b[0])
-            return (head + tail, b[1], b[2]) if n is None else (head, n + self.inside(tail, False) + b[1], b[2])
-        head, n, tail = self.chunk(a[2] + b[0])
-        if b[1] is None:
-            return (a[0], a[1], head + tail) if n is None else (a[0], a[1] + self.inside(head, False) + n, tail)
-        return a[0], a[1] + self.inside(a[2] + b[0], False) + b[1], b[2]
+        out = self.outside.search(text)
+        if out and (not at or out.start() < at.start()):
+            head, rest, n, s = text[: out.start()], text[out.end() :], len(out[0].encode()), self.opened(False)
+        elif at:
+            head, rest, n, s = text[: at.start()], text[at.start() :], 0, State(0, (), 0)
+        else:
+            return Map(text, self._at_once(text), None, None)
+        closed, last = self.feed(s, rest)
+        return Map(head, self._at_once(head), n + closed, last)
+
+    def _at_once(self, head: str) -> State | None:
+        return self._word(State(1, (), 0), head) if len(head) > AGREE and SPACE not in head else None
+
+    def _after(self, s: State, m: Map) -> tuple[int, State]:
+        """A map's head read in a state. The states after it and after an entry at a boundary are read side by side until
+        they agree; from there on the map knows the rest."""
+        if m.at_once is None or not (s.places or s.blank):
+            return self.feed(s, m.head)
+        a, b = s, State(1, (), 0)
+        for i in range(0, AGREE, 32):
+            part = m.head[i : i + 32]
+            a, b = self._word(a, part), self._word(b, part)
+            bare = lambda x: [p[:3] for p in x.places]
+            if bare(a) == bare(b) and len({p[3] for p in a.places}) == 1 and len({p[3] for p in m.at_once.places}) == 1:
+                lone = a.places[0][3]
+                places = tuple((*p[:3], lone) for p in m.at_once.places)
+                if a.places[0][0] and m.at_once.places[0][0]:
+                    return 0, State(a.blank, places, a.n + m.at_once.n - b.n)
+        return self.feed(s, m.head)
+
+    def applied(self, s: State, m: Map) -> tuple[int, State]:
+        """Enter a chunk in a state: the tokens that are closed by it, and the state in which it is left."""
+        closed, after = self._after(s, m)
+        if m.closed is None:
+            return closed, after
+        if after.places != self.open[self.start]:  # else nothing is open
+            closed += self._closed(after)
+        return closed + m.closed, m.last
+
+    def joined(self, a: Map, b: Map) -> Map:
+        """The map of two chunks, one after the other; associative."""
+        if a.closed is None:
+            if b.closed is None:
+                if a.at_once and SPACE not in b.head:
+                    return Map(a.head + b.head, self._after(a.at_once, b)[1], None, None)
+                return self.map_of(a.head + b.head)
+            both = self.map_of(a.head + b.head)
+            if both.closed is None:
+                return Map(both.head, both.at_once, b.closed, b.last)
+            n, _ = both.closed, both.last
+            if both.last.places != self.open[self.start]:
+                n += self._closed(both.last)
+            return Map(both.head, both.at_once, n + b.closed, b.last)
+        n, last = self.applied(a.last, b)
+        return Map(a.head, a.at_once, a.closed + n, last)
+
+    def total(self, maps: Iterable[Map]) -> int:
+        """Tokens of a text, from its chunks' maps in order."""
+        n, s = 0, self.opened(True)
+        for m in maps:
+            more, s = self.applied(s, m)
+            n += more
+        return n + (self._closed(s) if s.places != self.open[self.start] else 0)
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a text."""
@@ -238,9 +388,7 @@ class Transducer:
         text = text.replace(" ", SPACE)
         if len(text) <= chunk:
             return self.inside(text, True)
-        parts = [self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        head, n, tail = reduce(self.join, parts)
-        return self.inside(head, True) + (n or 0) + self.inside(tail, False)
+        return self.total(self.map_of(text[i : i + chunk]) for i in range(0, len(text), chunk))
 
 
 class Words(dict):
@@ -265,31 +413,113 @@ def compiled(path: str) -> Transducer:
     return _compiled[path]
 
 
+_MAP = "row bigint, no bigint, head string, at_once binary, closed bigint, last binary"
+
+
+def _packed(s: State | None) -> bytes | None:
+    return None if s is None else repr(tuple(s)).encode()
+
+
+def _unpacked(b: bytes | None) -> State | None:
+    import ast
+
+    return None if b is None else State(*ast.literal_eval(b.decode()))
+
+
+def _rows(maps: list[tuple[int, int, Map]]) -> pa.Table:
+    return pa.table(
+        {
+            "row": pa.array([r for r, _, _ in maps], pa.int64()), "no": pa.array([n for _, n, _ in maps], pa.int64()),
+            "head": pa.array([m.head for *_, m in maps], pa.string()),
+            "at_once": pa.array([_packed(m.at_once) for *_, m in maps], pa.binary()),
+            "closed": pa.array([m.closed for *_, m in maps], pa.int64()),
+            "last": pa.array([_packed(m.last) for *_, m in maps], pa.binary())
+        }
+    )
+
+
+def _maps(t: pa.Table) -> list[Map]:
+    cols = (t[c].to_pylist() for c in ("head", "at_once", "closed", "last"))
+    return [Map(h, _unpacked(a), c, _unpacked(x)) for h, a, c, x in zip(*cols, strict=True)]
+
+
+def _long_counts(long: DataFrame, model: str, chunk: int, fan: int) -> DataFrame:
+    """(row, n_tokens) of long texts (row, text): a prefix scan over their chunks, ``fan`` maps to a block."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
+                for at in range(0, len(text), chunk):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row]), pa.array([at // chunk]), pa.array([text[at : at + chunk]])],
+                        ["row", "no", "text"]
+                    )
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = compiled(model)
+        for b in batches:
+            for i in range(b.num_rows):
+                m = counter.map_of(b.column(2)[i].as_py().replace(" ", SPACE))
+                yield from _rows([(b.column(0)[i].as_py(), b.column(1)[i].as_py(), m)]).to_batches()
+
+    def block(t: pa.Table) -> pa.Table:
+        counter, t = compiled(model), t.sort_by("no")
+        first, *rest = _maps(t)
+        for m in rest:
+            first = counter.joined(first, m)
+        return _rows([(t["row"][0].as_py(), t["no"][0].as_py() // fan, first)])
+
+    def whole(t: pa.Table) -> pa.Table:
+        n = compiled(model).total(_maps(t.sort_by("no")))
+        return pa.table({"row": t["row"][:1], "n_tokens": pa.array([n], pa.int64())})
+
+    cores = long.sparkSession.sparkContext.defaultParallelism
+    dealt = long.select("row", "text").mapInArrow(pieces, "row bigint, no bigint, text string").repartition(
+        4 * cores, "row", "no"
+    )
+    maps = cut(dealt.mapInArrow(mapped, _MAP))
+    most = maps.agg(F.max("no")).first()[0]
+    while most is not None and most >= fan:  # a block's map is no larger than its first chunk's
+        maps = cut(maps.groupBy("row", F.floor(F.col("no") / fan).alias("block")).applyInArrow(block, _MAP))
+        most //= fan
+    return maps.groupBy("row").applyInArrow(whole, "row bigint, n_tokens bigint")
+
+
 def count_tokens(
-    docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+    docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+    fan: int = 64
 ) -> DataFrame:
     """Bytes and tokens of every whole text under a sentencepiece BPE model, without added tokens.
 
     One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit); other columns are left out.
-    A null or empty text has no bytes and no tokens. Ids may be null or repeated. Texts of any length are read whole,
-    in chunks. There is no shuffle; a lost task is simply run again.
+    A null or empty text has no bytes and no tokens. Ids may be null or repeated, and each row is counted on its own. No
+    rows give no rows. Texts of up to ``chunk`` characters are counted where they are, without a shuffle. Longer ones are
+    cut into chunks, which are dealt out and composed in blocks of ``fan``; a text without any boundary has its
+    characters read by one task.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(text_col, F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    short = F.char_length("text") <= chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = compiled(model)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n = [counter.count(t, chunk) for t in texts]
+            n = [counter.count(t, chunk) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()),
-                    pa.array([x > limit for x in n], pa.bool_())
-                ],
-                ["id", "n_bytes", "n_tokens", "over_limit"],
+                [b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"]
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
-    ).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.where(short).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    long = rows.where(~short).withColumn("row", F.monotonically_increasing_id())
+    found = long.select("row", "id", "n_bytes", "text")
+    if not found.isEmpty():
+        at = cut(found)
+        counts = _long_counts(at, model, chunk, fan)
+        out = out.unionByName(at.select("row", "id", "n_bytes").join(counts, "row").drop("row"))
+    return out.select(
+        F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+    )
