@@ -2,12 +2,14 @@
 
 A document's tokens are cut into pieces whose lengths are powers of two, largest first: as many of the full length as
 fit, then the binary digits of the rest. Each piece is a sequence of its own in the bucket of its length, so no
-sequence crosses documents and none is padded. A trainer draws each batch from one bucket.
+sequence crosses documents and none is padded. Batches take sequences of one bucket, so many that all batches have the
+same number of tokens; ``write_buckets`` writes a folder for each length.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,37 +19,69 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import small_batches
+
+MOST_WORDS = 300_000
+LONG_WORD = 64
+# A space between white space, or after white space at the end: one pre-token may reach over it.
+UNSAFE = re.compile(r"\s (?:\s|\Z)")
+SAFE = re.compile(r"(?<=\S)(?= )|(?= \S)")
+
 _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of a byte-level BPE file of the library tokenizers, special strings included as that library reads them.
+    """Ids of a byte-level BPE file by the library tokenizers, special strings included as it reads them.
 
-    The file's own vocabulary runs in tiktoken's engine, which gives the same ids in less than half the time; tests
-    hold the two against each other.
+    No pre-token of such a file reaches over a space that has another character than white space on either side, so
+    texts are cut there and the library's ids of each word, with the space before it, are kept for words seen lately.
     """
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
-        if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
+        pre = spec["pre_tokenizer"]
+        if spec["model"]["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or spec["normalizer"] or any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"]
+        ):
             raise ValueError("not a plain byte-level BPE file")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        # The byte-level alphabet in the order of bytes: printable bytes stand for themselves, the others follow from 256.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {
-            chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)
-        }
-        if set(byte_of) != set(ByteLevel.alphabet()):
-            raise ValueError("another byte alphabet")
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the pattern of byte-level BPE
-        self.own = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.library = Tokenizer.from_file(path)
+        self.after: dict[str, bytes] = {}  # words after a space
+        self.plain: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        made = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in made]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.after) + len(self.plain) > MOST_WORDS:
+            self.after.clear()
+            self.plain.clear()
+        cut = []  # a first piece, or all pieces of an irregular text; words after a space
+        for t in texts:
+            if UNSAFE.search(t):
+                cut.append(([p for p in SAFE.split(t) if p], []))
+            else:
+                first, *rest = t.split(" ")
+                cut.append(([first], rest))
+        long = []
+        for known, which, before in ((self.plain, 0, ""), (self.after, 1, " ")):
+            new = list({p for c in cut for p in c[which] if p not in known})
+            known.update(zip(new, self._encode([before + p for p in new]), strict=True))
+            long += [(known, p) for p in new if len(p) > LONG_WORD]
+        out = [
+            np.frombuffer(
+                b"".join(map(self.plain.__getitem__, a)) + b"".join(map(self.after.__getitem__, b)), "<u4"
+            ) for a, b in cut
+        ]
+        for known, p in long:  # of no use to other texts
+            del known[p]
+        return out
 
     def ids(self, text: str) -> np.ndarray:
-        return self.own.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        return self.many([text])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -62,29 +96,33 @@ def pieces(n: int, most: int) -> list[int]:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id",
-    text_col: str = "text"
+    docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, with_ids: bool = False,
+    batch_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Cut every document into sequences of power-of-two lengths up to ``most`` (itself a power of two).
 
     A row per piece: the id, start (the document's ids before it), length, ids_crc32 (of the ids as little-endian
-    unsigned 32-bit numbers), doc_tokens, sequence_id, offset (always 0), bucket (the length's logarithm) and, with
-    ``with_ids``, the ids. A null or empty text is one piece, the end id. Rows with the same or a null id are
-    documents of their own; their sequences differ. sequence_id is the task's number and a count in it, so it is
-    unique and the same whenever a task is run again on the same split. Other columns are left out. No shuffle.
+    unsigned 32-bit numbers), doc_tokens, sequence_id, offset (always 0), bucket (the length's logarithm), batch_id
+    and, with ``with_ids``, the ids. A batch has sequences of one bucket of one task, ``batch_tokens`` tokens in all;
+    the last one of each may have fewer. A null or empty text is one piece, the end id; a long text is read whole, as
+    one row. Rows with the same or a null id are documents of their own; their sequences differ. sequence_id and
+    batch_id are the task's number and a count in it, so they are unique and the same whenever a task is run again on
+    the same split. No rows give no pieces. Other columns are left out. No shuffle.
     """
     if most & (most - 1):
         raise ValueError("most must be a power of two")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        enc, task = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        seq, filled = task, np.zeros(most.bit_length(), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 doc, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    own = np.append(enc.ids(text), end_id).astype("<u4")
+                for k, found in enumerate(enc.many(part.column(1).to_pylist())):
+                    own = np.append(found, np.uint32(end_id)).astype("<u4")
                     s = 0
                     for n in pieces(len(own), most):
                         doc.append(k)
@@ -99,23 +137,36 @@ def pack(
                 doc = np.array(doc, np.int64)
                 n = len(doc)
                 lengths = np.array(length, np.int64)
+                bucket = np.log2(lengths).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                rank = np.empty(n, np.int64)
+                rank[order] = np.arange(n) - np.searchsorted(bucket[order], bucket[order])
+                no = (filled[bucket] + rank) // np.maximum(1, batch_tokens >> bucket)
+                filled += np.bincount(bucket, minlength=len(filled))
                 cols = [
                     part.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(
                         np.array(total, np.int64)[doc]
                     ),
                     pa.array(
                         np.arange(seq, seq + n, dtype=np.int64)
-                    ), pa.array(np.zeros(n, np.int64)), pa.array(np.log2(lengths).astype(np.int32)),
+                    ), pa.array(np.zeros(n, np.int64)), pa.array(bucket),
+                    pa.array(task + (bucket.astype(np.int64) << 32) + no),
                 ]
                 seq += n
-                names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
+                names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "batch_id"]
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int" + (
+    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int, batch_id bigint" + (
         ", ids array<int>" if with_ids else ""
     )
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def write_buckets(packed: DataFrame, at: str) -> None:
+    """Write pieces below a folder, those of each length in a folder of their own (bucket=0, bucket=1, ...), so that a
+    reader of one bucket reads sequences of one length only. Each task writes a file to each folder; no shuffle."""
+    packed.write.partitionBy("bucket").option("compression", "zstd").parquet(at)

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
-from hypothesis import given
+import pytest
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexispark.llm.packing import encoder, pack, pieces
+from lexispark.llm.packing import encoder, pack, pieces, write_buckets
 from lexispark.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -48,12 +49,49 @@ def test_odd_rows(odd, none):
     assert LIB.decode(ids[:-1], skip_special_tokens=False) == "\x00 <|endoftext|> <s> \u2581 日本語 😀"
 
 
+@settings(deadline=None)
 @given(st.text(max_size=80))
 def test_same_ids_as_the_library(text):
     text = text.encode("utf-8", "ignore").decode()
     assert encoder(PATH).ids(text).tolist() == LIB.encode(text, add_special_tokens=False).ids
 
 
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.sampled_from([" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "it's", "9", "!", "é", "日", "<|endoftext|>", "word "]), max_size=14))
+def test_same_ids_around_white_space(parts):
+    text = "".join(parts)
+    assert encoder(PATH).ids(text).tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\t" * 1_000_000, "x" * 100_000, "ab \n " * 50_000])
+def test_long_runs(text):
+    enc = encoder(PATH)
+    assert enc.many(["a b", text, "c"])[1].tolist() == LIB.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*enc.plain, *enc.after])) <= 64
+
+
+def test_a_long_run_of_spaces_as_a_row(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "a b")], "doc_id bigint, text string")
+    check(df, pack(df, PATH).collect())
+
+
+def test_batches_and_folders_have_sequences_of_one_length(spark, docs, tmp_path):
+    packed = pack(docs, PATH, batch_tokens=4096, with_ids=True)
+    batches = {}
+    for r in packed.select("batch_id", "length").collect():
+        batches.setdefault(r["batch_id"], []).append(r["length"])
+    assert all(len(set(b)) == 1 and sum(b) <= 4096 for b in batches.values())
+    by_length = {}
+    for b in batches.values():
+        by_length.setdefault(b[0], []).append(sum(b))
+    parts = packed.rdd.getNumPartitions()
+    assert all(sum(x < 4096 for x in full) <= parts for full in by_length.values())
+    write_buckets(packed, str(tmp_path / "out"))
+    for b in range(11):
+        got = spark.read.parquet(str(tmp_path / f"out/bucket={b}"))
+        assert {r["n"] for r in got.selectExpr("size(ids) AS n").distinct().collect()} == {1 << b}
+
+
 @given(st.integers(1, 100_000))
 def test_pieces_add_up(n):
     p = pieces(n, 1024)
