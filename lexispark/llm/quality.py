@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import cut, small_batches
+
 BUCKETS = 1 << 20
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -122,19 +124,21 @@ def fit(
 
 
 def train(
-    docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, train_rows: int = 12_000, id_col: str = "doc_id",
-    text_col: str = "text"
+    docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, train_rows: int = 12_000,
+    train_values: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> OrdinalModel:
     """Fit on at most ``train_rows`` of the rated rows, those with the smallest hash of their id.
 
     Ratings without a grade are left out, as are ids that the documents lack; a document with several ratings counts
-    once for each. The sample's features, not its texts, go to the driver.
+    once for each. The sample's features, not its texts, go to the driver: ``train_values`` of them at most (128 MB), so
+    where the sample's texts have more distinct words than that, its last rows are left out.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     rated = ratings.select(
         F.col(id_col).cast(kind).alias("id"), grade.cast("int").alias("grade")
     ).where("id is not null and grade is not null")
-    sample = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(train_rows)
+    sample = rated.withColumn("at", F.xxhash64("id")).orderBy("at", "id", "grade").limit(train_rows)
     texts = docs.select(
         F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
     ).where("id is not null")
@@ -146,16 +150,21 @@ def train(
                 made = [features(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(1), pa.array([np.array(i, np.int32) for i, _ in made], pa.list_(pa.int32())),
+                        part.column(1), part.column(2), pa.array([np.array(i, np.int32) for i, _ in made], pa.list_(pa.int32())),
                         pa.array([np.array(v, np.float32) for _, v in made], pa.list_(pa.float32()))
                     ],
-                    ["grade", "i", "v"],
-                )
+                    ["grade", "at", "i", "v"],
+                )
 
     sized = texts.join(
         F.broadcast(sample), "id"
-    ).select("text", "grade")  # the sample has train_rows rows of two numbers
-    got = sized.mapInArrow(run, "grade int, i array<int>, v array<float>").toArrow().combine_chunks()
+    ).select("text", "grade", "at")  # the sample has train_rows rows of three numbers
+    made = cut(sized.mapInArrow(run, "grade int, at bigint, i array<int>, v array<float>"))
+    sizes = sorted((r["at"], r["n"]) for r in made.select("at", F.size("i").alias("n")).collect())  # train_rows rows
+    total = np.cumsum([n for _, n in sizes])
+    if len(total) and total[-1] > train_values:
+        made = made.where(F.col("at") < sizes[int(np.searchsorted(total, train_values, "right"))][0])
+    got = made.drop("at").toArrow().combine_chunks()
     rows = [
         (i.values.to_numpy(), v.values.to_numpy(), y) for i, v,
         y in zip(got["i"], got["v"], got["grade"].to_pylist(), strict=True)
@@ -170,33 +179,38 @@ def score(
     """Add expected_grade, tail_probability (of reaching ``keep_grade``) and keep (tail at least ``least``) to every row.
 
     A null text counts as empty; a text without words has only its shape to speak for it. All rows and columns stay;
-    columns of these names are replaced.
+    columns of these names are replaced. Equal texts have equal scores, and repeated rows are scored each. An empty table
+    gives no rows. Long texts are read whole, with as much memory as their distinct words take. Only the texts go to
+    Python.
     """
+    small_batches(docs.sparkSession)
     names = ["expected_grade", "tail_probability", "keep"]
     kept = [c for c in docs.columns if c not in names]
     some = np.flatnonzero(model.weights)
     # The model's non-zero weights travel with the task as a broadcast: at most BUCKETS numbers of four bytes.
     shared = docs.sparkSession.sparkContext.broadcast((some.astype(np.int32), model.weights[some], model.thresholds))
-    schema = docs.select(*kept).schema
-    for n, k in zip(names, ("double", "double", "boolean"), strict=True):
-        schema = schema.add(n, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("expected_grade double, tail_probability double, keep boolean")
+    def graded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, w, theta = shared.value
         weights = np.zeros(BUCKETS, np.float32)
         weights[at] = w
         own = OrdinalModel(weights, theta)
-        for b in batches:
+        for texts in parts:
             f = []
-            for text in b.column(kept.index(text_col)):
+            for text in texts:
                 i, v = features(text.as_py() or "")
                 f.append(float(weights[i] @ np.array(v, np.float32)))
             tails = own.tails(np.array(f, float))
             tail = tails[:, keep_grade - 1]
-            new = [pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
+            yield pa.StructArray.from_arrays([pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)], names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    new = "graded"
+    while new in docs.columns:
+        new += "_"
+    # Marked as not deterministic, so that it runs once a row, whatever is filtered by its result.
+    scored = docs.select(*[f"`{c}`" for c in kept], graded.asNondeterministic()(F.col(text_col)).alias(new))
+    return scored.select(*[f"`{c}`" for c in kept], *[F.col(new)[c].alias(c) for c in names])
 
 
 # Ratings of the labels table as grades: 0 toxic, 1 of low quality, 2 good.
@@ -205,5 +219,8 @@ def label_grade() -> Column:
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with the grades of a model fitted to the labels table; keep asks for a good one."""
+    """Documents with the grades of a model fitted to the labels table; keep asks for a good one.
+
+    The results for odd rows are those of ``score``; without labels all documents get the same tail.
+    """
     return score(docs, train(docs, labels, label_grade(), 3), keep_grade=2)

@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 
 from lexispark.llm.quality import features, fit, grade_documents, label_grade, score, train
@@ -16,6 +19,94 @@ def test_held_out_accuracy(spark, data):
     assert got[good].expected_grade.mean() > got[~good].expected_grade.mean() + 0.5
 
 
+def plain_features(text):
+    """The features of a text by counting: name to value."""
+    words = text.split()
+    counts = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    core = lambda w: w.strip("".join({c for c in w if not (c.isalnum() or c == "_")})) if not w.isalnum() else w
+    named = {}
+    for w in words:
+        k = core(w).lower()
+        named[k] = named.get(k, 0) + 1
+    total = max(1, len(words))
+    tenth = lambda x: min(10, int(x * 10 + 1e-9))
+    lines = text.split("\n")
+    out = [(k, 1 + math.log(n)) for k, n in named.items() if k]
+    shape = {
+        "words": min(12, int(math.log2(total))), "upper": tenth(sum(len(w) > 1 and w.isupper() for w in words) / total),
+        "clung": tenth(sum(len(w) - len(core(w)) > 1 for w in words) / total),
+        "top": tenth(max(counts.values(), default=0) / total),
+        "distinct": f"{min(12, int(math.log2(total)))} {tenth(len(counts) / total)}",
+        "length": min(20, int(sum(map(len, words)) / total)), "lines": tenth(len(set(lines)) / len(lines)),
+        "letters": tenth(sum(c.isalpha() for w in words for c in w) / max(1, len(text)))
+    }
+    return out + [(f"# {k} {v}", 4.0) for k, v in shape.items()]
+
+
+def test_scores_against_plain_sums(spark, docs, data):
+    """Every document's grade and tail from its features, counted and summed one by one."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = train(docs, labels, label_grade(), 3)
+    got = {r["doc_id"]: r for r in grade_documents(docs, labels).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and np.count_nonzero(model.weights) > 10
+    for r in rows:
+        f = sum(float(model.weights[zlib.crc32(k.encode()) % 2**20]) * v for k, v in plain_features(r["text"] or ""))
+        tails = [1 / (1 + math.exp(t - f)) for t in model.thresholds]
+        own = got[r["doc_id"]]
+        assert abs(own["expected_grade"] - sum(tails)) < 1e-4 and abs(own["tail_probability"] - tails[1]) < 1e-4
+        assert own["keep"] == (own["tail_probability"] >= 0.4)
+
+
+def test_fit_against_plain_steps():
+    """The batches' steps, weight by weight."""
+    rng = np.random.default_rng(3)
+    rows = [(np.array(sorted(rng.choice(6, 2, replace=False))), rng.random(2), int(y)) for y in rng.integers(0, 3, 70)]
+    m = fit(rows, 3, passes=2, least=1)
+    w, g2, theta, t2 = [0.0] * 6, [1e-6] * 6, [-1.0, 1.0], [1e-6] * 2
+    share = [sum(r[2] == k for r in rows) for k in range(3)]
+    order_of = np.random.default_rng(7)
+    for _ in range(2):
+        order = order_of.permutation(70)
+        for lo in range(0, 70, 32):
+            part = [rows[k] for k in order[lo : lo + 32]]
+            grad, up = {}, [0.0, 0.0]
+            for i, v, y in part:
+                f = sum(w[a] * x for a, x in zip(i, v, strict=True))
+                for k in range(2):
+                    miss = (1 / (1 + math.exp(theta[k] - f)) - (y > k)) * math.sqrt(70 / (share[y] * 3)) / len(part)
+                    up[k] -= miss
+                    for a, x in zip(i, v, strict=True):
+                        grad[a] = grad.get(a, 0.0) + miss * x
+            for a in grad:
+                g = grad[a] + 1e-2 * w[a]
+                g2[a] += g * g
+                w[a] -= 0.1 * g / math.sqrt(g2[a])
+            for k in range(2):
+                t2[k] += up[k] ** 2
+                theta[k] -= 0.1 * up[k] / math.sqrt(t2[k])
+            theta.sort()
+    assert np.allclose(m.weights[:6], w, atol=1e-5) and np.allclose(m.thresholds, theta, atol=1e-9)
+
+
+def test_the_sample_is_bounded_in_rows_and_values(spark, docs, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    whole = train(docs, labels, label_grade(), 3)
+    few = train(docs, labels, label_grade(), 3, train_values=4000)
+    none = train(docs, labels, label_grade(), 3, train_values=1)
+    assert np.count_nonzero(whole.weights) > np.count_nonzero(few.weights) > 0 == np.count_nonzero(none.weights)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(300_000))
+    df = spark.createDataFrame([(1, long), (1, long), (2, "x" * 1_000_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = grade_documents(df.selectExpr("*", "1 AS graded", "2 AS at", "3 AS i"), labels).collect()
+    assert len(got) == 3 and len({r["expected_grade"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     rows = [(np.array([int(y), 10 + int(rng.integers(5))]), np.ones(2), int(y)) for y in rng.integers(0, 3, 600)]
