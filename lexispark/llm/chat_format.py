@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes training texts of at most ``budget`` tokens, cut between turns. The running sum of turn tokens
-decides where a window ends. Each window after the first starts with the conversation's system turn and the last few
+A conversation becomes training texts of at most ``budget`` tokens of a given tokenizer, cut between turns. The running
+sum of turn tokens decides where a window ends. Each window after the first starts with the conversation's system turn and the last few
 turns again; what is repeated is never under the loss mask, so each assistant text is learned once.
 
 Turns are dealt by conversation, sorted, and read as a stream: a worker keeps one window and the limited history,
@@ -18,8 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import small_batches
+from lexispark.llm.packing import encoder
+
 OPEN, CLOSE = "### ", " </turn>\n"
-WINDOW = "conv_id bigint, window_no int, text string, n_tokens int, n_turns int, n_repeated int, loss array<array<int>>"
+WINDOW = ["conv_id", "window_no", "text", "n_tokens", "n_turns", "n_repeated", "loss"]
 
 
 def escape(text: str) -> str:
@@ -55,7 +58,7 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 class _Window:
     """The window that is being filled."""
 
-    def __init__(self, conv: int, budget: int, history_turns: int, history_tokens: int):
+    def __init__(self, conv: object, budget: int, history_turns: int, history_tokens: int):
         self.conv, self.budget, self.no = conv, budget, 0
         self.most = history_turns, history_tokens
         self.system: tuple | None = None
@@ -64,9 +67,9 @@ class _Window:
         self.prefix = [0]
         self.repeated = 0
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        shown, a, b = render(role, text)
-        turn = (role, shown, a, b, len(shown.split()))
+    def add(self, role: str, shown: str, a: int, b: int, tokens: int) -> Iterator[tuple]:
+        """A turn as ``render`` gives it, with its tokens; yields the window that it ends, if it ends one."""
+        turn = (role, shown, a, b, tokens)
         if len(self.turns) > self.repeated and self.prefix[-1] + turn[4] > self.budget:
             yield self.close()
             keep = [self.system] if self.system else []
@@ -98,48 +101,72 @@ class _Window:
         return self.conv, self.no - 1, "".join(parts), self.prefix[-1], len(self.turns), self.repeated, loss
 
 
-def format_chats(turns: DataFrame, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256) -> DataFrame:
+def _key(conv: object) -> object:
+    """A conversation's id as pandas gives it; a null has several forms there."""
+    return None if conv is None or conv is pd.NA or conv != conv else conv
+
+
+def format_chats(
+    turns: DataFrame, tokenizer: str, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256
+) -> DataFrame:
     """Windows of conversations given as rows (conv_id, turn, role, text); other columns are ignored.
 
-    Returns a row per window: its text, its tokens (runs without white space, control strings included), how many
-    turns it has, how many of the first ones are repeated, and the loss spans in code points. Turns are ordered by
-    turn, then role, then text, so ties have one order; repeated rows are turns of their own. Null roles and texts
-    are empty strings. Rows with a null conv_id form one conversation. A turn above the budget has a window of its
-    own, longer than the budget, after the system turn. No rows give no windows.
+    Returns a row per window: conv_id, window_no, its text, its tokens (those that the byte-level BPE file ``tokenizer``
+    gives its turns as they are shown, one by one), how many turns it has, how many of the first ones are repeated, and
+    the loss spans in code points. Turns are ordered by turn, then role, then text, so ties have one order; repeated rows
+    are turns of their own. Null roles and texts are empty strings. Ids of any type are kept; rows with a null conv_id
+    form one conversation. A turn above the budget has a window of its own, longer than the budget, after the system
+    turn; a very long text is such a turn. No rows give no windows.
+
+    A conversation's turns are read by one task, in order; it holds one window and the limited history.
     """
+    small_batches(turns.sparkSession)
+    kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in WINDOW.replace("array<array<int>>", "x").split(", ")]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+        enc = encoder(tokenizer)
         now: _Window | None = None
+
+        def frame(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=WINDOW).astype({"conv_id": object})
+
         for batch in batches:
             out = []
-            convs = batch["conv_id"].astype("Int64")
-            for conv, role, text in zip(convs, batch["role"], batch["text"], strict=True):
-                conv = None if conv is pd.NA else int(conv)
+            shown = [render(role, text) for role, text in zip(batch["role"], batch["text"], strict=True)]
+            tokens = [len(i) for i in enc.many([s for s, _, _ in shown])]
+            for conv, role, (text, a, b), n in zip(batch["conv_id"].astype(object), batch["role"], shown, tokens, strict=True):
+                conv = _key(conv)
                 if now is None or now.conv != conv:
                     if now:
                         out.append(now.close())
                     now = _Window(conv, budget, history_turns, history_tokens)
-                out.extend(now.add(role, text))
+                out.extend(now.add(role, text, a, b, n))
             yield frame(out)
         if now:
             yield frame([now.close()])
 
-    return rows.mapInPandas(run, WINDOW)
+    return rows.mapInPandas(
+        run, f"conv_id {kind}, window_no int, text string, n_tokens int, n_turns int, n_repeated int, loss array<array<int>>"
+    )
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of whole conversations, read from the windows of ``format_chats`` as they stream by.
+    """Digests of whole conversations, read from the windows of ``format_chats``, in whatever order they are stored.
 
     One row per conversation: n_turns, turns_sha256 over role, newline, text, newline of each turn once, loss_chars
-    and loss_sha256 over the unescaped text under the loss mask, and formatted_chars over all windows. It takes the
-    windows in the order in which ``format_chats`` gives them and keeps two running hashes.
+    and loss_sha256 over the unescaped text under the loss mask, and formatted_chars over all windows. A digest is
+    sequential, so a conversation's windows are read by one task, as a stream in the order of their numbers; it keeps
+    two running hashes. No windows give no rows; other columns are ignored.
     """
+    small_batches(windows.sparkSession)
+    kind = windows.schema["conv_id"].dataType.simpleString()
+    rows = windows.select("conv_id", "window_no", "text", "n_repeated", "loss").repartition(
+        "conv_id"
+    ).sortWithinPartitions("conv_id", "window_no")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = None
@@ -150,20 +177,19 @@ def read_back(windows: DataFrame) -> DataFrame:
         def frame(rows: list) -> pd.DataFrame:
             return pd.DataFrame(
                 rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            ).astype({"conv_id": "Int64"})
+            ).astype({"conv_id": object})
 
         for batch in batches:
             out = []
-            convs = batch["conv_id"].astype("Int64")
             for conv, no, text, repeated, loss in zip(
-                convs, batch["window_no"], batch["text"], batch["n_repeated"], batch["loss"], strict=True
-            ):
+                batch["conv_id"].astype(object), batch["window_no"], batch["text"], batch["n_repeated"], batch["loss"], strict=True
+            ):
                 if no == 0:
                     if now:
                         out.append(done(now))
                     now = {
-                        "conv": None if conv is pd.NA else int(conv), "n": 0, "turns": hashlib.sha256(), "chars": 0,
-                        "loss": hashlib.sha256(), "all": 0
+                        "conv": _key(conv), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(),
+                        "all": 0
                     }
                 for role, said in read_turns(text)[repeated:]:
                     now["turns"].update(f"{role}\n{said}\n".encode())
@@ -177,7 +203,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if now:
             yield frame([done(now)])
 
-    return windows.mapInPandas(
+    return rows.mapInPandas(
         run,
-        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )

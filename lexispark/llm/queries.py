@@ -107,7 +107,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(format_chats(turns))
+    return read_back(format_chats(turns, tokenizer_path("byte_bpe_50k.json")))
 
 
 

@@ -5,7 +5,11 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from lexispark.llm.chat_format import escape, format_chats, read_back, read_turns, render, unescape
-from lexispark.llm.queries import op9_chat_format
+from lexispark.llm.queries import op9_chat_format, tokenizer_path
+from tokenizers import Tokenizer
+
+PATH = tokenizer_path("byte_bpe_50k.json")
+LIB = Tokenizer.from_file(PATH)
 
 
 def digests(turns):
@@ -42,10 +46,11 @@ def test_windows(spark):
         (1, t, "user" if t % 2 else "assistant", " ".join(["w"] * rng.randint(1, 60))) for t in range(1, 80)
     ] + [(2, 1, "assistant", "x " * 500)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    windows = format_chats(df, budget=120, history_turns=2, history_tokens=60).collect()
-    check(df, read_back(format_chats(df, budget=120, history_turns=2, history_tokens=60)).collect())
+    windows = format_chats(df, PATH, budget=120, history_turns=2, history_tokens=60).collect()
+    check(df, read_back(format_chats(df, PATH, budget=120, history_turns=2, history_tokens=60)).collect())
     for w in windows:
         turns = read_turns(w["text"])
+        assert w["n_tokens"] == len(LIB.encode(w["text"], add_special_tokens=False).ids)
         assert len(turns) == w["n_turns"] and (w["n_tokens"] <= 120 or w["n_turns"] - w["n_repeated"] == 1)
         if w["conv_id"] == 1 and w["window_no"]:
             assert turns[0] == ("system", "be brief") and 1 <= w["n_repeated"] <= 3
@@ -63,8 +68,28 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(
         rows, "conv_id bigint, turn bigint, role string, text string"
     ).selectExpr("*", "1 AS window_no", "2 AS loss")
-    check(df, read_back(format_chats(df)).collect())
-    assert read_back(format_chats(df.where("false"))).count() == 0
+    check(df, read_back(format_chats(df, PATH)).collect())
+    assert read_back(format_chats(df.where("false"), PATH)).count() == 0
+
+
+def test_texts_without_spaces_fill_a_budget(spark):
+    """What has no white space has tokens all the same."""
+    rows = [(1, t, "assistant", "ab1x" * 400) for t in range(12)]
+    windows = format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), PATH).collect()
+    assert len(windows) > 4 and all(w["n_tokens"] <= 1024 or w["n_turns"] - w["n_repeated"] == 1 for w in windows)
+
+
+def test_windows_in_any_stored_order_and_ids_of_text(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [
+        (None if c == 3 else f"c{c}", t, rng.choice(["user", "assistant"]), "word " * rng.randint(1, 90))
+        for c in range(5) for t in range(60)
+    ]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    format_chats(df, PATH, budget=100).orderBy("text").write.parquet(str(tmp_path / "w"))
+    stored = spark.read.parquet(str(tmp_path / "w"))
+    assert stored.count() > 200
+    check(df, read_back(stored.orderBy("n_tokens")).collect())
 
 
 @given(st.lists(st.tuples(st.text(max_size=12), st.text(max_size=40)), max_size=5))
