@@ -3,14 +3,16 @@
 A cascade stores which keys of a known universe are listed. Level 1 encodes the listed keys; the keys of the
 universe that it wrongly accepts are encoded in level 2; the listed keys that level 2 wrongly accepts in level 3,
 and so on until no key is wrong. A lookup asks the levels in turn, so membership is exact for every key of the
-universe and needs no join: the levels are literals in the expression. Their size follows the list, not the corpus.
+universe and needs no join: each level is one binary literal, named once in the expression. Its size follows the list,
+not the corpus.
 
-Only DataFrame and SQL functions run here. What goes to the driver is the words of the levels, whose size is
+Only DataFrame and SQL functions run here. What goes to the driver is the bytes of the levels, whose size is
 checked (``max_bits``).
 """
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,24 +26,28 @@ class Level:
     seed: int
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    data: bytes
 
 
 def _positions(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed * 64 + j), key), F.lit(bits)) for j in range(hashes)]
 
 
-def _has(level: Level, key: Column) -> Column:
-    words = F.lit(list(level.words)).cast("array<bigint>")
+def _in(level: Level, data: Column, key: Column) -> Column:
+    """Whether a key's bits are all set in the level's bytes, given as a column."""
+
+    def is_set(p: Column) -> Column:
+        at = F.conv(F.hex(F.substring(data, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", at, p.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
     hit = F.lit(True)
-    for p in _positions(key, level.seed, level.bits, level.hashes):
-        word = F.element_at(words, (F.shiftright(p, 6) + 1).cast("int"))
-        hit &= word.bitwiseAND(_bit(p)) != 0
+    for p in reversed(_positions(key, level.seed, level.bits, level.hashes)):
+        hit = F.when(is_set(p), hit).otherwise(False)
     return hit
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.bitwiseAND(F.lit(63)).cast("int"))
+def _has(level: Level, key: Column) -> Column:
+    return F.transform(F.array(F.lit(level.data)), lambda data: _in(level, data, key))[0]
 
 
 def _level(keys: DataFrame, seed: int, bits_per_key: int, hashes: int, max_bits: int) -> Level | None:
@@ -53,11 +59,12 @@ def _level(keys: DataFrame, seed: int, bits_per_key: int, hashes: int, max_bits:
     if bits > max_bits:
         raise ValueError(f"{n} keys need a filter of {bits} bits; max_bits is {max_bits}")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits, hashes))).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(_bit(F.col("at"))).alias("mask")).collect()
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("mask")).collect()
     words = [0] * (bits // 64)
     for r in rows:  # at most bits / 64 rows
         words[r["word"]] = r["mask"]
-    return Level(seed, bits, hashes, tuple(words))
+    return Level(seed, bits, hashes, struct.pack(f"<{len(words)}q", *words))
 
 
 @dataclass(frozen=True)
@@ -68,9 +75,27 @@ class Cascade:
         """Whether a key of the universe is listed; a null key is not."""
         hit = F.lit(False)
         for level in reversed(self.levels):
-            hit = _has(level, key) & ~hit
+            hit = F.when(_has(level, key), ~hit).otherwise(False)
         return F.coalesce(hit, F.lit(False))
 
+    def listed(self, keys: Column) -> Column:
+        """Those of an array of keys that are listed, in their order; each level's bytes are bound once."""
+
+        def asked(k: int, data: list[Column]) -> Column:
+            if k < len(self.levels):
+                literal = F.array(F.lit(self.levels[k].data))
+                return F.transform(literal, lambda d: asked(k + 1, [*data, d]))[0]
+
+            def hit(key: Column) -> Column:
+                out = F.lit(False)
+                for level, d in reversed(list(zip(self.levels, data, strict=True))):
+                    out = F.when(_in(level, d, key), ~out).otherwise(False)
+                return out
+
+            return F.filter(keys, lambda key: F.coalesce(hit(key), F.lit(False)))
+
+        return asked(0, [])
+
 
 def build_cascade(
     listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_bits: int = 1 << 26,
@@ -133,8 +158,8 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow",
 
     Adds ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` (``default`` where the cascades list no key
     of the url). All rows and columns stay; columns of these names are replaced. Rules that contain no ``/`` are
-    refused. Null, empty and malformed urls fit no rule; an empty table stays empty; rows of equal urls get equal
-    verdicts.
+    refused. Null, empty and malformed urls fit no rule, very long ones are read whole; an empty table stays empty;
+    rows of equal urls get equal verdicts.
     """
     if bad := [r for r in rules if "/" not in r]:
         raise ValueError(f"rules without a path: {bad}")
@@ -150,18 +175,21 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow",
         for verdict in sorted(set(rules.values()))
         if (own := [r for r, v in rules.items() if v == verdict])
     }
-    judged = F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("rule"),
-            F.coalesce(*[F.when(c.contains(k), F.lit(v)) for v, c in cascades.items()]).alias("verdict")
-        ),
+    # The longest listed key of each verdict; keys come longest first, and a key is in one cascade only.
+    found = F.array(
+        *[F.struct(F.get(c.listed(keys), F.lit(0)).alias("rule"), F.lit(v).alias("verdict")) for v, c in cascades.items()]
     )
-    best = F.get(F.filter(judged, lambda x: x["verdict"].isNotNull()), F.lit(0))
+    longest = F.array_sort(
+        F.filter(found, lambda x: x["rule"].isNotNull()),
+        lambda a, b: F.when(F.length(a["rule"]) > F.length(b["rule"]), -1).when(
+            F.length(a["rule"]) < F.length(b["rule"]), 1
+        ).when(a["rule"] < b["rule"], -1).otherwise(1)
+    )
+    best = "best"
+    while best in parts.columns:
+        best += "_"
     return (
-        parts.withColumn("__best", best)
-        .withColumns(
-            {"rule": F.col("__best")["rule"], "verdict": F.coalesce(F.col("__best")["verdict"], F.lit(default))}
-        )
-        .drop("__best")
+        parts.withColumn(best, F.get(longest, F.lit(0)))
+        .withColumns({"rule": F.col(best)["rule"], "verdict": F.coalesce(F.col(best)["verdict"], F.lit(default))})
+        .drop(best)
     )

@@ -46,3 +46,21 @@ def test_cascade_is_exact_over_the_universe(spark):
     wrong = universe.where(cascade.contains(F.col("key")) != (F.crc32("key") % 7 == 0))
     assert wrong.count() == 0
     assert build_cascade(listed.where("false"), universe).levels == ()
+
+
+def test_columns_of_any_name_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", 5, 6, 7)], "page_id int, url string, __best int, best int, data int")
+    got = filter_urls(pages, URL_RULES)
+    assert got.columns == ["page_id", "url", "__best", "best", "data", "host", "path", "rule", "verdict"]
+    assert got.first()["best"] == 6 and got.first()["rule"] == "org/"
+
+
+def test_a_list_of_hundreds_of_thousands(spark):
+    """The plan names each level once, so a long list is planned and asked in seconds."""
+    rules = {f"h{k}.example/": "block" if k % 3 else "allow" for k in range(0, 400_000, 2)}
+    pages = spark.range(5000).selectExpr("id AS page_id", "concat('http://h', id * 37 % 400000, '.example/p') AS url")
+    got = filter_urls(pages, rules, default="none").collect()
+    for r in got:
+        k = r["page_id"] * 37 % 400_000
+        want = (f"h{k}.example/", "block" if k % 3 else "allow") if k % 2 == 0 else (None, "none")
+        assert (r["rule"], r["verdict"]) == want
