@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import SPACES
+
 PART = r"[A-Za-z0-9_.-]+"
 VERSION = r"[A-Za-z0-9_.+/-]+"
 
@@ -16,13 +18,18 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def trimmed(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, rf"\A{SPACES}|{SPACES}\z", "")
+
+
 def parse_library_id(value: Column) -> Column:
     """A struct of id, owner, repo, version and repository_url; null if the value is no library id."""
-    part = lambda p: p.rlike(f"^{PART}$") & ~p.isin(".", "..")
+    part = lambda p: p.rlike(rf"\A{PART}\z") & ~p.isin(".", "..")
 
     def made(x: Column) -> Column:
         owner, repo, rest = x["owner"], x["repo"], x["rest"]
-        good = part(owner) & part(repo) & ((rest == "") | (rest.rlike(f"^{VERSION}$") & ~F.contains(rest, F.lit(".."))))
+        good = part(owner) & part(repo) & ((rest == "") | (rest.rlike(rf"\A{VERSION}\z") & ~F.contains(rest, F.lit(".."))))
         version = F.when(rest != "", rest)
         name = F.concat(owner, F.lit("/"), repo)
         ident = F.concat(F.lit("/"), name, F.coalesce(F.concat(F.lit("/"), version), F.lit("")))
@@ -37,9 +44,9 @@ def parse_library_id(value: Column) -> Column:
 
     split = lambda b: F.struct(
         F.split_part(b, F.lit("/"), F.lit(1)).alias("owner"), F.split_part(b, F.lit("/"), F.lit(2)).alias("repo"),
-        F.regexp_extract(b, "^[^/]*/[^/]*/(.*)$", 1).alias("rest")
+        F.regexp_extract(b, r"(?s)\A[^/]*/[^/]*/(.*)\z", 1).alias("rest")
     )
-    return bind(bind(F.regexp_replace(F.trim(value), "^/+|/+$", ""), split), made)
+    return bind(bind(F.regexp_replace(trimmed(value), r"\A/+|/+\z", ""), split), made)
 
 
 def parse_repository(value: Column) -> Column:
@@ -51,17 +58,17 @@ def parse_repository(value: Column) -> Column:
         for old in (r"(?i)^git@github\.com:", r"(?i)^ssh://git@github\.com/", r"(?i)^git://github\.com/"):
             url = F.regexp_replace(url, old, "https://github.com/")
         return F.when(
-            text.rlike(rf"^/?{PART}/{PART}$"), F.regexp_replace(text, r"(?i)\.git$", "")
+            text.rlike(rf"\A/?{PART}/{PART}\z"), F.regexp_replace(text, r"(?i)\.git\z", "")
         ).otherwise(bind(url, at_host))
 
     def at_host(url: Column) -> Column:
-        path = F.regexp_replace(F.regexp_extract(url, rf"{host}(/[^?#]*)?", 1), "^/+|/+$", "")
+        path = F.regexp_replace(F.regexp_extract(url, rf"{host}(/[^?#]*)?", 1), r"\A/+|/+\z", "")
         return F.when(
-            url.rlike(rf"{host}([/?#]|$)"),
-            bind(F.regexp_replace(path, r"(?i)\.git$", ""), lambda p: F.when(p.rlike("^[^/]+/[^/]+$"), p))
+            url.rlike(rf"{host}([/?#]|\z)"),
+            bind(F.regexp_replace(path, r"(?i)\.git\z", ""), lambda p: F.when(p.rlike(r"\A[^/]+/[^/]+\z"), p))
         )
 
-    return parse_library_id(bind(F.trim(value), name))
+    return parse_library_id(bind(trimmed(value), name))
 
 
 def storage_key(ident: Column) -> Column:
@@ -90,9 +97,9 @@ def result_key(commit: Column, chunk_id: Column) -> Column:
 
 def parse_result_key(key: Column, commit: Column) -> Column:
     """(chunk_id, state) of a result key: state is ok, stale (another commit) or invalid; a plain number is ok."""
-    pattern = r"^(?i)([0-9a-f]{40}):([1-9][0-9]*)$"
+    pattern = r"\A(?i)([0-9a-f]{40}):([1-9][0-9]*)\z"
     sha, number = F.regexp_extract(key, pattern, 1), F.regexp_extract(key, pattern, 2)
-    plain = key.rlike("^[1-9][0-9]*$")
+    plain = key.rlike(r"\A[1-9][0-9]*\z")
     state = F.when(
         plain | ((sha != "") & (F.lower(sha) == F.lower(commit))), "ok"
     ).when(sha != "", "stale").otherwise("invalid")
@@ -142,7 +149,7 @@ def tree_address(url: Column) -> Column:
 
 def safe_skill_name(name: Column) -> Column:
     """Whether a name can be a folder's: no separators, no leading dot, not empty, at most 255 characters."""
-    return name.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_. -]*$") & ~F.contains(name, F.lit("..")) & (F.length(name) <= 255)
+    return name.rlike(r"\A[A-Za-z0-9_-][A-Za-z0-9_. -]*\z") & ~F.contains(name, F.lit("..")) & (F.length(name) <= 255)
 
 
 def front_matter(text: Column) -> Column:

@@ -45,6 +45,7 @@ def token_expired(expires_at: Column, now: Column, skew_seconds: int = 60) -> Co
 
 def status_message(status: Column, with_key: Column) -> Column:
     """What to tell a user about a failed request."""
+    # The messages.
     return (
         F.when((status == 429) & with_key, "Rate limited or quota exceeded. Upgrade your plan for higher limits.")
         .when(status == 429, "Rate limited or quota exceeded. Create an API key for higher limits.")
@@ -94,3 +95,24 @@ def passes_quality(
     for t in tests:
         out &= F.coalesce(t, F.lit(False))
     return out
+
+
+def positive_number(text: Column, default: int) -> Column:
+    """A positive whole number of a setting; else the default."""
+    n = F.trim(text).try_cast("bigint")
+    return F.when(n > 0, n).otherwise(F.lit(default))
+
+
+def answer(status: Column, body: Column, with_key: Column) -> Column:
+    """A hosted answer as a typed row: ok with its body, redirect with the new library, or error with a message."""
+    moved = F.get_json_object(body, "$.redirectUrl")
+    said = F.coalesce(F.get_json_object(body, "$.error"), F.get_json_object(body, "$.message"))
+    kind = F.when((status == 301) & moved.isNotNull(), "redirect").when((status >= 200) & (status < 300), "ok").otherwise(
+        "error"
+    )
+    return F.struct(
+        kind.alias("kind"),
+        F.when(kind == "ok", body).when(kind == "redirect", moved).otherwise(
+            F.coalesce(said, status_message(status, with_key))
+        ).alias("value")
+    )

@@ -26,6 +26,40 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS)))
 
 
+def facets(topic: Column) -> Column:
+    """The facets of a topic as texts, distinct, in order: any of its first 18 terms (``a OR b``), all of its first 8
+    (``a AND b``), up to 6 identifiers, up to 3 quoted phrases; none for a topic without terms.
+
+    Identifiers are terms with a mark of one, then raw tokens with an inner capital, in lower case.
+    """
+    none = F.array().cast("array<string>")
+
+    def made(own: Column) -> Column:
+        known = F.slice(own, 1, 18)
+        raw = F.regexp_extract_all(topic, F.lit(TERM), F.lit(0))
+        camel = F.transform(F.filter(raw, lambda t: t.rlike("[a-z][A-Z]")), F.lower)
+        names = F.array_distinct(F.concat(F.filter(known, lambda t: t.rlike(IDENTIFIER)), camel))
+        quoted = F.transform(
+            F.regexp_extract_all(topic, F.lit("[\"'`](.{2,80}?)[\"'`]"), F.lit(1)), lambda q: F.array_join(terms(q), " ")
+        )
+        return F.when(
+            F.size(own) > 0,
+            F.array_distinct(
+                F.concat(
+                    F.array(F.array_join(known, " OR "), F.array_join(F.slice(own, 1, 8), " AND ")),
+                    F.slice(names, 1, 6), F.slice(F.filter(quoted, lambda q: q != ""), 1, 3)
+                )
+            )
+        ).otherwise(none)
+
+    return F.get(F.transform(F.array(terms(topic)), made), F.lit(0))
+
+
+def token_budget(topic: Column) -> Column:
+    """How many tokens an answer to a topic may have."""
+    return F.least(F.lit(5000), 1600 + 180 * F.size(terms(topic))).cast("int")
+
+
 def token_string(text: Column) -> Column:
     """The text's tokens with two spaces before, between and after them, so that a phrase is a substring."""
     return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")

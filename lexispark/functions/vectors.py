@@ -20,3 +20,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def embedding_text(doc_title: Column, section_title: Column, content: Column, most: int = 6000) -> Column:
     return F.concat_ws("\n", doc_title, section_title, F.substring(content, 1, most))
+
+
+def query_text(query: str, most: int = 4000) -> str:
+    """What of a query is embedded."""
+    return query[:most]
