@@ -16,6 +16,7 @@ EXCLUDED_TOPICS = [
     "awesome-list", "books", "cheatsheet", "interview", "interview-questions", "learning-resources", "roadmap"
 ]
 CURATED = 2_000_000_000
+DEFAULT_WEIGHT = 100
 
 
 def usable_repository(archived: Column, disabled: Column, size: Column) -> Column:
@@ -37,7 +38,7 @@ def is_candidate(name: Column, topics: Column, archived: Column, fork: Column) -
 def merge_candidates(hits: DataFrame, limit: int, curated: DataFrame | None = None) -> DataFrame:
     """A ranked catalog of search hits (library_id, title, description, stars, source, weight, arrival).
 
-    Hits of an id in any case are one library: the first one's id and title, the first description there is, the most
+    A source without a weight has DEFAULT_WEIGHT. Hits of an id in any case are one library: the first one's id and title, the first description there is, the most
     stars, the best weight, the number of sources. Curated ids (library_id, position) come first in their order.
     """
     key = F.lower("library_id")
@@ -55,7 +56,7 @@ def merge_candidates(hits: DataFrame, limit: int, curated: DataFrame | None = No
         first("library_id").alias("library_id"), first("title").alias("title"), first("description").alias("description"), F.max(
             F.coalesce("stars", F.lit(0))
         ).alias("stars"),
-        F.max("weight").alias("weight"), F.count_distinct("source").alias("sources"), F.min(
+        F.max(F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).alias("weight"), F.count_distinct("source").alias("sources"), F.min(
             F.when(F.col("source") == "curated", F.col("arrival") + F.lit(1 << 40))
         ).alias("position"),
     )
@@ -69,6 +70,23 @@ def merge_candidates(hits: DataFrame, limit: int, curated: DataFrame | None = No
     ).drop("key", "weight", "position")
 
 
+def best_repositories(hits: DataFrame, name: str, limit: int = 3) -> DataFrame:
+    """Of repository search hits (name, stars, archived, disabled, size, ...) the usable ones whose name is the wanted one
+    in letters and digits, the most stars first."""
+    same = search_name(F.col("name")) == search_name(F.lit(name))
+    usable = usable_repository(F.col("archived"), F.col("disabled"), F.col("size"))
+    return hits.where(same & usable).orderBy(F.coalesce("stars", F.lit(0)).desc(), "library_id").limit(limit)
+
+
+def decorated(candidates: DataFrame, live: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Candidates with what a live lookup says of them, where it says something; a lookup that failed has no row."""
+    own = live.select(F.lower(key).alias("__key"), *[F.col(c).alias(f"__live_{c}") for c in columns])
+    out = candidates.join(own.dropDuplicates(["__key"]), F.lower(candidates[key]) == own["__key"], "left")
+    return out.withColumns({c: F.coalesce(f"__live_{c}", c) for c in columns}).drop(
+        "__key", *[f"__live_{c}" for c in columns]
+    )
+
+
 def name_matches(rows: DataFrame, name: Column, columns: Sequence[str]) -> Column:
     """Whether a name, reduced to letters and digits, is part of one of the columns; an empty one is part of all."""
     needle = search_name(name)
@@ -128,12 +146,22 @@ def policy_filter(
     return marked.where(F.col("__ok").isNotNull() | condition).drop("__ok")
 
 
-def reconcile(desired: DataFrame, actual: DataFrame, key: str, version: str) -> DataFrame:
-    """What brings actual rows to the desired ones: created, updated, unchanged or pruned for each key."""
+def reconcile(
+    desired: DataFrame, actual: DataFrame, key: str, version: str, same_commit: bool = False, valid: str | None = None
+) -> DataFrame:
+    """What brings actual rows to the desired ones: created, updated, unchanged or pruned for each key.
+
+    If the manifest is of the commit that was applied last, all is skipped. ``valid`` is a flag of the desired rows: one
+    that isn't true, and all is rejected.
+    """
     d, a = desired.select(key, F.col(version).alias("want")), actual.select(key, F.col(version).alias("have"))
     action = F.when(F.col("have").isNull(), "created").when(F.col("want").isNull(), "pruned").when(
         F.col("want") == F.col("have"), "unchanged"
     ).otherwise("updated")
+    if same_commit:
+        action = F.lit("skipped")
+    elif valid is not None and not desired.where(~F.coalesce(F.col(valid), F.lit(False))).isEmpty():
+        action = F.lit("rejected")
     return d.join(a, key, "full_outer").select(key, "want", "have", action.alias("action"))
 
 
@@ -165,23 +193,10 @@ def retrieval_metrics(ranks: DataFrame, column: str, k: int = 5) -> DataFrame:
     )
 
 
-def percentile(column: str, fractions: Sequence[float]) -> list[Column]:
-    """The value at place floor(n * fraction) of the sorted values, the last at most, as ``p<percent>``.
-
-    The exact distribution of the values is kept by count, not as a list of rows.
-    """
-    values = F.array_sort(F.collect_list(column))
-    return [
-        F.get(
-            values, F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(f)).cast("int"))
-        ).alias(f"p{round(f * 100)}") for f in fractions
-    ]
-
-
 def exact_percentiles(rows: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
-    """As ``percentile`` for any number of rows: counts by value, then running counts in ranges of values.
+    """The value at place floor(n * fraction) of the sorted values, the last at most, as ``p<percent>``; nulls are left out.
 
-    Rows are dealt by value range, so no task holds them all; only a count for each range is ordered as a whole.
+    Counts by value, then running counts in ranges of values. Rows are dealt by value range, so no task holds them all; only a count for each range is ordered as a whole.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     n = counts.agg(F.sum("n")).first()[0] or 0
@@ -238,3 +253,81 @@ def agent_modes(agents: DataFrame) -> DataFrame:
     return flags.withColumn(
         "modes", F.array_compact(F.array(F.when(F.col("cli"), "cli"), F.when(F.col("server"), "server")))
     )
+
+
+def pending(work: DataFrame, events: DataFrame, key: str, retry_failed: bool = False) -> DataFrame:
+    """What a batch still has to do, by its last events (key in any case, status): not what succeeded, nor what failed
+    unless failures are tried again."""
+    done = F.col("status").isin(["succeeded"] if retry_failed else ["succeeded", "failed"])
+    own = events.where(done).select(F.lower(F.col(key).cast("string")).alias("__done")).distinct()
+    return work.join(own, F.lower(F.col(key).cast("string")) == F.col("__done"), "left_anti")
+
+
+def usage(events: DataFrame, ts: str, user: str, by: Sequence[str | Column], period: str = "yyyy-MM-dd") -> DataFrame:
+    """Requests and users by period and any kinds (event type, topic, country)."""
+    return events.groupBy(F.date_format(ts, period).alias("period"), *by).agg(
+        F.count("*").alias("n"), F.count_distinct(user).alias("users")
+    )
+
+
+def snippets(code: DataFrame, info: DataFrame) -> DataFrame:
+    """Code and information snippets in one list, with their kind."""
+    return code.withColumn("kind", F.lit("code")).unionByName(info.withColumn("kind", F.lit("info")))
+
+
+def snippet_counts(rows: DataFrame, key: str) -> DataFrame:
+    """How many snippets of each kind, and in all."""
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return rows.groupBy(key).agg(of("code"), of("info"), F.count("*").alias("snippets"))
+
+
+def most_installed(rows: DataFrame, installs: str, key: str, limit: int, recommended: str | None = None) -> DataFrame:
+    """Rows by installs, unknown ones as none, then by key; a recommended key comes first, whatever its installs.
+
+    place counts from 1.
+    """
+    first = (F.col(key).cast("string") == F.lit(recommended)) if recommended is not None else F.lit(False)
+    order = [F.desc("__first"), F.desc("__n"), F.col(key)]
+    top = rows.withColumns({"__first": first, "__n": F.coalesce(installs, F.lit(0.0))}).orderBy(*order).limit(limit)
+    # ``limit`` rows, so their places come from one partition
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("__first", "__n")
+
+
+def best(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first result of each group in an order; of a ranked list the best one."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def indexed_scenarios(scenarios: DataFrame, manifests: DataFrame, key: str) -> DataFrame:
+    """Scenarios whose library is indexed, ids in any case; others are left out of an evaluation."""
+    known = manifests.select(F.lower(key).alias("__known")).distinct()
+    return scenarios.join(known, F.lower(key) == F.col("__known"), "left_semi")
+
+
+def path_relevant(path: Column, wanted: Column) -> Column:
+    """Whether a path contains the wanted one, in any case and with either slash."""
+    unix = lambda p: F.lower(F.translate(p, "\\", "/"))
+    return F.contains(unix(path), unix(wanted))
+
+
+def first_relevant(scenarios: DataFrame, found: DataFrame, key: str, relevant: Column) -> DataFrame:
+    """The rank (from 1) of the first relevant result of each scenario, 0 if there is none.
+
+    ``found`` has the key and a rank; ``relevant`` may use the columns of both.
+    """
+    hits = scenarios.join(found, key).where(relevant).groupBy(key).agg(F.min("rank").alias("rank"))
+    return scenarios.select(key).join(hits, key, "left").select(key, F.coalesce("rank", F.lit(0)).alias("rank"))
+
+
+def evaluation_report(rows: DataFrame, kinds: Sequence[str] = ("legacy", "fused")) -> DataFrame:
+    """One row for each kind of search from (<kind>_rank, <kind>_ms): scenarios, mrr, recall, p50 and p95 of the times."""
+    out = None
+    for kind in kinds:
+        metrics = retrieval_metrics(rows, f"{kind}_rank")
+        times = exact_percentiles(rows, f"{kind}_ms", [0.5, 0.95])
+        one = metrics.select(F.lit(kind).alias("kind"), "*").join(
+            F.broadcast(times), F.lit(True)
+        )  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out

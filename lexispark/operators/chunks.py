@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.paths import basename
 from lexispark.functions.text import html_element, visible_text
+from lexispark.scratch import cut
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -40,15 +41,22 @@ def chunk_markdown(files: DataFrame) -> DataFrame:
 
 
 def number_chunks(rows: DataFrame) -> DataFrame:
-    """Add id: 1, 2, ... by (doc_path, pos). Only a row for each path is ordered as a whole."""
+    """Add id: 1, 2, ... by (doc_path, pos).
+
+    Paths are dealt into ranges, which are numbered side by side; as a whole, only a row for each range is ordered.
+    """
     sizes = rows.groupBy("doc_path").agg(F.count("*").alias("n"))
-    before = F.coalesce(
-        F.sum("n").over(Window.orderBy("doc_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
+    ranged = cut(sizes.repartitionByRange("doc_path").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("m"))
+    before = parts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
+    run = F.sum("n").over(Window.partitionBy("part").orderBy("doc_path")) - F.col("n")
+    bases = ranged.withColumn("inside", run).join(F.broadcast(before), "part").select(
+        "doc_path", (F.col("before") + F.col("inside")).alias("base")
+    )  # ``before`` has a row for each partition
     numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_path").orderBy("pos")))
-    return numbered.join(
-        sizes.select("doc_path", before.alias("base")), "doc_path"
-    ).withColumn("id", (F.col("base") + F.col("at")).cast("bigint")).drop("base", "at", "pos")
+    return numbered.join(bases, "doc_path").withColumn(
+        "id", (F.col("base") + F.col("at")).cast("bigint")
+    ).drop("base", "at", "pos")
 
 
 def document_chunks(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def write_index(chunks: DataFrame, root: str, buckets: int = BUCKETS) -> None:
 
 def search_index(
     spark: SparkSession, root: str, topic: str, limit: int | None = None, max_tokens: int | None = None,
-    seen: DataFrame | None = None
+    seen: DataFrame | None = None, again: int | None = None
 ) -> DataFrame:
     """``search`` over an index."""
     figures = spark.read.parquet(f"{root}/figures").first()
@@ -53,4 +53,9 @@ def search_index(
     matching = chunks.join(
         ids.withColumn("bucket", _bucket(F.col("id"), figures["buckets"])), ["bucket", "id"], "left_semi"
     ).drop("bucket")
-    return search(matching, topic, limit, max_tokens, seen, corpus=(figures["n"], figures["mean"] or 1.0))
+    return search(matching, topic, limit, max_tokens, seen, corpus=(figures["n"], figures["mean"] or 1.0), again=again)
+
+
+def index_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of an index."""
+    return spark.read.parquet(f"{root}/chunks").drop("bucket")

@@ -13,17 +13,18 @@ def neighbours(
 ) -> DataFrame:
     """The chunks around each anchor (column anchor_id) in its document, within a budget, nearest first.
 
-    An equi-join on the document with a band on the id; at most before + after + 1 chunks for an anchor.
+    Each anchor names its before + after + 1 ids, so it is an equi-join on document and id.
     """
     budget = max(500, min(max_tokens if max_tokens is not None else 5000, 10_000))
     a = chunks.select(F.col("id").alias("anchor_id"), "doc_path").join(
         anchors.select("anchor_id").distinct(), "anchor_id"
     )
-    near = chunks.join(a, "doc_path").where(
-        (
-            F.col("id") >= F.greatest(F.lit(1), F.col("anchor_id") - before)
-        ) & (F.col("id") <= F.col("anchor_id") + after) | (F.col("id") == F.col("anchor_id"))
+    least, most = F.greatest(F.lit(1), F.col("anchor_id") - before), F.col("anchor_id") + after
+    ids = F.array_union(
+        F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<bigint>")),
+        F.array(F.col("anchor_id"))
     )
+    near = a.select("anchor_id", "doc_path", F.explode(ids).alias("id")).join(chunks, ["doc_path", "id"])
     visits = F.array_sort(F.collect_list(F.struct(F.abs(F.col("id") - F.col("anchor_id")).alias("d"), "id", "tokens")))
     start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("sum"))
 

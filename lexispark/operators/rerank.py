@@ -20,7 +20,8 @@ def normalized(c: str) -> Column:
 def rerank(matches: DataFrame, vectors: DataFrame, query: list[float], candidates: int = 24) -> DataFrame:
     """Blend lexical and cosine scores over a bounded number of candidates; fewer than two stay as they are.
 
-    Rows without a vector have similarity -1. The candidates are few, so their windows have one partition.
+    Rows without a vector have similarity -1. position counts from 0 by score, then id. The candidates are few, so their
+    windows have one partition.
     """
     top = matches.orderBy(F.desc("score"), "id").limit(max(2, candidates))
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -36,7 +37,13 @@ def rerank(matches: DataFrame, vectors: DataFrame, query: list[float], candidate
     blended = F.when(F.col("few"), F.col("score")).otherwise(
         F.round(F.col("lexical") * LEXICAL + F.col("semantic") * SEMANTIC, 9)
     )
-    return own.withColumn("score", blended).drop("embedding", "lexical", "semantic", "few")
+    own = own.withColumn("score", blended).drop("embedding", "lexical", "semantic", "few")
+    return own.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)
+
+
+def sliced(ranked: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` results by position."""
+    return ranked.where(F.col("position") < limit)
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Search: weighted BM25 for each facet, rank fusion, selection.
 
 A search analyses each chunk once: its fields become token strings, in which native string functions count phrases,
-and what stays is a few numbers a chunk, persisted on the executors. Corpus figures (count, mean length, document
+and what stays is a few numbers a chunk, checkpointed in the shared folder. Corpus figures (count, mean length, document
 frequencies) come from one aggregate over them, pre-aggregated in each task. The candidates of each facet are cut to
 their limit before the shuffle, and only theirs are the texts that are read again.
 """
@@ -11,11 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import IDENTIFIER, fingerprint, phrase_count, token_count, token_string
+from lexispark.scratch import cut
 from lexispark.plans.planner import Facet, candidate_limit, plan_query, terms, token_budget
 
 K1, B = 1.2, 0.75
@@ -52,7 +52,7 @@ def score_facets(
     fields = fields or FIELDS
     units = list(dict.fromkeys(u for f in facets for u in f.units if u))
     counted = analyzed(chunks, fields).withColumns(_unit_columns(units, fields))
-    counted = counted.select("id", "__len", *[f"__u{i}" for i in range(len(units))]).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = cut(counted.select("id", "__len", *[f"__u{i}" for i in range(len(units))]))
     stats = counted.agg(
         F.count("*").alias("n"), F.avg("__len").alias("mean"),
         *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]
@@ -175,11 +175,11 @@ def select_diverse(matches: DataFrame, budget: int, limit: int, per_document: in
 
 def search(
     chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None,
-    seen: DataFrame | None = None, corpus: tuple[int, float] | None = None
+    seen: DataFrame | None = None, corpus: tuple[int, float] | None = None, again: int | None = None
 ) -> DataFrame:
     """Search chunks for a topic; position gives the order of the answer.
 
-    If all that matches was seen before, it is searched again with nothing left out.
+    If all that matches was seen before, it is searched again with nothing left out, with the limit ``again`` if given.
     """
     if not 1 <= len(topic) <= 2000:
         raise ValueError("a topic has 1 to 2000 characters")
@@ -187,7 +187,7 @@ def search(
     ranked = candidates(chunks, topic, limit, corpus)
     matches = fuse(ranked, terms(topic), seen)
     if seen is not None and matches.isEmpty():
-        matches = fuse(ranked, terms(topic))
+        return search(chunks, topic, limit if again is None else again, max_tokens, None, corpus)
     return select_diverse(matches, token_budget(topic, max_tokens), most)
 
 
@@ -219,7 +219,7 @@ def rank_topics(chunks: DataFrame, topics: DataFrame, limit: int = 10, fields: d
     counts = build_postings(chunks, fields).join(asked.select("term").distinct(), "term", "left_semi").groupBy(
         "term", "id"
     ).agg(F.sum(F.col("tf") * weight).alias("tf"))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = cut(counts)
     df = F.col("df")
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6)).alias("idf")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.paths import is_noise, priority
+from lexispark.operators.folds import Budget, sorted_fold
 
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
@@ -23,30 +24,21 @@ def exact_duplicates(rows: DataFrame, text: str, id_col: str) -> DataFrame:
     return keyed.join(first, "digest").withColumn("is_first", F.col(id_col) == F.col("first_id"))
 
 
+def _budgeted(
+    rows: DataFrame, keys: list[str], order: list[str | Column], size: str, most_rows: int, most_size: int
+) -> DataFrame:
+    place = rows.columns.index(size)
+    return sorted_fold(rows, keys, order, lambda: Budget(place, most_rows, most_size), "taken boolean")
+
+
 def budget_fold(
     rows: DataFrame, group: list[str], order: list[str], size: str, most_rows: int, most_size: int
 ) -> DataFrame:
     """Take rows of each group in order while budgets last; a row that is too large is passed over, not the end.
 
-    Rows: the group's columns, the order's columns, size, taken. This is a running choice, not a running sum, so a
-    group (a library, bounded by the walk before it) is folded in one row.
+    Rows: the group's columns, the order's columns, size, taken. A null size is not taken.
     """
-    listed = F.array_sort(F.collect_list(F.struct(*order, size)))
-    start = F.struct(
-        F.array().cast("array<boolean>").alias("taken"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sum")
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        ok = (s["n"] < most_rows) & (s["sum"] + r[size] <= most_size)
-        return F.struct(
-            F.array_append(s["taken"], ok).alias("taken"), (s["n"] + ok.cast("int")).alias("n"),
-            F.when(ok, s["sum"] + r[size]).otherwise(s["sum"]).cast("bigint").alias("sum")
-        )
-
-    folded = rows.groupBy(*group).agg(listed.alias("l")).withColumn("t", F.aggregate("l", start, step)["taken"])
-    return folded.select(
-        *group, F.explode(F.arrays_zip("l", "t")).alias("x")
-    ).select(*group, "x.l.*", F.col("x.t").alias("taken"))
+    return _budgeted(rows.select(*group, *order, size), group, [*order, size], size, most_rows, most_size)
 
 
 def select_files(
@@ -55,8 +47,12 @@ def select_files(
 ) -> DataFrame:
     """The disposition of each file (path, content): noise, oversized, duplicate, budget or selected.
 
-    Files go by priority, then path. Too large files and such with NUL are oversized; a file with the content of a
-    selected one is a duplicate; what is passed over for its size is not remembered.
+    Files go by priority, then path in the order of a dictionary. Too large files and such with NUL are oversized; a file
+    with the content of a selected one is a duplicate; what is passed over for its size is not remembered. position
+    counts the selected files from 0.
+
+    Of equal contents only the first can be selected: where it is passed over, the others, of the same size, are as well.
+    So the budget is folded over one file of each content, by names and sizes.
     """
     size = F.octet_length("content").cast("bigint")
     rows = files.withColumns(
@@ -68,33 +64,17 @@ def select_files(
     noise = F.lit(False) if folders_given else is_noise(F.col("path"))
     large = (F.col("bytes") > max_file_bytes) | F.contains("content", F.lit("\u0000"))
     rows = rows.withColumns({"noise": noise, "large": large})
-    usable = rows.where("not noise and not large").select(
-        F.lit(1).alias("g"), (-F.col("priority")).alias("p"), "path", "digest", "bytes"
-    )
-    listed = F.array_sort(F.collect_list(F.struct("p", "path", "digest", "bytes")))
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"),
-        F.lit(0).cast("bigint").alias("sum")
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        duplicate = F.array_contains(s["seen"], r["digest"])
-        over = (F.size(s["seen"]) >= max_files) | (s["sum"] + r["bytes"] > max_index_bytes)
-        mark = F.when(duplicate, "duplicate").when(over, "budget").otherwise("selected")
-        chosen = ~duplicate & ~over
-        return F.struct(
-            F.array_append(s["out"], mark).alias("out"), F.when(
-                chosen, F.array_append(s["seen"], r["digest"])
-            ).otherwise(s["seen"]).alias("seen"), F.when(
-                chosen, s["sum"] + r["bytes"]
-            ).otherwise(s["sum"]).cast("bigint").alias("sum")
-        )
-
-    folded = usable.groupBy("g").agg(listed.alias("l")).withColumn("m", F.aggregate("l", start, step)["out"])
-    marks = folded.select(F.posexplode(F.arrays_zip("l", "m")).alias("position", "x")).select(
-        "position", F.col("x.l.path").alias("path"), F.col("x.m").alias("mark")
+    order = [F.desc("priority"), F.collate(F.col("path"), "UNICODE"), "path"]
+    usable = rows.where("not noise and not large").select("path", "digest", "bytes", "priority")
+    firsts = keep_first(usable, ["digest"], order).withColumn("g", F.lit(1))
+    chosen = _budgeted(firsts, ["g"], order, "bytes", max_files, max_index_bytes).select(
+        "digest", F.col("path").alias("first_path"), "taken"
     )
-    out = rows.join(marks, "path", "left")
+    mark = F.when(~F.col("taken"), "budget").when(F.col("path") == F.col("first_path"), "selected").otherwise("duplicate")
+    marks = usable.join(chosen, "digest").select("path", "priority", mark.alias("mark"))
+    selected = marks.where("mark = 'selected'")  # at most max_files, so their places come from one partition
+    places = selected.select("path", (F.row_number().over(Window.orderBy(*order)) - 1).alias("position"))
+    out = rows.join(marks.select("path", "mark"), "path", "left").join(places, "path", "left")
     return out.select(
         "path", "content", "bytes", "priority", "position",
         F.when(F.col("noise"), "noise").when(F.col("large"), "oversized").otherwise(F.col("mark")).alias("disposition")
