@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.paths import in_excluded_folder, is_documentation, priority
+from lexispark.functions.text import html_element, visible_text
 from lexispark.operators.selection import budget_fold
+from lexispark.scratch import exists
 
 
-def walk(spark: SparkSession, root: str, max_file_bytes: int = 2_097_152) -> DataFrame:
-    """The documentation files below a folder as (path, bytes), path relative to it. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+def walk(spark: SparkSession, root: str, max_file_bytes: int = 2_097_152, max_files: int = 5000) -> DataFrame:
+    """The documentation files below a folder as (path, bytes), path relative to it. Contents are not read.
+
+    Of the files that are no links, the first max(20,000, 10 max_files) by path are looked at.
+    """
     base = root.rstrip("/").removeprefix("file:")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{base.lstrip('/')}/", "")
+    # Links are told from files only where the folder is on this machine; other stores have none.
+    links = [
+        os.path.join(d, n) for d, dirs, names in (os.walk(base) if os.path.isdir(base) else ()) for n in [*dirs, *names]
+        if os.path.islink(os.path.join(d, n))
+    ]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{re.escape(base.lstrip('/'))}/", "")
     rows = files.select(path.alias("path"), F.col("path").alias("location"), F.col("length").alias("bytes"))
+    for link in links:
+        own = os.path.relpath(link, base)
+        rows = rows.where((F.col("path") != own) & ~F.startswith(F.col("path"), F.lit(f"{own}/")))
+    rows = rows.orderBy("path").limit(max(20_000, 10 * max_files))
     return rows.where(
         is_documentation(F.col("path")) & ~in_excluded_folder(F.col("path")) & (F.col("bytes") <= max_file_bytes)
     )
@@ -28,7 +45,7 @@ def read_bounded(
 
     The budget is folded over names and sizes; only chosen files are read.
     """
-    found = walk(spark, root, max_file_bytes).withColumn("p", -priority(F.col("path"))).withColumn("g", F.lit(1))
+    found = walk(spark, root, max_file_bytes, max_files).withColumn("p", -priority(F.col("path"))).withColumn("g", F.lit(1))
     budget = max_index_bytes + min(max_index_bytes, 64 * max_file_bytes)
     chosen = budget_fold(
         found.select("g", "p", "path", "bytes"), ["g"], ["p", "path"], "bytes", 2 * max_files, budget
@@ -38,7 +55,7 @@ def read_bounded(
     ]  # at most 2 * max_files names
     if not locations:
         return spark.createDataFrame([], "path string, content string")
-    base = root.rstrip("/").removeprefix("file:").lstrip("/")
+    base = re.escape(root.rstrip("/").removeprefix("file:").lstrip("/"))
     texts = spark.read.format("binaryFile").load(locations)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{base}/", "")
     return texts.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
@@ -131,19 +148,71 @@ def toml_section(text: Column, section: str) -> Column:
 
 
 def installed_skills(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Skills (location, name) in folders of skills: a folder with a skill file, by the file listing alone."""
-    rows = None
+    """Skills (location, name) in folders of skills: a folder with a skill file, by the file listing alone.
+
+    A location that isn't there has no skills.
+    """
+    rows = spark.createDataFrame([], "location string, name string")
     for root in roots:
+        if not exists(spark, root):
+            continue
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
             "pathGlobFilter", "SKILL.md"
         ).load(root).select("path")
-        one = found.select(
-            F.lit(root).alias("location"), F.regexp_extract("path", "([^/]+)/SKILL\\.md$", 1).alias("name")
+        rows = rows.unionByName(
+            found.select(
+                F.lit(root).alias("location"), F.regexp_extract("path", "([^/]+)/SKILL\\.md$", 1).alias("name")
+            )
         )
-        rows = one if rows is None else rows.unionByName(one)
     return rows.where("name != ''").distinct()
 
 
+def list_links(text: Column) -> Column:
+    """The links of an llms.txt file: structs of section, title, url and description."""
+    marked = F.split(F.concat(F.lit("\n"), text), r"\n##[ \t]+")
+    line = r"\n[-*][ \t]+\[([^\]\n]*)\]\(([^)\s]+)\)(?::[ \t]*([^\n]*))?"
+
+    def links(part: Column, k: Column) -> Column:
+        section = F.when(k > 0, F.trim(F.split_part(part, F.lit("\n"), F.lit(1))))
+        found = F.regexp_extract_all(F.concat(F.lit("\n"), part), F.lit(line), F.lit(0))
+        return F.transform(
+            found,
+            lambda x: F.struct(
+                section.alias("section"), F.regexp_extract(x, line, 1).alias("title"),
+                F.regexp_extract(x, line, 2).alias("url"),
+                F.nullif(F.trim(F.regexp_extract(x, line, 3)), F.lit("")).alias("description")
+            )
+        )
+
+    return F.flatten(F.transform(marked, links))
+
+
+def api_operations(text: Column) -> Column:
+    """The operations of an OpenAPI document in JSON: structs of path, method, summary and description, by path and
+    method."""
+    kind = "map<string,map<string,struct<summary string, description string>>>"
+    paths = F.map_entries(F.coalesce(F.from_json(F.get_json_object(text, "$.paths"), kind), F.create_map().cast(kind)))
+    methods = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
+    made = F.transform(
+        paths,
+        lambda p: F.transform(
+            F.filter(F.map_entries(p["value"]), lambda m: F.lower(m["key"]).isin(methods)),
+            lambda m: F.struct(
+                p["key"].alias("path"), F.lower(m["key"]).alias("method"), m["value"]["summary"].alias("summary"),
+                m["value"]["description"].alias("description")
+            )
+        )
+    )
+    return F.sort_array(F.flatten(made))
+
+
+def wiki_page(storage: Column) -> Column:
+    """A wiki page in storage format as a struct of title (its first heading) and visible text; code macros keep their
+    text."""
+    plain = F.regexp_replace(storage, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    return F.struct(html_element(plain, "h1").alias("title"), visible_text(plain).alias("text"))
+
+
 def site_pages(pages: DataFrame, exclude: list[str], max_pages: int = 100, max_depth: int = 3) -> DataFrame:
     """Pages (url, depth) of a site within limits: no excluded path, not too deep, the shallowest first; urls without fragment."""
     from lexispark.functions.identifiers import canonical_url

@@ -65,6 +65,11 @@ def write_report(report: DataFrame, folder: str, run: str) -> None:
     report.write.mode("overwrite").json(f"{folder}/latest")
 
 
+def write_progress(snapshot: DataFrame, path: str) -> None:
+    """The latest counts of a batch, in place of those before."""
+    snapshot.coalesce(1).write.mode("overwrite").json(path)  # a row
+
+
 def publish(spark: SparkSession, table: DataFrame, root: str, name: str) -> str:
     """Write a table as a new version and then point to it; readers see the old version or the new one, whole.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexispark.operators.folds import sorted_fold
+
 SEEN = "session string, library string, id bigint, fresh boolean, seen_count int"
 
 
@@ -65,9 +68,51 @@ def protocol_session(
     return (now_ms + ttl_ms, True) if expires_ms - now_ms < renew_below_ms else (expires_ms, True)
 
 
-def parse_lines(lines: DataFrame, schema: str = "type string, content string, error string") -> DataFrame:
-    """Events of JSON lines (value); malformed lines are left out."""
-    return lines.select(F.from_json("value", schema).alias("e")).where("e.type IS NOT NULL").select("e.*")
+class _Protocol:
+    """A protocol session's expiry over its requests."""
+
+    def __init__(self, ttl_ms: int, renew_below_ms: int):
+        self.rule, self.expires = (ttl_ms, renew_below_ms), None
+
+    def many(self, rows: pa.RecordBatch) -> list[pa.Array]:
+        alive, expires = [], []
+        for now in rows.column("at_ms").to_pylist():
+            self.expires, was = protocol_session(self.expires, now, *self.rule)
+            if not was:  # a request without a living session opens one
+                self.expires = now + self.rule[0]
+            alive.append(was)
+            expires.append(self.expires)
+        return [pa.array(alive, pa.bool_()), pa.array(expires, pa.int64())]
+
+
+def protocol_sessions(
+    requests: DataFrame, key: str, ttl_ms: int = 7 * 86_400_000, renew_below_ms: int = 86_400_000
+) -> DataFrame:
+    """Requests (key, at_ms, ...) with alive, whether their session was, and expires_ms after them.
+
+    A session opens with a request that finds none alive, and is renewed only when little is left of it.
+    """
+    return sorted_fold(
+        requests, [key], ["at_ms"], lambda: _Protocol(ttl_ms, renew_below_ms), "alive boolean, expires_ms bigint"
+    )
+
+
+def last_outcome(events: DataFrame, key: str, line: str) -> DataFrame:
+    """The last complete or error event of each request, by its place in the stream; requests without one have no row."""
+    ends = events.where(F.col("type").isin("complete", "error"))
+    own = F.struct(*[c for c in events.columns if c != key])
+    return ends.groupBy(key).agg(F.max_by(own, line).alias("e")).select(key, "e.*")
+
+
+def parse_lines(
+    lines: DataFrame, schema: str = "type string, content string, error string", needs: str = "type"
+) -> DataFrame:
+    """Events of JSON lines (value) with the lines' other columns; malformed lines are left out, and those without the
+    field that an event needs."""
+    others = [c for c in lines.columns if c != "value"]
+    return lines.select(*others, F.from_json("value", schema).alias("e")).where(f"e.{needs} IS NOT NULL").select(
+        *others, "e.*"
+    )
 
 
 def single_flight(requests: DataFrame, key: str = "library", ts: str = "ts", within: str = "10 minutes") -> DataFrame:
