@@ -1,22 +1,26 @@
 """The engine's surface: libraries, searches, reading, status, as methods that return DataFrames or texts.
 
-An index is a published table of chunks and a manifest row; everything else is composed from the operators.
+An index is a folder of chunks, postings and figures; everything else is composed from the operators.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import formats, identifiers
 from lexispark.functions.labels import reputation
 from lexispark.functions.text import preview
-from lexispark.operators import catalog, chunks, reading, rerank, search, selection
+from lexispark.functions.vectors import query_text
+from lexispark.operators import catalog, chunks, index, reading, rerank, search, selection
 from lexispark.plans.planner import plan_query, terms
+from lexispark.pool import first_that_works
+from lexispark.scratch import cut
 
 MOST_RESULT_CHARS = 16_000
 PARSER = "lexispark-1"
@@ -86,32 +90,81 @@ def embed(
 
 @dataclass
 class Library:
-    """An indexed library: its manifest's figures and its chunks."""
+    """An indexed library: its manifest's figures, its chunks, and the folder of its index, if it has one."""
 
     id: str
     commit: str
     repository_url: str
     chunks: DataFrame
     n_rules: int = 0
+    root: str | None = None
+
+
+class Seen:
+    """The chunks that sessions have seen of a library at a commit.
+
+    A session ends when it is idle for ``ttl_s``; of each it keeps at most ``most`` ids, those seen first go first, and
+    seeing one again doesn't renew it.
+    """
+
+    def __init__(self, ttl_s: float = 3600.0, most: int = 500, clock: Callable[[], float] = time.monotonic):
+        self.ttl_s, self.most, self.clock = ttl_s, most, clock
+        self.kept: dict[tuple[str, str], tuple[float, dict[int, None]]] = {}
+
+    def ids(self, session: str, library: str) -> list[int]:
+        """What a session has seen; asking keeps it alive."""
+        now = self.clock()
+        self.kept = {k: v for k, v in self.kept.items() if now - v[0] < self.ttl_s}
+        if (session, library) not in self.kept:
+            return []
+        ids = self.kept[session, library][1]
+        self.kept[session, library] = now, ids
+        return list(ids)
+
+    def add(self, session: str, library: str, ids: list[int]) -> None:
+        own = dict.fromkeys(self.ids(session, library))
+        own.update(dict.fromkeys(i for i in ids if i not in own))
+        while len(own) > self.most:
+            del own[next(iter(own))]
+        self.kept[session, library] = self.clock(), own
 
 
 @dataclass
 class Service:
+    """``root`` is a folder for indexes, which all executors share; without one, chunks are checkpointed and scanned."""
+
     spark: SparkSession
+    root: str | None = None
     libraries: dict[str, Library] = field(default_factory=dict)
     vectors: dict[str, DataFrame] = field(default_factory=dict)
-    seen: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    seen: Seen = field(default_factory=Seen)
     query_vector: Callable[[str], list[float]] | None = None
+    breaker: CircuitBreaker = field(default_factory=CircuitBreaker)
 
     def index(
         self, ident: str, files: DataFrame, commit: str, repository_url: str, n_rules: int = 0, **limits: int
     ) -> DataFrame:
-        """Select files, cut them into chunks, and make the library searchable; returns the selection's counts."""
-        selected = selection.select_files(files, **limits)
+        """Select files, cut them into chunks, and make the library searchable; returns the selection's counts.
+
+        The index is written below a folder of the library's key and commit before it takes the place of an older one.
+        """
+        selected = cut(selection.select_files(files, **limits))
         made = chunks.chunk_markdown(selected.where("disposition = 'selected'").select("path", "content"))
-        self.libraries[ident.lower()] = Library(ident, commit, repository_url, made, n_rules)
+        root = None
+        if self.root is None:
+            made = cut(made)
+        else:
+            root = f"{self.root}/{hashlib.sha256(ident.lower().encode()).hexdigest()}/{commit}"
+            index.write_index(made, root)
+            made = index.index_chunks(self.spark, root)
+        self.libraries[ident.lower()] = Library(ident, commit, repository_url, made, n_rules, root)
         return selection.selection_counts(selected)
 
+    def index_first(self, candidates: list[str], make: Callable[[str], object], most: int = 5) -> str | None:
+        """The first of the candidates that can be indexed by ``make``; None if none of the first ``most`` can."""
+        found = first_that_works(candidates, make, most)
+        return found[0] if found else None
+
     def library(self, ident: str) -> Library:
         found = self.libraries.get(ident.lower())
         if found is None:
@@ -130,44 +183,63 @@ class Service:
             catalog.name_matches(rows, F.lit(name), ["id", "title"])
         ).orderBy("id").limit(limit).select("id", "title", block.alias("block"))
 
+    def _search(
+        self, lib: Library, query: str, limit: int, max_tokens: int | None, seen: DataFrame | None = None,
+        again: int | None = None
+    ) -> DataFrame:
+        if lib.root is not None:
+            return index.search_index(self.spark, lib.root, query, limit, max_tokens, seen, again)
+        return search.search(lib.chunks, query, limit, max_tokens, seen, again=again)
+
+    def _reranked(self, lib: Library, query: str, found: DataFrame) -> DataFrame:
+        """Results reranked where the library has vectors; after a failure they stay as they are for a while."""
+        own = self.vectors.get(lib.id.lower())
+        if own is None or not plan_query(query) or self.breaker.open():
+            return found
+        try:
+            if self.query_vector is None:
+                raise ValueError("no embedding of queries")
+            vector = self.query_vector(query_text(query))
+        except Exception:  # whatever fails in a service outside, an answer without it is given
+            self.breaker.failed()
+            return found
+        return rerank.rerank(found.drop("position"), own, vector)
+
     def search_docs(
         self, ident: str, query: str, limit: int = 12, max_tokens: int | None = None, session: str | None = None,
         include_seen: bool = False
     ) -> DataFrame:
-        """Previews of the best chunks, without those that the session has seen."""
-        lib, key = self.library(ident), (session or "", ident.lower())
-        seen = None if include_seen or session is None else self.seen.get(key)
-        found = search.search(lib.chunks, query, min(max(limit, 1), 30), max_tokens, seen)
-        rows = found.select(
+        """Previews of the best chunks, without those that the session has seen at this commit.
+
+        At least 24 candidates are searched and reranked, then cut to the limit. If all that matches was seen, it is
+        searched again with nothing left out.
+        """
+        lib, most = self.library(ident), min(max(limit, 1), 30)
+        key = f"{ident.lower()}@{lib.commit}"
+        ids = [] if include_seen or session is None else self.seen.ids(session, key)
+        seen = self.spark.createDataFrame([(i,) for i in ids], "id bigint") if ids else None
+        found = self._search(lib, query, max(most, 24), max_tokens, seen, again=most)
+        rows = rerank.sliced(self._reranked(lib, query, found), most).select(
             "position", "id", "doc_path", "section_title", "score", "matched_queries", identifiers.result_key(
                 F.lit(lib.commit), F.col("id")
             ).alias("key"),
             identifiers.source_url(
                 F.lit(lib.repository_url), F.lit(lib.commit), F.col("doc_path")
             ).alias("url"), preview(F.col("content")).alias("preview"),
-        ).cache()
+        )
+        answer = rows.orderBy("position").collect()  # at most 30
         if session is not None:
-            new = rows.select("id")
-            self.seen[key] = (self.seen[key].unionByName(new) if key in self.seen else new).distinct()
-        return rows
+            self.seen.add(session, key, [r["id"] for r in answer])
+        return self.spark.createDataFrame(answer, rows.schema)
 
     def query_docs(self, ident: str, query: str) -> str:
         """An answer text within 4,000 tokens; reranked where the library has vectors."""
         lib = self.library(ident)
-        found = search.search(lib.chunks, query, 24, 4_000)
-        if ident.lower() in self.vectors and plan_query(query):
-            found = rerank.rerank(
-                found, self.vectors[ident.lower()], self._query_vector(query)
-            ).drop("position").withColumn("position", -F.col("score"))
+        found = self._reranked(lib, query, self._search(lib, query, 24, 4_000))
         url = identifiers.source_url(F.lit(lib.repository_url), F.lit(lib.commit), F.col("doc_path"))
         part = F.concat(F.lit("## "), F.col("section_title"), F.lit("\nSource: "), url, F.lit("\n\n"), F.col("content"))
         return self._text(lib, found.withColumn("part", part), "position", "part")
 
-    def _query_vector(self, query: str) -> list[float]:
-        if self.query_vector is None:
-            raise ValueError("no embedding of queries")
-        return self.query_vector(query)
-
     def read_docs(self, ident: str, key: str, max_tokens: int | None = None) -> str:
         """A result with its neighbours; a key of another commit is stale."""
         lib = self.library(ident)
@@ -202,20 +274,22 @@ class Service:
         return catalog.index_health(rows, PARSER)
 
     def evaluate(self, ident: str, qrels: list[tuple[str, str]]) -> DataFrame:
-        """Rank of the relevant path for each (query, path): fused search and the baseline, in one table."""
+        """Rank of the relevant path for each (query, path), and the milliseconds: fused search and the baseline.
+
+        Each scenario is searched and timed on its own; ``catalog.evaluation_report`` sums them up.
+        """
         lib, out = self.library(ident), []
-        unix = lambda p: p.replace("\\", "/").lower()
 
         def first(found: DataFrame, order: Column, path: str) -> int:
-            """The place, from 1, of the first result whose path contains the wanted one; 0 if there is none."""
-            rows = found.orderBy(order).select("doc_path").collect()  # at most ten
-            return next((k for k, r in enumerate(rows, 1) if unix(path) in unix(r["doc_path"])), 0)
+            ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(order)))  # at most ten rows
+            hit = ranked.where(catalog.path_relevant(F.col("doc_path"), F.lit(path))).agg(F.min("rank")).first()[0]
+            return hit or 0
 
         for query, path in qrels:
             t0 = time.perf_counter()
             legacy = first(search.legacy_top(lib.chunks, query), F.col("rank"), path) if terms(query) else 0
             t1 = time.perf_counter()
-            fused = first(search.search(lib.chunks, query, 10, 5_000), F.col("position"), path)
+            fused = first(self._search(lib, query, 10, 5_000), F.col("position"), path)
             out.append((query, path, legacy, fused, (t1 - t0) * 1000, (time.perf_counter() - t1) * 1000))
         return self.spark.createDataFrame(
             out, "query string, path string, legacy_rank int, fused_rank int, legacy_ms double, fused_ms double"
