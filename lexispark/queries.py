@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import formats, identifiers, labels, paths, text, vectors
 from lexispark.operators import catalog, chunks, reading, rerank, search, selection
 from lexispark.plans.planner import Facet, candidate_limit, plan_query, terms, token_budget
+from lexispark.scratch import fresh_folder
 from lexispark.streaming import sessions
 
 TOPIC = "the history of that and is"
@@ -154,16 +154,15 @@ SELECT item_id, array_to_string(ts[1:18], ' OR ') AS any_facet, array_to_string(
  least(5000, 1600 + 180 * len(ts))::INTEGER AS token_budget FROM t"""
 )
 def facet_plan(spark, sf_dir):
-    """Facets of every benchmark text, as Column functions."""
-    t = read(spark, sf_dir, "benchmark").select("item_id", text.terms(F.col("text")).alias("ts"))
-    first = F.slice("ts", 1, 18)
-    names = F.slice(F.filter(first, lambda x: x.rlike(text.IDENTIFIER)), 1, 6)
+    """Facets of every benchmark text, as Column functions; the texts have no quotes, so identifiers follow the first two."""
+    t = read(spark, sf_dir, "benchmark").select(
+        "item_id", text.facets(F.col("text")).alias("f"), text.token_budget(F.col("text")).alias("token_budget")
+    )
+    marks = F.filter("f", lambda x: x.rlike(text.IDENTIFIER) & ~F.contains(x, F.lit(" ")))
     return t.select(
-        "item_id", F.array_join(first, " OR ").alias("any_facet"), F.array_join(
-            F.slice("ts", 1, 8), " AND "
-        ).alias("all_facet"), F.array_join(names, " | ").alias("identifiers"),
-        F.least(F.lit(5000), 1600 + 180 * F.size("ts")).cast("int").alias("token_budget"),
-    )
+        "item_id", F.get("f", F.lit(0)).alias("any_facet"), F.get("f", F.lit(1)).alias("all_facet"),
+        F.array_join(marks, " | ").alias("identifiers"), "token_budget"
+    )
 
 
 BM25 = [Facet("any", (("the",), ("history",), ("that",), ("retionth",)))]
@@ -250,8 +249,10 @@ def seen_exclusion(spark, sf_dir):
     return search.fuse(ranked, terms(TOPIC), seen).select("id", "matched_queries", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""WITH RECURSIVE {sql_fused(TOPIC, SQL_DOCS)},
+def sql_search(topic: str, source: str, limit: int | None = None, budget: int | None = None) -> str:
+    """A whole search: rows (position, id) of the diverse selection, as the CTE ``found`` and what it needs."""
+    budget = token_budget(topic, budget)
+    return f"""{sql_fused(topic, source, limit)},
 listed AS (SELECT id, doc_path, tokens, substr({sql_collapse('lower(content)')}, 1, 180) AS print, row_number() OVER (ORDER BY score DESC, matched_queries DESC, id) AS n FROM fused),
 walk(n, ids, paths, prints, total) AS (
   SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[], []::VARCHAR[], 0::BIGINT
@@ -259,11 +260,13 @@ walk(n, ids, paths, prints, total) AS (
   SELECT l.n, CASE WHEN ok THEN list_append(ids, l.id) ELSE ids END, CASE WHEN ok THEN list_append(paths, l.doc_path) ELSE paths END,
          CASE WHEN ok THEN list_append(prints, l.print) ELSE prints END, CASE WHEN ok THEN total + l.tokens ELSE total END
   FROM (SELECT w.*, l.id, l.doc_path, l.tokens, l.print, l.n AS ln,
-         len(list_filter(paths, lambda p: p = l.doc_path)) < 3 AND NOT list_contains(prints, l.print) AND (len(ids) = 0 OR total + l.tokens <= {token_budget(TOPIC)}) AND len(ids) < 12 AS ok
+         len(list_filter(paths, lambda p: p = l.doc_path)) < 3 AND NOT list_contains(prints, l.print) AND (len(ids) = 0 OR total + l.tokens <= {budget}) AND len(ids) < {limit or 12} AS ok
         FROM walk w JOIN listed l ON l.n = w.n + 1) AS l(n0, ids, paths, prints, total, id, doc_path, tokens, print, n, ok)
-), final AS (SELECT ids FROM walk ORDER BY n DESC LIMIT 1)
-SELECT (generate_subscripts(ids, 1) - 1)::INTEGER AS position, unnest(ids) AS id FROM final"""
-)
+), final AS (SELECT ids FROM walk ORDER BY n DESC LIMIT 1),
+found AS (SELECT (generate_subscripts(ids, 1) - 1)::INTEGER AS position, unnest(ids) AS id FROM final)"""
+
+
+@query(f"WITH RECURSIVE {sql_search(TOPIC, SQL_DOCS)} SELECT position, id FROM found")
 def diverse_select(spark, sf_dir):
     """A whole search: plan, facets, fusion, selection within a token budget."""
     return search.search(documents(spark, sf_dir), TOPIC).select("position", "id")
@@ -547,21 +550,17 @@ SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM a WHE
 )
 def resumable_work(spark, sf_dir):
     """What a batch still has to do: neither done nor failed before."""
-    last = catalog.latest_events(
-        read(spark, sf_dir, "events"), F.col("user_id"), "event_id"
-    ).where("event_type IN ('purchase', 'error')")
-    return read(spark, sf_dir, "customer").join(
-        last.select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti"
-    ).select("c_custkey")
+    last = catalog.latest_events(read(spark, sf_dir, "events"), F.col("user_id"), "event_id")
+    status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed")
+    events = last.select(F.col("user_id").alias("c_custkey"), status.alias("status"))
+    return catalog.pending(read(spark, sf_dir, "customer").select("c_custkey"), events, "c_custkey")
 
 
 @query(
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL"
 )
 def usage_metrics(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(
-        F.count("*").alias("n"), F.count_distinct("user_id").alias("users")
-    )
+    return catalog.usage(read(spark, sf_dir, "events"), "ts", "user_id", ["event_type"]).withColumnRenamed("period", "day")
 
 
 @query(
@@ -576,10 +575,10 @@ def manifest_reconcile(spark, sf_dir):
     return catalog.reconcile(want, have, "source", "v")
 
 
-@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events WHERE json_valid(props)")
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events WHERE json_valid(props) AND props::JSON ->> 'k' IS NOT NULL")
 def ndjson_parse(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("j", F.from_json("props", "k bigint", {"mode": "PERMISSIVE"}))
-    return e.where("j IS NOT NULL").select("event_id", F.col("j.k").alias("k"))
+    lines = read(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
+    return sessions.parse_lines(lines, "k bigint", needs="k")
 
 
 # --- sessions ------------------------------------------------------------------------------------------------------
@@ -693,49 +692,31 @@ def vector_upsert(spark, sf_dir):
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
+SQL_TOKEN_ROWS = f"SELECT doc_id AS id, unnest(string_split_regex(trim({sql_tokens('text')}), ' +')) AS term FROM documents"
+
+
 @query(
-    """WITH p AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS n, contains(d.text, b.text) AS hit
- FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
-r AS (SELECT item_id, coalesce(min(n) FILTER (WHERE hit AND n <= 10), 0) AS rank FROM p GROUP BY item_id)
+    f"""WITH occurs AS ({SQL_TOKEN_ROWS}), counts AS (SELECT id, term, count(*) AS tf FROM occurs WHERE term <> '' GROUP BY ALL),
+lengths AS (SELECT doc_id AS id, coalesce(sum(tf), 0) AS len FROM documents LEFT JOIN counts ON id = doc_id GROUP BY doc_id),
+corpus AS (SELECT count(*) AS n, avg(len) AS mean FROM lengths),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(string_split_regex(trim({sql_tokens('text')}), ' +')) AS term FROM benchmark) WHERE term <> ''),
+idf AS (SELECT term, greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS w FROM counts, corpus GROUP BY term),
+scored AS (SELECT item_id, id, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM asked JOIN counts USING (term) JOIN idf USING (term) JOIN lengths USING (id), corpus GROUP BY item_id, id),
+lists AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10),
+hits AS (SELECT l.item_id, min(rank) AS rank FROM lists l JOIN documents d ON d.doc_id = l.id JOIN benchmark b ON b.item_id = l.item_id WHERE contains(d.text, b.text) GROUP BY l.item_id),
+r AS (SELECT item_id, coalesce(rank, 0) AS rank FROM benchmark LEFT JOIN hits USING (item_id))
 SELECT count(*) AS scenarios, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0 ELSE 0 END), 6) AS recall FROM r"""
 )
 def eval_mrr_recall(spark, sf_dir):
     """Rank of the first relevant document in each scenario's result list, then the metrics.
 
-    A scenario's list are the documents of its shard, shortest first; relevant are those that hold its passage.
-    """
-    d = read(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("body"), (F.col("doc_id") % 40).alias("shard")
-    )
-    b = read(spark, sf_dir, "benchmark").select(
-        "item_id", F.col("text").alias("passage"), (F.col("item_id") % 40).alias("shard")
-    )
-    lists = d.join(b, "shard").withColumn(
-        "n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.length("body"), "doc_id"))
-    )
-    ranks = lists.groupBy("item_id").agg(
-        F.coalesce(
-            F.min(F.when(F.contains("body", F.col("passage")) & (F.col("n") <= 10), F.col("n"))), F.lit(0)
-        ).alias("rank")
-    )
-    m = catalog.retrieval_metrics(ranks, "rank")
-    return m.select("scenarios", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
-
-
-@query()
-def eval_mrr_recall_whole(spark, sf_dir):
-    """The metrics of ``eval_mrr_recall`` where each scenario's list is searched in all documents, with no shard.
-
-    A scenario's list are the ten best documents for any of its passage's tokens; relevant are those that hold the
-    passage.
+    A scenario's list are the ten best of all documents for any of its passage's tokens; relevant are those that hold
+    the passage.
     """
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), "text")
-    found = search.rank_topics(d, b, 10, {"content": 1.0}).select("topic", "id", "rank")
-    hits = found.join(d, "id").join(b, "topic").where(F.contains("content", "text"))
-    ranks = b.select("topic").join(hits.groupBy("topic").agg(F.min("rank").alias("rank")), "topic", "left").select(
-        "topic", F.coalesce("rank", F.lit(0)).alias("rank")
-    )
+    found = search.rank_topics(d, b, 10, {"content": 1.0}).select("topic", "id", "rank").join(d, "id")
+    ranks = catalog.first_relevant(b, found, "topic", F.contains("content", F.col("text")))
     m = catalog.retrieval_metrics(ranks, "rank")
     return m.select("scenarios", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
 
@@ -863,9 +844,9 @@ def agent_modes(spark, sf_dir):
     "SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS code, count(*) FILTER (WHERE role <> 'assistant') AS info, count(*) AS snippets FROM conversations GROUP BY conv_id"
 )
 def snippet_totals(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    code, info = F.count_if(F.col("role") == "assistant"), F.count_if(F.col("role") != "assistant")
-    return c.groupBy("conv_id").agg(code.alias("code"), info.alias("info"), F.count("*").alias("snippets"))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "role")
+    both = catalog.snippets(c.where("role = 'assistant'"), c.where("role <> 'assistant'"))
+    return catalog.snippet_counts(both, "conv_id")
 
 
 @query(
@@ -873,9 +854,8 @@ def snippet_totals(spark, sf_dir):
 )
 def by_installs(spark, sf_dir):
     """The most installed first; unknown counts as none."""
-    n = F.coalesce(F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal")), F.lit(0.0))
-    top = read(spark, sf_dir, "supplier").withColumn("n", n).orderBy(F.desc("n"), "s_suppkey").limit(30)
-    return top.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("n"), "s_suppkey")).alias("place"))
+    rows = read(spark, sf_dir, "supplier").withColumn("n", F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal")))
+    return catalog.most_installed(rows, "n", "s_suppkey", 30).select("s_suppkey", "place")
 
 
 @query(
@@ -911,14 +891,19 @@ def snippet_names(spark, sf_dir):
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS session, lower(event_type) AS library, event_id % 50 AS id, epoch_us(ts) // 1000 AS t FROM events),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY session, library ORDER BY t, id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY session, library ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS no FROM b)
+SELECT session, library, count(*) AS views, count(DISTINCT (no, id)) AS fresh FROM s GROUP BY session, library"""
+)
 def stream_seen(spark, sf_dir):
     """Structured Streaming over the events, all that is there: fresh and repeated views of each user.
 
     The result is read from the sink's files in the shared folder.
     """
     schema = read(spark, sf_dir, "events").schema
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lexispark-checkpoints'}/stream-{uuid.uuid4().hex}"
+    at = fresh_folder(spark, "stream")
     # A stream's source is a folder; the table may be a single file, so its path is given as a glob.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     rows = events.select(
@@ -932,3 +917,6 @@ def stream_seen(spark, sf_dir):
     return spark.read.parquet(f"{at}/rows").groupBy("session", "library").agg(
         F.count("*").alias("views"), F.count_if("fresh").alias("fresh")
     )
+
+
+import lexispark.surface_queries  # noqa: E402, F401  registers its queries
