@@ -13,49 +13,108 @@ SHA = "0123456789abcdef0123456789abcdef01234567"
 def engine(spark):
     s = service.Service(spark)
     counts = s.index(
-        "/example/router", spark.createDataFrame(FILES, "path string, content string"), SHA,
-        "https://github.com/example/router.git", n_rules=2
+        "/example/garden", spark.createDataFrame(FILES, "path string, content string"), SHA,
+        "https://github.com/example/garden.git", n_rules=2
     ).first()
     assert counts["selected_files"] == 3
     return s
 
 
 def test_search_and_sessions(engine):
-    first = engine.search_docs("/Example/Router", "navigation", session="a").orderBy("position").collect()
+    first = engine.search_docs("/Example/Garden", "watering", session="a").orderBy("position").collect()
     assert len(first) == 2 and first[0]["key"].startswith(SHA) and first[0]["url"].startswith(
-        f"https://github.com/example/router/blob/{SHA}/"
+        f"https://github.com/example/garden/blob/{SHA}/"
     )
-    again = engine.search_docs("/example/router", "router", session="a").collect()
+    again = engine.search_docs("/example/garden", "valve", session="a").collect()
     assert {r["id"] for r in again}.isdisjoint({r["id"] for r in first}) or len(again) > 0
-    assert len(engine.search_docs("/example/router", "navigation", session="b").collect()) == 2
+    assert len(engine.search_docs("/example/garden", "watering", session="b").collect()) == 2
     with pytest.raises(KeyError):
-        engine.search_docs("/x/y", "navigation")
+        engine.search_docs("/x/y", "watering")
 
 
 def test_answers(engine, spark):
-    text = engine.query_docs("/example/router", "authentication middleware")
-    assert "router.beforeEach()" in text and SHA in text and "Project rules omitted: 2" in text
-    key = engine.search_docs("/example/router", "abort navigation", limit=1).first()["key"]
-    read = engine.read_docs("/example/router", key)
-    assert "Authentication middleware" in read and "Abort navigation" in read and "Secure cookies" not in read
+    text = engine.query_docs("/example/garden", "opening schedule")
+    assert "valve.openUntil()" in text and SHA in text and "Project rules omitted: 2" in text
+    key = engine.search_docs("/example/garden", "stop watering", limit=1).first()["key"]
+    read = engine.read_docs("/example/garden", key)
+    assert "Opening schedule" in read and "Stop watering" in read and "Soil moisture" not in read
     assert "stale" in engine.read_docs(
-        "/example/router", "f" * 40 + ":1"
-    ) and "invalid" in engine.read_docs("/example/router", "x")
+        "/example/garden", "f" * 40 + ":1"
+    ) and "invalid" in engine.read_docs("/example/garden", "x")
     assert [
-        r["section_title"] for r in engine.grep_docs("/example/router", "validateSession()").collect()
-    ] == ["Async guard"]
-    engine.vectors["/example/router"] = spark.createDataFrame(
+        r["section_title"] for r in engine.grep_docs("/example/garden", "checkRain()").collect()
+    ] == ["Night round"]
+    engine.vectors["/example/garden"] = spark.createDataFrame(
         [(i, [1.0, i / 10]) for i in range(1, 5)], "id bigint, embedding array<float>"
     )
     engine.query_vector = lambda q: [0.0, 1.0]
-    assert "navigation" in engine.query_docs("/example/router", "navigation")
+    assert "watering" in engine.query_docs("/example/garden", "watering")
     engine.vectors.clear()
 
 
+def test_seen_by_commit_with_a_time_and_a_number(spark):
+    now = [0.0]
+    seen = service.Seen(ttl_s=10, most=3, clock=lambda: now[0])
+    seen.add("s", "/a/b@1", [1, 2])
+    seen.add("s", "/a/b@1", [1, 3, 4])
+    assert seen.ids("s", "/a/b@1") == [2, 3, 4] and seen.ids("s", "/a/b@2") == [] and seen.ids("t", "/a/b@1") == []
+    now[0] = 9
+    assert seen.ids("s", "/a/b@1") == [2, 3, 4]
+    now[0] = 18  # asking has kept it alive
+    assert seen.ids("s", "/a/b@1") == [2, 3, 4]
+    now[0] = 28
+    assert seen.ids("s", "/a/b@1") == []
+
+
+def test_a_written_index_gives_the_same_answers(spark, engine, tmp_path):
+    s = service.Service(spark, str(tmp_path))
+    files = spark.createDataFrame(FILES, "path string, content string")
+    s.index("/example/garden", files, SHA, "https://github.com/example/garden.git", n_rules=2)
+    assert s.query_docs("/example/garden", TASK) == engine.query_docs("/example/garden", TASK)
+    rows = lambda e, **k: [tuple(r) for r in e.search_docs("/example/garden", "watering", **k).collect()]
+    assert rows(s) == rows(engine) and len(rows(s)) == 2
+    first = rows(s, session="x", limit=1)
+    assert len(first) == 1 and rows(s, session="x") == [(0, *rows(s)[1][1:])] and len(rows(s, session="x")) == 2
+    s.index("/example/garden", files, "f" * 40, "https://github.com/example/garden.git")
+    assert len(rows(s, session="x")) == 2  # another commit, nothing of it seen
+
+
+def test_reranking_is_left_out_for_a_while_after_a_failure(spark, engine):
+    calls = []
+
+    def vector(text):
+        calls.append(text)
+        raise ConnectionError
+
+    s = service.Service(spark, libraries=engine.libraries, query_vector=vector)
+    s.vectors["/example/garden"] = spark.createDataFrame([(2, [1.0])], "id bigint, embedding array<float>")
+    plain = [r["id"] for r in engine.search_docs("/example/garden", "watering").collect()]
+    for _ in range(2):
+        assert [r["id"] for r in s.search_docs("/example/garden", "watering").collect()] == plain
+    assert calls == ["watering"] and s.breaker.open()
+    s.breaker.until = 0
+    s.query_vector = lambda text: [1.0]
+    got = s.search_docs("/example/garden", "watering", limit=1).collect()
+    assert [(r["position"], r["id"]) for r in got] == [(0, 2)]
+
+
+def test_candidates_until_one_can_be_indexed(spark):
+    tried = []
+
+    def make(ident):
+        tried.append(ident)
+        if ident != "/c":
+            raise ValueError(ident)
+
+    s = service.Service(spark)
+    assert s.index_first(["/a", "/b", "/c", "/d"], make) == "/c" and tried == ["/a", "/b", "/c"]
+    assert s.index_first([f"/{k}" for k in range(9)], make) is None and len(tried) == 8
+
+
 def test_libraries_and_health(engine, spark):
     assert [
-        r["id"] for r in engine.resolve("Rou-ter").collect()
-    ] == ["/example/router"] and engine.resolve("zzz").count() == 0
+        r["id"] for r in engine.resolve("Gar-den").collect()
+    ] == ["/example/garden"] and engine.resolve("zzz").count() == 0
     h = engine.status().first()
     assert (h["libraries"], h["sections"], h["outdated"]) == (1, 4, 0)
     assert service.Service(spark).status().first()["libraries"] == 0
@@ -63,8 +122,8 @@ def test_libraries_and_health(engine, spark):
 
 def test_evaluation(engine):
     rows = engine.evaluate(
-        "/example/router",
-        [(TASK, "docs\\Middleware.md"), ("secure cookies", "docs/sessions.md"), ("guard", "nowhere.md")]
+        "/example/garden",
+        [(TASK, "docs\\Beds.md"), ("soil moisture", "docs/sensors.md"), ("night", "nowhere.md")]
     ).collect()
     assert [(r["fused_rank"], r["legacy_rank"]) for r in rows] == [(1, 1), (1, 1), (0, 0)]
 

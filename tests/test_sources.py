@@ -18,6 +18,9 @@ def test_bounded_reading(spark, tmp_path):
     got = files.read_bounded(spark, str(tmp_path), 10, 1000, 10_000).collect()
     assert [(r["path"], r["content"]) for r in got] == [("docs/api.md", "small")]
     assert files.read_bounded(spark, str(tmp_path / "docs"), 10, 1, 10).count() == 0
+    (tmp_path / "docs/link.md").symlink_to(tmp_path / "docs/api.md")
+    (tmp_path / "linked").symlink_to(tmp_path / "docs")
+    assert [r["path"] for r in files.walk(spark, str(tmp_path), 1000).collect()] == ["docs/api.md"]
 
 
 def test_project_settings(spark):
@@ -159,6 +162,7 @@ def test_locks_caches_and_lists(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x")
     assert {r["name"] for r in files.installed_skills(spark, [str(tmp_path / "s")]).collect()} == {"one", "two"}
+    assert files.installed_skills(spark, [str(tmp_path / "nowhere")]).count() == 0
     site = spark.createDataFrame(
         [("https://a/b#x", 1), ("https://a/b", 2), ("https://a/old/c", 1), ("https://a/d", 9), ("https://a/", 0)],
         "url string, depth int"
