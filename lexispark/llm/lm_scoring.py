@@ -1,8 +1,9 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The next word is chosen in steps, each a softmax over at most 64 places: first its class, then, digit by digit, its place
-in the class. The class depends on hashed features of the words before it: the last one, the last but one (a skip), and
-both together. Each step inside the class depends on a hashed feature of the last word and of the steps so far. Frequent
+The next word is chosen in steps, each a softmax over at most 32 places: first its class, then, digit by digit, its place
+in the class. The class depends on hashed features of the words before it: the last one, and the last but one (a skip).
+Each step inside the class depends on a hashed feature of the last word and of the steps so far (in a
+class of more than 32 squared words a block of them is chosen by its share first). Frequent
 words are clustered into classes by the company they keep; all others fall into classes by their shape and follow their
 smoothed frequency there, with a place for words never seen. So the model is a probability over all words.
 
@@ -33,9 +34,9 @@ from lexispark.llm.common import cut, shared_folder, small_batches
 
 END, START = 0, 1  # word numbers: END is a token, START only a context
 SHAPES = 8
-WIDTH = 64  # places of one softmax
+WIDTH = 32  # places of one softmax
 CLASSES = WIDTH - SHAPES - 1
-KINDS = 3  # features of the class
+KINDS = 2  # features of the class
 BATCH = 8192
 NEVER = np.float32(-1e4)
 
@@ -80,10 +81,12 @@ class Level:
     bias: np.ndarray
 
 
-def levels_of(class_of: np.ndarray, counts: np.ndarray) -> list[Level]:
+def levels_of(class_of: np.ndarray, counts: np.ndarray) -> tuple[list[Level], np.ndarray]:
     """The steps to each word number: its rank by frequency within its class, in digits of base WIDTH.
 
-    Negative numbers (words by shape) have no steps; they index the arrays from the end.
+    The last two digits are steps. Where a class has more words, its blocks of WIDTH squared words are chosen by their
+    share alone; the second result is the logarithm of the share of each number's block. Negative numbers (words by
+    shape) have no steps; they index the arrays from the end.
     """
     size = len(class_of)
     order = np.lexsort((np.arange(size), -counts, class_of))
@@ -92,14 +95,18 @@ def levels_of(class_of: np.ndarray, counts: np.ndarray) -> list[Level]:
     rank[order] = np.arange(size) - np.repeat(first, np.diff(np.append(first, size)))
     mass = counts + 0.5
     mass[START] = 0  # START is no token
-    depth = 1
-    while rank.max(initial=0) >= WIDTH**depth:
-        depth += 1
+    block = class_of * size + rank // WIDTH**2
+    _, of = np.unique(block, return_inverse=True)
+    held = np.bincount(of, mass)
+    whole = np.bincount(class_of, mass)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        given = np.where(mass > 0, np.log(held[of] / whole[class_of]), 0.0)
+    depth = 2 if rank.max(initial=0) >= WIDTH else 1
     out = []
     for k in range(depth):
         below = WIDTH ** (depth - 1 - k)
         digit = rank // below % WIDTH
-        _, node = np.unique(class_of * (WIDTH**depth) + rank // (below * WIDTH), return_inverse=True)
+        _, node = np.unique(class_of * size + rank // (below * WIDTH), return_inverse=True)
         share = np.zeros((node.max() + 1, WIDTH))
         np.add.at(share, (node, digit), mass)
         choice = (share > 0).sum(1) > 1
@@ -115,18 +122,20 @@ def levels_of(class_of: np.ndarray, counts: np.ndarray) -> list[Level]:
                 np.append(node, pad).astype(np.int32), np.append(digit, pad * 0).astype(np.int32), bias[choice]
             )
         )
-    return out
+    return out, np.append(given, np.zeros(SHAPES))
 
 
 @dataclass
 class Model:
-    """weights: a row of WIDTH places for each bucket of each kind of feature, the classes' kinds first."""
+    """weights: a row of WIDTH places for each bucket of each kind of feature, the classes' kinds first; given: what of a
+    word number's log probability does not depend on the words before it."""
 
     buckets: int
     bias: np.ndarray
     class_of: np.ndarray
     levels: list[Level]
     weights: np.ndarray
+    given: np.ndarray
 
     @property
     def kinds(self) -> int:
@@ -158,10 +167,7 @@ def contexts(texts: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndar
     one[starts] = two[starts] = two[(starts + 1)[n > 1]] = START
     one, two = one.view(np.uint64), two.view(np.uint64)
     m = np.uint64(0x9E3779B97F4A7C15)
-    hashes = (
-        one * m, (two + np.uint64(0x51ED270B)) * np.uint64(0xDAA66D2C7DDF743F),
-        (one * np.uint64(0x2545F4914F6CDD1D) + two + np.uint64(77)) * m
-    )
+    hashes = one * m, (two + np.uint64(0x51ED270B)) * np.uint64(0xDAA66D2C7DDF743F)
     return np.stack([_mix(h, buckets) + k * buckets for k, h in enumerate(hashes)]), one
 
 
@@ -172,10 +178,10 @@ def _inside(one: np.ndarray, node: np.ndarray, kind: int, buckets: int) -> np.nd
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp in place, and its sums."""
+    """exp in place, and its sums; a row's don't depend on the rows beside it, as they might in a product."""
     np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    return z, z @ np.ones(z.shape[1], np.float32)
+    return z, z.sum(1)
 
 
 def log_probabilities(model: Model, rows: np.ndarray, one: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -188,7 +194,7 @@ def log_probabilities(model: Model, rows: np.ndarray, one: np.ndarray, ids: np.n
             z += np.take(w, at[k], axis=0)
         z += model.bias
         picked = z[np.arange(len(own)), model.class_of[own]]
-        total = picked - np.log(_exp(z)[1])
+        total = picked - np.log(_exp(z)[1]) + model.given[own]
         for k, level in enumerate(model.levels):
             node = level.node[own]
             some = np.flatnonzero(node >= 0)
@@ -203,8 +209,22 @@ def log_probabilities(model: Model, rows: np.ndarray, one: np.ndarray, ids: np.n
     return out
 
 
-def _scatter(weights: np.ndarray, met: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-    """Take the gradient rows g from the weights' rows ``at``.
+def _sums(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of groups of rows that follow each other: neighbours in pairs, then pairs of pairs, until one row is left."""
+    while len(rows) > len(sizes):
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        odd = np.flatnonzero(at & 1)
+        even = np.flatnonzero(~at & 1)
+        out = rows[even]
+        out[np.cumsum(~at & 1)[odd] - 1] += rows[odd]
+        rows, sizes = out, (sizes + 1) >> 1
+    return rows
+
+
+def _scatter(
+    weights: np.ndarray, met: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float, many: np.ndarray | None = None
+) -> None:
+    """Take the gradient rows g from the weights' rows ``at``; ``many`` is how many tokens each stands for.
 
     A row's steps shorten with the root of 1 and the squares of its gradients so far (AdaGrad by row). met has these
     sums beside the number of times that the row was met.
@@ -212,16 +232,16 @@ def _scatter(weights: np.ndarray, met: np.ndarray, at: np.ndarray, g: np.ndarray
     order = np.argsort(at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    u = own[first]
-    total = np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
-    met[0][u] += np.diff(np.append(first, len(own)))
+    u, sizes = own[first], np.diff(np.append(first, len(own)))
+    total = _sums(np.take(g, order, axis=0), sizes)
+    met[0][u] += sizes if many is None else np.add.reduceat(many[order], first)
     met[1][u] += np.einsum("ij,ij->i", total, total)
     total *= (rate / np.sqrt(1 + met[1][u]))[:, None]
     weights[u] -= total
 
 
-def train_step(model: Model, met: np.ndarray, rows: np.ndarray, one: np.ndarray, ids: np.ndarray, rate: float) -> None:
-    """One gradient step over a batch of tokens, on the model's weights in place; ``met`` is that of ``_scatter``."""
+def _class_step(model: Model, met: np.ndarray, rows: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    """One gradient step of the classes over a batch of tokens."""
     w = model.weights
     g = np.take(w, rows[0], axis=0)
     for k in range(1, KINDS):
@@ -232,28 +252,41 @@ def train_step(model: Model, met: np.ndarray, rows: np.ndarray, one: np.ndarray,
     g[np.arange(len(ids)), model.class_of[ids]] -= 1
     for k in range(KINDS):
         _scatter(w, met, rows[k], g, rate)
+
+
+def _level_step(model: Model, met: np.ndarray, one: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    """One gradient step of each step inside the classes.
+
+    Tokens with the same softmax and the same feature have the same probabilities, so these are taken once, times the
+    number of tokens.
+    """
     for k, level in enumerate(model.levels):
         node = level.node[ids]
         some = np.flatnonzero(node >= 0)
         if not len(some):
             continue
-        node = node[some]
-        at = _inside(one[some], node, KINDS + k, model.buckets)
-        g = np.take(w, at, axis=0)
-        g += level.bias[node]
-        g, total = _exp(g)
-        g /= total[:, None]
-        g[np.arange(len(some)), level.digit[ids[some]]] -= 1
-        _scatter(w, met, at, g, rate)
+        at = _inside(one[some], node[some], KINDS + k, model.buckets)
+        pairs, of, many = np.unique(at * len(level.bias) + node[some], return_inverse=True, return_counts=True)
+        at, node = np.divmod(pairs, len(level.bias))
+        g, total = _exp(np.take(model.weights, at, axis=0) + level.bias[node])
+        g *= (many / total).astype(np.float32)[:, None]
+        g -= np.bincount(of * WIDTH + level.digit[ids[some]], minlength=len(pairs) * WIDTH).reshape(-1, WIDTH)
+        _scatter(model.weights, met, at, g, rate, many)
+
+
+def train_step(model: Model, met: np.ndarray, rows: np.ndarray, one: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    """One gradient step over a batch of tokens, on the model's weights in place; ``met`` is that of ``_scatter``."""
+    _class_step(model, met, rows, ids, rate)
+    _level_step(model, met, one, ids, rate)
 
 
 def _train_texts(model: Model, met: np.ndarray, texts: list[np.ndarray], rate: float) -> None:
-    """Steps over the tokens of some texts, in batches of BATCH tokens."""
+    """Steps over the tokens of some texts: the classes' in batches of BATCH tokens, the others' in one."""
     ids = np.concatenate(texts)
     rows, one = contexts(texts, model.buckets)
     for lo in range(0, len(ids), BATCH):
-        hi = lo + BATCH
-        train_step(model, met, rows[:, lo:hi], one[lo:hi], ids[lo:hi], rate)
+        _class_step(model, met, rows[:, lo : lo + BATCH], ids[lo : lo + BATCH], rate)
+    _level_step(model, met, one, ids, rate)
 
 
 def _counts(texts: DataFrame, held: int = 200_000) -> DataFrame:
@@ -292,7 +325,7 @@ def vocabulary_size(words: int, least: int, most: int) -> int:
     return min(most, max(least, int(4 * words**0.5)))
 
 
-def _classes(train: DataFrame, size: int, classes: int, company: int = 192, seed: int = 3) -> np.ndarray:
+def _classes(train: DataFrame, size: int, classes: int, company: int = 96, seed: int = 3) -> np.ndarray:
     """A class for each of ``size`` word numbers, by k-means over the frequent words beside it in all texts' ``ids``.
 
     END has class 0; 1 to ``classes`` are clusters.
@@ -309,23 +342,27 @@ def _classes(train: DataFrame, size: int, classes: int, company: int = 192, seed
             u, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    got = train.select("ids").mapInArrow(
-        run, "key bigint, n bigint"
-    ).groupBy("key").agg(F.sqrt(F.sum("n")).cast("float").alias("x")).toArrow()
     out = np.zeros(size, np.int64)
     if size <= 2:
         return out
-    key, x = got["key"].to_numpy(), got["x"].to_numpy().astype(np.float64)
+    got = train.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(
+        F.sqrt(F.sum("n")).cast("float").alias("x")
+    ).select(F.col("key").cast("int"), "x").toArrow()  # at most ``width`` numbers for each word of the vocabulary
+    key, x = got["key"].to_numpy().astype(np.int32), got["x"].to_numpy().astype(np.float32)
+    del got
     order = np.argsort(key)  # one order, however the tasks came in
     key, x = key[order], x[order]
-    row, column = key // width, key % width
-    x /= np.sqrt(np.maximum(np.bincount(column, x, width), 1))[column]
-    x = (x / np.maximum(np.sqrt(np.bincount(row, x**2, size)), 1e-6)[row]).astype(np.float32)
+    del order
+    column = (key % width).astype(np.int16)
+    ends = np.searchsorted(key, np.arange(size + 1) * width)
+    rows = np.repeat(np.arange(size, dtype=np.int32), np.diff(ends))
+    x /= np.sqrt(np.maximum(np.bincount(column, x, width), 1)).astype(np.float32)[column]
+    x /= np.maximum(np.sqrt(np.bincount(rows, x * x, size)), 1e-6).astype(np.float32)[rows]
 
     def dense(lo: int, hi: int) -> np.ndarray:
-        i, j = np.searchsorted(row, [lo, hi])
+        own = slice(ends[lo], ends[hi])
         block = np.zeros((hi - lo, width), np.float32)
-        block[row[i:j] - lo, column[i:j]] = x[i:j]
+        block[rows[own] - lo, column[own]] = x[own]
         return block
 
     first = 2 + np.random.default_rng(seed).permutation(size - 2)[:classes]
@@ -517,17 +554,18 @@ def train(
     own = np.bincount(class_of[2:], minlength=1 + classes)[: 1 + classes]
     bias[1 : 1 + classes][own[1:] == 0] = NEVER  # a class without words gets no probability
     bias[1 + classes + SHAPES :] = NEVER
-    levels = levels_of(class_of, counts.astype(np.float64))
+    levels, given = levels_of(class_of, counts.astype(np.float64))
     buckets = 1 << max(10, min(most_buckets.bit_length() - 1, math.ceil(math.log2(per_root * max(total, 1) ** 0.5))))
     by_number = np.concatenate([class_of, 1 + classes + np.arange(SHAPES)])  # negative numbers index from the end
-    model = Model(buckets, bias, by_number, levels, np.zeros(((KINDS + len(levels)) * buckets, WIDTH), np.float32))
+    weights = np.zeros(((KINDS + len(levels)) * buckets, WIDTH), np.float32)
+    model = Model(buckets, bias, by_number, levels, weights, given)
     _learn(coded, model, total, rounds, rate, shard_steps * buckets)
     return Trained(vocab, model, counts, total, distinct, seen + 0.5 * (known + 1), words), coded
 
 
 def score_texts(
     docs: DataFrame, rounds: int = 4, classes: int = CLASSES, vocabulary: int = 131_072, rate: float = 0.5, most_vocabulary: int = 1 << 20,
-    most_buckets: int = 1 << 17, shard_steps: int = 96, per_root: float = 4.0, id_col: str = "doc_id", text_col: str = "text",
+    most_buckets: int = 1 << 17, shard_steps: int = 160, per_root: float = 2.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Score every whole text with a model learned from the texts that are not held out.
 
@@ -540,9 +578,9 @@ def score_texts(
 
     Counts, classes and training cover every training text. The vocabulary has the words that occur more than twice,
     the most frequent ``vocabulary`` of them or four times the root of the number of training words if that is more;
-    each kind of feature has four times (``per_root``) the root of the number of training tokens as buckets, rounded up
+    each kind of feature has twice (``per_root``) the root of the number of training tokens as buckets, rounded up
     to a power of two, and a shard has ``shard_steps`` tokens for each bucket. ``most_vocabulary`` and
-    ``most_buckets`` bound what is broadcast (the model has ``most_buckets`` rows of 64 numbers for each kind); words
+    ``most_buckets`` bound what is broadcast (the model has ``most_buckets`` rows of 32 numbers for each kind); words
     beyond them are counted all the same, and scored by their shape and frequency.
     """
     small_batches(docs.sparkSession)

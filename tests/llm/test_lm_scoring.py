@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from lexispark.llm.lm_scoring import (
-    CLASSES, END, KINDS, SHAPES, START, WIDTH, Level, Model, _hashed_rows, _shape, contexts, log_probabilities, score_texts,
+    CLASSES, END, KINDS, SHAPES, START, WIDTH, Level, Model, _hashed_rows, _shape, contexts, levels_of, log_probabilities, score_texts,
     train, train_step
 )
 
@@ -53,13 +53,13 @@ def plain_log(model, two, one, word):
 
     one, two = one & MASK, two & MASK
     at = [
-        row(one * m, 0), row((two + 0x51ED270B) * 0xDAA66D2C7DDF743F, 1),
-        row((((one * 0x2545F4914F6CDD1D) & MASK) + two + 77) * m, 2)
+        row(one * m, 0), row((two + 0x51ED270B) * 0xDAA66D2C7DDF743F, 1)
     ]
     w = lambda b, j: float(model.weights[b[1] * model.buckets + b[0], j])
     out = chosen(
         [sum(w(b, j) for b in at) + float(model.bias[j]) for j in range(WIDTH)], int(model.class_of[word])
     )
+    out += float(model.given[word])
     for k, level in enumerate(model.levels):
         node = int(level.node[word])
         if node >= 0:
@@ -120,6 +120,25 @@ def test_probabilities_add_up_to_one(texts):
         assert abs(sum((n + 0.5) / mass for n in rare) + 0.5 / mass - 1) < 1e-12
 
 
+def test_steps_reach_every_word_of_large_classes():
+    """Classes of one word up to several blocks: the steps and shares of a class add up to one, each word has its own."""
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 31, 33, 1024, 1030, 3000]
+    class_of = np.concatenate([[0, 0], *[np.full(n, k + 1) for k, n in enumerate(sizes)]]).astype(np.int64)
+    levels, given = levels_of(class_of, rng.integers(0, 99, len(class_of)).astype(float))
+    for k, n in enumerate(sizes):
+        total, paths = 0.0, set()
+        for w in np.flatnonzero(class_of == k + 1):
+            p, path = given[w], [round(float(given[w]), 9)]
+            for level in levels:
+                if level.node[w] >= 0:
+                    p += level.bias[level.node[w], level.digit[w]]
+                    path += [int(level.node[w]), int(level.digit[w])]
+            total += np.exp(p)
+            paths.add(tuple(path))
+        assert abs(total - 1) < 1e-4 and len(paths) == n
+
+
 def test_same_scores_however_the_table_is_split(texts):
     """Also with several shards a round."""
     seen = []
@@ -142,7 +161,7 @@ def test_a_step_follows_the_gradient():
     inner[:, :2] = np.log(0.5)
     node = np.array([-1, -1, 0, 0, 1, 1, *[-1] * SHAPES], np.int32)
     digit = np.array([0, 0, 0, 1, 0, 1, *[0] * SHAPES], np.int32)
-    model = Model(1 << 10, bias, class_of, [Level(node, digit, inner)], np.zeros((4 << 10, WIDTH), np.float32))
+    model = Model(1 << 10, bias, class_of, [Level(node, digit, inner)], np.zeros((3 << 10, WIDTH), np.float32), np.zeros(6 + SHAPES))
     model.weights += rng.normal(size=model.weights.shape).astype(np.float32) * 0.1
     ids = [np.array([2, 3, 4, 3, 0]), np.array([5, -2, 2, 0])]
     rows, one = contexts(ids, model.buckets)
