@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.scratch import cut, fresh_folder, shared_folder
+
+__all__ = ["ascii_lower", "broadcast_if_small", "cut", "fresh_folder", "shared_folder", "small_batches", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -15,29 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir.
-
-    Where it is unset, a session on one machine gets a folder of its own, which goes by in that setting from then on;
-    on a cluster that is an error, as executors see no folder of another machine.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Send texts to Python in batches of ``rows`` where the session leaves Spark's default of 10,000.
 

@@ -18,7 +18,6 @@ Counts come from all training texts. Those of words outside the vocabulary stay
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut, shared_folder, small_batches
+from lexispark.llm.common import cut, fresh_folder, small_batches
 
 END, START = 0, 1  # word numbers: END is a token, START only a context
 SHAPES = 8
@@ -539,7 +538,7 @@ def train(
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    at = f"{shared_folder(spark)}/lm-words-{uuid.uuid4().hex}"
+    at = f"{fresh_folder(spark, 'lm')}/words"
     rows.mapInArrow(
         encode,
         f"key bigint, id {kind}, held boolean, h bigint, round int, ids array<int>, rare array<bigint>, times array<int>"
