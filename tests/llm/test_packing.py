@@ -67,7 +67,14 @@ def test_same_ids_around_white_space(parts):
 def test_long_runs(text):
     enc = encoder(PATH)
     assert enc.many(["a b", text, "c"])[1].tolist() == LIB.encode(text, add_special_tokens=False).ids
-    assert max(map(len, [*enc.plain, *enc.after])) <= 64
+    assert enc.ids(text).tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_engines_that_disagree_are_an_error(monkeypatch):
+    enc = encoder(PATH)
+    monkeypatch.setattr(enc, "own", type("Own", (), {"encode_to_numpy": lambda self, t, **k: np.array([1], np.uint32)})())
+    with pytest.raises(RuntimeError, match="different ids"):
+        enc.many(["", "some words"])
 
 
 def test_a_long_run_of_spaces_as_a_row(spark):
