@@ -36,7 +36,7 @@ SHAPES = 8
 WIDTH = 32  # places of one softmax
 CLASSES = WIDTH - SHAPES - 1
 KINDS = 2  # features of the class
-BATCH = 8192
+BATCH = 16_384
 NEVER = np.float32(-1e4)
 
 
@@ -324,7 +324,7 @@ def vocabulary_size(words: int, least: int, most: int) -> int:
     return min(most, max(least, int(4 * words**0.5)))
 
 
-def _classes(train: DataFrame, size: int, classes: int, company: int = 96, seed: int = 3) -> np.ndarray:
+def _classes(train: DataFrame, size: int, classes: int, company: int = 48, seed: int = 3) -> np.ndarray:
     """A class for each of ``size`` word numbers, by k-means over the frequent words beside it in all texts' ``ids``.
 
     END has class 0; 1 to ``classes`` are clusters.
