@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexispark.llm.ann_search import search
 from lexispark.llm.chat_format import format_chats, read_back
 from lexispark.llm.common import table
+from lexispark.llm.embedding_dedup import embedding_duplicates
+from lexispark.llm.fill_in_middle import fill_in_middle, restored
 from lexispark.llm.fingerprints import fingerprint_edits
 from lexispark.llm.lm_scoring import score_texts
 from lexispark.llm.mixing import mix_sources
 from lexispark.llm.near_dedup import near_duplicates
 from lexispark.llm.packing import pack
+from lexispark.llm.prefix_trie import conversation_trie
 from lexispark.llm.quality import grade_documents
 from lexispark.llm.token_counts import count_tokens
 from lexispark.llm.url_filters import filter_urls
@@ -110,11 +114,59 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns, tokenizer_path("byte_bpe_50k.json")))
 
 
-
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+OP11_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, list_transform(range(0, 4), lambda k:
+    list_reduce(list_transform(range(1, 9), lambda c: strpos('0123456789abcdef', substr(h, 8 * k + c, 1)) - 1), lambda x, y: x * 16 + y)) AS r FROM units
+), cuts AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts
+"""
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+valid AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM given
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95 END
+), reach AS (SELECT vec_id, vec_id AS other FROM given UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reach LEFT JOIN counts ON x = vec_id GROUP BY vec_id
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -126,6 +178,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
     "op10_fingerprints": op10_fingerprints,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_url_filters": OP3_SQL}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op11_fill_in_middle": OP11_SQL,
+    "op12_embedding_dedup": OP12_SQL
+}
