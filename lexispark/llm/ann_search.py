@@ -13,6 +13,8 @@ the rows share costs as much as any other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,33 +53,40 @@ def nearest(x: np.ndarray, centre: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def length(x: np.ndarray) -> np.ndarray:
+    """The norms of rows, however large or small their components."""
+    most = np.clip(np.abs(x).max(axis=1), 1e-300, 1e300 / np.sqrt(x.shape[1]))
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
 class Space:
-    """How vectors of one length are mapped: the added component, then the rotation."""
+    """How vectors of one length are mapped: in units of the longest, the added component, then the rotation."""
 
     def __init__(self, dims: int, longest: float, seed: int = 11):
         self.dims, self.longest = dims, longest
         self.turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims + 1, dims + 1)))[0]
 
     def stored(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1), 0))
+        x = x / self.longest
+        rest = np.sqrt(np.maximum(1 - (x**2).sum(1), 0))
         return np.column_stack([x, rest]) @ self.turn
 
     def asked(self, q: np.ndarray) -> np.ndarray:
-        """Queries are scaled to the stored vectors' norm; that changes no order."""
-        q = q * (self.longest / np.linalg.norm(q, axis=1))[:, None]
-        return np.column_stack([q, np.zeros(len(q))]) @ self.turn
+        """Queries have the stored vectors' norm; that changes no order."""
+        q = q / np.abs(q).max(axis=1, keepdims=True)
+        return np.column_stack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros(len(q))]) @ self.turn
 
 
 def scan(
     x: np.ndarray, q: np.ndarray, keep: int, bound: np.ndarray | None = None, allowed: np.ndarray | None = None,
-    step: int = 16, slack: float = 2.6
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) that the adaptive scan doesn't abandon, sorted; the ``keep`` nearest of each query are
-    among them but for the test's error.
+    step: int = 16, slack: float = 2.6, share: int = 8
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, candidate) that the adaptive scan doesn't abandon, sorted, by tiles of queries; the ``keep`` nearest
+    of each query are among them but for the test's error.
 
     ``bound`` is a squared distance within which ``keep`` candidates are known to be, infinite where none is; there the
-    ``keep``-th smallest distance of a first group of candidates is taken, those that the first column block holds
-    nearest. ``allowed`` marks which candidates a query asks for.
+    ``keep``-th smallest distance of every ``share``-th candidate is taken. ``allowed`` marks which candidates a query
+    asks for.
 
     The test: of a vector at the bound, the share of the squared distance in k of d rotated dimensions scatters about
     k / d with a relative deviation of sqrt(2 / k - 2 / d). A candidate goes when its scaled partial distance exceeds
@@ -88,10 +97,12 @@ def scan(
     blocks = list(zip([0, *cuts], cuts, strict=False))
     squares = [(x[:, lo:hi] ** 2).sum(1) for lo, hi in blocks]
     room = [hi / dims * (1 + slack * np.sqrt(max(0.0, 2 / hi - 2 / dims))) * (1 + 1e-5) for hi in cuts]
-    rows, columns = [], []
+    some = np.arange(0, n, share) if n >= share * keep else np.arange(n)
+    some_squares = (x[some] ** 2).sum(1)
     tile = max(1, (1 << 19) // max(1, n))
     for at in range(0, len(q), tile):
         own = q[at : at + tile]
+        asked = None if allowed is None else allowed[at : at + tile]
 
         def whole(k: int, own: np.ndarray = own) -> np.ndarray:
             """Distances over column block k, of all queries and candidates."""
@@ -102,24 +113,24 @@ def scan(
             d += (own[:, lo:hi] ** 2).sum(1)[:, None]
             return d
 
-        part = whole(0)
-        if allowed is not None:
-            part[~allowed[at : at + tile]] = np.inf
         limit = np.full(len(own), np.inf) if bound is None else bound[at : at + tile].astype(float)
         open_ = np.flatnonzero(np.isinf(limit))
         if len(open_) and n > keep:
-            first = np.argpartition(part[open_], keep - 1, axis=1)[:, :keep]
-            d = ((x[first] - own[open_][:, None, :]) ** 2).sum(2, dtype=np.float64)
-            d[np.isinf(np.take_along_axis(part[open_], first, 1))] = np.inf
-            limit[open_] = d.max(1)
+            d = some_squares - 2 * own[open_] @ x[some].T + (own[open_] ** 2).sum(1)[:, None]
+            if asked is not None:
+                d[~asked[np.ix_(open_, some)]] = np.inf
+            limit[open_] = np.partition(d, keep - 1, axis=1)[:, keep - 1] + 1e-5  # products in single precision
+        part = whole(0)
+        if asked is not None:
+            part[~asked] = np.inf
         alive = part <= (limit * room[0])[:, None]
         k = 1
         while k < len(blocks) and alive.mean() > 0.15:  # many are left: a product over all is cheaper than picking them
             part += whole(k)
             alive &= part <= (limit * room[k])[:, None]
             k += 1
-        if allowed is not None:
-            alive &= allowed[at : at + tile]
+        if asked is not None:
+            alive &= asked
         i, j = np.nonzero(alive)
         d = part[i, j]
         for k in range(k, len(blocks)):
@@ -127,9 +138,58 @@ def scan(
             d = d + ((x[j, lo:hi] - own[i, lo:hi]) ** 2).sum(1)
             stay = d <= (limit * room[k])[i]
             i, j, d = i[stay], j[stay], d[stay]
-        rows.append(i + at)
-        columns.append(j)
-    return np.concatenate(rows), np.concatenate(columns)
+        yield i + at, j
+
+
+def best_of(
+    v: np.ndarray, q: np.ndarray, need: int, known: np.ndarray, ids: np.ndarray, asks: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, inner product) of the ``need`` best candidates of each query, or fewer, ties to smaller ids.
+
+    ``known`` is a product that ``need`` candidates elsewhere are known to reach, nan where there is none. Candidates are
+    scanned by their length, the longest first, each band in units of its own longest: beside a far longer one, short
+    vectors could not be told apart.
+    """
+    lengths, reach = length(v), length(q)
+    band = np.floor(np.log2(lengths.max() / lengths))
+    i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    known = known.copy()
+
+    def take(who: np.ndarray, what: np.ndarray) -> None:
+        """Score pairs and keep the best so far."""
+        nonlocal i, j, score
+        got = np.empty(len(who))
+        for lo in range(0, len(who), 50_000):
+            got[lo : lo + 50_000] = (v[what[lo : lo + 50_000]] * q[who[lo : lo + 50_000]]).sum(1)
+        order = np.lexsort((ids[what], -got, who))
+        who, what, got = who[order], what[order], got[order]
+        few = np.arange(len(who)) - np.searchsorted(who, who) < need  # from the first place of each query
+        i, j, score = np.append(i, who[few]), np.append(j, what[few]), np.append(score, got[few])
+
+    for b in np.unique(band):
+        own = np.flatnonzero(band == b)
+        space = Space(v.shape[1], float(lengths[own].max()))
+        bound = 2 - 2 * (known / reach) / space.longest
+        bound = np.where(np.isnan(bound), np.inf, np.maximum(bound + 1e-9, 0))
+        asked = None if asks is None else asks[:, own]
+        for who, what in scan(space.stored(v[own]).astype(np.float32), space.asked(q).astype(np.float32), need, bound, asked):
+            take(who, own[what])
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, score, place = (x[place < need] for x in (i, j, score, place))
+        full = place == need - 1
+        known[i[full]] = np.fmax(known[i[full]], score[full])
+    # The test may have rejected too many where no bound was known; such queries are scored against all.
+    possible = np.full(len(q), len(v)) if asks is None else asks.sum(1)
+    short = np.flatnonzero(np.isnan(known) & (np.bincount(i, minlength=len(q)) < np.minimum(need, possible)))
+    if len(short):
+        rest = ~np.isin(i, short)
+        i, j, score = i[rest], j[rest], score[rest]
+        for k in short:
+            what = np.arange(len(v)) if asks is None else np.flatnonzero(asks[k])
+            take(np.full(len(what), k), what)
+    return i, j, score
 
 
 def group_lists(centres: np.ndarray, sizes: np.ndarray, block: int) -> list[list[int]]:
@@ -192,7 +252,8 @@ def search(
     by_vec = Window.partitionBy("v").orderBy("id")
     few = rows.where(F.size("v") == dims).withColumn("r", F.dense_rank().over(by_vec)).where(F.col("r") <= need)
     index = cut(few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    most_of = F.array_max(F.transform("v", F.abs))
+    norm = most_of * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most_of) * (x / most_of)))
     n, longest = index.agg(F.count("*"), F.max(norm)).first()
     space = Space(dims, float(longest))
     lists = max(1, min(4096, round(n**0.5 / 4)))
@@ -259,13 +320,12 @@ def search(
             "bound", F.lit(None).cast("double")
         )
     )
-    of_list = F.element_at(
-        F.array(*[F.array(*[F.lit(g) for g in own]) for own in groups]), F.col("list") + 1
-    )
-    stored = placed.withColumn("group", F.get(of_list, F.pmod(F.xxhash64("v"), F.size(of_list)).cast("int")))
+    of_list = spark.createDataFrame(list(enumerate(groups)), "list int, groups array<int>")  # at most 4096 rows
+    stored = placed.join(F.broadcast(of_list), "list").withColumn(
+        "group", F.get("groups", F.pmod(F.xxhash64("v"), F.size("groups")).cast("int"))
+    ).drop("groups")
 
     def find(key, x: pa.Table, y: pa.Table) -> pa.Table:
-        sp, _ = shared.value
         names = ["q", "ids", "score"]
         if not x.num_rows or not y.num_rows:
             return pa.table(
@@ -279,26 +339,11 @@ def search(
         at = np.searchsorted(of, probed.flatten().to_numpy())
         there = (at < len(of)) & (of[np.minimum(at, len(of) - 1)] == probed.flatten().to_numpy())
         asks[who[there], at[there]] = True
-        norms = np.linalg.norm(qv, axis=1)
         known = np.array([np.nan if s is None else s for s in y["bound"].to_pylist()], float)
-        bound = 2 * sp.longest**2 - 2 * sp.longest / norms * known
-        bound = np.where(np.isnan(bound), np.inf, bound + 1e-9 * sp.longest**2)
-        i, j = scan(
-            sp.stored(v).astype(np.float32), sp.asked(qv).astype(np.float32), need, bound,
-            None if asks.all() else asks[:, of_group]
-        )
         ids = x["ids"].combine_chunks()
         smallest = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
-        score = np.concatenate(
-            [(v[j[a : a + 100_000]] * qv[i[a : a + 100_000]]).sum(1) for a in range(0, len(i), 100_000)] or [np.zeros(0)]
-        )
-        order = np.lexsort((smallest[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        begin = np.searchsorted(i, i)  # the first place of each query
-        best = np.arange(len(i)) - begin < need
-        return pa.table(
-            [pa.array(y["q"].to_numpy()[i[best]]), ids.take(pa.array(j[best])), pa.array(score[best])], names
-        )
+        i, j, score = best_of(v, qv, need, known, smallest, None if asks.all() else asks[:, of_group])
+        return pa.table([pa.array(y["q"].to_numpy()[i]), ids.take(pa.array(j)), pa.array(score)], names)
 
     def searched(asks: DataFrame) -> DataFrame:
         """The best of each query in each of its groups. A group's queries are dealt into parts, so no task has more than

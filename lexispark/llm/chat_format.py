@@ -14,9 +14,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexispark.llm.common import small_batches
 from lexispark.llm.packing import encoder
@@ -101,11 +103,6 @@ class _Window:
         return self.conv, self.no - 1, "".join(parts), self.prefix[-1], len(self.turns), self.repeated, loss
 
 
-def _key(conv: object) -> object:
-    """A conversation's id as pandas gives it; a null has several forms there."""
-    return None if conv is None or conv is pd.NA or conv != conv else conv
-
-
 def format_chats(
     turns: DataFrame, tokenizer: str, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256
 ) -> DataFrame:
@@ -127,31 +124,33 @@ def format_chats(
     )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"conv_id {kind}, window_no int, text string, n_tokens int, n_turns int, n_repeated int, loss array<array<int>>"
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         now: _Window | None = None
-
-        def frame(rows: list) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=WINDOW).astype({"conv_id": object})
-
         for batch in batches:
             out = []
-            shown = [render(role, text) for role, text in zip(batch["role"], batch["text"], strict=True)]
+            convs, _, roles, texts = (c.to_pylist() for c in batch.columns)
+            shown = [render(role, text) for role, text in zip(roles, texts, strict=True)]
             tokens = [len(i) for i in enc.many([s for s, _, _ in shown])]
-            for conv, role, (text, a, b), n in zip(batch["conv_id"].astype(object), batch["role"], shown, tokens, strict=True):
-                conv = _key(conv)
+            for conv, role, (text, a, b), n in zip(convs, roles, shown, tokens, strict=True):
                 if now is None or now.conv != conv:
                     if now:
                         out.append(now.close())
                     now = _Window(conv, budget, history_turns, history_tokens)
                 out.extend(now.add(role, text, a, b, n))
-            yield frame(out)
+            yield _rows(out, types)
         if now:
-            yield frame([now.close()])
+            yield _rows([now.close()], types)
 
-    return rows.mapInPandas(
-        run, f"conv_id {kind}, window_no int, text string, n_tokens int, n_turns int, n_repeated int, loss array<array<int>>"
-    )
+    return rows.mapInArrow(run, schema)
+
+
+def _rows(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -168,28 +167,23 @@ def read_back(windows: DataFrame) -> DataFrame:
         "conv_id"
     ).sortWithinPartitions("conv_id", "window_no")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
 
         def done(x: dict) -> tuple:
             return x["conv"], x["n"], x["turns"].hexdigest(), x["chars"], x["loss"].hexdigest(), x["all"]
 
-        def frame(rows: list) -> pd.DataFrame:
-            return pd.DataFrame(
-                rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            ).astype({"conv_id": object})
-
         for batch in batches:
             out = []
-            for conv, no, text, repeated, loss in zip(
-                batch["conv_id"].astype(object), batch["window_no"], batch["text"], batch["n_repeated"], batch["loss"], strict=True
-            ):
+            for conv, no, text, repeated, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if no == 0:
                     if now:
                         out.append(done(now))
                     now = {
-                        "conv": _key(conv), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(),
-                        "all": 0
+                        "conv": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0
                     }
                 for role, said in read_turns(text)[repeated:]:
                     now["turns"].update(f"{role}\n{said}\n".encode())
@@ -199,11 +193,8 @@ def read_back(windows: DataFrame) -> DataFrame:
                     now["loss"].update(said.encode())
                     now["chars"] += len(said)
                 now["all"] += len(text)
-            yield frame(out)
+            yield _rows(out, types)
         if now:
-            yield frame([done(now)])
+            yield _rows([done(now)], types)
 
-    return rows.mapInPandas(
-        run,
-        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    )
+    return rows.mapInArrow(run, schema)

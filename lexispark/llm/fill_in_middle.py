@@ -76,10 +76,14 @@ EMPTY = Rope()
 
 def rope(text: str, leaf: int = LEAF) -> Rope:
     """A balanced tree over the text."""
-    level = [Rope(text[k : k + leaf]) for k in range(0, len(text), leaf)] or [EMPTY]
-    while len(level) > 1:
-        level = [Rope("", *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    return level[0]
+
+    def over(lo: int, hi: int) -> Rope:
+        if hi - lo <= 1:
+            return Rope(text[lo * leaf : hi * leaf])
+        mid = (lo + hi) // 2
+        return Rope("", over(lo, mid), over(mid, hi))
+
+    return over(0, -(-len(text) // leaf)) if text else EMPTY
 
 
 def concat(a: Rope, b: Rope) -> Rope:
@@ -87,18 +91,14 @@ def concat(a: Rope, b: Rope) -> Rope:
     if not a.chars or not b.chars:
         return a if a.chars else b
     if a.height > b.height + 1:
-        if a.left.height >= a.right.height:
-            return _node(a.left, concat(a.right, b))
-        return _node(_node(a.left, a.right.left), concat(a.right.right, b))
+        return _node(a.left, concat(a.right, b))
     if b.height > a.height + 1:
-        if b.right.height >= b.left.height:
-            return _node(concat(a, b.left), b.right)
-        return _node(concat(a, b.left.left), _node(b.left.right, b.right))
+        return _node(concat(a, b.left), b.right)
     return Rope("", a, b)
 
 
 def _node(a: Rope, b: Rope) -> Rope:
-    """Two trees as one, rotated once where one is higher by two."""
+    """Two trees as one, rotated where one is higher by two."""
     if a.height > b.height + 1:
         if a.left.height >= a.right.height:
             return Rope("", a.left, Rope("", a.right, b))

@@ -74,6 +74,11 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    @property
+    def fitted(self) -> bool:
+        """Whether anything tells texts apart."""
+        return bool(self.weights.any())
+
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k, a row per score."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
@@ -160,6 +165,8 @@ def train(
         F.broadcast(sample), "id"
     ).select("text", "grade", "at")  # the sample has train_rows rows of three numbers
     made = cut(sized.mapInArrow(run, "grade int, at bigint, i array<int>, v array<float>"))
+    if made.count() > train_rows:  # an id may stand in several documents, each of which is rated then
+        made = cut(made.orderBy("at", "grade", F.xxhash64("i", "v")).limit(train_rows))
     sizes = sorted((r["at"], r["n"]) for r in made.select("at", F.size("i").alias("n")).collect())  # train_rows rows
     total = np.cumsum([n for _, n in sizes])
     if len(total) and total[-1] > train_values:
@@ -221,6 +228,9 @@ def label_grade() -> Column:
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the grades of a model fitted to the labels table; keep asks for a good one.
 
-    The results for odd rows are those of ``score``; without labels all documents get the same tail.
+    The results for odd rows are those of ``score``. Where fewer than two grades are known (no labels, none of these
+    documents, or all alike), nothing tells documents apart: all get the same tail, and all are kept.
     """
-    return score(docs, train(docs, labels, label_grade(), 3), keep_grade=2)
+    model = train(docs, labels, label_grade(), 3)
+    graded = score(docs, model, keep_grade=2)
+    return graded if model.fitted else graded.withColumn("keep", F.lit(True))

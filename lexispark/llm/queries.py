@@ -167,6 +167,29 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(sha256(length(r) || ':' || r || x) ORDER BY turn NULLS FIRST) AS ks, list(length(x) ORDER BY turn NULLS FIRST) AS ls FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT *, conv_id - ((conv_id % 100) + 100) % 100 AS base, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b)] || list_transform(range(8), lambda k: CAST(0 AS BIGINT)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h FROM own
+), made AS (
+  SELECT a.conv_id, list_concat(coalesce(b.ks, [])[1:a.h], a.ks[a.h + 1:]) AS ks, list_concat(coalesce(b.ls, [])[1:a.h], a.ls[a.h + 1:]) AS ls FROM hashed a LEFT JOIN own b ON b.conv_id = a.base
+), members AS (
+  SELECT conv_id, d AS depth, ks[1:d] AS k, CASE WHEN d > 0 THEN ls[d] ELSE 0 END AS l, len(ks) = d AS ends FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM made)
+), nodes AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(l) AS l, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM members GROUP BY k, depth
+), children AS (SELECT k[1:depth - 1] AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+shown AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, p.conv_id AS parent FROM nodes n LEFT JOIN children c ON c.k = n.k LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1]
+), above AS (SELECT *, unnest(range(0, depth + 1)) AS d FROM shown),
+below AS (SELECT k[1:d] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n - 1) * l) AS saved FROM above GROUP BY 1)
+SELECT conv_id, depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM shown JOIN below USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -185,5 +208,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op11_fill_in_middle": OP11_SQL,
-    "op12_embedding_dedup": OP12_SQL
+    "op12_embedding_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL
 }

@@ -29,10 +29,14 @@ def test_recall_on_a_whole_table(spark, data):
         assert all(abs(scores.get((q, i), s) - s) < 1e-9 for i, s in hits.values())
 
 
+def pairs(*args):
+    return map(np.concatenate, zip(*scan(*args), strict=True))
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(3000, 65)), rng.normal(size=(10, 65))
-    i, j = scan(x, q, 21)
+    i, j = pairs(x, q, 21)
     for k in range(10):
         d = ((x - q[k]) ** 2).sum(1)
         best, alive = d.argsort()[:21], j[i == k]
@@ -40,7 +44,7 @@ def test_scan_keeps_the_nearest():
     # with a bound that is carried, and for some of the candidates only
     d = np.sort(((x[None] - q[:, None]) ** 2).sum(2), axis=1)[:, 20]
     asked = rng.random((10, 3000)) < 0.5
-    i, j = scan(x, q, 21, d * 1.0001, asked)
+    i, j = pairs(x, q, 21, d * 1.0001, asked)
     assert asked[i, j].all() and len(i) <= 210
     want = {(a, b) for a in range(10) for b in np.flatnonzero(asked[a]) if ((x[b] - q[a]) ** 2).sum() <= d[a]}
     assert len(want - set(zip(i.tolist(), j.tolist(), strict=True))) <= 3
@@ -79,3 +83,30 @@ def test_ties_copies_and_odd_vectors(spark):
     assert search(v.where("false"), v).count() == 0 and search(v, v.where("false")).count() == 0
     few = search(v.where("vec_id in (200, 1, 2)"), v.where("vec_id = 200"))
     assert [r["vec_id"] for r in few.orderBy("rank").collect()] == [1, 2] and pytest.approx(0.5) == few.first()["score"]
+
+
+def test_a_first_group_is_pruned():
+    """Without a bound that is carried, few of a block's pairs are left to be scored."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8192, 65)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = x[:512]
+    left = sum(len(i) for i, _ in scan(x, q, 21))
+    assert left < 0.05 * len(q) * len(x)
+    assert max(len(i) for i, _ in scan(x, q, 21)) <= (1 << 19)  # a tile at a time
+
+
+@pytest.mark.parametrize("size", [1e20, 1e200])
+def test_very_long_vectors(spark, data, size):
+    """One vector that is longer than all others by far, or all that long: results are whole and right."""
+    v = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in v.limit(150).collect()]
+    for made in ([*rows, (7777, [size] * 64)], [(i, [x * size**0.5 for x in e]) for i, e in rows]):
+        df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+        got = {}
+        for r in search(df, df.where("vec_id % 20 = 0"), k=20, probes=1.0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        want = brute(made, [x for x in made if x[0] % 20 == 0], 20)
+        assert set(got) == set(want)
+        hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+        assert all(len(got[q]) == 20 for q in want) and hits >= 0.95 * 20 * len(want)

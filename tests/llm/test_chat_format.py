@@ -96,3 +96,15 @@ def test_windows_in_any_stored_order_and_ids_of_text(spark, tmp_path):
 def test_round_trip(turns):
     assert read_turns("".join(render(r, t)[0] for r, t in turns)) == turns
     assert all(unescape(escape(t)) == t for _, t in turns)
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids that a floating-point number can't tell apart stay apart, beside a null and in any type."""
+    big = 2**53
+    rows = [(big, 0, "user", "a"), (big + 1, 0, "user", "b"), (None, 0, "user", "c"), (-(2**63), 0, "assistant", "d")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in read_back(format_chats(turns, PATH)).collect()}
+    assert got == {big: 1, big + 1: 1, None: 1, -(2**63): 1}
+    for kind in ("string", "decimal(38,0)"):
+        other = format_chats(turns.withColumn("conv_id", turns["conv_id"].cast(kind)), PATH)
+        assert read_back(other).count() == 4 and dict(other.dtypes)["conv_id"] == kind

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lexispark.llm.quality import features, fit, grade_documents, label_grade, score, train
+from lexispark.llm.quality import OrdinalModel, features, fit, grade_documents, label_grade, score, train
 
 
 def test_held_out_accuracy(spark, data):
@@ -129,3 +129,18 @@ def test_odd_rows(spark, odd, none):
     assert grade_documents(none, labels).count() == 0
     assert grade_documents(odd, labels.where("false")).count() == 10
     assert len(features("")[0]) == len(features("")[1])
+
+
+def test_without_labels_nothing_is_dropped(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "three")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(9, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for known in (labels.where("false"), labels, labels.selectExpr("1L AS doc_id", "quality", "toxic")):
+        assert [r["keep"] for r in grade_documents(docs, known).collect()] == [True] * 3
+
+
+def test_ids_that_many_documents_share(spark):
+    """A rated id that stands in many rows adds no more than the sample's bound."""
+    docs = spark.range(400).selectExpr("id % 4 AS doc_id", "concat('word ', id) AS text")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(4)], "doc_id bigint, quality int, toxic int")
+    model = train(docs, labels, label_grade(), 3, train_rows=50)
+    assert isinstance(model, OrdinalModel)
