@@ -45,13 +45,18 @@ def sorted_fold(
 
 
 class Budget:
-    """Takes rows while two budgets last, a number of rows and a sum; a row that is too large is passed over."""
+    """Takes rows while two budgets last, a number of rows and a sum; a row that is too large is passed over.
 
-    def __init__(self, place: int, most_rows: int, most_size: int):
-        self.place, self.rows, self.room = place, most_rows, most_size
+    Its columns are given by place: sizes, and the room and the rows that a key has at first, the same in all of its rows.
+    """
+
+    def __init__(self, size: int, room: int, rows: int):
+        self.places, self.room, self.rows = (size, room, rows), None, None
 
     def many(self, rows: pa.RecordBatch) -> list[pa.Array]:
-        sizes = np.array([self.room + 1 if x is None else x for x in rows.column(self.place).to_pylist()], np.int64)
+        sizes, room, count = (rows.column(k).to_numpy() for k in self.places)
+        if self.room is None:
+            self.room, self.rows = int(room[0]), int(count[0])
         taken = np.zeros(len(sizes), bool)
         left = np.flatnonzero(sizes <= self.room)
         while len(left) and self.rows > 0:  # rows that fit one after the other, then those that still fit

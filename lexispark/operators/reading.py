@@ -51,10 +51,11 @@ def grep(chunks: DataFrame, pattern: str, limit: int | None = None) -> DataFrame
     if not 1 <= len(pattern) <= 200:
         raise ValueError("a pattern has 1 to 200 characters")
     most = max(1, min(limit if limit is not None else 20, 50))
-    return grep_all(chunks, pattern).orderBy("id").limit(most)
+    return snippet_of(chunks, pattern).orderBy("id").limit(most)
 
 
-def grep_all(chunks: DataFrame, pattern: str) -> DataFrame:
+def snippet_of(chunks: DataFrame, pattern: str) -> DataFrame:
+    """All chunks that hold a literal pattern in any case, with a snippet."""
     needle = F.lower(F.lit(pattern))
     line = collapse(F.col("content"))
     at = F.instr(F.lower(line), needle) - 1

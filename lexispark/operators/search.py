@@ -8,8 +8,10 @@ their limit before the shuffle, and only theirs are the texts that are read agai
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,32 +43,33 @@ def _unit_columns(units: Sequence[tuple[str, ...]], fields: dict[str, float]) ->
     return {f"__u{i}": count(u) for i, u in enumerate(units)}
 
 
-def score_facets(
-    chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None,
-    corpus: tuple[int, float] | None = None
-) -> DataFrame:
-    """A row (facet, score, id) for each facet that a chunk matches.
+@dataclass(frozen=True)
+class Figures:
+    """Of a corpus: chunks, their mean length, and in how many each unit occurs."""
 
-    ``corpus`` is the number of chunks and their mean length where ``chunks`` are only those that can match.
-    """
-    fields = fields or FIELDS
-    units = list(dict.fromkeys(u for f in facets for u in f.units if u))
-    counted = analyzed(chunks, fields).withColumns(_unit_columns(units, fields))
-    counted = cut(counted.select("id", "__len", *[f"__u{i}" for i in range(len(units))]))
-    stats = counted.agg(
-        F.count("*").alias("n"), F.avg("__len").alias("mean"),
-        *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]
-    ).first()
-    n, mean = corpus or (stats["n"], stats["mean"] or 1.0)
+    n: int
+    mean: float
+    df: list[int]
+
+
+def idf_of(n: int, df: int) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+
+
+def part_of(tf: Column, length: Column, idf: float, mean: float) -> Column:
+    """What a unit adds to a score where it occurs."""
+    return F.lit(idf) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean)))
+
+
+def facet_scores(
+    counted: DataFrame, facets: Sequence[Facet], units: Sequence[tuple[str, ...]], known: Figures
+) -> DataFrame:
+    """(facet, score, id) of rows (id, __len, a weighted count __u<i> for each unit)."""
 
     def score(u: tuple[str, ...]) -> Column:
         i = units.index(u)
-        tf, df = F.col(f"__u{i}"), stats[f"d{i}"] or 0
-        idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
-        return F.when(
-            tf > 0,
-            idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.lit(mean)))
-        ).otherwise(0.0)
+        tf = F.col(f"__u{i}")
+        return F.when(tf > 0, part_of(tf, F.col("__len"), idf_of(known.n, known.df[i]), known.mean)).otherwise(0.0)
 
     scored = []
     for k, f in enumerate(facets):
@@ -86,10 +89,30 @@ def score_facets(
             )
         )
     if not scored:
-        return chunks.where("false").select(F.lit(0).alias("facet"), F.lit(0.0).alias("score"), "id")
+        return counted.where("false").select(F.lit(0).alias("facet"), F.lit(0.0).alias("score"), "id")
     return counted.select("id", F.explode(F.array_compact(F.array(*scored))).alias("__s")).select("__s.*", "id")
 
 
+def score_facets(
+    chunks: DataFrame, facets: Sequence[Facet], fields: dict[str, float] | None = None,
+    corpus: tuple[int, float] | None = None
+) -> DataFrame:
+    """A row (facet, score, id) for each facet that a chunk matches.
+
+    ``corpus`` is the number of chunks and their mean length where ``chunks`` are only those that can match.
+    """
+    fields = fields or FIELDS
+    units = list(dict.fromkeys(u for f in facets for u in f.units if u))
+    counted = analyzed(chunks, fields).withColumns(_unit_columns(units, fields))
+    counted = cut(counted.select("id", "__len", *[f"__u{i}" for i in range(len(units))]))
+    stats = counted.agg(
+        F.count("*").alias("n"), F.avg("__len").alias("mean"),
+        *[F.sum(F.when(F.col(f"__u{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(units))]
+    ).first()
+    n, mean = corpus or (stats["n"], stats["mean"] or 1.0)
+    return facet_scores(counted, facets, units, Figures(n, mean, [stats[f"d{i}"] or 0 for i in range(len(units))]))
+
+
 def top_of_facets(scored: DataFrame, limit: int) -> DataFrame:
     """The best chunks of each facet, ranked from 0; ties by id."""
     w = Window.partitionBy("facet").orderBy(F.desc("score"), "id")
@@ -173,22 +196,28 @@ def select_diverse(matches: DataFrame, budget: int, limit: int, per_document: in
     return matches.join(F.broadcast(chosen), "id")  # at most ``limit`` rows
 
 
-def search(
-    chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None,
-    seen: DataFrame | None = None, corpus: tuple[int, float] | None = None, again: int | None = None
+def answer(
+    find: Callable[[int | None], DataFrame], topic: str, limit: int | None = None, max_tokens: int | None = None,
+    seen: DataFrame | None = None, again: int | None = None
 ) -> DataFrame:
-    """Search chunks for a topic; position gives the order of the answer.
+    """Fuse and select what ``find`` ranks for a limit; position gives the order of the answer.
 
     If all that matches was seen before, it is searched again with nothing left out, with the limit ``again`` if given.
     """
     if not 1 <= len(topic) <= 2000:
         raise ValueError("a topic has 1 to 2000 characters")
-    most = limit if limit is not None else 12
-    ranked = candidates(chunks, topic, limit, corpus)
-    matches = fuse(ranked, terms(topic), seen)
+    matches = fuse(find(limit), terms(topic), seen)
     if seen is not None and matches.isEmpty():
-        return search(chunks, topic, limit if again is None else again, max_tokens, None, corpus)
-    return select_diverse(matches, token_budget(topic, max_tokens), most)
+        return answer(find, topic, limit if again is None else again, max_tokens)
+    return select_diverse(matches, token_budget(topic, max_tokens), limit if limit is not None else 12)
+
+
+def search(
+    chunks: DataFrame, topic: str, limit: int | None = None, max_tokens: int | None = None,
+    seen: DataFrame | None = None, corpus: tuple[int, float] | None = None, again: int | None = None
+) -> DataFrame:
+    """Search chunks for a topic: see ``answer``."""
+    return answer(lambda most: candidates(chunks, topic, most, corpus), topic, limit, max_tokens, seen, again)
 
 
 def legacy_top(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
@@ -200,40 +229,6 @@ def legacy_top(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     return with_chunks(top_of_facets(scored, k), chunks)
 
 
-def rank_topics(chunks: DataFrame, topics: DataFrame, limit: int = 10, fields: dict[str, float] | None = None) -> DataFrame:
-    """The best chunks (topic, id, score, rank from 1) of each of many topics (topic, text), from all chunks.
-
-    Scores are those of ``score_facets`` for any of the topic's distinct tokens, ties by id. The topics' tokens meet the
-    chunks' counts in joins, so there may be any number of topics and one pass over the chunks serves all of them.
-    """
-    fields = fields or FIELDS
-    asked = topics.select(
-        "topic", F.explode(F.array_distinct(F.split(F.trim(token_string(F.col("text"))), " +"))).alias("term")
-    ).where("term != ''")
-    lengths = analyzed(chunks, fields).select("id", "__len")
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("__len").alias("mean")).first()
-    n, mean = corpus["n"], corpus["mean"] or 1.0
-    weight = F.lit(0.0)
-    for f, w in fields.items():
-        weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
-    counts = build_postings(chunks, fields).join(asked.select("term").distinct(), "term", "left_semi").groupBy(
-        "term", "id"
-    ).agg(F.sum(F.col("tf") * weight).alias("tf"))
-    counts = cut(counts)
-    df = F.col("df")
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term", F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6)).alias("idf")
-    )
-    tf = F.col("tf")
-    part = F.col("idf") * tf * F.lit(K1 + 1) / (
-        tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.lit(mean))
-    )
-    scored = counts.join(idf, "term").join(lengths, "id").select("term", "id", part.alias("part"))
-    scored = scored.join(asked, "term").groupBy("topic", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
-    w = Window.partitionBy("topic").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
 def build_postings(chunks: DataFrame, fields: dict[str, float] | None = None) -> DataFrame:
     """The inverted index: (term, id, field, tf). Written clustered by term, it answers a query without a text scan."""
     fields = fields or FIELDS

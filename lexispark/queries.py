@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import formats, identifiers, labels, paths, text, vectors
-from lexispark.operators import catalog, chunks, reading, rerank, search, selection
+from lexispark.operators import catalog, chunks, reading, rerank, search, selection, topics
 from lexispark.plans.planner import Facet, candidate_limit, plan_query, terms, token_budget
 from lexispark.scratch import fresh_folder
 from lexispark.streaming import sessions
@@ -715,7 +715,7 @@ def eval_mrr_recall(spark, sf_dir):
     """
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), "text")
-    found = search.rank_topics(d, b, 10, {"content": 1.0}).select("topic", "id", "rank").join(d, "id")
+    found = topics.rank_topics(d, b, 10, {"content": 1.0}).select("topic", "id", "rank").join(d, "id")
     ranks = catalog.first_relevant(b, found, "topic", F.contains("content", F.col("text")))
     m = catalog.retrieval_metrics(ranks, "rank")
     return m.select("scenarios", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
@@ -893,8 +893,8 @@ def snippet_names(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT user_id::VARCHAR AS session, lower(event_type) AS library, event_id % 50 AS id, epoch_us(ts) // 1000 AS t FROM events),
-b AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY session, library ORDER BY t, id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY session, library ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS no FROM b)
+b AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY session ORDER BY t, library, id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY t, library, id ROWS UNBOUNDED PRECEDING) AS no FROM b)
 SELECT session, library, count(*) AS views, count(DISTINCT (no, id)) AS fresh FROM s GROUP BY session, library"""
 )
 def stream_seen(spark, sf_dir):
@@ -902,21 +902,28 @@ def stream_seen(spark, sf_dir):
 
     The result is read from the sink's files in the shared folder.
     """
-    schema = read(spark, sf_dir, "events").schema
-    at = fresh_folder(spark, "stream")
-    # A stream's source is a folder; the table may be a single file, so its path is given as a glob.
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = events.select(
+    rows = event_stream(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("library"),
         (F.col("event_id") % 50).alias("id"), "ts"
     )
-    run = sessions.stream_seen(rows).writeStream.format("parquet").option("path", f"{at}/rows").option(
-        "checkpointLocation", f"{at}/state"
-    ).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{at}/rows").groupBy("session", "library").agg(
+    return all_there_is(spark, sessions.stream_seen(rows)).groupBy("session", "library").agg(
         F.count("*").alias("views"), F.count_if("fresh").alias("fresh")
     )
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream. Its source is a folder; the table may be a single file, so its path is given as a glob."""
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+def all_there_is(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives for all that its source has, from the files of its sink."""
+    at = fresh_folder(spark, "stream")
+    stream.writeStream.format("parquet").option("path", f"{at}/rows").option(
+        "checkpointLocation", f"{at}/state"
+    ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows")
+
+
 import lexispark.surface_queries  # noqa: E402, F401  registers its queries
+import lexispark.index_queries  # noqa: E402, F401

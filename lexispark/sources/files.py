@@ -17,7 +17,8 @@ from lexispark.scratch import exists
 def walk(spark: SparkSession, root: str, max_file_bytes: int = 2_097_152, max_files: int = 5000) -> DataFrame:
     """The documentation files below a folder as (path, bytes), path relative to it. Contents are not read.
 
-    Of the files that are no links, the first max(20,000, 10 max_files) by path are looked at.
+    Links, and what lies in excluded or hidden folders, are never looked at; of the others the first max(20,000,
+    10 max_files) by path are.
     """
     base = root.rstrip("/").removeprefix("file:")
     # Links are told from files only where the folder is on this machine; other stores have none.
@@ -31,10 +32,8 @@ def walk(spark: SparkSession, root: str, max_file_bytes: int = 2_097_152, max_fi
     for link in links:
         own = os.path.relpath(link, base)
         rows = rows.where((F.col("path") != own) & ~F.startswith(F.col("path"), F.lit(f"{own}/")))
-    rows = rows.orderBy("path").limit(max(20_000, 10 * max_files))
-    return rows.where(
-        is_documentation(F.col("path")) & ~in_excluded_folder(F.col("path")) & (F.col("bytes") <= max_file_bytes)
-    )
+    rows = rows.where(~in_excluded_folder(F.col("path"))).orderBy("path").limit(max(20_000, 10 * max_files))
+    return rows.where(is_documentation(F.col("path")) & (F.col("bytes") <= max_file_bytes))
 
 
 def read_bounded(

@@ -4,52 +4,109 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexispark.operators.folds import sorted_fold
 
-SEEN = "session string, library string, id bigint, fresh boolean, seen_count int"
+SEEN = "session string, library string, id bigint, at_ms bigint, fresh boolean, seen_count int"
+REQUESTS = "session string, at_ms bigint, alive boolean, expires_ms bigint"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of several kinds, with timers, needs the store that keeps it on disk."""
+    spark.conf.set(STORE, ROCKSDB)
+
+
+class _Expires(StatefulProcessor):
+    """A session's state, which goes as a whole when its time is over: ``expires`` is when, in milliseconds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.expires = handle.getValueState("expires", "at bigint")
+
+    def until(self) -> int | None:
+        return self.expires.get()[0] if self.expires.exists() else None
+
+    def renew(self, at: int) -> None:
+        """Live until ``at``: one timer a session, a millisecond later, as the last one still belongs to it."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at + 1)
+        self.expires.update((at,))
+
+    def clear(self) -> None:
+        self.expires.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = self.until()
+        if until is not None and until < expiredTimerInfo.getExpiryTimeInMs():
+            self.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Seen(_Expires):
+    """What a session has seen of each library, oldest ids first; any request renews the whole session."""
+
+    def __init__(self, ttl_ms: int, most: int):
+        self.ttl_ms, self.most = ttl_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.libraries = handle.getMapState("libraries", "library string", "ids array<bigint>")
+
+    def clear(self) -> None:
+        super().clear()
+        self.libraries.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        until, known = self.until(), {}
+        for r in sorted(rows, key=lambda r: (r["at_ms"], r["library"], r["id"])):
+            if until is not None and r["at_ms"] > until:  # idle for too long: all libraries are forgotten
+                self.libraries.clear()
+                known = {}
+            lib = r["library"]
+            if lib not in known:
+                held = self.libraries.getValue((lib,)) if self.libraries.containsKey((lib,)) else ([],)
+                known[lib] = dict.fromkeys(held[0])
+            seen = known[lib]
+            fresh = r["id"] not in seen
+            seen.setdefault(r["id"])
+            while len(seen) > self.most:
+                del seen[next(iter(seen))]
+            until = max(until or 0, r["at_ms"] + self.ttl_ms)
+            yield Row(session=key[0], library=lib, id=r["id"], at_ms=r["at_ms"], fresh=fresh, seen_count=len(seen))
+        for lib, seen in known.items():
+            self.libraries.updateValue((lib,), (list(seen),))
+        if until is not None:
+            self.renew(until)
+
+
+def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    keep_state_on_disk(rows.sparkSession)
+    return rows.groupBy("session").transformWithState(processor, schema, "append", "eventTime")
 
 
 def stream_seen(events: DataFrame, ttl_ms: int = 3_600_000, most: int = 500) -> DataFrame:
     """Mark each retrieved chunk (session, library, id, ts) as fresh or already seen in its session.
 
-    The state of a session and library is the ids it has seen, oldest first, at most ``most``; seeing an id again
-    doesn't renew it. It ends when the session is idle for ``ttl_ms`` of event time. Libraries count in any case.
+    A session has one time to live: any of its requests, of whatever library, renews it, and when it was idle for more
+    than ``ttl_ms`` of event time all that it has seen is forgotten. Of each library it keeps at most ``most`` ids, those
+    seen first go first; seeing one again doesn't renew it. Libraries count in any case. Rows without a session, library,
+    id or time have no place in a session and are left out.
     """
     rows = events.select(
-        "session", F.lower("library").alias("library"), "id", F.col("ts").cast("timestamp").alias("ts")
-    ).withWatermark("ts", f"{ttl_ms} milliseconds")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        touched, ids = state.get if state.exists else (0, [])
-        seen = dict.fromkeys(ids)
-        new = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out = []
-        for ts, i in zip(new["ts"], new["id"], strict=True):
-            at = int(ts.timestamp() * 1000)
-            if touched and at - touched > ttl_ms:
-                seen = {}
-            fresh = i not in seen
-            seen.setdefault(int(i))
-            while len(seen) > most:
-                del seen[next(iter(seen))]
-            touched = max(touched, at)
-            out.append((key[0], key[1], int(i), fresh, len(seen)))
-        state.update((touched, list(seen)))
-        state.setTimeoutTimestamp(max(touched + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["session", "library", "id", "fresh", "seen_count"])
-
-    return rows.groupBy("session", "library").applyInPandasWithState(
-        step, SEEN, "touched long, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+        "session", F.lower("library").alias("library"), F.col("id").cast("bigint").alias("id"),
+        F.col("ts").cast("timestamp").alias("ts")
+    ).na.drop().withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", f"{ttl_ms} milliseconds")
+    return _stateful(rows, _Seen(ttl_ms, most), SEEN)
 
 
 def session_counts(events: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -68,8 +125,38 @@ def protocol_session(
     return (now_ms + ttl_ms, True) if expires_ms - now_ms < renew_below_ms else (expires_ms, True)
 
 
-class _Protocol:
-    """A protocol session's expiry over its requests."""
+class _Protocol(_Expires):
+    """A protocol session's expiry over its requests; its timer ends it."""
+
+    def __init__(self, ttl_ms: int, renew_below_ms: int):
+        self.rule = ttl_ms, renew_below_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = before = self.until()
+        for r in sorted(rows, key=lambda r: r["at_ms"]):
+            now, alive = protocol_session(now, r["at_ms"], *self.rule)
+            if not alive:  # a request without a living session opens one
+                now = r["at_ms"] + self.rule[0]
+            yield Row(session=key[0], at_ms=r["at_ms"], alive=alive, expires_ms=now)
+        if now is not None and now != before:
+            self.renew(now)
+
+
+def stream_protocol(
+    requests: DataFrame, ttl_ms: int = 7 * 86_400_000, renew_below_ms: int = 86_400_000
+) -> DataFrame:
+    """``protocol_sessions`` of a stream of requests (session, ts), with the expiry of each session as its state.
+
+    Rows without a session or a time are left out.
+    """
+    rows = requests.select("session", F.col("ts").cast("timestamp").alias("ts")).na.drop().withColumn(
+        "at_ms", F.unix_millis("ts")
+    ).withWatermark("ts", f"{ttl_ms} milliseconds")
+    return _stateful(rows, _Protocol(ttl_ms, renew_below_ms), REQUESTS)
+
+
+class _ProtocolFold:
+    """A protocol session's expiry over a batch of its requests."""
 
     def __init__(self, ttl_ms: int, renew_below_ms: int):
         self.rule, self.expires = (ttl_ms, renew_below_ms), None
@@ -93,7 +180,7 @@ def protocol_sessions(
     A session opens with a request that finds none alive, and is renewed only when little is left of it.
     """
     return sorted_fold(
-        requests, [key], ["at_ms"], lambda: _Protocol(ttl_ms, renew_below_ms), "alive boolean, expires_ms bigint"
+        requests, [key], ["at_ms"], lambda: _ProtocolFold(ttl_ms, renew_below_ms), "alive boolean, expires_ms bigint"
     )
 
 

@@ -627,9 +627,9 @@ def seen_fallback(spark, sf_dir):
 @query(f"WITH RECURSIVE {sql_search(TOPIC, SQL_DOCS)} SELECT position, id FROM found")
 def indexed_search(spark, sf_dir):
     """A search over an index that is written first: postings of the topic's terms, and the chunks that they name."""
-    at = fresh_folder(spark, "index")
-    index.write_index(documents(spark, sf_dir), at)
-    return index.search_index(spark, at, TOPIC).select("position", "id")
+    from lexispark.index_queries import written_index
+
+    return index.search_index(spark, written_index(spark, sf_dir), TOPIC).select("position", "id")
 
 
 @query(
