@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import collapse, safe_label
+
 RULE = "\n----------\n"
 BREAK = "\n\n---\n\n"
 
@@ -65,3 +67,25 @@ def fixed4(value: Column) -> Column:
 
 def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def match_block(n: Column, title: Column, section: Column, key: Column, url: Column, path: Column, score: Column, paths: Column, content: Column) -> Column:
+    """A search result as lines: its place and titles, its key, source and path, its relevance, the start of its text."""
+    line = F.trim(collapse(content))
+    shown = F.substring(line, 1, 360)
+    return F.concat_ws(
+        "\n", F.concat(F.lit("## "), n.cast("string"), F.lit(". "), safe_label(title), F.lit(" — "), safe_label(section)),
+        F.concat(F.lit("Result key: "), key), F.concat(F.lit("Source: "), url), F.concat(F.lit("Path: "), safe_label(path)),
+        F.concat(F.lit("Relevance: "), fixed4(score), F.lit(" ("), paths.cast("string"), F.lit(" retrieval paths)")), F.lit(""),
+        F.concat(
+            F.lit("Untrusted reference preview: "), shown, F.when(F.length(content) > F.length(shown), "…").otherwise("")
+        )
+    )
+
+
+def grep_block(key: Column, title: Column, section: Column, url: Column, snippet: Column) -> Column:
+    """A literal match as lines: its key and titles, its source, the text around it."""
+    return F.concat_ws(
+        "\n", F.concat(F.lit("- Result "), key, F.lit(": "), safe_label(title), F.lit(" — "), safe_label(section)),
+        F.concat(F.lit("  "), url), F.concat(F.lit("  Untrusted reference match: …"), snippet, F.lit("…"))
+    )

@@ -147,6 +147,22 @@ def tree_address(url: Column) -> Column:
     )
 
 
+def parse_skill_input(value: Column) -> Column:
+    """What a skill argument names: (type, owner, repo, branch, path) of a github.com tree address anywhere in it (type
+    url), or of owner/repo with or without a leading slash (type repo, no branch or path); null for others."""
+    address = r"(?:https?://)?github\.com/([^/]+)/([^/]+)/tree/([^/]+)/([^\r\n]+)"
+    short = r"\A/?([^/]+)/([^/]+)\z"
+    part = lambda pattern, k: F.regexp_extract(value, pattern, k)
+    none = F.lit(None).cast("string")
+    row = lambda kind, *parts: F.struct(
+        F.lit(kind).alias("type"),
+        *[p.alias(n) for p, n in zip(parts, ("owner", "repo", "branch", "path"), strict=True)]
+    )
+    return F.when(value.rlike(address), row("url", *[part(address, k) for k in (1, 2, 3, 4)])).when(
+        value.rlike(short), row("repo", part(short, 1), part(short, 2), none, none)
+    )
+
+
 def safe_skill_name(name: Column) -> Column:
     """Whether a name can be a folder's: no separators, no leading dot, not empty, at most 255 characters."""
     return name.rlike(r"\A[A-Za-z0-9_-][A-Za-z0-9_. -]*\z") & ~F.contains(name, F.lit("..")) & (F.length(name) <= 255)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions import urls
+from lexispark.functions import identifiers, urls
 from lexispark.operators import catalog, crawl, index, selection, topics
 from lexispark.queries import (
     BM25, BM25_ALL, ORACLES, PHRASES, all_there_is, documents, event_stream, query, read, sql_tokens
@@ -253,3 +253,41 @@ def usage_trends(spark, sf_dir):
 def observed_selection(spark, sf_dir):
     """The counters of a selection, from the pass that writes the selected files."""
     return selection.write_selected(selected_files(spark, sf_dir), fresh_folder(spark, "selected"))
+
+
+# --- catalog and arguments -----------------------------------------------------------------------------------------
+
+SQL_SEARCHES = ", ".join(f"({k}, '{n}', '{q} {catalog.ONLY}', {w})" for k, (n, q, w) in enumerate(catalog.SEARCHES))
+
+
+@query(
+    f"""WITH s(k, source, query, weight) AS (VALUES {SQL_SEARCHES}), h AS (SELECT c_custkey // 3 AS c, source, weight, c_custkey * 7 AS stars FROM customer LEFT JOIN s ON k = c_custkey % 30),
+m AS (SELECT c, max(stars) AS stars, max(coalesce(weight, 100)) AS weight, count(DISTINCT coalesce(source, 'other')) AS sources FROM h GROUP BY c)
+SELECT '/o/r' || c AS library_id, sources, round(log10(greatest(10.0, stars + 10.0)) * 1000000 + weight * 10000 + least(10, sources) * 100)::BIGINT AS score FROM m"""
+)
+def popular_catalog(spark, sf_dir):
+    """A catalog from the hits of the popular searches, weighted by their search; hits of no known search have the usual
+    weight."""
+    searches = catalog.popular_searches(spark)
+    names = F.array(*[F.lit(n) for n, *_ in catalog.SEARCHES])
+    c = F.col("c_custkey")
+    own = F.call_function("div", c, F.lit(3))
+    hits = read(spark, sf_dir, "customer").select(
+        text_of("/o/r", own).alias("library_id"), text_of("r", own).alias("title"), F.lit(None).cast("string").alias("description"),
+        (c * 7).alias("stars"), F.coalesce(F.get(names, (c % 30).cast("int")), F.lit("other")).alias("source"), c.alias("arrival")
+    )
+    return catalog.merge_candidates(catalog.weighted(hits, searches), 1_000_000).select("library_id", "sources", "score")
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 4 AS k, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS host FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'url' WHEN 1 THEN 'repo' WHEN 2 THEN 'repo' END AS type, CASE WHEN k < 3 THEN 'o' || page_id END AS owner, CASE WHEN k < 3 THEN host END AS repo,
+ CASE WHEN k = 0 THEN 'main' END AS branch, CASE WHEN k = 0 THEN 'skills/' || page_id || '/x' END AS path FROM p"""
+)
+def skill_arguments(spark, sf_dir):
+    """Skill arguments as tree addresses, as owner/repo with and without a slash, and as neither."""
+    i, host = F.col("page_id"), F.split_part(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(1))
+    value = F.when(i % 4 == 0, text_of("https://github.com/o", i, "/", host, "/tree/main/skills/", i, "/x")).when(
+        i % 4 == 1, text_of("/o", i, "/", host)
+    ).when(i % 4 == 2, text_of("o", i, "/", host)).otherwise(text_of("a/", host, "/", i))
+    return read(spark, sf_dir, "pages").select("page_id", identifiers.parse_skill_input(value).alias("s")).select("page_id", "s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.labels import is_fresh, popularity_score
@@ -17,6 +17,24 @@ EXCLUDED_NAME = r"(^|[-_.])(awesome|interview|roadmap|cheatsheet|dotfiles|books?
 EXCLUDED_TOPICS = [
     "awesome-list", "books", "cheatsheet", "interview", "interview-questions", "learning-resources", "roadmap"
 ]
+# The searches whose hits make the popular catalog, with the weights of their hits.
+SEARCHES = [
+    ("framework", "topic:framework stars:>500", 100), ("library", "topic:library stars:>500", 98),
+    ("sdk", "topic:sdk stars:>250", 96), ("web-framework", "topic:web-framework stars:>250", 96),
+    ("database", "topic:database stars:>500", 94), ("machine-learning", "topic:machine-learning stars:>500", 92),
+    ("testing", "topic:testing stars:>500", 90), ("devops", "topic:devops stars:>500", 88),
+    ("api-client", "topic:api-client stars:>100", 88), ("orm", "topic:orm stars:>100", 88),
+    ("authentication", "topic:authentication stars:>250", 86), ("observability", "topic:observability stars:>250", 84),
+    ("javascript", "language:JavaScript stars:>5000", 82), ("typescript", "language:TypeScript stars:>5000", 84),
+    ("python", "language:Python stars:>5000", 84), ("rust", "language:Rust stars:>2500", 82),
+    ("go", "language:Go stars:>3000", 82), ("java", "language:Java stars:>3000", 80),
+    ("dotnet", "language:C# stars:>1500", 80), ("cpp", "language:C++ stars:>3000", 76),
+    ("php", "language:PHP stars:>1500", 76), ("ruby", "language:Ruby stars:>1500", 76),
+    ("swift", "language:Swift stars:>1500", 76), ("kotlin", "language:Kotlin stars:>1000", 76),
+    ("dart", "language:Dart stars:>1000", 74), ("elixir", "language:Elixir stars:>750", 72),
+    ("scala", "language:Scala stars:>1000", 72)
+]
+ONLY = "archived:false fork:false"
 CURATED = 2_000_000_000
 DEFAULT_WEIGHT = 100
 
@@ -37,6 +55,17 @@ def is_candidate(name: Column, topics: Column, archived: Column, fork: Column) -
     )
 
 
+def popular_searches(spark: SparkSession) -> DataFrame:
+    """The searches of the popular catalog (source, query, weight); a hundred hits of each by stars are asked for."""
+    rows = [(name, f"{query} {ONLY}", weight) for name, query, weight in SEARCHES]
+    return spark.createDataFrame(rows, "source string, query string, weight int")
+
+
+def weighted(hits: DataFrame, searches: DataFrame) -> DataFrame:
+    """Hits (source, ...) with the weight of their search; those of no known search have none."""
+    return hits.drop("weight").join(F.broadcast(searches.select("source", "weight")), "source", "left")  # a row a search
+
+
 def merge_candidates(hits: DataFrame, limit: int, curated: DataFrame | None = None) -> DataFrame:
     """A ranked catalog of search hits (library_id, title, description, stars, source, weight, arrival).
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +46,36 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return at
 
 
+_passing = threading.local()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, which is deleted when the process ends."""
+    """Cut the lineage with a reliable checkpoint in the shared folder, which is deleted when the process ends, or with
+    the block of ``passing`` that it is made in."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
         _goes_at_the_end(spark, sc.getCheckpointDir())
-    return df.checkpoint()
+    out = df.checkpoint()
+    for made in getattr(_passing, "blocks", [])[-1:]:
+        made.append(out)
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside the block is deleted at its end, so nothing of it may be read later."""
+    blocks = _passing.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for df in blocks.pop():
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                fs, own = _file_system(spark, file.get())
+                fs.delete(own, True)
 
 
 def put(spark: SparkSession, path: str, text: str) -> None:

@@ -59,3 +59,19 @@ def test_entry_imports_without_the_training_data_parts(tmp_path, spark, data):
     subprocess.run(
         [sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}
     )
+
+
+def test_entry_survives_training_data_parts_that_do_not_import(tmp_path):
+    """An import that fails inside the subpackage leaves the other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/lexispark", tmp_path / "lexispark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "lexispark" / "llm").mkdir()
+    (tmp_path / "lexispark" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "lexispark" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and not any(n.startswith('op1_') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

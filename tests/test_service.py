@@ -62,10 +62,121 @@ def test_seen_by_commit_with_a_time_and_a_number(spark):
     assert seen.ids("s", "/a/b@1") == [2, 3, 4]
     now[0] = 18  # asking has kept it alive
     assert seen.ids("s", "/a/b@1") == [2, 3, 4]
-    now[0] = 28
+    now[0] = 28  # the last moment, which keeps it alive
+    assert seen.ids("s", "/a/b@1") == [2, 3, 4]
+    now[0] = 38.1
     assert seen.ids("s", "/a/b@1") == []
 
 
+def test_one_time_to_live_for_all_libraries():
+    now = [0.0]
+    seen = service.Seen(ttl_s=3600, clock=lambda: now[0])
+    seen.add("s", "/A/a@1", [1])
+    for k in range(1, 8):
+        now[0] = 1000.0 * k
+        seen.add("s", "/b/b@1", [k])
+    assert seen.ids("s", "/a/A@1") == [1]
+    seen.clear("s", "/a/a@1")
+    assert seen.ids("s", "/a/a@1") == [] and len(seen.ids("s", "/b/b@1")) == 7
+    seen.clear("s")
+    assert seen.ids("s", "/b/b@1") == [] and not seen.touched
+
+
+def discovered(spark, commit, calls):
+    def find(ident):
+        calls.append(ident)
+        if ident.lower() != "/example/garden":
+            return None
+        files = lambda: spark.createDataFrame(FILES, "path string, content string")
+        return service.Found("/example/garden", "https://github.com/example/garden.git", commit[0], files, 2)
+
+    return find
+
+
+def test_a_search_makes_its_index_ready(spark):
+    now, commit, calls, asked = [1000.0], ["a" * 40], [], []
+
+    def remote(ident):
+        asked.append(ident)
+        if commit[0] is None:
+            raise TimeoutError
+        return commit[0]
+
+    s = service.Service(spark, discover=discovered(spark, commit, calls), remote_commit=remote, clock=lambda: now[0])
+    assert s.search_text("/Example/garden", "watering").startswith("Local index indexed: /example/garden is ready.\n\nLibrary: ")
+    assert s.ready("/example/garden").disposition == "cached" and not asked and len(calls) == 1
+    now[0] += 86_400
+    assert s.ready("/example/garden").disposition == "cached" and len(asked) == 1  # the same commit
+    assert s.ready("/example/garden").disposition == "cached" and len(asked) == 1  # just checked
+    now[0] += 86_400
+    commit[0] = None
+    ready = s.ready("/example/garden")
+    assert ready.disposition == "stale-fallback" and "a" * 40 in ready.warning
+    assert s.search_text("/example/garden", "watering").startswith("Warning: Freshness check failed")
+    commit[0] = "b" * 40
+    assert s.ready("/example/garden").disposition == "refreshed" and s.library("/example/garden").commit == "b" * 40
+    assert s.ready("/example/garden", force=True).disposition == "refreshed"
+    s.library("/example/garden").parser = "older"
+    assert s.ready("/example/garden").disposition == "refreshed" and s.library("/example/garden").parser == service.PARSER
+    with pytest.raises(KeyError):
+        s.search_docs("/no/where", "x")
+
+
+def test_answers_as_texts(engine):
+    text = engine.search_text("/example/garden", "watering", limit=1)
+    key = engine.search_docs("/example/garden", "watering", limit=1).first()["key"]
+    lines = text.splitlines()
+    assert "Search returned 1 sections using 1 lexical facets and fused lexical retrieval (budget: 1780 tokens)." in lines
+    assert f"Result key: {key}" in lines and any(x.startswith("## 1. ") for x in lines)
+    assert any(x.startswith("Source: https://github.com/example/garden/blob/") for x in lines)
+    assert any(x.startswith("Relevance: ") and x.endswith("(1 retrieval paths)") for x in lines)
+    assert engine.search_text("/example/garden", "zebra").endswith("No indexed section matched the query.")
+    found = engine.grep_text("/example/garden", "checkRain()")
+    assert "Exact literal matches: 1" in found and "Night round" in found and f"- Result {SHA}:" in found
+    assert engine.grep_text("/example/garden", "%%").endswith("No exact matches.")
+
+
+def test_missing_vectors_are_embedded_and_kept(spark, tmp_path):
+    batches = []
+
+    def texts(batch):
+        return [[1.0 + x.count("watering"), float(len(x) % 5)] for x in batch]
+
+    s = service.Service(spark, str(tmp_path), embed_texts=texts, query_vector=lambda q: batches.append(q) or [1.0, 0.0])
+    files = spark.createDataFrame(FILES, "path string, content string")
+    s.index("/example/garden", files, SHA, "https://github.com/example/garden.git")
+    lib = s.library("/example/garden")
+    assert len(s.search_docs("/example/garden", "watering").collect()) == 2
+    table = s._cached_vectors(lib)
+    assert table.read().count() == 2 and len(table.log()) == 2
+    assert len(s.search_docs("/example/garden", "watering").collect()) == 2
+    assert len(table.log()) == 2 and batches == ["watering", "watering"]  # nothing was missing
+    s.search_docs("/example/garden", "soil").collect()
+    assert table.read().count() == 3
+    assert "local hybrid lexical + local reranking" in s.search_text("/example/garden", "soil")
+
+    def failing(batch):
+        raise ConnectionError
+
+    t = service.Service(spark, embed_texts=failing, libraries=s.libraries)
+    lib.root, kept = None, lib.root
+    assert len(t.search_docs("/example/garden", "watering").collect()) == 2 and t.breaker.open()
+    lib.root = kept
+
+
+def test_a_search_leaves_no_checkpoints(spark, tmp_path):
+    import pathlib
+
+    s = service.Service(spark, str(tmp_path))
+    files = spark.createDataFrame(FILES, "path string, content string")
+    s.index("/example/garden", files, SHA, "https://github.com/example/garden.git")
+    at = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(at.iterdir())
+    s.search_docs("/example/garden", "watering").collect()
+    s.query_docs("/example/garden", "watering")
+    assert {p for p in at.iterdir() if any(p.iterdir())} <= before
+
+
 def test_a_written_index_gives_the_same_answers(spark, engine, tmp_path):
     s = service.Service(spark, str(tmp_path))
     files = spark.createDataFrame(FILES, "path string, content string")
