@@ -11,6 +11,7 @@ from lexispark.queries import (
     BM25, BM25_ALL, ORACLES, PHRASES, all_there_is, documents, event_stream, query, read, sql_tokens
 )
 from lexispark.scratch import fresh_folder
+from lexispark.sources.event_log import use_event_log
 from lexispark.sources.keyed import KeyedTable
 from lexispark.streaming import ndjson, sessions
 from lexispark.surface_queries import RENEW_MS, TTL_MS, selected_files, text_of
@@ -291,3 +292,41 @@ def skill_arguments(spark, sf_dir):
         i % 4 == 1, text_of("/o", i, "/", host)
     ).when(i % 4 == 2, text_of("o", i, "/", host)).otherwise(text_of("a/", host, "/", i))
     return read(spark, sf_dir, "pages").select("page_id", identifiers.parse_skill_input(value).alias("s")).select("page_id", "s.*")
+
+
+# --- the event log as a source and a sink --------------------------------------------------------------------------
+
+
+def event_lines(spark: SparkSession, sf_dir: str, at: str):
+    """Events as lines of a log, written in two appends by type; a reader of the log."""
+    use_event_log(spark)
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "succeeded").when(kind == "error", "failed").otherwise("skipped")
+    e = read(spark, sf_dir, "events").select(
+        F.to_json(F.struct(F.col("user_id").cast("string").alias("libraryId"), status.alias("status"), "event_id")).alias("value"), "event_type"
+    )
+    for part in (e.where("event_type <> 'error'"), e.where("event_type = 'error'")):
+        part.select("value").write.format("event_log").option("path", at).mode("append").save()
+    return lambda r: r.format("event_log").option("path", at).option("rangeBytes", 65536).load()
+
+
+@query(
+    """SELECT user_id::VARCHAR AS library, arg_max(CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'skipped' END, (CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, event_id)) AS status, count(*) AS lines FROM events GROUP BY user_id"""
+)
+def event_log_ranges(spark, sf_dir):
+    """The last event of each library of a log in two appends, read in ranges of bytes: errors came last."""
+    log = event_lines(spark, sf_dir, fresh_folder(spark, "log"))(spark.read)
+    e = log.select("append", F.from_json("value", "libraryId string, status string, event_id bigint").alias("e")).select("append", "e.*")
+    return e.groupBy(F.col("libraryId").alias("library")).agg(
+        F.max_by("status", F.struct("append", "event_id")).alias("status"), F.count("*").alias("lines")
+    )
+
+
+@query(
+    "SELECT CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'skipped' END AS status, count(*) AS n FROM events GROUP BY 1"
+)
+def event_log_stream(spark, sf_dir):
+    """The same log followed as a stream: its lines by status."""
+    log = event_lines(spark, sf_dir, fresh_folder(spark, "log"))(spark.readStream)
+    rows = all_there_is(spark, log.select(F.from_json("value", "status string").alias("e")).select("e.*"))
+    return rows.groupBy("status").agg(F.count("*").alias("n"))

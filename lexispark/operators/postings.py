@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import token_string
 from lexispark.operators.search import FIELDS, analyzed
 
-WINDOW, SHELF, BUCKETS = 1024, 64, 64
+WINDOW, SHELF = 1024, 64
+#: Chunks of a folder of postings and trigrams, and how many folders there are at most.
+FOLDER, MOST_FOLDERS = 4096, 4096
 #: Tokens and trigrams that a task holds before it writes what it has of a window.
 HELD = 1 << 21
 #: Delta coding of numbers.
@@ -147,13 +149,16 @@ def _write(rows: DataFrame, key: str, buckets: int, path: str) -> None:
 
 
 def write_index(
-    chunks: DataFrame, root: str, buckets: int = BUCKETS, window: int = WINDOW, shelf: int = SHELF, literal: bool = True
+    chunks: DataFrame, root: str, buckets: int | None = None, window: int = WINDOW, shelf: int = SHELF, literal: bool = True
 ) -> None:
     """Write chunks, postings, trigrams (if ``literal``) and figures below a folder.
 
-    ``window`` is the width of a window in ids, ``shelf`` the windows of one folder of chunks. Ids are distinct.
+    ``window`` is the width of a window in ids, ``shelf`` the windows of one folder of chunks, ``buckets`` the folders of
+    postings, by the number of chunks if it isn't given. Ids are distinct.
     """
     fields = list(FIELDS)
+    if buckets is None:
+        buckets = min(MOST_FOLDERS, chunks.count() // FOLDER + 1)
     own = chunks.withColumn("shelf", window_of(F.col("id"), window * shelf))
     own.repartition("shelf", F.pmod(window_of(F.col("id"), window), F.lit(4))).sortWithinPartitions("shelf", "id").write.partitionBy(
         "shelf"

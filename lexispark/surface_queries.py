@@ -666,15 +666,22 @@ SQL_ITEMS = """SELECT row_number() OVER (ORDER BY path) AS id, path AS doc_path,
 ITEM_TOPIC = "onesen that thereisi"
 
 
+_SERVICES: dict[tuple[str, str], service.Service] = {}
+
+
 def items_service(spark, sf_dir) -> service.Service:
-    """A service whose index holds the benchmark's texts as files."""
-    s = service.Service(spark, fresh_folder(spark, "service"))
-    f = read(spark, sf_dir, "benchmark").select(
-        text_of("docs/", F.lpad(F.col("item_id").cast("string"), 6, "0"), ".md").alias("path"),
-        F.col("text").alias("content")
-    )
-    s.index(ITEMS, f, SHA, "https://github.com/bench/items.git", n_rules=2)
-    return s
+    """A service whose index holds the benchmark's texts as files; it is made once a session and table."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _SERVICES:
+        s = service.Service(spark, fresh_folder(spark, "service"))
+        f = read(spark, sf_dir, "benchmark").select(
+            text_of("docs/", F.lpad(F.col("item_id").cast("string"), 6, "0"), ".md").alias("path"),
+            F.col("text").alias("content")
+        )
+        s.index(ITEMS, f, SHA, "https://github.com/bench/items.git", n_rules=2)
+        _SERVICES[at] = s
+    _SERVICES[at].seen = service.Seen()
+    return _SERVICES[at]
 
 
 @query(
