@@ -161,9 +161,9 @@ def score_index(
             found.groupBy("unit", "win").agg(F.max("tf").alias("tf"), F.min("len").alias("len"), F.count("*").alias("own"))
             .select(F.element_at(F.array(*[F.lit(" ".join(u)) for u in longer]), F.col("unit") + 1).alias("unit"), "win", "tf", "len", "own")
         )
-    best = cut(best)
     names = [" ".join(u) for u in units]
-    df = {r["unit"]: r["df"] for r in best.groupBy("unit").agg(F.sum("own").alias("df")).collect()}  # one row a unit
+    of_unit = best.groupBy("unit").agg(F.sum("own").alias("df"), F.count("*").alias("wins")).collect()  # one row a unit
+    df = {r["unit"]: r["df"] for r in of_unit}
     known = Figures(index.n, index.mean, [df.get(u, 0) for u in names])
 
     def scored(wins: DataFrame | None) -> DataFrame:
@@ -182,8 +182,10 @@ def score_index(
         ).withColumn("id", F.col("win") * index.window + F.col("off"))
         return facet_scores(rows, facets, units, known)
 
-    if limit is None:
+    # Where a unit has few windows in all, the first ones are most of them.
+    if limit is None or max((r["wins"] for r in of_unit), default=0) <= 4 * FIRST:
         return scored(None)
+    best = cut(best)
     # The bound of each facet in each window.
     by_window = best.groupBy("win").agg(
         *[F.max(F.when(F.col("unit") == u, F.col("tf"))).alias(f"t{i}") for i, u in enumerate(names)],
