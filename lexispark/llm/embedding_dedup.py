@@ -179,7 +179,7 @@ def embedding_duplicates(
     labels = cut(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_label = nodes.select("node", "least").join(labels, "node").groupBy("label").agg(F.min("least").alias("component"))
-    placed_in = labels.join(of_label, "label").select("node", "component")
+    placed_in = labels.join(broadcast_if_small(cut(of_label)), "label").select("node", "component")
     known = nodes.join(counted, "node", "left").join(placed_in, "node", "left").where("copies > 1 OR links > 0").select(
         "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
         F.coalesce("component", "least").alias("component")
