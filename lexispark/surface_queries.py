@@ -722,16 +722,19 @@ def service_read(spark, sf_dir):
     return spark.createDataFrame([(i, s.read_docs(ITEMS, k)) for i, k in keys], "id bigint, answer string")
 
 
-@query("SELECT '/b' AS library, 'made /b' AS result")
+@query(
+    "SELECT '/n/' || lower(n_name) AS library, 'made ' || n_nationkey AS result FROM nation WHERE length(n_name) > 7 ORDER BY n_nationkey LIMIT 1"
+)
 def index_attempts(spark, sf_dir):
-    """The first of several candidates that can be indexed."""
+    """The first of several candidates that can be indexed: here the first with a long name."""
+    keys = {f"/n/{n['n_name'].lower()}": n["n_nationkey"] for n in nations(spark, sf_dir)}
 
     def attempt(library: str) -> str:
-        if library == "/a":
+        if len(library) < 11:
             raise ValueError(library)
-        return f"made {library}"
+        return f"made {keys[library]}"
 
-    found = first_that_works(["/a", "/b", "/c"], attempt)
+    found = first_that_works(list(keys), attempt, len(keys))
     return spark.createDataFrame([found], "library string, result string")
 
 
