@@ -205,6 +205,26 @@ def many_topics(spark, sf_dir):
     return topics.rank_topics(d, words, 5, {"content": 1.0}).select("topic", "id", F.round("score", 6).alias("score"), "rank")
 
 
+SQL_ALL = "length(regexp_replace({x}, '[^ ]', '', 'g')) // 2 - 1"
+
+
+@query(
+    f"""WITH occurs AS (SELECT doc_id AS id, unnest(string_split_regex(trim({sql_tokens('text')}), ' +')) AS term FROM documents),
+counts AS (SELECT id, term, count(*) AS tf FROM occurs WHERE term <> '' GROUP BY ALL), lengths AS (SELECT doc_id AS id, {SQL_ALL.format(x=sql_tokens('text'))} + {SQL_ALL.format(x=sql_tokens('lang'))} AS len FROM documents),
+corpus AS (SELECT count(*) AS n, avg(len) AS mean FROM lengths),
+idf AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM counts, corpus GROUP BY term, n),
+asked AS (SELECT DISTINCT item_id AS topic, unnest(string_split_regex(trim({sql_tokens('text')}), ' +')) AS term FROM benchmark),
+scored AS (SELECT topic, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM asked JOIN counts USING (term) JOIN idf USING (term) JOIN lengths USING (id), corpus GROUP BY topic, id)
+SELECT topic, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 3"""
+)
+def indexed_topics(spark, sf_dir):
+    """The best three documents for every benchmark text, from the postings of an index."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), "text")
+    own = index.open_index(spark, written_index(spark, sf_dir))
+    found = topics.rank_parts(*topics.index_parts(own, b, {"content": 1.0}), 3)
+    return found.rows.select("topic", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     "SELECT vec_id AS id, CASE WHEN vec_id % 15 = 0 THEN label + 300 WHEN vec_id % 5 = 0 THEN label + 200 WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT -1, 7"
 )

@@ -8,11 +8,14 @@ the small ones are looked up only for candidates that can still enter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import token_string
+from lexispark.operators.index import Index
+from lexispark.operators.postings import bucket_of
 from lexispark.operators.search import DIGITS, FIELDS, analyzed, build_postings, part_of
 from lexispark.scratch import cut
 
@@ -30,28 +33,50 @@ class Ranking:
     scored: DataFrame
 
 
-def topic_parts(chunks: DataFrame, topics: DataFrame, fields: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(topic, term) of topics (topic, text), and (term, id, part): what each of their terms adds to a chunk's score."""
-    fields = fields or FIELDS
-    asked = topics.select(
+def _asked(topics: DataFrame) -> DataFrame:
+    """(topic, term) of topics (topic, text)."""
+    return topics.select(
         "topic", F.explode(F.array_distinct(F.split(F.trim(token_string(F.col("text"))), " +"))).alias("term")
     ).where("term != ''").distinct()
-    lengths = cut(analyzed(chunks, fields).select("id", "__len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("__len").alias("mean")).first()
-    n, mean = corpus["n"], corpus["mean"] or 1.0
-    weight = F.lit(0.0)
-    for f, w in fields.items():
-        weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
-    counts = build_postings(chunks, fields).join(asked.select("term").distinct(), "term", "left_semi").groupBy(
-        "term", "id"
-    ).agg(F.sum(F.col("tf") * weight).alias("tf"))
-    counts = cut(counts)
+
+
+def _weight(fields: dict[str, float]) -> Column:
+    return reduce(lambda w, f: F.when(F.col("field") == f, F.lit(float(fields[f]))).otherwise(w), fields, F.lit(0.0))
+
+
+def _parts(counts: DataFrame, n: int, mean: float) -> DataFrame:
+    """(term, id, part) of counts (term, id, tf, len) over a corpus of n chunks."""
     df = F.col("df")
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6)).alias("idf")
     )
-    unit = part_of(F.col("tf"), F.col("__len"), 1.0, mean)
-    return asked, cut(counts.join(idf, "term").join(lengths, "id").select("term", "id", (F.col("idf") * unit).alias("part")))
+    unit = part_of(F.col("tf"), F.col("len"), 1.0, mean)
+    return cut(counts.join(idf, "term").select("term", "id", (F.col("idf") * unit).alias("part")))
+
+
+def topic_parts(chunks: DataFrame, topics: DataFrame, fields: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(topic, term) of topics (topic, text), and (term, id, part): what each of their terms adds to a chunk's score."""
+    fields = fields or FIELDS
+    asked = _asked(topics)
+    lengths = cut(analyzed(chunks, fields).select("id", F.col("__len").alias("len")))
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    counts = build_postings(chunks, fields).join(asked.select("term").distinct(), "term", "left_semi").groupBy(
+        "term", "id"
+    ).agg(F.sum(F.col("tf") * _weight(fields)).alias("tf"))
+    return asked, _parts(cut(counts.join(lengths, "id")), corpus["n"], corpus["mean"] or 1.0)
+
+
+def index_parts(index: Index, topics: DataFrame, fields: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``topic_parts`` from an index's postings, without a text; lengths and their mean are over all fields."""
+    fields = fields or FIELDS
+    asked = cut(_asked(topics))
+    terms = asked.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    rows = index.table("postings").where(F.col("field").isin(list(fields))).join(terms, ["bucket", "term"], "left_semi")
+    each = rows.select("term", "field", "win", F.inline(F.arrays_zip("offs", "tfs", "lens")))
+    counts = each.groupBy("term", (F.col("win") * index.window + F.col("offs")).alias("id")).agg(
+        F.sum(F.col("tfs") * _weight(fields)).alias("tf"), F.first("lens").alias("len")
+    )
+    return asked, _parts(cut(counts), index.n, index.mean)
 
 
 def rank_parts(asked: DataFrame, parts: DataFrame, limit: int = 10) -> Ranking:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import chunks, index, reading, search
+from lexispark.operators import chunks, index, reading, search, topics
 from lexispark.operators.postings import grams, window_of, write_index
 from lexispark.plans.planner import Facet, plan_query
 
@@ -154,3 +154,10 @@ def test_an_empty_index(spark, every, tmp_path):
     assert index.search_index(spark, str(tmp_path), "the history").count() == 0
     own = index.open_index(spark, str(tmp_path))
     assert index.grep_index(own, "the").count() == 0 and plan_query("the") == []
+
+
+def test_many_topics_from_postings(spark, data, every, made):
+    """Topics ranked from the index are those of a scan whose lengths count all fields."""
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").selectExpr("item_id AS topic", "concat(text, ' en the') AS text")
+    rows = lambda x: sorted(map(tuple, topics.rank_parts(*x, 5).rows.select("topic", "rank", "id", "score").collect()))
+    assert rows(topics.index_parts(made, bench)) == rows(topics.topic_parts(every, bench))
