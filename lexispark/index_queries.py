@@ -11,6 +11,7 @@ from lexispark.queries import (
     BM25, BM25_ALL, ORACLES, PHRASES, all_there_is, documents, event_stream, query, read, sql_tokens
 )
 from lexispark.scratch import fresh_folder
+from lexispark.sources import stores
 from lexispark.sources.event_log import use_event_log
 from lexispark.sources.keyed import KeyedTable
 from lexispark.streaming import ndjson, sessions
@@ -276,6 +277,16 @@ def observed_selection(spark, sf_dir):
     return selection.write_selected(selected_files(spark, sf_dir), fresh_folder(spark, "selected"))
 
 
+@query(ORACLES["progress_counts"])
+def observed_progress(spark, sf_dir):
+    """The counts of a batch, from the pass that appends its last events to a log."""
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "succeeded").when(kind == "error", "failed").otherwise("skipped")
+    last = catalog.latest_events(read(spark, sf_dir, "events"), F.col("user_id"), "event_id")
+    events = last.select(F.col("user_id").cast("string").alias("libraryId"), status.alias("status"))
+    return stores.append_counted(events, fresh_folder(spark, "log"), 100)
+
+
 # --- catalog and arguments -----------------------------------------------------------------------------------------
 
 SQL_SEARCHES = ", ".join(f"({k}, '{n}', '{q} {catalog.ONLY}', {w})" for k, (n, q, w) in enumerate(catalog.SEARCHES))

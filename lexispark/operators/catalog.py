@@ -157,13 +157,18 @@ def latest_events(events: DataFrame, key: Column, line: str) -> DataFrame:
     ).where("__n = 1").drop("__n")
 
 
-def progress(events: DataFrame, target: int) -> DataFrame:
-    """Counts by status of the last events, and how many are still to be done."""
+def progress_counters(target: int) -> list[Column]:
+    """Counts by status, and how many are still to be done."""
     of = lambda s: F.count_if(F.col("status") == s)
-    return events.agg(
+    return [
         F.count("*").alias("processed"), of("succeeded").alias("succeeded"), of("failed").alias("failed"),
         of("skipped").alias("skipped"), F.greatest(F.lit(0), F.lit(target) - of("succeeded")).alias("remaining")
-    )
+    ]
+
+
+def progress(events: DataFrame, target: int) -> DataFrame:
+    """Counts by status of the last events, and how many are still to be done."""
+    return events.agg(*progress_counters(target))
 
 
 def policy_filter(

@@ -8,11 +8,11 @@ import os
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.identifiers import parse_repository, storage_key
-from lexispark.operators.catalog import latest_events
+from lexispark.operators.catalog import latest_events, progress_counters
 from lexispark.operators.rerank import upsert
 
 MANIFEST = (
@@ -51,6 +51,14 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def append_counted(events: DataFrame, path: str, target: int) -> DataFrame:
+    """Append events and return their ``catalog.progress``, counted in the pass that writes them."""
+    seen = Observation("progress")
+    append_events(events.observe(seen, *progress_counters(target)), path)
+    counts = seen.get
+    return events.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The libraries of a catalog file; none if it is of another version."""
     rows = spark.read.option("multiLine", True).schema(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import catalog, chunks, running, selection, topics
+from lexispark.sources import stores
 from lexispark.sources.keyed import KeyedTable
 from lexispark.streaming import ndjson
 
@@ -157,3 +158,11 @@ def test_counters_of_the_writing_pass(spark, tmp_path):
     want = selection.selection_counts(chosen).first()
     assert counts.asDict() == want.asDict()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want["selected_files"]
+
+
+def test_progress_of_the_appending_pass(spark, tmp_path):
+    rows = [("/a/a", "succeeded"), ("/b/b", "failed"), ("/c/c", "succeeded"), ("/d/d", "skipped")]
+    events = spark.createDataFrame(rows, "libraryId string, status string")
+    got = stores.append_counted(events, str(tmp_path / "log"), 5).first().asDict()
+    assert got == catalog.progress(events, 5).first().asDict() and got["remaining"] == 3
+    assert stores.read_event_log(spark, str(tmp_path / "log")).count() == 4
