@@ -25,6 +25,8 @@ from lexispark.llm.common import broadcast_if_small, cut, small_batches
 WORDS = 5
 BANDS, MINS, MAXS = 28, 3, 3
 _MOST_WORDS = 200_000
+#: Shingles that are compared at once, and bytes of a batch on its way to Python: sets of long texts are large.
+_VALUES, _BATCH_BYTES = 1 << 19, 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -156,7 +158,10 @@ def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             if i == j:
                 continue
             own = values[ends[i] : ends[j]]
-            hit = centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own
+            hit = np.empty(len(own), bool)
+            for lo in range(0, len(own), _VALUES):
+                part = own[lo : lo + _VALUES]
+                hit[lo : lo + _VALUES] = centre[np.minimum(np.searchsorted(centre, part), len(centre) - 1)] == part
             common = np.add.reduceat(hit, ends[i:j] - ends[i], dtype=np.int64)
             n = np.diff(ends[i : j + 1])
             ok = 100 * common >= percent * (len(centre) + n - common)
@@ -342,6 +347,7 @@ def bands_for(percent: int) -> int:
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, mark): mark is a digest of the text, which tells rows of one id apart."""
     small_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
     text = F.coalesce(text_col, F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
