@@ -9,10 +9,12 @@ Only the chunks that an answer names are read.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,37 +102,65 @@ def _occurrences(starts: Column, unit: tuple[str, ...]) -> Column:
 def phrases(index: Index, units: Sequence[tuple[str, ...]], fields: dict[str, float] | None = None) -> DataFrame:
     """(unit, win, off, tf, len) of chunks that have a phrase: its number in ``units``, the weighted count, the length.
 
-    Only windows that have all of a phrase's tokens in one field are read; in them, positions of a chunk's tokens, each
-    moved back by its place in the phrase, are intersected.
+    The rows of a window and field meet in one task; where they have all of a phrase's tokens, the positions of a chunk's
+    tokens, each moved back by its place in the phrase, are intersected.
     """
     fields = fields or FIELDS
     out = None
     for k, unit in enumerate(units):
         tokens = list(dict.fromkeys(unit))
         rows = index.rows_of("postings", "term", tokens).where(F.col("field").isin(list(fields)))
-        place = ["field", "win"]
-        full = rows.groupBy(*place).agg(F.count_distinct("term").alias("m")).where(F.col("m") == len(tokens))
-        rows = rows.join(full.select(*place), place, "left_semi") if len(tokens) > 1 else rows
-        each = rows.select(
-            *place, "term", F.inline(F.arrays_zip("offs", "lens", "positions"))
-        ).groupBy(*place, "offs").agg(
-            F.first("lens").alias("len"),
-            *[F.first(F.when(F.col("term") == t, F.col("positions")), True).alias(f"p{i}") for i, t in enumerate(tokens)]
-        )
-        each = each.where(" AND ".join(f"p{i} IS NOT NULL" for i in range(len(tokens))))
-
-        def moved(by: int, t: str, tokens: list[str] = tokens) -> Column:
-            return F.transform(F.col(f"p{tokens.index(t)}"), lambda p: p - by)
-
-        starts = reduce(F.array_intersect, [moved(by, t) for by, t in enumerate(unit)])
-        found = each.select("field", "win", "offs", "len", _occurrences(F.sort_array(starts), unit).alias("c")).where("c > 0")
-        one = found.groupBy("win", F.col("offs").alias("off")).agg(
+        placed = rows.select("field", "win", "term", "offs", "tfs", "lens", "positions").repartition(
+            "field", "win"
+        ).sortWithinPartitions("field", "win")
+        found = placed.mapInArrow(
+            lambda batches, unit=unit: _starts(batches, unit), "field string, win bigint, off int, len int, starts array<int>"
+        ).withColumn("c", _occurrences(F.col("starts"), unit))
+        one = found.groupBy("win", "off").agg(
             F.sum(F.col("c") * _weight(fields)).alias("tf"), F.first("len").alias("len")
         ).select(F.lit(k).alias("unit"), "win", "off", "tf", "len")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _starts(batches: Iterator[pa.RecordBatch], unit: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(field, win, off, len, starts) of chunks in which a phrase begins, from rows of its tokens sorted by field and
+    window; a window may have several rows of a token."""
+    at, held = None, {}
+
+    def flush() -> pa.RecordBatch:
+        have = [np.concatenate([p for p, _ in held[t]]) - by for by, t in enumerate(unit)]
+        # A place is its chunk's in the window and its own in one number, one further, so none moves to another chunk.
+        begin = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sorted(have, key=len)) - len(unit)
+        off = begin >> 32
+        first = np.flatnonzero(np.diff(off, prepend=-1))
+        own = off[first].astype(np.int32)
+        lens = np.zeros(int(own.max(initial=0)) + 1, np.int32)
+        for _, (o, n) in held[unit[0]]:
+            lens[o[o < len(lens)]] = n[o < len(lens)]
+        field, win = at
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([field] * len(own), pa.string()), pa.array(np.full(len(own), win, np.int64)), pa.array(own), pa.array(lens[own]),
+                pa.ListArray.from_arrays(
+                    pa.array(np.append(first, len(begin)).astype(np.int32)), pa.array((begin & 0xFFFFFFFF).astype(np.int32))
+                )
+            ],
+            ["field", "win", "off", "len", "starts"]
+        )
+
+    for b in batches:
+        for i, (field, win, term) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)):
+            if (field, win) != at:
+                if at is not None and len(held) == len(set(unit)):
+                    yield flush()
+                at, held = (field, win), {}
+            offs, tfs, lens, positions = (c.slice(i, 1).flatten().to_numpy().astype(np.int64) for c in b.columns[3:])
+            held.setdefault(term, []).append(((np.repeat(offs, tfs) << 32) + positions + len(unit), (offs, lens)))
+    if at is not None and len(held) == len(set(unit)):
+        yield flush()
+
+
 def _bound(tf: Column, length: Column, idf: float, mean: float) -> Column:
     """No chunk of a window scores higher for a unit; none has it where there is no count."""
     return F.when(tf > 0, part_of(tf, length, idf, mean))

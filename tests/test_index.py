@@ -149,6 +149,32 @@ def test_small_parts_of_a_window(spark, every, tmp_path, monkeypatch):
     assert all(r["max_tf"] == max(r["tfs"]) and r["min_len"] == min(r["lens"]) and r["n"] == len(r["offs"]) for r in parts)
 
 
+def test_a_row_has_one_list_of_places(spark, tmp_path):
+    """Rows of the postings against counting in plain Python; places of all chunks are one list, counts divide it."""
+    texts = [(3, "A a", "", "b a. A"), (5, None, "b", ""), (6, "", "", None), (9, "é-1", "é", "é b é"), (70, "x", "", "b")]
+    df = small(spark, texts)
+    write_index(df, str(tmp_path), buckets=2, window=8, shelf=2, literal=False)
+    own = index.open_index(spark, str(tmp_path))
+    want = {}
+    for i, *fields in texts:
+        words = [(t or "").lower().replace("-", " ").replace(".", " ").split() for t in fields]
+        for f, found in zip(search.FIELDS, words, strict=True):
+            for t in dict.fromkeys(found):
+                row = want.setdefault((t, f, i // 8), [[], [], [], [], 0])
+                for x, v in zip(row, (i % 8, found.count(t), sum(map(len, words))), strict=False):
+                    x.append(v)
+                row[3] += [p for p, x in enumerate(found) if x == t]
+                before = words[: list(search.FIELDS).index(f)]
+                row[4] += not any(t in w for w in before)
+    got = {
+        (r["term"], r["field"], r["win"]): [r["offs"], r["tfs"], r["lens"], r["positions"], r["own"]]
+        for r in own.table("postings").collect()
+    }
+    assert got == want and own.n == 5 and own.mean == sum(
+        sum(len((t or "").replace("-", " ").split()) for t in f) for _, *f in texts
+    ) / 5
+
+
 def test_an_empty_index(spark, every, tmp_path):
     write_index(every.where("false"), str(tmp_path))
     assert index.search_index(spark, str(tmp_path), "the history").count() == 0
