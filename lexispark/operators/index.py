@@ -256,7 +256,8 @@ def ranked(index: Index, topic: str, limit: int | None = None, fields: dict[str,
     wanted = candidate_limit(limit)
     best = cut(top_of_facets(score_index(index, plan_query(topic), fields, wanted), wanted))
     ids = [r["id"] for r in best.select("id").distinct().collect()]  # at most facets times their limit
-    return index.chunks_of(ids).join(F.broadcast(best), "id")
+    # A bounded list that an answer reads more than once: its texts are read from the index once.
+    return cut(index.chunks_of(ids).join(F.broadcast(best), "id"))
 
 
 def search_index(
