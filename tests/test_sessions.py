@@ -90,3 +90,34 @@ def test_protocol_sessions_over_batches(spark, tmp_path):
         lambda df: sessions.stream_protocol(df, 60_000, 20_000)
     )
     assert sorted((r["session"], r["at_ms"] - base, r["alive"], r["expires_ms"] - base) for r in got) == sorted(want)
+
+
+class Store:
+    """State and timers of one session in plain Python, which count the calls to them."""
+
+    def __init__(self):
+        self.value, self.held, self.timers, self.calls = None, {}, set(), []
+
+    def __getattr__(self, name):
+        does = {
+            "get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v),
+            "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.update({k: v}),
+            "clear": lambda: self.held.clear(), "registerTimer": lambda t: self.timers.add(t), "listTimers": lambda: iter(self.timers),
+            "deleteTimer": lambda t: self.timers.remove(t), "getValueState": lambda *_: self, "getMapState": lambda *_: self
+        }[name]
+        return lambda *a: (self.calls.append(name), does(*a))[1]
+
+
+def test_few_calls_to_the_state():
+    """A new session asks for nothing but its end, and a renewed one replaces its only timer."""
+    store, own = Store(), sessions._Seen(1000, 3)
+    own.init(store)
+    row = lambda t, lib, i: {"at_ms": t, "library": lib, "id": i}
+    store.calls.clear()
+    assert [r["fresh"] for r in own.handleInputRows(("s",), [row(5, "a", 1), row(6, "b", 1), row(7, "a", 1)], None)] == [True, True, False]
+    assert sorted(store.calls) == ["get", "registerTimer", "update", "updateValue", "updateValue"] and store.timers == {1008}
+    assert [r["fresh"] for r in own.handleInputRows(("s",), [row(900, "a", 1), row(901, "a", 2)], None)] == [False, True]
+    assert store.timers == {1902} and "listTimers" not in store.calls
+    store.calls.clear()
+    assert [r["fresh"] for r in own.handleInputRows(("s",), [row(1900, "b", 1), row(5000, "b", 1), row(5001, "a", 1)], None)] == [False, True, True]
+    assert store.timers == {6002} and set(store.held) == {("a",), ("b",)} and store.held["a",] == ([1],)
